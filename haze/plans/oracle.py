@@ -52,13 +52,16 @@ VIEWS = {
 }
 
 
-def with_views(body: str, *names: str) -> str:
-    """Prefix ``body`` with the CTEs it needs (dependencies included)."""
+def with_views(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
+    """Prefix ``body`` with the CTEs it needs (dependencies included), then
+    the query's own ``extra`` CTEs in order."""
     deps = {"scored": ["readings"], "history": ["readings", "scored"]}
     wanted: list[str] = []
     for n in names:
         for d in deps.get(n, []) + [n]:
             if d not in wanted:
                 wanted.append(d)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
+    parts = [f"{n} AS ({VIEWS[n]})" for n in wanted]
+    parts += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
+    ctes = ",\n".join(parts)
     return f"WITH {ctes}\n{body}" if ctes else body

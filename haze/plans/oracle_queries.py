@@ -15,3 +15,139 @@ SELECT quality, count(*) AS n, round(avg(aqi), 6) AS avg_aqi,
        min(aqi) AS min_aqi, max(aqi) AS max_aqi,
        round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM history GROUP BY quality""", "history")
+
+
+def _bp_values() -> str:
+    from haze.functions import aqi
+    rows = []
+    for name, std in aqi.STANDARDS.items():
+        for b in std.brackets:
+            rows.append(f"('{name}', {aqi.float_literal(b.c_low)}, {aqi.float_literal(b.c_high)}, "
+                        f"{b.i_low}, {b.i_high}, {aqi.float_literal(std.cap_above)}, {std.index_cap})")
+    return ", ".join(rows)
+
+
+ORACLE["aqi_by_breakpoint_table"] = with_views("""
+SELECT *, greatest(coalesce(aqi_pm25, 0), coalesce(aqi_pm10, 0)) AS aqi FROM s""", "readings", extra={
+    "bp": f"""SELECT * FROM (VALUES {_bp_values()})
+              AS t(pollutant, c_low, c_high, i_low, i_high, cap_above, index_cap)""",
+    "s": """
+  SELECT r.location_id, r.datetime, r.pm25, r.pm10,
+    CASE WHEN r.pm25 IS NULL OR isnan(r.pm25) THEN 0
+         WHEN b25.c_low IS NOT NULL THEN CAST(round_even((b25.i_high - b25.i_low) / (b25.c_high - b25.c_low) * (r.pm25 - b25.c_low) + b25.i_low, 0) AS INTEGER)
+         WHEN r.pm25 > 500.0E0 THEN 500 ELSE 0 END AS aqi_pm25,
+    CASE WHEN r.pm10 IS NULL OR isnan(r.pm10) THEN 0
+         WHEN b10.c_low IS NOT NULL THEN CAST(round_even((b10.i_high - b10.i_low) / (b10.c_high - b10.c_low) * (r.pm10 - b10.c_low) + b10.i_low, 0) AS INTEGER)
+         WHEN r.pm10 > 600.0E0 THEN 500 ELSE 0 END AS aqi_pm10
+  FROM readings r
+  LEFT JOIN bp b25 ON b25.pollutant = 'pm25' AND r.pm25 BETWEEN b25.c_low AND b25.c_high
+  LEFT JOIN bp b10 ON b10.pollutant = 'pm10' AND r.pm10 BETWEEN b10.c_low AND b10.c_high"""})
+
+ORACLE["sql_function_score"] = with_views("""
+SELECT location_id, datetime, aqi_pm25, aqi_pm10, aqi, quality FROM history""", "history")
+
+
+def _clean_param_sql(expr: str) -> str:
+    from haze.schemas import PARAMETER_NAMES
+    name = f"lower(regexp_replace({expr}, '^\\s+|\\s+$', '', 'g'))"
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PARAMETER_NAMES.items())
+    return f"coalesce(CASE {name} {whens} END, {name})"
+
+
+ORACLE["clean_pivot"] = with_views(f"""
+SELECT location_id, date_trunc('hour', ts) AS datetime,
+       round(avg(value) FILTER (WHERE p = 'pm25'), 6) AS pm25,
+       round(avg(value) FILTER (WHERE p = 'pm10'), 6) AS pm10,
+       round(avg(value) FILTER (WHERE p = 'temperature'), 6) AS temperature,
+       round(avg(value) FILTER (WHERE p = 'relativehumidity'), 6) AS relativehumidity
+FROM (SELECT *, {_clean_param_sql('parameter')} AS p FROM raw_long)
+WHERE p IN ('pm25', 'pm10', 'temperature', 'relativehumidity')
+GROUP BY 1, 2""", "raw_long")
+
+LATEST = """
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location_id
+                 ORDER BY event_ts DESC, datetime DESC, processed_at DESC) AS rn FROM history)
+  WHERE rn = 1"""
+LATEST_COLS = ("location_id, datetime, event_ts, pm25, pm10, aqi, aqi_pm25, aqi_pm10, "
+               "quality, processed_at")
+HIST_COLS = ("datetime, location_id, event_ts, pm25, pm10, aqi, aqi_pm25, aqi_pm10, "
+             "quality, processed_at")
+TTL = "processed_at > TIMESTAMP '{as_of}' - INTERVAL 3600 SECOND"
+
+
+def _with_latest(body: str) -> str:
+    return with_views(body, "history", extra={"latest": LATEST})
+
+
+ORACLE["latest_per_station"] = _with_latest(f"\nSELECT {LATEST_COLS} FROM latest")
+
+ORACLE["snapshot_ttl"] = _with_latest(
+    f"\nSELECT {LATEST_COLS} FROM latest WHERE {TTL.format(as_of='2024-01-30 23:00:00')}")
+
+TS_TEXT = ("CASE WHEN microsecond(processed_at) % 1000000 = 0 "
+           "THEN strftime(processed_at, '%Y-%m-%d %H:%M:%S') "
+           "ELSE strftime(processed_at, '%Y-%m-%d %H:%M:%S.%f') END")
+
+ORACLE["snapshot_kv"] = _with_latest(f"""
+SELECT datetime, location_id, pm25, pm10, pm1, temperature, relativehumidity, um003,
+       aqi, aqi_pm25, aqi_pm10, quality, {TS_TEXT} AS processed_at,
+       'location:' || CAST(location_id AS VARCHAR) AS key
+FROM latest""")
+
+ORACLE["latest_history"] = with_views(f"""
+SELECT {HIST_COLS} FROM history ORDER BY event_ts DESC, location_id DESC LIMIT 1000""",
+                                      "history")
+
+_FALLBACK = """
+SELECT {cols}, 'snapshot' AS source FROM latest WHERE {ttl}
+UNION ALL
+SELECT * FROM (SELECT {cols}, 'history' AS source FROM history
+               ORDER BY event_ts DESC, location_id DESC LIMIT 100)
+WHERE NOT EXISTS (SELECT 1 FROM latest WHERE {ttl})"""
+
+ORACLE["latest_or_history"] = _with_latest(
+    _FALLBACK.format(cols=HIST_COLS, ttl=TTL.format(as_of="2024-01-30 23:00:00")))
+
+ORACLE["latest_or_history_fallback"] = _with_latest(
+    _FALLBACK.format(cols=HIST_COLS, ttl=TTL.format(as_of="2024-02-02 00:00:00")))
+
+ORACLE["serving_counts"] = _with_latest(
+    "\nSELECT source, count(*) AS count FROM ("
+    + _FALLBACK.format(cols=HIST_COLS, ttl=TTL.format(as_of="2024-01-30 23:00:00"))
+    + ") GROUP BY source")
+
+ORACLE["history_lookup"] = with_views(f"""
+SELECT {HIST_COLS} FROM history
+WHERE quality = 'Trung bình (Moderate)'
+  AND event_ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_ts < TIMESTAMP '2024-01-20 00:00:00'""",
+                                      "history")
+
+ORACLE["history_upsert"] = with_views(f"""
+SELECT {HIST_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY location_id, datetime ORDER BY processed_at DESC) AS rn
+  FROM (SELECT {HIST_COLS} FROM history
+        UNION ALL
+        SELECT datetime, location_id, event_ts, pm25, pm10, aqi, aqi_pm25, aqi_pm10, quality,
+               processed_at + INTERVAL 60 SECOND FROM history WHERE pm10 < 325))
+WHERE rn = 1""", "history")
+
+ORACLE["align_schema"] = with_views("""
+SELECT datetime, CAST(NULL AS BIGINT) AS location_id, CAST(pm25 AS REAL) AS pm25,
+       CAST(NULL AS REAL) AS pm10, CAST(NULL AS REAL) AS pm1, CAST(NULL AS REAL) AS temperature,
+       CAST(NULL AS REAL) AS relativehumidity, CAST(NULL AS REAL) AS um003,
+       aqi, CAST(NULL AS INTEGER) AS aqi_pm25, CAST(NULL AS INTEGER) AS aqi_pm10,
+       quality, processed_at
+FROM history""", "history")
+
+ORACLE["null_defaults"] = with_views("""
+SELECT location_id, datetime,
+       coalesce(CASE WHEN isnan(pm1) THEN NULL ELSE pm1 END, 0.0E0) AS pm1_or_0,
+       coalesce(CASE WHEN isnan(temperature) THEN NULL ELSE temperature END, 25.0E0) AS temperature_or_25,
+       nullif(aqi, 0) AS aqi_or_null, nullif(aqi_pm25, 0) AS aqi_pm25_or_null,
+       nullif(pm25, 0) AS pm25_or_null
+FROM history""", "history")
+
+ORACLE["display_rows"] = with_views("""
+SELECT coalesce(strftime(event_ts, '%H:%M:%S %d/%m/%Y'), 'N/A') AS updated, location_id, aqi,
+       quality, pm25, pm10, temperature, relativehumidity
+FROM history ORDER BY event_ts DESC, location_id DESC LIMIT 100""", "history")

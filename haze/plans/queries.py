@@ -39,3 +39,154 @@ def aqi_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haze.operators.dashboard import level_distribution
     return level_distribution(aqi.score(tables.readings(spark, sf_dir)))
+
+
+@query("aqi_by_breakpoint_table")
+def aqi_by_breakpoint_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.score import breakpoint_frame, score_by_table
+    bp = breakpoint_frame(spark)
+    df = tables.readings(spark, sf_dir).select("location_id", "datetime", "pm25", "pm10")
+    df = score_by_table(df, "pm25", "pm25", bp)
+    df = score_by_table(df, "pm10", "pm10", bp)
+    return df.withColumn("aqi", aqi.overall("aqi_pm25", "aqi_pm10"))
+
+
+@query("sql_function_score")
+def sql_function_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aqi.register_sql_functions(spark)
+    tables.readings(spark, sf_dir).createOrReplaceTempView("haze_readings")
+    return spark.sql("""
+        SELECT location_id, datetime, aqi_pm25(pm25) AS aqi_pm25, aqi_pm10(pm10) AS aqi_pm10,
+               aqi_overall(aqi_pm25(pm25), aqi_pm10(pm10)) AS aqi,
+               aqi_quality(aqi_overall(aqi_pm25(pm25), aqi_pm10(pm10))) AS quality
+        FROM haze_readings""")
+
+
+@query("clean_pivot")
+def clean_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.clean import WIDE_PARAMETERS, hourly_wide
+    wide = hourly_wide(tables.raw_long(spark, sf_dir))
+    return wide.select("location_id", "datetime",
+                       *[F.round(p, 6).alias(p) for p in WIDE_PARAMETERS])
+
+
+def _latest(spark, sf_dir):
+    from haze.operators.latest import latest_per_key
+    return latest_per_key(tables.history(spark, sf_dir))
+
+
+LATEST_COLUMNS = ["location_id", "datetime", "event_ts", "pm25", "pm10",
+                  "aqi", "aqi_pm25", "aqi_pm10", "quality", "processed_at"]
+
+
+@query("latest_per_station")
+def latest_per_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _latest(spark, sf_dir).select(*LATEST_COLUMNS)
+
+
+@query("snapshot_ttl")
+def snapshot_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.latest import fresh
+    return fresh(_latest(spark, sf_dir), tables.SNAPSHOT_AS_OF).select(*LATEST_COLUMNS)
+
+
+@query("snapshot_kv")
+def snapshot_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.latest import from_kv, to_kv
+    kv = to_kv(_latest(spark, sf_dir))
+    back = from_kv(kv)
+    return back.withColumn("key", F.concat(F.lit("location:"), F.col("location_id")))
+
+
+HISTORY_OUT = ["datetime", "location_id", "event_ts", "pm25", "pm10", "aqi",
+               "aqi_pm25", "aqi_pm10", "quality", "processed_at"]
+
+
+@query("latest_history")
+def latest_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.history import latest_history
+    return latest_history(tables.history(spark, sf_dir), 1000).select(*HISTORY_OUT)
+
+
+@query("latest_or_history")
+def latest_or_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.history import latest_history
+    from haze.operators.latest import fresh, latest_or_history
+    hist = tables.history(spark, sf_dir)
+    snap = fresh(_latest(spark, sf_dir), tables.SNAPSHOT_AS_OF)
+    return latest_or_history(snap, latest_history(hist, 100), HISTORY_OUT)
+
+
+@query("latest_or_history_fallback")
+def latest_or_history_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same serving query after every snapshot entry has expired."""
+    from haze.operators.history import latest_history
+    from haze.operators.latest import fresh, latest_or_history
+    hist = tables.history(spark, sf_dir)
+    snap = fresh(_latest(spark, sf_dir), "2024-02-02 00:00:00")
+    return latest_or_history(snap, latest_history(hist, 100), HISTORY_OUT)
+
+
+@query("serving_counts")
+def serving_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per source of the serving result (the envelope's count)."""
+    return latest_or_history_q(spark, sf_dir).groupBy("source").agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+@query("history_lookup")
+def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.history import history_query
+    df = history_query(tables.history(spark, sf_dir), quality=aqi.QUALITY_FULL[1],
+                       since="2024-01-10 00:00:00", until="2024-01-20 00:00:00")
+    return df.select(*HISTORY_OUT)
+
+
+@query("history_upsert")
+def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all history rows, then upsert a second delivery of the rows with
+    pm10 < 325 processed 60 s later; last write per (station, datetime) wins."""
+    from haze.operators.history import upsert_history
+    from haze.session import scratch_path
+    path = scratch_path(spark, "history-upsert")
+    hist = tables.history(spark, sf_dir)
+    upsert_history(spark, hist, path)
+    again = hist.where(F.col("pm10") < 325).withColumn(
+        "processed_at", F.col("processed_at") + F.expr("INTERVAL 60 SECONDS"))
+    upsert_history(spark, again, path)
+    return spark.read.parquet(path).select(*HISTORY_OUT)
+
+
+@query("align_schema")
+def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old rows with only five columns, aligned to the 13-column schema."""
+    from haze.operators.clean import align_to_schema
+    from haze.schemas import HISTORY_SCHEMA
+    old = tables.history(spark, sf_dir).select("datetime", "pm25", "aqi", "quality",
+                                               "processed_at")
+    return align_to_schema(old, HISTORY_SCHEMA)
+
+
+@query("null_defaults")
+def null_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.functions.values import default_if_missing, falsy_to_null
+    from haze.operators.clean import select_available
+    h = select_available(tables.history(spark, sf_dir),
+                         ["location_id", "datetime", "aqi", "aqi_pm25", "pm25", "pm1",
+                          "temperature", "not_a_column"])
+    return h.select(
+        "location_id", "datetime",
+        default_if_missing("pm1").alias("pm1_or_0"),
+        default_if_missing("temperature", 25.0).alias("temperature_or_25"),
+        falsy_to_null("aqi").alias("aqi_or_null"),
+        falsy_to_null("aqi_pm25").alias("aqi_pm25_or_null"),
+        falsy_to_null("pm25").alias("pm25_or_null"))
+
+
+@query("display_rows")
+def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.functions.timefmt import display_time
+    from haze.operators.history import latest_history
+    top = latest_history(tables.history(spark, sf_dir), 100)
+    return top.select(display_time("event_ts").alias("updated"), "location_id", "aqi",
+                      "quality", "pm25", "pm10", "temperature", "relativehumidity")

@@ -8,7 +8,6 @@ setting is missing, which is the unit-test case.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -67,7 +66,4 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir for one run."""
     base = ensure_checkpoint_dir(spark)
-    path = f"{base}/haze/{name}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)
-    return path
+    return f"{base}/haze/{name}-{uuid.uuid4().hex[:12]}"
