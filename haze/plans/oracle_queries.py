@@ -151,3 +151,83 @@ ORACLE["display_rows"] = with_views("""
 SELECT coalesce(strftime(event_ts, '%H:%M:%S %d/%m/%Y'), 'N/A') AS updated, location_id, aqi,
        quality, pm25, pm10, temperature, relativehumidity
 FROM history ORDER BY event_ts DESC, location_id DESC LIMIT 100""", "history")
+
+
+SAMPLES = """
+  SELECT location_id, event_time, processed_at, latency, latency_us,
+    CASE WHEN datetime IS NULL OR trim(datetime) = '' OR processed_at IS NULL THEN 'missing'
+         WHEN event_time IS NULL THEN 'invalid'
+         WHEN event_time < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 14400 MINUTE THEN 'old'
+         WHEN latency_us >= 0 AND latency_us < 300000000 THEN 'valid'
+         ELSE 'invalid' END AS disposition
+  FROM (SELECT *, epoch_us(processed_at) - epoch_us(event_time) AS latency_us,
+               (epoch_us(processed_at) - epoch_us(event_time)) / 1e6 AS latency
+        FROM latency_source)"""
+
+ORACLE["latency_summary"] = with_views("""
+SELECT c.*, s.*, q.*, s.avg > 1.0 AS overloaded, s.std_dev > 0.5 AS unstable
+FROM (SELECT count(*) AS raw, count(*) FILTER (WHERE disposition = 'valid') AS valid,
+             count(*) FILTER (WHERE disposition = 'old') AS old,
+             count(*) FILTER (WHERE disposition = 'invalid') AS invalid FROM samples) c,
+     (SELECT count(*) AS count, round(min(latency), 6) AS min, round(max(latency), 6) AS max,
+             round(avg(latency), 6) AS avg, round(stddev_samp(latency), 6) AS std_dev
+      FROM v) s,
+     (SELECT round(max(x) FILTER (WHERE rk = floor((n - 1) * 0.5))
+                   + (max(x) FILTER (WHERE rk = ceil((n - 1) * 0.5))
+                      - max(x) FILTER (WHERE rk = floor((n - 1) * 0.5))) * 0.5, 6) AS p50,
+             round(max(x) FILTER (WHERE rk = floor((n - 1) * 0.95 + 0.5)), 6) AS p95,
+             round(max(x) FILTER (WHERE rk = floor((n - 1) * 0.99 + 0.5)), 6) AS p99
+      FROM (SELECT latency_us / 1e6 AS x, row_number() OVER (ORDER BY latency_us) - 1 AS rk,
+                   count(*) OVER () AS n FROM v)) q""", "latency_source",
+                                       extra={"samples": SAMPLES,
+                                              "v": "SELECT * FROM samples WHERE disposition = 'valid'"})
+
+ORACLE["latency_histogram"] = with_views("""
+SELECT b.bin, round(mn + (b.bin - 1) * (mx - mn) / 50, 6) AS bin_lo,
+       round(mn + b.bin * (mx - mn) / 50, 6) AS bin_hi, coalesce(h.count, 0) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, 51)) b
+CROSS JOIN mm
+LEFT JOIN (SELECT CAST(CASE WHEN mx = mn THEN 1
+                   ELSE least(floor(50 * (latency - mn) / (mx - mn)) + 1, 50) END AS INTEGER) AS bin,
+                  count(*) AS count
+           FROM v, mm GROUP BY 1) h ON h.bin = b.bin""", "latency_source", extra={
+    "samples": SAMPLES,
+    "v": "SELECT * FROM samples WHERE disposition = 'valid'",
+    "mm": "SELECT min(latency) AS mn, max(latency) AS mx FROM v"})
+
+ORACLE["latency_series"] = with_views("""
+SELECT location_id, row_number() OVER (PARTITION BY location_id ORDER BY event_time, processed_at) AS idx,
+       event_time, processed_at, latency
+FROM samples WHERE disposition = 'valid'""", "latency_source", extra={"samples": SAMPLES})
+
+ORACLE["throughput"] = with_views("""
+SELECT rows, first, last, elapsed_s,
+       round(CASE WHEN elapsed_s > 0 THEN rows / elapsed_s END, 9) AS rows_per_s
+FROM (SELECT count(*) AS rows, min(processed_at) AS first, max(processed_at) AS last,
+             (epoch_us(max(processed_at)) - epoch_us(min(processed_at))) / 1e6 AS elapsed_s
+      FROM history)""", "history")
+
+ORACLE["throughput_by_hour"] = with_views("""
+SELECT date_trunc('hour', processed_at) AS window_start,
+       date_trunc('hour', processed_at) + INTERVAL 1 HOUR AS window_end, count(*) AS rows
+FROM history GROUP BY 1, 2""", "history")
+
+ORACLE["recent_rows"] = with_views("""
+SELECT count(*) AS total,
+       count(*) FILTER (WHERE processed_at >= TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 3600 SECOND
+                          AND processed_at <= TIMESTAMP '2024-01-30 23:00:00') AS recent
+FROM history""", "history")
+
+ORACLE["freshness"] = with_views("""
+SELECT count, newest, age_s,
+       CASE WHEN count = 0 THEN 'WARNING' WHEN age_s < 30 THEN 'OK'
+            WHEN age_s < 120 THEN 'WARNING' ELSE 'ERROR' END AS status
+FROM (SELECT count(*) AS count, max(event_ts) AS newest,
+             (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(event_ts))) / 1e6 AS age_s
+      FROM history)""", "history")
+
+ORACLE["ingest_lag"] = with_views("""
+SELECT produced, stored, greatest(produced - stored, 0) AS lag
+FROM (SELECT count(*) AS produced FROM events),
+     (SELECT count(*) AS stored FROM history
+      WHERE processed_at <= TIMESTAMP '2024-01-30 23:00:00')""", "history")

@@ -190,3 +190,68 @@ def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = latest_history(tables.history(spark, sf_dir), 100)
     return top.select(display_time("event_ts").alias("updated"), "location_id", "aqi",
                       "quality", "pm25", "pm10", "temperature", "relativehumidity")
+
+
+def _samples(spark, sf_dir):
+    from haze.operators.metrics import latency_samples
+    return latency_samples(tables.latency_source(spark, sf_dir), tables.LATENCY_AS_OF,
+                           window_minutes=10 * 24 * 60)
+
+
+@query("latency_summary")
+def latency_summary_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import latency_summary
+    s = latency_summary(_samples(spark, sf_dir))
+    return s.select(*[F.round(c, 6).alias(c) if c in ("min", "max", "avg", "std_dev", "p50",
+                                                        "p95", "p99") else F.col(c)
+                      for c in s.columns])
+
+
+@query("latency_histogram")
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import histogram
+    valid = _samples(spark, sf_dir).where(F.col("disposition") == "valid")
+    h = histogram(valid, "latency", 50)
+    return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"),
+                    F.round("bin_hi", 6).alias("bin_hi"), "count")
+
+
+@query("latency_series")
+def latency_series_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import latency_series
+    return latency_series(_samples(spark, sf_dir))
+
+
+@query("throughput")
+def throughput_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import throughput
+    t = throughput(tables.history(spark, sf_dir), "processed_at")
+    return t.withColumn("rows_per_s", F.round("rows_per_s", 9))
+
+
+@query("throughput_by_hour")
+def throughput_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import throughput_by_window
+    return throughput_by_window(tables.history(spark, sf_dir), "processed_at", "1 hour")
+
+
+@query("recent_rows")
+def recent_rows_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import recent_rows
+    return recent_rows(tables.history(spark, sf_dir), tables.SNAPSHOT_AS_OF, seconds=3600)
+
+
+@query("freshness")
+def freshness_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.metrics import freshness
+    return freshness(tables.history(spark, sf_dir), tables.LATENCY_AS_OF)
+
+
+@query("ingest_lag")
+def ingest_lag_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages produced (all events) vs rows stored by the snapshot instant."""
+    from haze.operators.metrics import ingest_lag
+    produced = tables.table(spark, sf_dir, "events").agg(F.count(F.lit(1)).alias("produced"))
+    stored = tables.history(spark, sf_dir).where(
+        F.col("processed_at") <= F.lit(tables.SNAPSHOT_AS_OF).cast("timestamp"))
+    return ingest_lag(produced, stored)
