@@ -231,3 +231,54 @@ SELECT produced, stored, greatest(produced - stored, 0) AS lag
 FROM (SELECT count(*) AS produced FROM events),
      (SELECT count(*) AS stored FROM history
       WHERE processed_at <= TIMESTAMP '2024-01-30 23:00:00')""", "history")
+
+
+WIDE = f"""
+  SELECT location_id, date_trunc('hour', ts) AS datetime,
+         avg(value) FILTER (WHERE p = 'pm25') AS pm25,
+         avg(value) FILTER (WHERE p = 'pm10') AS pm10,
+         avg(value) FILTER (WHERE p = 'temperature') AS temperature,
+         avg(value) FILTER (WHERE p = 'relativehumidity') AS relativehumidity
+  FROM (SELECT *, {_clean_param_sql('parameter')} AS p FROM raw_long)
+  WHERE p IN ('pm25', 'pm10', 'temperature', 'relativehumidity')
+  GROUP BY 1, 2"""
+
+_DCOLS = ["pm25", "pm10", "temperature", "relativehumidity"]
+
+
+def _interp(c: str) -> str:
+    return (f"CASE WHEN p_{c}_t = g THEN p_{c}_v "
+            f"WHEN p_{c}_t IS NOT NULL AND n_{c}_t IS NOT NULL THEN p_{c}_v + (n_{c}_v - p_{c}_v) * "
+            f"(CAST(epoch_us(g) - epoch_us(p_{c}_t) AS DOUBLE) / "
+            f"CAST(epoch_us(n_{c}_t) - epoch_us(p_{c}_t) AS DOUBLE)) END AS {c}")
+
+
+def _neighbours(c: str) -> str:
+    w_p = "OVER (PARTITION BY location_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    w_n = "OVER (PARTITION BY location_id ORDER BY g ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    known_t = f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN g END"
+    known_v = f"CASE WHEN {c} IS NOT NULL AND NOT isnan({c}) THEN {c} END"
+    return (f"last_value({known_t} IGNORE NULLS) {w_p} AS p_{c}_t, "
+            f"last_value({known_v} IGNORE NULLS) {w_p} AS p_{c}_v, "
+            f"first_value({known_t} IGNORE NULLS) {w_n} AS n_{c}_t, "
+            f"first_value({known_v} IGNORE NULLS) {w_n} AS n_{c}_v")
+
+
+ORACLE["densify_linear"] = with_views(f"""
+SELECT location_id, g AS datetime, {", ".join(_interp(c) for c in _DCOLS)}
+FROM (SELECT *, {", ".join(_neighbours(c) for c in _DCOLS)} FROM j)""", "raw_long", extra={
+    "wide": WIDE,
+    "bounds": "SELECT location_id, min(datetime) AS t0, max(datetime) AS t1 FROM wide GROUP BY 1",
+    "grid": "SELECT location_id, unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS g FROM bounds",
+    "j": """SELECT grid.location_id, grid.g, w.pm25, w.pm10, w.temperature, w.relativehumidity
+            FROM grid LEFT JOIN wide w ON w.location_id = grid.location_id AND w.datetime = grid.g""",
+})
+
+ORACLE["forward_fill"] = with_views("""
+SELECT location_id, datetime,
+       coalesce(pm25, last_value(pm25 IGNORE NULLS) OVER w) AS pm25, pm10,
+       coalesce(temperature, last_value(temperature IGNORE NULLS) OVER w) AS temperature,
+       relativehumidity
+FROM wide
+WINDOW w AS (PARTITION BY location_id ORDER BY datetime
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "raw_long", extra={"wide": WIDE})

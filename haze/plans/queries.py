@@ -255,3 +255,29 @@ def ingest_lag_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tables.history(spark, sf_dir).where(
         F.col("processed_at") <= F.lit(tables.SNAPSHOT_AS_OF).cast("timestamp"))
     return ingest_lag(produced, stored)
+
+
+def _wide(spark, sf_dir):
+    from haze.operators.clean import hourly_wide
+    return hourly_wide(tables.raw_long(spark, sf_dir))
+
+
+@query("densify_linear")
+def densify_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly wide readings densified to an hourly grid per station."""
+    from haze.operators.densify import densify
+    return densify(_wide(spark, sf_dir), step_seconds=3600)
+
+
+@query("forward_fill")
+def forward_fill_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.densify import forward_fill
+    return forward_fill(_wide(spark, sf_dir), ["pm25", "temperature"])
+
+
+@query("jitter")
+def jitter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Densified hourly grid with 2 % multiplicative noise (random: rows-only check)."""
+    from haze.operators.densify import densify, jitter
+    dense = densify(_wide(spark, sf_dir), step_seconds=3600)
+    return jitter(dense, ["pm25", "pm10", "temperature", "relativehumidity"])
