@@ -72,33 +72,39 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*cols) if columns is not None else df
 
 
-def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
-                   keys: Sequence[str] = DEFAULT_KEYS,
-                   order: Sequence[str] = ("processed_at",),
-                   ts_col: str = "event_ts") -> None:
-    """Insert-or-replace ``batch`` into the day-partitioned table at ``path``
-    (primary key ``keys``, last write by ``order`` wins).
+def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
+                order: Sequence[str], partition_col: str) -> None:
+    """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
+    ``partition_col``: per key the row with the greatest ``order`` survives.
 
-    Only the day partitions the batch touches are read, merged with the batch
+    Only the partitions the batch touches are read, merged with the batch
     (``latest_per_key``) and rewritten with dynamic partition overwrite;
-    every other day stays untouched.  The touched-day list is one value per
-    day of the batch.  Re-running the same batch gives the same table
-    (idempotent), so a retried micro-batch does not duplicate rows.
+    every other partition stays untouched.  The touched-partition list has
+    one value per partition of the batch (days, shards), not per row.
+    Re-running the same batch gives the same table (idempotent), so a
+    retried micro-batch does not duplicate rows.
     """
-    batch = with_partition(batch, ts_col)
-    order = list(order)
-    days = [r[0] for r in batch.select(PARTITION_COL).distinct().collect()]
-    if not days:
+    parts = [r[0] for r in batch.select(partition_col).distinct().collect()]
+    if not parts:
         return
     try:
-        existing = spark.read.parquet(path).where(F.col(PARTITION_COL).isin(days))
+        existing = spark.read.parquet(path).where(F.col(partition_col).isin(parts))
         merged = existing.unionByName(batch.select(*existing.columns))
     except Exception as exc:  # table does not exist yet
         if not any(m in str(exc) for m in ("PATH_NOT_FOUND", "does not exist",
                                             "UNABLE_TO_INFER_SCHEMA")):
             raise
         merged = batch
-    current = latest_per_key(merged, list(keys), order)
-    (current.sortWithinPartitions(PARTITION_COL, "location_id", ts_col)
+    current = latest_per_key(merged, list(keys), list(order))
+    (current.sortWithinPartitions(partition_col, *keys)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION_COL).parquet(path))
+        .partitionBy(partition_col).parquet(path))
+
+
+def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
+                   keys: Sequence[str] = DEFAULT_KEYS,
+                   order: Sequence[str] = ("processed_at",),
+                   ts_col: str = "event_ts") -> None:
+    """Upsert into the day-partitioned history table (primary key ``keys``,
+    the latest ``order`` wins, default: the last processed write)."""
+    keyed_merge(spark, with_partition(batch, ts_col), path, keys, order, PARTITION_COL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from haze.functions import aqi as aqi_sql
 from haze.plans.oracle import with_views
 
 ORACLE: dict[str, str] = {}
@@ -282,3 +283,43 @@ SELECT location_id, datetime,
 FROM wide
 WINDOW w AS (PARTITION BY location_id ORDER BY datetime
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", "raw_long", extra={"wide": WIDE})
+
+
+_F32 = f"""
+  SELECT location_id, event_ts, datetime, CAST(pm25 AS REAL) AS pm25, CAST(pm10 AS REAL) AS pm10,
+         CAST(NULL AS REAL) AS pm1
+  FROM readings"""
+_F32_SCORED = f"""
+  SELECT *, {aqi_sql.quality_sql('aqi')} AS quality FROM (
+    SELECT *, greatest(coalesce(aqi_pm25, 0), coalesce(aqi_pm10, 0)) AS aqi FROM (
+      SELECT *, {aqi_sql.sub_index_sql('pm25', aqi_sql.PM25, 'duckdb')} AS aqi_pm25,
+                {aqi_sql.sub_index_sql('pm10', aqi_sql.PM10, 'duckdb')} AS aqi_pm10
+      FROM f32))"""
+
+ORACLE["json_decode"] = with_views("""
+SELECT datetime, location_id, pm25, pm10, pm1, event_ts, 'ok' AS decode_status FROM f32""",
+                                   "readings", extra={"f32": _F32})
+
+ORACLE["stream_score"] = with_views("""
+SELECT datetime, location_id, event_ts, pm25, pm10, aqi_pm25, aqi_pm10, aqi, quality FROM s""",
+                                    "readings", extra={"f32": _F32, "s": _F32_SCORED})
+
+ORACLE["stream_latest"] = with_views("""
+SELECT location_id, datetime, event_ts, pm25, pm10, aqi, aqi_pm25, aqi_pm10, quality
+FROM (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY event_ts DESC, datetime DESC) AS rn
+      FROM s) WHERE rn = 1""", "readings", extra={"f32": _F32, "s": _F32_SCORED})
+
+ORACLE["stream_dedup"] = with_views("""
+SELECT location_id, datetime, event_ts, pm25 FROM f32""", "readings", extra={"f32": _F32})
+
+ORACLE["datetime_parse"] = with_views("""
+SELECT location_id, event_ts,
+       CASE WHEN microsecond(event_ts) % 1000000 = 0
+            THEN strftime(event_ts, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+            ELSE strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS iso_utc,
+       strftime(event_ts + INTERVAL 7 HOUR, '%Y-%m-%dT%H:%M:%S') || '+07:00' AS iso_local,
+       event_ts AS parsed_utc,
+       date_trunc('second', event_ts) AS parsed_local,
+       date_trunc('second', event_ts) AS parsed_spaced,
+       CAST(NULL AS TIMESTAMP) AS parsed_bad
+FROM readings""", "readings")

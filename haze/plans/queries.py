@@ -281,3 +281,103 @@ def jitter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haze.operators.densify import densify, jitter
     dense = densify(_wide(spark, sf_dir), step_seconds=3600)
     return jitter(dense, ["pm25", "pm10", "temperature", "relativehumidity"])
+
+
+# ------------------------------------------------------------------ streaming
+
+STREAM_SPLIT = "2024-01-16 00:00:00"
+
+
+def _messages(spark, sf_dir, before: bool | None):
+    from haze.streaming.source import encode_readings
+    r = tables.readings(spark, sf_dir)
+    split = F.lit(STREAM_SPLIT).cast("timestamp")
+    if before is True:
+        r = r.where(F.col("event_ts") < split)
+    elif before is False:
+        r = r.where(F.col("event_ts") >= split)
+    return encode_readings(r).select("value")
+
+
+def _decoded_stream(spark, inp):
+    from haze.streaming.source import decode_readings, readings_stream, split_decoded
+    good, _ = split_decoded(decode_readings(readings_stream(spark, "text", inp)))
+    return good
+
+
+@query("json_decode")
+def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings encoded as JSON messages and decoded back (float32 fields)."""
+    from haze.streaming.source import decode_readings
+    dec = decode_readings(_messages(spark, sf_dir, None))
+    return dec.select("datetime", "location_id", "pm25", "pm10", "pm1", "event_ts",
+                      "decode_status")
+
+
+@query("stream_score")
+def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of JSON files through the streaming job (same
+    checkpoint, restarted between them) into the keyed history table."""
+    from haze.session import scratch_path
+    from haze.streaming.job import DualSink, run_to_completion, score_stream
+    root = scratch_path(spark, "stream-score")
+    for before in (True, False):
+        _messages(spark, sf_dir, before).write.mode("append").text(f"{root}/in")
+        scored = score_stream(_decoded_stream(spark, f"{root}/in"))
+        run_to_completion(scored, f"{root}/ckpt",
+                          sink=DualSink(spark, f"{root}/history", f"{root}/snapshot"))
+    return spark.read.parquet(f"{root}/history").select(
+        "datetime", "location_id", "event_ts", "pm25", "pm10", "aqi_pm25", "aqi_pm10", "aqi",
+        "quality")
+
+
+@query("stream_latest")
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateful latest-per-station stream; the older half arrives second and
+    must not regress the snapshot."""
+    from haze.session import scratch_path
+    from haze.streaming.job import latest_state, merge_snapshot, run_to_completion, score_stream
+    root = scratch_path(spark, "stream-latest")
+    snap = f"{root}/snapshot"
+    for before in (False, True):
+        _messages(spark, sf_dir, before).write.mode("append").text(f"{root}/in")
+        latest = latest_state(score_stream(_decoded_stream(spark, f"{root}/in")))
+        run_to_completion(latest, f"{root}/ckpt", mode="update",
+                          sink=lambda b, e: merge_snapshot(b.sparkSession, b, snap))
+    return spark.read.parquet(snap).select(
+        "location_id", "datetime", "event_ts", "pm25", "pm10", "aqi", "aqi_pm25", "aqi_pm10",
+        "quality")
+
+
+@query("stream_dedup")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First delivery: the first half; second delivery: everything again.
+    Keyed dedup within a 10-minute watermark keeps each reading once."""
+    from haze.session import scratch_path
+    from haze.streaming.job import dedup_stream, run_to_completion
+    root = scratch_path(spark, "stream-dedup")
+    for before in (True, None):
+        _messages(spark, sf_dir, before).write.mode("append").text(f"{root}/in")
+        stream = _decoded_stream(spark, f"{root}/in").withWatermark("event_ts", "10 minutes")
+        out = dedup_stream(stream).select("location_id", "datetime", "event_ts", "pm25")
+        run_to_completion(out, f"{root}/ckpt", fmt="parquet", path=f"{root}/out")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("datetime_parse")
+def datetime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO text in two spellings (UTC with fraction; +07:00 without) and the
+    space form, each parsed back to an instant."""
+    from haze.functions.timefmt import iso_format, parse_instant
+    r = tables.readings(spark, sf_dir).select("location_id", "event_ts")
+    local = F.concat(F.date_format(F.from_utc_timestamp("event_ts", "+07:00"),
+                                   "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+07:00"))
+    spaced = F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss")
+    return r.select(
+        "location_id", "event_ts",
+        iso_format("event_ts").alias("iso_utc"),
+        local.alias("iso_local"),
+        parse_instant(iso_format("event_ts")).alias("parsed_utc"),
+        parse_instant(local).alias("parsed_local"),
+        parse_instant(spaced).alias("parsed_spaced"),
+        parse_instant(F.concat(F.lit("x"), spaced)).alias("parsed_bad"))
