@@ -323,3 +323,63 @@ SELECT location_id, event_ts,
        date_trunc('second', event_ts) AS parsed_spaced,
        CAST(NULL AS TIMESTAMP) AS parsed_bad
 FROM readings""", "readings")
+
+
+def _level_sql(expr: str, labels, null_value) -> str:
+    whens = " ".join(f"WHEN {expr} <= {b} THEN '{lab}'" for b, lab in zip(aqi_sql.LEVEL_BOUNDS, labels))
+    return f"CASE WHEN {expr} IS NULL THEN '{null_value}' {whens} ELSE '{labels[-1]}' END"
+
+
+ORACLE["alerts"] = with_views(f"""
+SELECT location_id, datetime, aqi, quality,
+       CASE WHEN aqi > 200 THEN 'danger' WHEN aqi > 150 THEN 'warning' END AS severity,
+       {_level_sql('aqi', aqi_sql.LEVEL_COLORS, aqi_sql.NULL_COLOR)} AS color,
+       {_level_sql('aqi', aqi_sql.QUALITY_SHORT, aqi_sql.NULL_LABEL)} AS level,
+       CASE WHEN pm25 < 50 THEN 'Tốt' WHEN pm25 > 150 THEN 'Nguy hại'
+            WHEN pm25 IS NOT NULL THEN 'Trung bình' END AS pm25_status,
+       printf('Station %d: AQI %d (%s)', location_id, aqi, quality) AS message
+FROM history WHERE aqi > 150""", "history")
+
+ORACLE["dashboard_means"] = with_views("""
+SELECT round(avg(aqi), 6) AS avg_aqi, round(avg(pm25), 6) AS avg_pm25,
+       round(avg(pm10), 6) AS avg_pm10, round(avg(temperature), 6) AS avg_temperature
+FROM history""", "history")
+
+_D = "coalesce(CASE WHEN isnan({c}) THEN NULL ELSE {c} END, 0.0E0)"
+ORACLE["pm_ratio"] = _with_latest(f"""
+SELECT location_id, pm25, pm10,
+       CASE WHEN {_D.format(c='pm10')} = 0 THEN NULL
+            WHEN {_D.format(c='pm10')} > 0
+            THEN CAST(trunc({_D.format(c='pm25')} / {_D.format(c='pm10')} * 100) AS INTEGER)
+            ELSE 0 END AS pm25_share_pct,
+       greatest(0.0E0, {_D.format(c='pm10')} - {_D.format(c='pm25')}) AS coarse_pm,
+       {_level_sql('aqi', aqi_sql.LEVEL_COLORS, aqi_sql.NULL_COLOR)} AS color,
+       {_level_sql('aqi', aqi_sql.QUALITY_SHORT, aqi_sql.NULL_LABEL)} AS level
+FROM latest""")
+
+ORACLE["window_aqi"] = with_views("""
+SELECT to_timestamp(floor(epoch(event_ts) / 21600) * 21600)::TIMESTAMP AS window_start,
+       to_timestamp(floor(epoch(event_ts) / 21600) * 21600 + 21600)::TIMESTAMP AS window_end,
+       location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi
+FROM history GROUP BY 1, 2, 3""", "history")
+
+ORACLE["window_aqi_sliding"] = with_views("""
+SELECT to_timestamp(ws)::TIMESTAMP AS window_start, to_timestamp(ws + 7200)::TIMESTAMP AS window_end,
+       location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi
+FROM (SELECT *, floor(epoch(event_ts) / 3600) * 3600 - 3600 * k AS ws
+      FROM history, (VALUES (0), (1)) t(k))
+GROUP BY ws, location_id""", "history")
+
+ORACLE["alert_edges"] = with_views("""
+SELECT location_id, event_ts, datetime, aqi, severity, prev_severity FROM (
+  SELECT *, lag(severity) OVER (PARTITION BY location_id ORDER BY event_ts, severity) AS prev_severity
+  FROM (SELECT *, CASE WHEN aqi > 200 THEN 'danger' WHEN aqi > 150 THEN 'warning' END AS severity
+        FROM history))
+WHERE severity IS NOT NULL AND (prev_severity IS NULL OR prev_severity <> severity)""", "history")
+
+ORACLE["multi_pollutant"] = with_views(f"""
+SELECT location_id, datetime, aqi_pm25, aqi_pm10, aqi, {aqi_sql.quality_sql('aqi')} AS quality
+FROM (SELECT *, greatest(coalesce(aqi_pm25, 0), coalesce(aqi_pm10, 0)) AS aqi
+      FROM (SELECT *, {aqi_sql.sub_index_sql('pm25', aqi_sql.PM25, 'duckdb')} AS aqi_pm25,
+                      {aqi_sql.sub_index_sql('pm10', aqi_sql.PM10, 'duckdb')} AS aqi_pm10
+            FROM wide))""", "raw_long", extra={"wide": WIDE})

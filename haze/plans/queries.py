@@ -381,3 +381,54 @@ def datetime_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         parse_instant(local).alias("parsed_local"),
         parse_instant(spaced).alias("parsed_spaced"),
         parse_instant(F.concat(F.lit("x"), spaced)).alias("parsed_bad"))
+
+
+# ------------------------------------------------------------------ dashboard
+
+@query("alerts")
+def alerts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.dashboard import alerts
+    return alerts(tables.history(spark, sf_dir))
+
+
+@query("dashboard_means")
+def dashboard_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.dashboard import means
+    m = means(tables.history(spark, sf_dir))
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+
+
+@query("pm_ratio")
+def pm_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.dashboard import ratios
+    return ratios(_latest(spark, sf_dir)).select(
+        "location_id", "pm25", "pm10", "pm25_share_pct", "coarse_pm",
+        aqi.aqi_color("aqi").alias("color"), aqi.quality("aqi", "short").alias("level"))
+
+
+@query("window_aqi")
+def window_aqi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.windows import window_stats
+    w = window_stats(tables.history(spark, sf_dir), every="6 hours")
+    return w.withColumn("avg_aqi", F.round("avg_aqi", 6))
+
+
+@query("window_aqi_sliding")
+def window_aqi_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.windows import window_stats
+    w = window_stats(tables.history(spark, sf_dir), every="2 hours", slide="1 hour")
+    return w.withColumn("avg_aqi", F.round("avg_aqi", 6))
+
+
+@query("alert_edges")
+def alert_edges_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.windows import alert_edges, rules_frame
+    e = alert_edges(tables.history(spark, sf_dir), rules_frame(spark))
+    return e.select("location_id", "event_ts", "datetime", "aqi", "severity", "prev_severity")
+
+
+@query("multi_pollutant")
+def multi_pollutant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly means scored through the generic many-pollutant API."""
+    scored = aqi.score_many(_wide(spark, sf_dir), {"pm25": aqi.PM25, "pm10": aqi.PM10})
+    return scored.select("location_id", "datetime", "aqi_pm25", "aqi_pm10", "aqi", "quality")
