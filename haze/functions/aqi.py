@@ -179,7 +179,10 @@ def _level_chain(c: Column, labels: list, null_value=None) -> Column:
     x = F.nanvl(c.cast("double"), F.lit(float("inf")))
     k = F.least(F.greatest(F.ceil(x / F.lit(float(step))), F.lit(0)), F.lit(len(slots) - 1))
     label = F.element_at(F.array(*[F.lit(s) for s in slots]), (k + 1).cast("int"))
-    return F.coalesce(label, F.lit(labels[-1] if null_value is None else null_value))
+    # The null branch is folded away by Catalyst when ``c`` cannot be null
+    # (a scored AQI is greatest(coalesce(..., 0), ...)), keeping one reference.
+    missing = F.lit(labels[-1] if null_value is None else null_value)
+    return F.when(c.isNull(), missing).otherwise(label)
 
 
 def quality(c: ColumnOrName, style: str = "full") -> Column:
