@@ -13,6 +13,7 @@ from haze.functions.timefmt import parse_instant
 from haze.schemas import PARAMETER_NAMES
 
 WIDE_PARAMETERS = ["pm25", "pm10", "temperature", "relativehumidity"]
+MAX_PARAMETERS = 1000
 
 
 def strip_blank(c: Column) -> Column:
@@ -55,9 +56,13 @@ def split_quarantine(df: DataFrame, flag: str = "bad_datetime") -> tuple[DataFra
 
 
 def discover_parameters(df: DataFrame, parameter_col: str = "parameter") -> list[str]:
-    """Distinct parameter names (a tiny set: one row per name reaches the driver)."""
+    """Distinct parameter names: a tiny set (one row per name reaches the
+    driver).  More than ``MAX_PARAMETERS`` names means the column is not a
+    parameter name at all, so we refuse instead of truncating."""
     rows = df.select(parameter_col).where(F.col(parameter_col).isNotNull()).distinct() \
-        .orderBy(parameter_col).limit(10_000).collect()
+        .orderBy(parameter_col).take(MAX_PARAMETERS + 1)
+    if len(rows) > MAX_PARAMETERS:
+        raise ValueError(f"more than {MAX_PARAMETERS} distinct parameters; pass them explicitly")
     return [r[0] for r in rows]
 
 

@@ -125,6 +125,20 @@ def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
     return grid.select(*out)
 
 
+def left_join_grid(df: DataFrame, station: str = "location_id", ts: str = "datetime",
+                   step_seconds: int = 5) -> DataFrame:
+    """The literal formulation -- a per-station grid left-joined with the
+    readings on exact instants, values left as they are (null off the
+    readings).  Kept as a cross-check for :func:`densify`; it shuffles the
+    dense grid, so prefer ``densify`` for real volumes."""
+    step_us = int(step_seconds) * 1_000_000
+    bounds = df.groupBy(station).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    grid = bounds.select(station, F.explode(F.sequence(
+        F.unix_micros("_lo"), F.unix_micros("_hi"), F.lit(step_us))).alias("_g")) \
+        .select(station, F.timestamp_micros("_g").alias(ts))
+    return grid.join(df, [station, ts], "left")
+
+
 def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "location_id",
                  ts: str = "datetime", chunk_seconds: int = DAY_SECONDS) -> DataFrame:
     """Replace nulls by the station's last known value in time order (rows

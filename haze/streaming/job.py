@@ -141,3 +141,24 @@ def run_to_completion(df: DataFrame, checkpoint: str, **kw) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def scoring_job(spark: SparkSession, messages: DataFrame, mode: str = "console",
+                checkpoint: str | None = None, history_path: str | None = None,
+                snapshot_path: str | None = None, alerts_path: str | None = None,
+                trigger: dict | None = None) -> StreamingQuery:
+    """The whole job: decode ``messages`` (a ``value`` column), set corrupt
+    rows aside, score, and write either to the console (``mode="console"``) or to history +
+    snapshot + alerts (``mode="dual"``).  ``checkpoint`` defaults to a fresh
+    folder under the shared ``spark.checkpoint.dir``."""
+    from haze.session import scratch_path
+    from haze.streaming.source import decode_readings, split_decoded
+    good, _ = split_decoded(decode_readings(messages))
+    scored = score_stream(good)
+    ckpt = checkpoint or scratch_path(spark, "scoring-job")
+    if mode == "console":
+        return start(scored, ckpt, fmt="console", trigger=trigger or {"processingTime": "0 seconds"})
+    if mode == "dual":
+        sink = DualSink(spark, history_path, snapshot_path, alerts_path)
+        return start(scored, ckpt, sink=sink, trigger=trigger or {"processingTime": "0 seconds"})
+    raise ValueError(f"unknown mode {mode!r}")

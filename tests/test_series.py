@@ -164,3 +164,13 @@ def test_lag_and_recent(spark):
                                "processed_at timestamp")
     r = M.recent_rows(df, T0, 30).first()
     assert (r.total, r.recent) == (4, 2)
+
+
+def test_left_join_grid_agrees_on_known_points(spark):
+    rows = _fixture_rows()
+    df = spark.createDataFrame(rows, "location_id long, datetime timestamp, a double, b double")
+    grid = D.left_join_grid(df.where("location_id = 2"), step_seconds=5)
+    dense = D.densify(df.where("location_id = 2"), values=["a", "b"], step_seconds=5)
+    assert grid.count() == dense.count()
+    known = grid.where("a IS NOT NULL").select("datetime", "a")
+    assert known.exceptAll(dense.select("datetime", "a")).count() == 0
