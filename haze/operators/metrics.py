@@ -89,6 +89,40 @@ def _rank_targets(n: Column, quantiles: dict[str, float]) -> list[Column]:
     return out
 
 
+def _locate(hist1: DataFrame, n: Column, quantiles: dict) -> DataFrame:
+    """(name, b, local): the level-1 bucket holding each target rank and the
+    rank inside it, from running counts over the bucket table (bounded)."""
+    spark = hist1.sparkSession
+    targets = spark.range(1).select(
+        F.explode(F.array(*_rank_targets(n, quantiles))).alias("t")).select("t.*")
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum1 = hist1.withColumn("end", F.sum("c").over(upto)) \
+        .withColumn("start", F.col("end") - F.col("c"))
+    return cum1.join(F.broadcast(targets),
+                     (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))) \
+        .select("name", "b", (F.col("rank") - F.col("start")).alias("local"))
+
+
+def _pick(v: DataFrame, located: DataFrame) -> DataFrame:
+    """Level 2: re-read only the rows of the located buckets (a broadcast
+    semi-join against <= 4 bucket ids), count per distinct value inside each
+    (<= ``bucket`` rows per bucket) and pick the value at the local rank."""
+    wanted = located.select("b").distinct()
+    hist2 = v.join(F.broadcast(wanted), "b", "left_semi").groupBy("b", "v") \
+        .agg(F.count(F.lit(1)).alias("c"))
+    upto2 = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding,
+                                                            Window.currentRow)
+    cum2 = hist2.withColumn("end", F.sum("c").over(upto2)) \
+        .withColumn("start", F.col("end") - F.col("c"))
+    return located.join(cum2, "b").where(
+        (F.col("local") >= F.col("start")) & (F.col("local") < F.col("end"))).select("name", "v")
+
+
+def _bucketed(values: DataFrame, col: str, bucket: int) -> DataFrame:
+    return values.select(F.col(col).alias("v")).where(F.col("v").isNotNull()) \
+        .withColumn("b", F.floor(F.col("v") / F.lit(bucket)))
+
+
 def exact_ranks(values: DataFrame, col: str, quantiles: dict[str, float | str],
                 bucket: int = QUANTILE_BUCKET_US) -> DataFrame:
     """Exact order statistics of a non-negative integer column without
@@ -101,39 +135,52 @@ def exact_ranks(values: DataFrame, col: str, quantiles: dict[str, float | str],
     the value at the rank inside the bucket.  Every single-partition window
     here runs over one of those bounded tables, never over the samples.
     """
-    v = values.select(F.col(col).alias("v")).where(F.col("v").isNotNull()) \
-        .withColumn("b", F.floor(F.col("v") / F.lit(bucket)))
-    n = v.select(F.count(F.lit(1))).scalar()
-    targets = v.sparkSession.range(1).select(
-        F.explode(F.array(*_rank_targets(n, quantiles))).alias("t")).select("t.*")
+    v = _bucketed(values, col, bucket)
     hist1 = v.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum1 = hist1.withColumn("end", F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
-    located = cum1.join(F.broadcast(targets),
-                        (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("end"))) \
-        .select("name", "b", (F.col("rank") - F.col("start")).alias("local"))
-    wanted = located.select("b").distinct()
-    hist2 = v.join(F.broadcast(wanted), "b").groupBy("b", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto2 = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding,
-                                                            Window.currentRow)
-    cum2 = hist2.withColumn("end", F.sum("c").over(upto2)).withColumn("start", F.col("end") - F.col("c"))
-    return located.join(cum2, "b").where(
-        (F.col("local") >= F.col("start")) & (F.col("local") < F.col("end"))).select("name", "v")
+    n = hist1.select(F.sum("c")).scalar()
+    return _pick(v, _locate(hist1, n, quantiles))
 
 
-def latency_summary(samples: DataFrame) -> DataFrame:
+def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> DataFrame:
     """One row: disposition counters, count/min/max/avg/std (sample) of the
     valid latencies, p50 (median, linear), p95 and p99 (nearest rank),
-    and the overload/instability flags."""
-    valid = samples.where(F.col("disposition") == "valid")
+    and the overload/instability flags.
+
+    Two passes over the samples.  Pass 1 is one grouped aggregate by
+    (disposition, level-1 bucket) carrying count, min, max, sum and the
+    population variance per group; that table is small (<= 4 + 18 311 rows)
+    and is written once to the shared checkpoint folder, so the counters,
+    the moments (merged with the parallel-variance formula) and the rank
+    location all read it without recomputing the scan.  Pass 2 is the
+    level-2 read of the <= 4 buckets holding the ranks.
+    """
+    from haze.session import materialize
+    d = F.col("disposition")
+    lat = F.col("latency")
+    b = F.when(d == "valid", F.floor(F.col("latency_us") / F.lit(bucket)))
+    groups = samples.groupBy(d.alias("disposition"), b.alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.min(lat).alias("mn"), F.max(lat).alias("mx"),
+        F.sum(lat).alias("sm"), F.var_pop(lat).alias("vp"))
+    groups = materialize(groups.coalesce(1), "latency-groups")
+    valid = groups.where(F.col("disposition") == "valid")
+
+    n = F.sum("c")
+    counts = groups.agg(
+        n.alias("raw"),
+        F.sum(F.when(F.col("disposition") == "valid", F.col("c")).otherwise(0)).alias("valid"),
+        F.sum(F.when(F.col("disposition") == "old", F.col("c")).otherwise(0)).alias("old"),
+        F.sum(F.when(F.col("disposition") == "invalid", F.col("c")).otherwise(0)).alias("invalid"))
+    mean = valid.select((F.sum("sm") / F.sum("c")).alias("m")).scalar()
     stats = valid.agg(
-        F.count(F.lit(1)).alias("count"),
-        F.min("latency").alias("min"),
-        F.max("latency").alias("max"),
-        F.avg("latency").alias("avg"),
-        F.stddev_samp("latency").alias("std_dev"),
-    )
-    ranks = exact_ranks(valid, "latency_us", {"p50": "median", "p95": 0.95, "p99": 0.99})
+        n.alias("count"), F.min("mn").alias("min"), F.max("mx").alias("max"),
+        (F.sum("sm") / n).alias("avg"),
+        F.sqrt(F.sum(F.col("vp") * F.col("c") + F.col("c") * F.pow(F.col("sm") / F.col("c") - mean, 2))
+               / (n - 1)).alias("std_dev"))
+
+    hist1 = valid.select("b", "c")
+    located = _locate(hist1, hist1.select(F.sum("c")).scalar(),
+                      {"p50": "median", "p95": 0.95, "p99": 0.99})
+    ranks = _pick(_bucketed(samples.where(d == "valid"), "latency_us", bucket), located)
     q = ranks.groupBy().agg(*[
         F.max(F.when(F.col("name") == k, F.col("v"))).alias(k)
         for k in ("p50#lo", "p50#hi", "p95", "p99")])
@@ -142,9 +189,8 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     q = q.select((lo + (hi - lo) * F.lit(0.5)).alias("p50"),
                  (F.col("p95") / F.lit(1e6)).alias("p95"),
                  (F.col("p99") / F.lit(1e6)).alias("p99"))
-    counts = disposition_counts(samples)
-    # The two other one-row results ride along as struct-valued scalar
-    # subqueries (each computed once), so no join is needed to combine them.
+    # The one-row results ride along as struct-valued scalar subqueries
+    # (each computed once), so no join is needed to combine them.
     s = stats.select(F.struct(*stats.columns)).scalar()
     p = q.select(F.struct(*q.columns)).scalar()
     out = counts.select("*", s.alias("_s"), p.alias("_p")).select(

@@ -67,3 +67,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir for one run."""
     base = ensure_checkpoint_dir(spark)
     return f"{base}/haze/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` once to a fresh folder under the shared checkpoint dir and
+    read it back: the plan's lineage is cut (a lost executor does not force a
+    recomputation of what came before) and every later reference reads the
+    written files instead of re-running the upstream scan.  Meant for small
+    intermediate tables that several branches of one query reuse."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
