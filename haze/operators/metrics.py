@@ -226,11 +226,27 @@ def histogram(df: DataFrame, col: str = "latency", bins: int = 50) -> DataFrame:
         F.coalesce(F.col("count"), F.lit(0)).alias("count"))
 
 
-def latency_series(samples: DataFrame, station_col: str = "location_id") -> DataFrame:
-    """Per-station sample index in event-time order (the time-series view)."""
-    w = Window.partitionBy(station_col).orderBy("event_time", "processed_at")
-    return samples.where(F.col("disposition") == "valid").select(
-        station_col, F.row_number().over(w).alias("idx"), "event_time", "processed_at", "latency")
+def latency_series(samples: DataFrame, station_col: str = "location_id",
+                   chunk_seconds: int = 86_400) -> DataFrame:
+    """Per-station sample index (1, 2, ...) in event-time order.
+
+    Numbered per (station, day) so a hot station is spread over many tasks;
+    each day's numbering is offset by the station's row count in earlier
+    days, taken from a per-(station, day) count table (stations x days rows).
+    """
+    chunk_us = int(chunk_seconds) * 1_000_000
+    valid = samples.where(F.col("disposition") == "valid").select(
+        station_col, "event_time", "processed_at", "latency",
+        F.floor(F.unix_micros("event_time") / F.lit(chunk_us)).alias("_chunk"))
+    per_chunk = valid.groupBy(station_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(station_col).orderBy("_chunk") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(station_col, "_chunk",
+                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(station_col, "_chunk").orderBy("event_time", "processed_at")
+    return valid.join(offsets, [station_col, "_chunk"]).select(
+        station_col, (F.col("_off") + F.row_number().over(w)).alias("idx"),
+        "event_time", "processed_at", "latency")
 
 
 def write_latency_csv(samples: DataFrame, path: str) -> None:

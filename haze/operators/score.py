@@ -37,11 +37,11 @@ def score_by_table(df: DataFrame, value_col: str, pollutant: str, breakpoints: D
     """
     out_col = out_col or f"aqi_{pollutant}"
     bp = breakpoints.where(F.col("pollutant") == pollutant).drop("pollutant")
-    n = bp.count()
-    if n > MAX_BREAKPOINT_ROWS:
-        raise ValueError(f"breakpoint table has {n} rows for {pollutant}; not a lookup table")
-    cap = bp.groupBy().agg(F.max("cap_above").alias("_cap"), F.max("index_cap").alias("_icap")) \
-        .first()
+    cap = bp.agg(F.count(F.lit(1)).alias("_n"), F.max("cap_above").alias("_cap"),
+                 F.max("index_cap").alias("_icap")).first()
+    if cap["_n"] > MAX_BREAKPOINT_ROWS:
+        raise ValueError(f"breakpoint table has {cap['_n']} rows for {pollutant}; "
+                         "not a lookup table")
     x = F.col(value_col).cast("double")
     joined = df.join(F.broadcast(bp),
                      (~F.isnan(x)) & x.between(F.col("c_low"), F.col("c_high")), "left")

@@ -174,3 +174,14 @@ def test_left_join_grid_agrees_on_known_points(spark):
     assert grid.count() == dense.count()
     known = grid.where("a IS NOT NULL").select("datetime", "a")
     assert known.exceptAll(dense.select("datetime", "a")).count() == 0
+
+
+def test_latency_series_chunk_invariant(spark):
+    rows = [(s, T0 + dt.timedelta(minutes=37 * i), T0 + dt.timedelta(minutes=37 * i, seconds=2))
+            for s in (1, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "location_id long, event_time timestamp, "
+                                     "processed_at timestamp") \
+        .withColumn("latency", F.lit(2.0)).withColumn("disposition", F.lit("valid"))
+    a = M.latency_series(df).orderBy("location_id", "idx").collect()
+    b = M.latency_series(df, chunk_seconds=3600).orderBy("location_id", "idx").collect()
+    assert a == b and [r.idx for r in a[:120]] == list(range(1, 121))

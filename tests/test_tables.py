@@ -143,3 +143,25 @@ def test_latest_history_bounds(spark):
             history.latest_history(df, n)
     plan = history.latest_history(df, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_append_read_history_and_write_wide(spark, tmp_dir):
+    rows = _rows(spark, [(1, "a", T0, 1.0, 1, T0),
+                         (2, "b", T0 + dt.timedelta(days=2), 2.0, 2, T0)])
+    path = os.path.join(tmp_dir, "h")
+    history.append_history(rows, path)
+    history.append_history(rows, path)
+    back = history.read_history(spark, path)
+    assert back.count() == 4 and "event_date" in back.columns
+    proj = history.read_history(spark, path, columns=["datetime", "aqi", "nope"])
+    assert proj.columns == ["datetime", "aqi"]
+    looked = history.history_query(back, station=2, since="2024-01-02 00:00:00")
+    assert looked.count() == 2
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_date" in plan
+    wide = spark.createDataFrame([(1, T0, 3.0), (1, T0 + dt.timedelta(days=1), 4.0)],
+                                 "location_id long, datetime timestamp, pm25 double")
+    clean.write_wide(wide, os.path.join(tmp_dir, "w"))
+    w = spark.read.parquet(os.path.join(tmp_dir, "w"))
+    assert w.count() == 2 and sorted(str(r.date) for r in w.collect()) == ["2024-01-01",
+                                                                           "2024-01-02"]
