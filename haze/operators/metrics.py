@@ -205,21 +205,29 @@ def histogram(df: DataFrame, col: str = "latency", bins: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max] with every bin present.
 
     bin = floor(bins * (x - min) / (max - min)) + 1, the maximum folded into
-    the last bin, all values in bin 1 when min = max.  min/max are scalar
-    subqueries; the count is a map-side combined aggregate (<= bins rows)
-    and the empty bins come from a ``bins``-row range.
+    the last bin, all values in bin 1 when min = max.  The value is projected
+    first, min/max come from one struct-valued scalar subquery referenced
+    once, the count is a map-side combined aggregate (<= bins rows) and the
+    empty bins come from a ``bins``-row range.
     """
     x = F.col(col)
-    src = df.where(x.isNotNull() & ~F.isnan(x))
-    bounds = src.select(F.struct(F.min(col).alias("mn"), F.max(col).alias("mx"))).scalar()
-    mn, mx = bounds.getField("mn"), bounds.getField("mx")
-    raw_bin = F.floor(F.lit(bins) * (x - mn) / (mx - mn)) + 1
+    keep = x.isNotNull()
+    if dict(df.dtypes)[col] in ("double", "float"):
+        keep = keep & ~F.isnan(x)
+    src = df.select(x.cast("double").alias("_x"), keep.alias("_keep")).where("_keep")
+    bounds = src.select(F.struct(F.min("_x").alias("mn"), F.max("_x").alias("mx"))).scalar()
+    withb = src.select("_x", bounds.alias("_mm"))
+    mn, mx = F.col("_mm.mn"), F.col("_mm.mx")
+    raw_bin = F.floor(F.lit(bins) * (F.col("_x") - mn) / (mx - mn)) + 1
     b = F.when(mx == mn, F.lit(1)).otherwise(F.least(raw_bin, F.lit(bins))).cast("int")
-    counts = src.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = withb.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"),
+                                               F.first("_mm").alias("_mm"))
     spark = df.sparkSession
     all_bins = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    joined = all_bins.join(F.broadcast(counts), "bin", "left") \
+        .withColumn("_mm", F.max("_mm").over(Window.partitionBy()))   # <= bins rows
     width = (mx - mn) / F.lit(bins)
-    return all_bins.join(F.broadcast(counts), "bin", "left").select(
+    return joined.select(
         "bin",
         (mn + (F.col("bin") - 1) * width).alias("bin_lo"),
         (mn + F.col("bin") * width).alias("bin_hi"),

@@ -383,3 +383,15 @@ FROM (SELECT *, greatest(coalesce(aqi_pm25, 0), coalesce(aqi_pm10, 0)) AS aqi
       FROM (SELECT *, {aqi_sql.sub_index_sql('pm25', aqi_sql.PM25, 'duckdb')} AS aqi_pm25,
                       {aqi_sql.sub_index_sql('pm10', aqi_sql.PM10, 'duckdb')} AS aqi_pm10
             FROM wide))""", "raw_long", extra={"wide": WIDE})
+
+ORACLE["aqi_histogram"] = with_views("""
+SELECT b.bin, round(mn + (b.bin - 1) * (mx - mn) / 50, 6) AS bin_lo,
+       round(mn + b.bin * (mx - mn) / 50, 6) AS bin_hi, coalesce(h.count, 0) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(1, 51)) b
+CROSS JOIN mm
+LEFT JOIN (SELECT CAST(CASE WHEN mx = mn THEN 1
+                   ELSE least(floor(50 * (aqi - mn) / (mx - mn)) + 1, 50) END AS INTEGER) AS bin,
+                  count(*) AS count
+           FROM history, mm WHERE aqi IS NOT NULL GROUP BY 1) h ON h.bin = b.bin""", "history",
+                                     extra={"mm": "SELECT CAST(min(aqi) AS DOUBLE) AS mn, "
+                                                  "CAST(max(aqi) AS DOUBLE) AS mx FROM history"})

@@ -432,3 +432,12 @@ def multi_pollutant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly means scored through the generic many-pollutant API."""
     scored = aqi.score_many(_wide(spark, sf_dir), {"pm25": aqi.PM25, "pm10": aqi.PM10})
     return scored.select("location_id", "datetime", "aqi_pm25", "aqi_pm10", "aqi", "quality")
+
+
+@query("aqi_histogram")
+def aqi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution of the overall index over 50 equal bins (RM-4)."""
+    from haze.operators.metrics import histogram
+    h = histogram(tables.history(spark, sf_dir), "aqi", 50)
+    return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"),
+                    F.round("bin_hi", 6).alias("bin_hi"), "count")
