@@ -12,6 +12,9 @@ from haze.schemas import HISTORY_COLUMNS
 
 DEFAULT_KEYS = ("location_id", "datetime")
 PARTITION_COL = "event_date"
+# Files written per table partition by a keyed merge (and the number of tasks
+# one partition is spread over).  Raise it for very large days.
+FILES_PER_PARTITION = 8
 # Serving bounds on the number of history rows returned.
 MIN_ROWS, MAX_ROWS, DEFAULT_ROWS = 1, 10_000, 1000
 
@@ -73,16 +76,23 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
-                order: Sequence[str], partition_col: str) -> None:
+                order: Sequence[str], partition_col: str,
+                files_per_partition: int = FILES_PER_PARTITION) -> None:
     """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
-    ``partition_col``: per key the row with the greatest ``order`` survives.
-
-    Only the partitions the batch touches are read, merged with the batch
-    (``latest_per_key``) and rewritten with dynamic partition overwrite;
-    every other partition stays untouched.  The touched-partition list has
-    one value per partition of the batch (days, shards), not per row.
-    Re-running the same batch gives the same table (idempotent), so a
-    retried micro-batch does not duplicate rows.
+    ``partition_col`` (a function of ``keys``, e.g. the day of the event
+    instant): per key the row with the greatest ``order`` survives.
+
+    Only the partitions the batch touches are read, merged with the batch and
+    rewritten with dynamic partition overwrite; every other partition stays
+    untouched.  The touched-partition list has one value per partition of
+    the batch (days, shards), not per row.
+
+    One shuffle, on (partition, hash(keys) mod ``files_per_partition``): the
+    arg-max per key runs inside it (the grouping keys contain the shuffle
+    keys), each partition is written as at most ``files_per_partition``
+    files, and a hot partition (today's day in a stream) is still spread over
+    that many tasks.  Re-running the same batch gives the same table
+    (idempotent), so a retried micro-batch does not duplicate rows.
     """
     parts = [r[0] for r in batch.select(partition_col).distinct().collect()]
     if not parts:
@@ -95,8 +105,11 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
                                             "UNABLE_TO_INFER_SCHEMA")):
             raise
         merged = batch
-    current = latest_per_key(merged, list(keys), list(order))
-    (current.sortWithinPartitions(partition_col, *keys)
+    cols = merged.columns
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(files_per_partition)))
+    spread = merged.withColumn("_file", bucket).repartition(partition_col, "_file")
+    current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
+    (current.select(*cols).sortWithinPartitions(partition_col, *keys)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_col).parquet(path))
 
