@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haze.operators.latest import latest_per_key
@@ -19,16 +19,38 @@ FILES_PER_PARTITION = 8
 MIN_ROWS, MAX_ROWS, DEFAULT_ROWS = 1, 10_000, 1000
 
 
+def newest_partitions(df: DataFrame, n: int, partition_col: str = PARTITION_COL) -> Column:
+    """Predicate keeping the newest partitions that together hold >= ``n`` rows.
+
+    The per-partition row counts read only the partition column (file
+    footers, no data pages) and the running sum runs over one row per
+    partition; the cut-off is a scalar subquery, which Spark evaluates before
+    listing files, so it prunes partitions at run time.
+    """
+    per = df.groupBy(partition_col).agg(F.count(F.lit(1)).alias("_c"))
+    newest_first = Window.orderBy(F.col(partition_col).desc()) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = per.withColumn("_cum", F.sum("_c").over(newest_first)) \
+        .where(F.col("_cum") - F.col("_c") < F.lit(int(n))) \
+        .agg(F.min(partition_col)).scalar()
+    return F.col(partition_col) >= cut
+
+
 def latest_history(df: DataFrame, n: int = DEFAULT_ROWS,
-                   order: Sequence[str] = ("event_ts", "location_id")) -> DataFrame:
+                   order: Sequence[str] = ("event_ts", "location_id"),
+                   partition_col: str = PARTITION_COL) -> DataFrame:
     """The newest ``n`` rows, newest first, with a full tie-break.
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: every task
-    keeps its own top ``n`` and only ``n x tasks`` rows reach the final merge,
-    so no full sort or shuffle of the table happens.
+    keeps its own top ``n`` and only ``n x tasks`` rows reach the final merge.
+    On the day-partitioned table (``event_date`` = day of ``event_ts``) only
+    the newest days holding >= n rows are read at all: every row of an older
+    day is older than all of them, so the answer is unchanged.
     """
     if not (MIN_ROWS <= int(n) <= MAX_ROWS):
         raise ValueError(f"n must be in [{MIN_ROWS}, {MAX_ROWS}], got {n}")
+    if partition_col in df.columns and order and order[0] == "event_ts":
+        df = df.where(newest_partitions(df, n, partition_col))
     return df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(int(n))
 
 

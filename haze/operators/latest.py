@@ -116,16 +116,20 @@ def from_kv(kv: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- fallback
 
-def latest_or_history(snapshot: DataFrame, history_top: DataFrame,
-                      columns: Sequence[str]) -> DataFrame:
+def latest_or_history(snapshot: DataFrame, history: DataFrame, columns: Sequence[str],
+                      n: int | None = 100) -> DataFrame:
     """Snapshot rows tagged ``source='snapshot'`` if there are any, else the
-    given history rows tagged ``'history'``.
-
-    One plan, no driver-side branch: the history side is guarded by an
-    uncorrelated ``NOT EXISTS (snapshot)`` that Spark evaluates once as a
-    scalar subquery (it stops at the first row).
+    newest ``n`` history rows tagged ``'history'`` (``n=None``: ``history``
+    is used as given, e.g. already limited).
+
+    One plan, no driver-side branch.  The history side is guarded by an
+    uncorrelated ``NOT EXISTS (snapshot)`` placed directly on the history
+    input: it references no column, so on the day-partitioned table Spark
+    turns it into a partition filter evaluated before listing files, and a
+    non-empty snapshot means no history file is read at all.
     """
+    from haze.operators.history import latest_history
     snap = snapshot.select(*columns).withColumn("source", F.lit("snapshot"))
-    hist = history_top.select(*columns).where(~snapshot.exists()) \
-        .withColumn("source", F.lit("history"))
-    return snap.unionByName(hist)
+    guarded = history.where(~snapshot.exists())
+    hist = latest_history(guarded, n) if n is not None else guarded
+    return snap.unionByName(hist.select(*columns).withColumn("source", F.lit("history")))

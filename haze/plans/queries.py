@@ -114,7 +114,7 @@ def latest_or_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haze.operators.latest import fresh, latest_or_history
     hist = tables.history(spark, sf_dir)
     snap = fresh(_latest(spark, sf_dir), tables.SNAPSHOT_AS_OF)
-    return latest_or_history(snap, latest_history(hist, 100), HISTORY_OUT)
+    return latest_or_history(snap, hist, HISTORY_OUT, 100)
 
 
 @query("latest_or_history_fallback")
@@ -124,7 +124,7 @@ def latest_or_history_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haze.operators.latest import fresh, latest_or_history
     hist = tables.history(spark, sf_dir)
     snap = fresh(_latest(spark, sf_dir), "2024-02-02 00:00:00")
-    return latest_or_history(snap, latest_history(hist, 100), HISTORY_OUT)
+    return latest_or_history(snap, hist, HISTORY_OUT, 100)
 
 
 @query("serving_counts")

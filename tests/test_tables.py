@@ -165,3 +165,23 @@ def test_append_read_history_and_write_wide(spark, tmp_dir):
     w = spark.read.parquet(os.path.join(tmp_dir, "w"))
     assert w.count() == 2 and sorted(str(r.date) for r in w.collect()) == ["2024-01-01",
                                                                            "2024-01-02"]
+
+
+def test_newest_partitions_prune_and_keep_answer(spark, tmp_dir):
+    rows = [(i % 3, f"t{i}", T0 + dt.timedelta(hours=7 * i), float(i), i, T0) for i in range(40)]
+    path = os.path.join(tmp_dir, "h")
+    history.append_history(_rows(spark, rows), path)
+    table = spark.read.parquet(path)
+    for n in (1, 5, 17, 40):
+        got = [r.datetime for r in history.latest_history(table, n).collect()]
+        plain = table.orderBy(F.col("event_ts").desc(), F.col("location_id").desc()).limit(n)
+        assert got == [r.datetime for r in plain.collect()]
+    plan = history.latest_history(table, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "Subquery" in plan
+    # the snapshot guard becomes a partition filter on the history scan
+    snap = _rows(spark, [(1, "s", T0, 1.0, 1, T0)])
+    out = latest.latest_or_history(snap, table, ["location_id", "datetime"], 5)
+    assert [r.source for r in out.collect()] == ["snapshot"]
+    scans = [ln for ln in out._jdf.queryExecution().executedPlan().toString().split("\n")
+             if "event_date" in ln and "PartitionFilters" in ln]
+    assert scans and all("isnull" in ln for ln in scans)
