@@ -118,27 +118,50 @@ def _pick(v: DataFrame, located: DataFrame) -> DataFrame:
         (F.col("local") >= F.col("start")) & (F.col("local") < F.col("end"))).select("name", "v")
 
 
-def _bucketed(values: DataFrame, col: str, bucket: int) -> DataFrame:
-    return values.select(F.col(col).alias("v")).where(F.col("v").isNotNull()) \
-        .withColumn("b", F.floor(F.col("v") / F.lit(bucket)))
+def _bucketed(values: DataFrame, col: str, bucket, origin=None) -> DataFrame:
+    v = F.col(col) if origin is None else F.col(col) - origin
+    return values.select(v.alias("v")).where(F.col("v").isNotNull()) \
+        .withColumn("b", F.floor(F.col("v") / bucket))
+
+
+# Widest value range exact_ranks accepts: both histogram levels then stay
+# at or below 2**20 rows.
+MAX_RANK_RANGE_BITS = 40
 
 
 def exact_ranks(values: DataFrame, col: str, quantiles: dict[str, float | str],
-                bucket: int = QUANTILE_BUCKET_US) -> DataFrame:
-    """Exact order statistics of a non-negative integer column without
-    collecting or globally sorting it: (name, value) rows.
-
-    Two-level histogram.  Level 1 counts rows per ``col div bucket`` (map-side
-    combined, <= range/bucket rows) and locates each target rank's bucket
-    from running counts; level 2 re-reads only the rows of those <= 4
-    buckets, counts per distinct value (<= ``bucket`` rows each) and picks
-    the value at the rank inside the bucket.  Every single-partition window
-    here runs over one of those bounded tables, never over the samples.
+                bucket: int | None = None) -> DataFrame:
+    """Exact order statistics of an integer column without collecting or
+    globally sorting it: (name, value) rows, values relative to the minimum
+    when ``bucket`` is not given.
+
+    Two-level histogram.  Level 1 counts rows per ``value div bucket``
+    (map-side combined) and locates each target rank's bucket from running
+    counts; level 2 re-reads only the rows of those buckets, counts per
+    distinct value and picks the value at the rank inside the bucket.
+    Without an explicit ``bucket`` the width is 2**ceil(bits/2) for a value
+    range of 2**bits, so both levels hold at most ~sqrt(range) rows; ranges
+    wider than 2**40 raise an error (use ``percentile_approx`` there).  Every
+    single-partition window here runs over one of those bounded tables.
     """
-    v = _bucketed(values, col, bucket)
+    origin = None
+    if bucket is None:
+        mm = values.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+        width = mm["hi"] - mm["lo"] + 1
+        bits = F.ceil(F.log2(width.cast("double")))
+        bucket = F.when(bits > MAX_RANK_RANGE_BITS, F.raise_error(F.lit(
+            f"exact_ranks: value range wider than 2**{MAX_RANK_RANGE_BITS}")).cast("long")) \
+            .otherwise(F.pow(F.lit(2.0), F.ceil(bits / 2)).cast("long"))
+        origin = mm["lo"]
+    else:
+        bucket = F.lit(int(bucket))
+    v = _bucketed(values, col, bucket, origin)
     hist1 = v.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     n = hist1.select(F.sum("c")).scalar()
-    return _pick(v, _locate(hist1, n, quantiles))
+    picked = _pick(v, _locate(hist1, n, quantiles))
+    if origin is not None:
+        picked = picked.select("name", (F.col("v") + origin).alias("v"))
+    return picked
 
 
 def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> DataFrame:
@@ -180,7 +203,7 @@ def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> Dat
     hist1 = valid.select("b", "c")
     located = _locate(hist1, hist1.select(F.sum("c")).scalar(),
                       {"p50": "median", "p95": 0.95, "p99": 0.99})
-    ranks = _pick(_bucketed(samples.where(d == "valid"), "latency_us", bucket), located)
+    ranks = _pick(_bucketed(samples.where(d == "valid"), "latency_us", F.lit(bucket)), located)
     q = ranks.groupBy().agg(*[
         F.max(F.when(F.col("name") == k, F.col("v"))).alias(k)
         for k in ("p50#lo", "p50#hi", "p95", "p99")])

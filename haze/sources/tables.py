@@ -36,6 +36,11 @@ SNAPSHOT_AS_OF = "2024-01-30 23:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table.  All instants in this library are UTC; the reading
+    times are zone-less, so the session zone is pinned to UTC (a no-op on
+    sessions built by :func:`haze.session.get_spark`)."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -185,3 +185,17 @@ def test_latency_series_chunk_invariant(spark):
     a = M.latency_series(df).orderBy("location_id", "idx").collect()
     b = M.latency_series(df, chunk_seconds=3600).orderBy("location_id", "idx").collect()
     assert a == b and [r.idx for r in a[:120]] == list(range(1, 121))
+
+
+def test_exact_ranks_adaptive_width_and_guard(spark):
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.integers(-10**9, 10**9, size=3000), [-10**9, 10**9]])
+    df = spark.createDataFrame([(int(v),) for v in vals], "v long")
+    got = dict(M.exact_ranks(df, "v", {"p10": 0.1, "p90": 0.9}).collect())
+    s = np.sort(vals)
+    n = len(s)
+    assert got["p10"] == s[int(np.floor((n - 1) * 0.1 + 0.5))]
+    assert got["p90"] == s[int(np.floor((n - 1) * 0.9 + 0.5))]
+    wide = spark.createDataFrame([(0,), (1 << 50,)], "v long")
+    with pytest.raises(Exception):
+        M.exact_ranks(wide, "v", {"p50": 0.5}).collect()
