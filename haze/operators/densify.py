@@ -151,10 +151,28 @@ def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "location
     return rows.withColumns(filled).select(*df.columns)
 
 
-def jitter(df: DataFrame, columns: Sequence[str], std: float = 0.02, seed: int = 42) -> DataFrame:
-    """``v * (1 + N(0, std))`` with an independent draw per column (seed + i).
-    ``randn`` is seeded per partition, so a recomputed partition after an
-    executor loss draws the same numbers."""
-    return df.withColumns({
-        c: F.col(c) * (F.lit(1.0) + F.lit(float(std)) * F.randn(seed + i))
-        for i, c in enumerate(columns)})
+def _unit(seed: int, salt: int, key_cols: Sequence[str]) -> Column:
+    """A uniform number in (0, 1) from a hash of the row's key."""
+    h = F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(c) for c in key_cols])
+    return (F.pmod(h, F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def jitter(df: DataFrame, columns: Sequence[str], std: float = 0.02, seed: int = 42,
+           key_cols: Sequence[str] | None = ("location_id", "datetime")) -> DataFrame:
+    """``v * (1 + N(0, std))`` with an independent draw per column.
+
+    The normal draw is a Box-Muller transform of two uniforms hashed from the
+    row's key (``key_cols``), the seed and the column index: a row gets the
+    same noise however the data is partitioned and however often a task is
+    re-run after an executor loss.  ``key_cols=None`` falls back to
+    ``randn(seed + i)`` (stable only while the partition contents are)."""
+    keys = [c for c in (key_cols or []) if c in df.columns]
+    out = {}
+    for i, c in enumerate(columns):
+        if keys:
+            u1, u2 = _unit(seed, 2 * i, keys), _unit(seed, 2 * i + 1, keys)
+            z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * 3.141592653589793) * u2)
+        else:
+            z = F.randn(seed + i)
+        out[c] = F.col(c) * (F.lit(1.0) + F.lit(float(std)) * z)
+    return df.withColumns(out)

@@ -116,6 +116,10 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     that many tasks.  Re-running the same batch gives the same table
     (idempotent), so a retried micro-batch does not duplicate rows.
     """
+    # Copies of one key inside the batch collapse first, in a map-side
+    # combined aggregate: after this each key occurs at most twice below
+    # (stored row + batch row), so no task receives a hot group of copies.
+    batch = latest_per_key(batch, [partition_col, *keys], list(order))
     parts = [r[0] for r in batch.select(partition_col).distinct().collect()]
     if not parts:
         return

@@ -86,11 +86,17 @@ def test_forward_fill(spark):
 
 
 def test_jitter_properties(spark):
-    df = spark.range(200_000).select(F.lit(10.0).alias("a"), F.lit(20.0).alias("b"))
-    out = D.jitter(df, ["a", "b"], std=0.02, seed=1)
-    s = out.select(F.avg(F.col("a") / 10).alias("m"), F.stddev(F.col("a") / 10).alias("s"),
-                   F.corr("a", "b").alias("c")).first()
-    assert abs(s.m - 1) < 1e-3 and abs(s.s - 0.02) < 1e-3 and abs(s.c) < 0.02
+    df = spark.range(200_000).select(F.col("id").alias("location_id"),
+                                     F.lit(10.0).alias("a"), F.lit(20.0).alias("b"))
+    for keys in (("location_id",), None):
+        out = D.jitter(df, ["a", "b"], std=0.02, seed=1, key_cols=keys)
+        s = out.select(F.avg(F.col("a") / 10).alias("m"), F.stddev(F.col("a") / 10).alias("s"),
+                       F.corr("a", "b").alias("c")).first()
+        assert abs(s.m - 1) < 1e-3 and abs(s.s - 0.02) < 1e-3 and abs(s.c) < 0.02
+    # keyed noise does not depend on the partitioning
+    one = D.jitter(df.repartition(1), ["a"], seed=3, key_cols=("location_id",))
+    many = D.jitter(df.repartition(7, "a"), ["a"], seed=3, key_cols=("location_id",))
+    assert one.exceptAll(many).count() == 0
 
 
 def test_exact_ranks_vs_sorted_array(spark):
