@@ -395,3 +395,55 @@ LEFT JOIN (SELECT CAST(CASE WHEN mx = mn THEN 1
            FROM history, mm WHERE aqi IS NOT NULL GROUP BY 1) h ON h.bin = b.bin""", "history",
                                      extra={"mm": "SELECT CAST(min(aqi) AS DOUBLE) AS mn, "
                                                   "CAST(max(aqi) AS DOUBLE) AS mx FROM history"})
+
+
+def _continuous_sql(expr: str, std) -> str:
+    x = f"CAST({expr} AS DOUBLE)"
+    parts = [f"CASE WHEN {x} IS NULL THEN 0 WHEN isnan({x}) THEN 0"]
+    br = std.brackets
+    for i, b in enumerate(br):
+        lo = aqi_sql.float_literal(b.c_low)
+        hi_cond = (f"{x} < {aqi_sql.float_literal(br[i + 1].c_low)}" if i + 1 < len(br)
+                   else f"{x} <= {aqi_sql.float_literal(b.c_high)}")
+        value = f"{aqi_sql.float_literal(b.slope)} * ({x} - {lo}) + {b.i_low}"
+        parts.append(f"WHEN {x} >= {lo} AND {hi_cond} THEN CAST(round_even({value}, 0) AS INTEGER)")
+    parts.append(f"WHEN {x} > {aqi_sql.float_literal(std.cap_above)} THEN {std.index_cap} ELSE 0 END")
+    return " ".join(parts)
+
+
+ORACLE["aqi_score_continuous"] = with_views(f"""
+SELECT location_id, datetime, {_continuous_sql('pm25', aqi_sql.PM25)} AS aqi_pm25,
+       {_continuous_sql('pm10', aqi_sql.PM10)} AS aqi_pm10
+FROM readings""", "readings")
+
+ORACLE["clean_pivot_discovered"] = ORACLE["clean_pivot"]
+
+_SNAP_WIDE = """
+  SELECT r.location_id, to_timestamp((o.t0 + floor((epoch_us(r.event_ts) - o.t0) / 3600000000)
+                                      * 3600000000) / 1e6)::TIMESTAMP AS datetime,
+         avg(r.pm25) AS pm25, avg(r.pm10) AS pm10
+  FROM readings r JOIN (SELECT location_id, min(epoch_us(event_ts)) AS t0 FROM readings
+                        GROUP BY 1) o ON o.location_id = r.location_id
+  GROUP BY 1, 2"""
+
+ORACLE["densify_snap"] = with_views(f"""
+SELECT location_id, g AS datetime, {_interp('pm25')}, {_interp('pm10')}
+FROM (SELECT *, {_neighbours('pm25')}, {_neighbours('pm10')} FROM j)""", "readings", extra={
+    "wide": _SNAP_WIDE,
+    "bounds": "SELECT location_id, min(datetime) AS t0, max(datetime) AS t1 FROM wide GROUP BY 1",
+    "grid": "SELECT location_id, unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS g FROM bounds",
+    "j": """SELECT grid.location_id, grid.g, w.pm25, w.pm10
+            FROM grid LEFT JOIN wide w ON w.location_id = grid.location_id AND w.datetime = grid.g""",
+})
+
+ORACLE["history_station_lookup"] = with_views(f"""
+SELECT {HIST_COLS} FROM history WHERE location_id = 42""", "history")
+
+ORACLE["stream_window"] = with_views("""
+SELECT to_timestamp(floor(epoch(event_ts) / 21600) * 21600)::TIMESTAMP AS window_start,
+       to_timestamp(floor(epoch(event_ts) / 21600) * 21600 + 21600)::TIMESTAMP AS window_end,
+       location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi
+FROM s GROUP BY 1, 2, 3
+HAVING to_timestamp(floor(epoch(min(event_ts)) / 21600) * 21600 + 21600)::TIMESTAMP
+       <= (SELECT max(event_ts) FROM s) - INTERVAL 10 MINUTE""",
+                                     "readings", extra={"f32": _F32, "s": _F32_SCORED})

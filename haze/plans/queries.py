@@ -441,3 +441,60 @@ def aqi_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = histogram(tables.history(spark, sf_dir), "aqi", 50)
     return h.select("bin", F.round("bin_lo", 6).alias("bin_lo"),
                     F.round("bin_hi", 6).alias("bin_hi"), "count")
+
+
+# ------------------------------------------------------------------ variants
+
+@query("aqi_score_continuous")
+def aqi_score_continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring with ``gap_policy="continuous"``: a value between two brackets
+    uses the lower bracket's line instead of scoring 0."""
+    r = tables.readings(spark, sf_dir)
+    return r.select("location_id", "datetime",
+                    aqi.aqi_pm25("pm25", gap_policy="continuous").alias("aqi_pm25"),
+                    aqi.aqi_pm10("pm10", gap_policy="continuous").alias("aqi_pm10"))
+
+
+@query("clean_pivot_discovered")
+def clean_pivot_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long -> wide with the parameter names discovered from the data."""
+    from haze.operators.clean import clean_parameter, pivot_mean
+    long = tables.raw_long(spark, sf_dir).withColumns({
+        "parameter": clean_parameter("parameter"), "datetime": F.date_trunc("hour", "ts")})
+    wide = pivot_mean(long, ("location_id", "datetime"), None)
+    return wide.select("location_id", "datetime",
+                       *[F.round(c, 6).alias(c) for c in wide.columns[2:]])
+
+
+@query("densify_snap")
+def densify_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Irregular raw readings snapped down to an hourly grid from each
+    station's first reading, averaged, then densified."""
+    from haze.operators.densify import densify
+    r = tables.readings(spark, sf_dir).select("location_id", F.col("event_ts").alias("datetime"),
+                                              "pm25", "pm10")
+    return densify(r, values=["pm25", "pm10"], step_seconds=3600, off_grid="snap")
+
+
+@query("history_station_lookup")
+def history_station_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from haze.operators.history import history_query
+    h = tables.history(spark, sf_dir)
+    return history_query(h, station=42).select(*HISTORY_OUT)
+
+
+@query("stream_window")
+def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """6-hour AQI windows per station on the stream (watermark 10 minutes,
+    append mode): only windows closed by the watermark are emitted."""
+    from haze.operators.windows import window_stats
+    from haze.session import scratch_path
+    from haze.streaming.job import run_to_completion, score_stream
+    root = scratch_path(spark, "stream-window")
+    for before in (True, False):
+        _messages(spark, sf_dir, before).write.mode("append").text(f"{root}/in")
+        scored = score_stream(_decoded_stream(spark, f"{root}/in"))
+        w = window_stats(scored, every="6 hours")
+        run_to_completion(w, f"{root}/ckpt", fmt="parquet", path=f"{root}/out")
+    out = spark.read.parquet(f"{root}/out")
+    return out.withColumn("avg_aqi", F.round("avg_aqi", 6))
