@@ -39,9 +39,15 @@ def ratios(df: DataFrame) -> DataFrame:
                            "coarse_pm": coarse_remainder("pm25", "pm10")})
 
 
-def alerts(df: DataFrame, threshold: int = aqi.SEVERITY_WARNING) -> DataFrame:
+def alerts(df: DataFrame, threshold: int = aqi.SEVERITY_WARNING,
+           latest_only: bool = False) -> DataFrame:
     """Rows above ``threshold`` with severity, level colour, raw PM2.5 status
-    and a message; pushed-down filter first, then a narrow projection."""
+    and a message; pushed-down filter first, then a narrow projection.
+    ``latest_only`` looks at each station's newest row only (so a spike
+    followed by a calmer reading is not reported), as the original job did."""
+    if latest_only:
+        from haze.operators.latest import latest_per_key
+        df = latest_per_key(df)
     hot = df.where(F.col("aqi") > F.lit(threshold))
     return hot.select(
         "location_id", "datetime", "aqi", "quality",

@@ -447,3 +447,12 @@ FROM s GROUP BY 1, 2, 3
 HAVING to_timestamp(floor(epoch(min(event_ts)) / 21600) * 21600 + 21600)::TIMESTAMP
        <= (SELECT max(event_ts) FROM s) - INTERVAL 10 MINUTE""",
                                      "readings", extra={"f32": _F32, "s": _F32_SCORED})
+
+ORACLE["alerts_latest_only"] = _with_latest("""
+SELECT location_id, datetime, aqi, 'danger' AS severity FROM latest WHERE aqi > 200""")
+
+ORACLE["sql_station_summary"] = with_views("""
+SELECT location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi,
+       round(count(*) FILTER (WHERE aqi > 150) / count(*), 6) AS share_unhealthy,
+       arg_max(quality, event_ts) AS latest_quality
+FROM history GROUP BY location_id""", "history")

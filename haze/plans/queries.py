@@ -498,3 +498,24 @@ def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         run_to_completion(w, f"{root}/ckpt", fmt="parquet", path=f"{root}/out")
     out = spark.read.parquet(f"{root}/out")
     return out.withColumn("avg_aqi", F.round("avg_aqi", 6))
+
+
+@query("alerts_latest_only")
+def alerts_latest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Danger alerts (> 200) on each station's newest reading only."""
+    from haze.operators.dashboard import alerts
+    return alerts(tables.history(spark, sf_dir), threshold=aqi.SEVERITY_DANGER,
+                  latest_only=True).select("location_id", "datetime", "aqi", "severity")
+
+
+@query("sql_station_summary")
+def sql_station_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain SQL over the registered views: per station, readings, mean and
+    peak index, and the share of readings above the warning level."""
+    from haze.plans.views import register_views
+    register_views(spark, sf_dir)
+    return spark.sql("""
+        SELECT location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi,
+               round(count_if(aqi > 150) / count(*), 6) AS share_unhealthy,
+               max_by(aqi_quality(aqi), event_ts) AS latest_quality
+        FROM aq_history GROUP BY location_id""")

@@ -14,7 +14,8 @@ CORRUPT = "_corrupt_record"
 
 def readings_stream(spark: SparkSession, source: str = "kafka", path: str | None = None,
                     options: dict[str, str] | None = None,
-                    max_per_trigger: int | None = None) -> DataFrame:
+                    max_per_trigger: int | None = None,
+                    min_partitions: int | None = None) -> DataFrame:
     """A streaming DataFrame with one ``value`` column holding message text.
 
     ``kafka``: subscribe to ``options['subscribe']`` on
@@ -31,6 +32,8 @@ def readings_stream(spark: SparkSession, source: str = "kafka", path: str | None
         opts.setdefault("failOnDataLoss", "false")
         if max_per_trigger:
             opts.setdefault("maxOffsetsPerTrigger", str(max_per_trigger))
+        if min_partitions:
+            opts.setdefault("minPartitions", str(min_partitions))
         return spark.readStream.format("kafka").options(**opts).load() \
             .select(F.col("value").cast("string").alias("value"),
                     "topic", "partition", "offset", F.col("timestamp").alias("kafka_ts"))

@@ -126,3 +126,19 @@ def test_encode_decode_roundtrip(spark):
     assert v["datetime"] == "2024-01-01T00:00:07.000005+00:00" and v["pm25"] == 12.5
     back = source.decode_readings(enc).first()
     assert back.event_ts == dt.datetime(2024, 1, 1, 0, 0, 7, 5) and back.pm10 is None
+
+
+def test_scoring_job_dual_mode(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in")
+    _write(spark, inp, [{"datetime": "2024-01-01T00:00:00+00:00", "location_id": 5,
+                         "pm25": 260.0, "pm10": 20.0}, "not json at all"])
+    q = job.scoring_job(spark, source.readings_stream(spark, "text", inp), mode="dual",
+                        checkpoint=os.path.join(tmp_dir, "ck"),
+                        history_path=os.path.join(tmp_dir, "h"),
+                        snapshot_path=os.path.join(tmp_dir, "s"),
+                        alerts_path=os.path.join(tmp_dir, "a"),
+                        trigger={"availableNow": True})
+    q.awaitTermination()
+    h = spark.read.parquet(os.path.join(tmp_dir, "h")).collect()
+    assert [(r.location_id, r.aqi) for r in h] == [(5, 311)]
+    assert spark.read.parquet(os.path.join(tmp_dir, "a")).count() == 1
