@@ -59,7 +59,8 @@ class DualSink:
 
     def __init__(self, spark: SparkSession, history_path: str, snapshot_path: str | None = None,
                  alerts_path: str | None = None, keys: Sequence[str] = DEFAULT_KEYS,
-                 alert_threshold: int = ALERT_THRESHOLD, latest_only_alerts: bool = False):
+                 alert_threshold: int = ALERT_THRESHOLD, latest_only_alerts: bool = False,
+                 granularity: str = "day"):
         self.spark = spark
         self.history_path = history_path
         self.snapshot_path = snapshot_path
@@ -67,6 +68,7 @@ class DualSink:
         self.keys = list(keys)
         self.alert_threshold = alert_threshold
         self.latest_only_alerts = latest_only_alerts
+        self.granularity = granularity
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -75,7 +77,8 @@ class DualSink:
                 return
             cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in batch.columns]
             # Must succeed: an exception here fails the micro-batch.
-            upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys)
+            upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
+                           granularity=self.granularity)
             if self.snapshot_path:
                 try:
                     merge_snapshot(self.spark, batch, self.snapshot_path)

@@ -185,3 +185,21 @@ def test_newest_partitions_prune_and_keep_answer(spark, tmp_dir):
     scans = [ln for ln in out._jdf.queryExecution().executedPlan().toString().split("\n")
              if "event_date" in ln and "PartitionFilters" in ln]
     assert scans and all("isnull" in ln for ln in scans)
+
+
+def test_hourly_granularity_upsert_and_pruning(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "hh")
+    rows = [(i % 2, f"t{i}", T0 + dt.timedelta(minutes=25 * i), float(i), i, T0)
+            for i in range(12)]
+    history.upsert_history(spark, _rows(spark, rows), path, granularity="hour")
+    again = [(0, "t0", T0, 99.0, 99, T0 + dt.timedelta(hours=1))]
+    history.upsert_history(spark, _rows(spark, again), path, granularity="hour")
+    t = spark.read.parquet(path)
+    assert "event_hour" in t.columns and t.count() == 12
+    assert t.where(F.col("datetime") == "t0").first().pm25 == 99.0
+    q = history.history_query(t, since="2024-01-01 02:00:00", until="2024-01-01 03:00:00")
+    assert sorted(r.datetime for r in q.collect()) == ["t5", "t6", "t7"]
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_hour" in plan
+    top = [r.datetime for r in history.latest_history(t, 3).collect()]
+    assert top == ["t11", "t10", "t9"]
