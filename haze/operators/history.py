@@ -35,7 +35,9 @@ def newest_partitions(df: DataFrame, n: int, partition_col: str = PARTITION_COL)
     cut = per.withColumn("_cum", F.sum("_c").over(newest_first)) \
         .where(F.col("_cum") - F.col("_c") < F.lit(int(n))) \
         .agg(F.min(partition_col)).scalar()
-    return F.col(partition_col) >= cut
+    # Rows without an instant sit in the null partition and sort last; keeping
+    # that partition leaves the top-n identical when fewer than n are timed.
+    return F.col(partition_col).isNull() | (F.col(partition_col) >= cut)
 
 
 def _partition_col(df: DataFrame) -> str | None:

@@ -3,7 +3,6 @@ bracket, overall >= parts, agreement with the plain-Python formula."""
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from haze.functions import aqi
 from test_aqi import reference_formula

@@ -177,7 +177,8 @@ def test_newest_partitions_prune_and_keep_answer(spark, tmp_dir):
         plain = table.orderBy(F.col("event_ts").desc(), F.col("location_id").desc()).limit(n)
         assert got == [r.datetime for r in plain.collect()]
     plan = history.latest_history(table, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan and "Subquery" in plan
+    pf = [ln for ln in plan.split("\n") if "PartitionFilters: [(isnull(event_date" in ln]
+    assert pf and "Subquery" in pf[0]
     # the snapshot guard becomes a partition filter on the history scan
     snap = _rows(spark, [(1, "s", T0, 1.0, 1, T0)])
     out = latest.latest_or_history(snap, table, ["location_id", "datetime"], 5)
