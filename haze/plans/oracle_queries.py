@@ -358,13 +358,13 @@ SELECT location_id, pm25, pm10,
 FROM latest""")
 
 ORACLE["window_aqi"] = with_views("""
-SELECT to_timestamp(floor(epoch(event_ts) / 21600) * 21600)::TIMESTAMP AS window_start,
-       to_timestamp(floor(epoch(event_ts) / 21600) * 21600 + 21600)::TIMESTAMP AS window_end,
+SELECT make_timestamp(CAST((floor(epoch(event_ts) / 21600) * 21600) * 1000000 AS BIGINT)) AS window_start,
+       make_timestamp(CAST((floor(epoch(event_ts) / 21600) * 21600 + 21600) * 1000000 AS BIGINT)) AS window_end,
        location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi
 FROM history GROUP BY 1, 2, 3""", "history")
 
 ORACLE["window_aqi_sliding"] = with_views("""
-SELECT to_timestamp(ws)::TIMESTAMP AS window_start, to_timestamp(ws + 7200)::TIMESTAMP AS window_end,
+SELECT make_timestamp(CAST((ws) * 1000000 AS BIGINT)) AS window_start, make_timestamp(CAST((ws + 7200) * 1000000 AS BIGINT)) AS window_end,
        location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi
 FROM (SELECT *, floor(epoch(event_ts) / 3600) * 3600 - 3600 * k AS ws
       FROM history, (VALUES (0), (1)) t(k))
@@ -419,8 +419,8 @@ FROM readings""", "readings")
 ORACLE["clean_pivot_discovered"] = ORACLE["clean_pivot"]
 
 _SNAP_WIDE = """
-  SELECT r.location_id, to_timestamp((o.t0 + floor((epoch_us(r.event_ts) - o.t0) / 3600000000)
-                                      * 3600000000) / 1e6)::TIMESTAMP AS datetime,
+  SELECT r.location_id, make_timestamp(CAST((o.t0 + floor((epoch_us(r.event_ts) - o.t0) / 3600000000)
+                                      * 3600000000) AS BIGINT)) AS datetime,
          avg(r.pm25) AS pm25, avg(r.pm10) AS pm10
   FROM readings r JOIN (SELECT location_id, min(epoch_us(event_ts)) AS t0 FROM readings
                         GROUP BY 1) o ON o.location_id = r.location_id
@@ -440,11 +440,11 @@ ORACLE["history_station_lookup"] = with_views(f"""
 SELECT {HIST_COLS} FROM history WHERE location_id = 42""", "history")
 
 ORACLE["stream_window"] = with_views("""
-SELECT to_timestamp(floor(epoch(event_ts) / 21600) * 21600)::TIMESTAMP AS window_start,
-       to_timestamp(floor(epoch(event_ts) / 21600) * 21600 + 21600)::TIMESTAMP AS window_end,
+SELECT make_timestamp(CAST((floor(epoch(event_ts) / 21600) * 21600) * 1000000 AS BIGINT)) AS window_start,
+       make_timestamp(CAST((floor(epoch(event_ts) / 21600) * 21600 + 21600) * 1000000 AS BIGINT)) AS window_end,
        location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS max_aqi
 FROM s GROUP BY 1, 2, 3
-HAVING to_timestamp(floor(epoch(min(event_ts)) / 21600) * 21600 + 21600)::TIMESTAMP
+HAVING make_timestamp(CAST((floor(epoch(min(event_ts)) / 21600) * 21600 + 21600) * 1000000 AS BIGINT))
        <= (SELECT max(event_ts) FROM s) - INTERVAL 10 MINUTE""",
                                      "readings", extra={"f32": _F32, "s": _F32_SCORED})
 
