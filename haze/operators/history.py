@@ -118,7 +118,8 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                 order: Sequence[str], partition_col: str,
-                files_per_partition: int = FILES_PER_PARTITION) -> None:
+                files_per_partition: int = FILES_PER_PARTITION,
+                parts: Sequence | None = None) -> None:
     """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
     ``partition_col`` (a function of ``keys``, e.g. the day of the event
     instant): per key the row with the greatest ``order`` survives.
@@ -139,7 +140,8 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     # combined aggregate: after this each key occurs at most twice below
     # (stored row + batch row), so no task receives a hot group of copies.
     batch = latest_per_key(batch, [partition_col, *keys], list(order))
-    parts = [r[0] for r in batch.select(partition_col).distinct().collect()]
+    if parts is None:
+        parts = [r[0] for r in batch.select(partition_col).distinct().collect()]
     if not parts:
         return
     try:
@@ -162,7 +164,8 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
 def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
                    keys: Sequence[str] = DEFAULT_KEYS,
                    order: Sequence[str] = ("processed_at",),
-                   ts_col: str = "event_ts", granularity: str = "day") -> None:
+                   ts_col: str = "event_ts", granularity: str = "day",
+                   parts: Sequence | None = None) -> None:
     """Upsert into the time-partitioned history table (primary key ``keys``,
     the latest ``order`` wins, default: the last processed write).
 
@@ -172,4 +175,4 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
     instead of a day (a table format with ``MERGE INTO`` avoids the rewrite
     altogether)."""
     keyed_merge(spark, with_partition(batch, ts_col, granularity), path, keys, order,
-                PARTITION_COLS[granularity])
+                PARTITION_COLS[granularity], parts=parts)

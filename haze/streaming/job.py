@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from haze.functions.aqi import score
-from haze.operators.history import DEFAULT_KEYS, keyed_merge, upsert_history
+from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, keyed_merge, upsert_history,
+                                    with_partition)
 from haze.operators.latest import SNAPSHOT_COLUMNS, latest_per_key
 from haze.schemas import HISTORY_COLUMNS
 
@@ -26,7 +27,9 @@ log = logging.getLogger(__name__)
 # Event-time tolerance and the alert threshold.
 LATE_TOLERANCE = "10 minutes"
 ALERT_THRESHOLD = 200
-SNAPSHOT_SHARDS = 64
+# One row per station: 32 shards keep even millions of stations at tens of MB
+# per shard, and a batch touching few stations rewrites only their shards.
+SNAPSHOT_SHARDS = 32
 SNAPSHOT_ORDER = ("event_ts", "datetime", "processed_at")
 
 
@@ -46,12 +49,14 @@ def snapshot_shard(df: DataFrame, shards: int = SNAPSHOT_SHARDS) -> DataFrame:
     return df.withColumn("shard", F.pmod(F.xxhash64("location_id"), F.lit(shards)).cast("int"))
 
 
-def merge_snapshot(spark: SparkSession, rows: DataFrame, path: str) -> None:
+def merge_snapshot(spark: SparkSession, rows: DataFrame, path: str,
+                   shards: list | None = None) -> None:
     """Keep one row per station, never regressing to an older reading: the
     batch's latest rows are merged with the stored ones of the same shards."""
     latest = latest_per_key(rows.select(*[c for c in SNAPSHOT_COLUMNS if c in rows.columns]),
                             "location_id", SNAPSHOT_ORDER)
-    keyed_merge(spark, snapshot_shard(latest), path, ["location_id"], SNAPSHOT_ORDER, "shard")
+    keyed_merge(spark, snapshot_shard(latest), path, ["location_id"], SNAPSHOT_ORDER, "shard",
+                files_per_partition=1, parts=shards)
 
 
 class DualSink:
@@ -73,15 +78,22 @@ class DualSink:
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if batch.isEmpty():
+            # One pass fills the cache and returns the row count plus the
+            # touched time partitions and snapshot shards (both bounded sets).
+            part_col = PARTITION_COLS[self.granularity]
+            meta = snapshot_shard(with_partition(batch, "event_ts", self.granularity)).agg(
+                F.count(F.lit(1)).alias("n"), F.collect_set(part_col).alias("parts"),
+                F.collect_set("shard").alias("shards")).first()
+            if not meta["n"]:
                 return
             cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in batch.columns]
             # Must succeed: an exception here fails the micro-batch.
             upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
-                           granularity=self.granularity)
+                           granularity=self.granularity, parts=list(meta["parts"]))
             if self.snapshot_path:
                 try:
-                    merge_snapshot(self.spark, batch, self.snapshot_path)
+                    merge_snapshot(self.spark, batch, self.snapshot_path,
+                                   shards=list(meta["shards"]))
                 except Exception:  # best effort, like the cache it models
                     log.warning("snapshot update failed for batch %s", epoch_id, exc_info=True)
             if self.alerts_path:
