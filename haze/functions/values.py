@@ -28,7 +28,7 @@ def pm25_share(pm25, pm10) -> Column:
     a = default_if_missing(pm25)
     b = default_if_missing(pm10)
     return (F.when(b == 0, F.lit(None).cast("int"))
-            .when(b > 0, (a / b * F.lit(100)).cast("int"))
+            .when(b > 0, (a / b * F.lit(100)).try_cast("int"))
             .otherwise(F.lit(0)))
 
 

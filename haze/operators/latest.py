@@ -95,8 +95,9 @@ def text_to_double(c: Column) -> Column:
 
 def text_to_int(c: Column) -> Column:
     """Via double then truncation, so ``'7.9'`` gives 7 (a direct int cast
-    of ``'7.9'`` would be null)."""
-    return text_to_double(c).cast("int")
+    of ``'7.9'`` would be null); out-of-range numbers give null, not an
+    ANSI overflow error."""
+    return text_to_double(c).try_cast("int")
 
 
 def from_kv(kv: DataFrame) -> DataFrame:

@@ -204,3 +204,14 @@ def test_hourly_granularity_upsert_and_pruning(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(event_hour" in plan
     top = [r.datetime for r in history.latest_history(t, 3).collect()]
     assert top == ["t11", "t10", "t9"]
+
+
+def test_kv_and_ratio_overflow_is_null_not_error(spark):
+    from haze.functions.values import pm25_share
+    weird = spark.createDataFrame([("location:1", {"aqi": "1e20", "aqi_pm25": "nan"})],
+                                  "key string, fields map<string,string>")
+    r = latest.from_kv(weird).first()
+    assert r.aqi == 0 and r.aqi_pm25 is None
+    df = spark.createDataFrame([(100.0, 1e-300), (5.0, 10.0), (5.0, 0.0), (5.0, -1.0)],
+                               "pm25 double, pm10 double")
+    assert [x[0] for x in df.select(pm25_share("pm25", "pm10")).collect()] == [None, 50, None, 0]
