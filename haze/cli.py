@@ -75,7 +75,7 @@ def cmd_publish(args) -> None:
 
 
 def cmd_stream(args) -> None:
-    from haze.streaming.job import scoring_job
+    from haze.streaming.job import scoring_job, scoring_job_append
     from haze.streaming.source import readings_stream
     spark = _spark(args)
     opts = {}
@@ -84,10 +84,16 @@ def cmd_stream(args) -> None:
     messages = readings_stream(spark, args.source, args.path, opts,
                                max_per_trigger=args.max_per_trigger)
     trigger = {"availableNow": True} if args.once else {"processingTime": args.trigger}
-    q = scoring_job(spark, messages, mode=args.mode, checkpoint=args.checkpoint,
-                    history_path=args.history, snapshot_path=args.snapshot,
-                    alerts_path=args.alerts, trigger=trigger)
-    q.awaitTermination()
+    if args.mode == "append":
+        qs = scoring_job_append(spark, messages, args.history, args.snapshot, args.alerts,
+                                checkpoint=args.checkpoint, granularity=args.granularity,
+                                trigger=trigger)
+    else:
+        qs = [scoring_job(spark, messages, mode=args.mode, checkpoint=args.checkpoint,
+                          history_path=args.history, snapshot_path=args.snapshot,
+                          alerts_path=args.alerts, trigger=trigger)]
+    for q in qs:
+        q.awaitTermination()
 
 
 def cmd_analyze(args) -> None:
@@ -154,7 +160,9 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--path", default=None)
     s.add_argument("--bootstrap", default="localhost:9092")
     s.add_argument("--topic", default=None)
-    s.add_argument("--mode", choices=["console", "dual"], default="console")
+    s.add_argument("--mode", choices=["console", "dual", "append"], default="console",
+                   help="dual: keyed history upsert; append: exactly-once file sink")
+    s.add_argument("--granularity", choices=["day", "hour"], default="day")
     s.add_argument("--checkpoint", default=None)
     s.add_argument("--history", default=None)
     s.add_argument("--snapshot", default=None)

@@ -142,3 +142,23 @@ def test_scoring_job_dual_mode(spark, tmp_dir):
     h = spark.read.parquet(os.path.join(tmp_dir, "h")).collect()
     assert [(r.location_id, r.aqi) for r in h] == [(5, 311)]
     assert spark.read.parquet(os.path.join(tmp_dir, "a")).count() == 1
+
+
+def test_append_job_exactly_once_and_current_view(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in")
+    hist, snap = os.path.join(tmp_dir, "h"), os.path.join(tmp_dir, "s")
+    msg = {"datetime": "2024-01-01T00:00:00+00:00", "location_id": 1, "pm25": 30.0}
+    _write(spark, inp, [msg, {**msg, "location_id": 2}])
+    for q in job.scoring_job_append(spark, source.readings_stream(spark, "text", inp), hist,
+                                    snap, checkpoint=os.path.join(tmp_dir, "ck"),
+                                    trigger={"availableNow": True}):
+        q.awaitTermination()
+    _write(spark, inp, [msg])                     # the same reading delivered again
+    for q in job.scoring_job_append(spark, source.readings_stream(spark, "text", inp), hist,
+                                    snap, checkpoint=os.path.join(tmp_dir, "ck"),
+                                    trigger={"availableNow": True}):
+        q.awaitTermination()
+    stored = spark.read.parquet(hist)
+    assert stored.count() == 3 and "event_date" in stored.columns
+    assert job.current_history(stored).count() == 2
+    assert spark.read.parquet(snap).count() == 2
