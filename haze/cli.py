@@ -91,7 +91,8 @@ def cmd_stream(args) -> None:
     else:
         qs = [scoring_job(spark, messages, mode=args.mode, checkpoint=args.checkpoint,
                           history_path=args.history, snapshot_path=args.snapshot,
-                          alerts_path=args.alerts, trigger=trigger)]
+                          alerts_path=args.alerts, trigger=trigger,
+                          granularity=args.granularity)]
     for q in qs:
         q.awaitTermination()
 

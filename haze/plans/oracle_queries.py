@@ -456,3 +456,7 @@ SELECT location_id, count(*) AS n, round(avg(aqi), 6) AS avg_aqi, max(aqi) AS ma
        round(count(*) FILTER (WHERE aqi > 150) / count(*), 6) AS share_unhealthy,
        arg_max(quality, event_ts) AS latest_quality
 FROM history GROUP BY location_id""", "history")
+
+ORACLE["stream_history_append"] = with_views("""
+SELECT datetime, location_id, event_ts, pm25, pm10, aqi, quality FROM s""",
+                                             "readings", extra={"f32": _F32, "s": _F32_SCORED})

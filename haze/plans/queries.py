@@ -519,3 +519,22 @@ def sql_station_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                round(count_if(aqi > 150) / count(*), 6) AS share_unhealthy,
                max_by(aqi_quality(aqi), event_ts) AS latest_quality
         FROM aq_history GROUP BY location_id""")
+
+
+@query("stream_history_append")
+def stream_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append-mode job: the first half is delivered, then everything again;
+    the exactly-once file sink stores every delivery and the key view reads
+    one row per (station, datetime)."""
+    from haze.session import scratch_path
+    from haze.streaming.job import current_history, scoring_job_append
+    from haze.streaming.source import readings_stream
+    root = scratch_path(spark, "stream-append")
+    for before in (True, None):
+        _messages(spark, sf_dir, before).write.mode("append").text(f"{root}/in")
+        for q in scoring_job_append(spark, readings_stream(spark, "text", f"{root}/in"),
+                                    f"{root}/history", checkpoint=f"{root}/ckpt",
+                                    trigger={"availableNow": True}):
+            q.awaitTermination()
+    return current_history(spark.read.parquet(f"{root}/history")).select(
+        "datetime", "location_id", "event_ts", "pm25", "pm10", "aqi", "quality")

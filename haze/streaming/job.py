@@ -161,7 +161,7 @@ def run_to_completion(df: DataFrame, checkpoint: str, **kw) -> None:
 def scoring_job(spark: SparkSession, messages: DataFrame, mode: str = "console",
                 checkpoint: str | None = None, history_path: str | None = None,
                 snapshot_path: str | None = None, alerts_path: str | None = None,
-                trigger: dict | None = None) -> StreamingQuery:
+                trigger: dict | None = None, granularity: str = "day") -> StreamingQuery:
     """The whole job: decode ``messages`` (a ``value`` column), set corrupt
     rows aside, score, and write either to the console (``mode="console"``) or to history +
     snapshot + alerts (``mode="dual"``).  ``checkpoint`` defaults to a fresh
@@ -174,7 +174,8 @@ def scoring_job(spark: SparkSession, messages: DataFrame, mode: str = "console",
     if mode == "console":
         return start(scored, ckpt, fmt="console", trigger=trigger or {"processingTime": "0 seconds"})
     if mode == "dual":
-        sink = DualSink(spark, history_path, snapshot_path, alerts_path)
+        sink = DualSink(spark, history_path, snapshot_path, alerts_path,
+                        granularity=granularity)
         return start(scored, ckpt, sink=sink, trigger=trigger or {"processingTime": "0 seconds"})
     raise ValueError(f"unknown mode {mode!r}")
 
