@@ -89,8 +89,8 @@ def sizing_conf(input_bytes: int, total_cores: int,
     (256 MB default) keep a task's working set well inside executor memory
     while giving every core several tasks; the shuffle partition count is a
     multiple of the core count so waves stay full, and AQE coalesces it down
-    when a stage turns out smaller.  Example: 100 TB on 8 000 cores gives
-    409 600 shuffle partitions of ~256 MB.
+    when a stage turns out smaller.  Example: 100 TiB on 8 000 cores gives
+    409 600 partitions of 256 MB, rounded up to 416 000 (52 full waves).
     """
     parts = max(total_cores * 2, -(-int(input_bytes) // target_partition_bytes))
     parts = -(-parts // total_cores) * total_cores
