@@ -336,14 +336,14 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful latest-per-station stream; the older half arrives second and
     must not regress the snapshot."""
     from haze.session import scratch_path
-    from haze.streaming.job import latest_state, merge_snapshot, run_to_completion, score_stream
+    from haze.streaming.job import score_stream, snapshot_stream
     root = scratch_path(spark, "stream-latest")
     snap = f"{root}/snapshot"
     for before in (False, True):
         _messages(spark, sf_dir, before).write.mode("append").text(f"{root}/in")
-        latest = latest_state(score_stream(_decoded_stream(spark, f"{root}/in")))
-        run_to_completion(latest, f"{root}/ckpt", mode="update",
-                          sink=lambda b, e: merge_snapshot(b.sparkSession, b, snap))
+        q = snapshot_stream(score_stream(_decoded_stream(spark, f"{root}/in")), snap,
+                            f"{root}/ckpt", trigger={"availableNow": True})
+        q.awaitTermination()
     return spark.read.parquet(snap).select(
         "location_id", "datetime", "event_ts", "pm25", "pm10", "aqi", "aqi_pm25", "aqi_pm10",
         "quality")

@@ -242,3 +242,14 @@ class _ServingSink(DualSink):
                 self.write_alerts(batch, epoch_id)
         finally:
             batch.unpersist()
+
+
+def snapshot_stream(scored: DataFrame, path: str, checkpoint: str,
+                    every: str | None = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
+    """The latest-per-station snapshot as its own stream: the stateful
+    arg-max (``update`` mode, one state row per station) merged into the
+    sharded snapshot table by ``foreachBatch``, pushed every ``every``."""
+    latest = latest_state(scored)
+    trig = trigger or ({"processingTime": every} if every else {"availableNow": True})
+    return start(latest, checkpoint, mode="update", trigger=trig,
+                 sink=lambda b, e: merge_snapshot(b.sparkSession, b, path))
