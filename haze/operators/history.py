@@ -17,6 +17,9 @@ PARTITION_COLS = {"day": PARTITION_COL, "hour": HOUR_PARTITION_COL}
 # Files written per table partition by a keyed merge (and the number of tasks
 # one partition is spread over).  Raise it for very large days.
 FILES_PER_PARTITION = 8
+# A micro-batch of n rows writes about n / ROWS_PER_FILE files per touched
+# partition (at least 1, at most FILES_PER_PARTITION).
+ROWS_PER_FILE = 1_000_000
 # Serving bounds on the number of history rows returned.
 MIN_ROWS, MAX_ROWS, DEFAULT_ROWS = 1, 10_000, 1000
 
@@ -165,7 +168,8 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
                    keys: Sequence[str] = DEFAULT_KEYS,
                    order: Sequence[str] = ("processed_at",),
                    ts_col: str = "event_ts", granularity: str = "day",
-                   parts: Sequence | None = None) -> None:
+                   parts: Sequence | None = None,
+                   files_per_partition: int = FILES_PER_PARTITION) -> None:
     """Upsert into the time-partitioned history table (primary key ``keys``,
     the latest ``order`` wins, default: the last processed write).
 
@@ -175,4 +179,5 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
     instead of a day (a table format with ``MERGE INTO`` avoids the rewrite
     altogether)."""
     keyed_merge(spark, with_partition(batch, ts_col, granularity), path, keys, order,
-                PARTITION_COLS[granularity], parts=parts)
+                PARTITION_COLS[granularity], files_per_partition=files_per_partition,
+                parts=parts)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from haze.functions.aqi import score
-from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, keyed_merge, upsert_history,
-                                    with_partition)
+from haze.operators.history import (DEFAULT_KEYS, FILES_PER_PARTITION, PARTITION_COLS,
+                                    ROWS_PER_FILE, keyed_merge, upsert_history, with_partition)
 from haze.operators.latest import SNAPSHOT_COLUMNS, latest_per_key
 from haze.schemas import HISTORY_COLUMNS
 
@@ -53,10 +53,11 @@ def merge_snapshot(spark: SparkSession, rows: DataFrame, path: str,
                    shards: list | None = None) -> None:
     """Keep one row per station, never regressing to an older reading: the
     batch's latest rows are merged with the stored ones of the same shards."""
-    latest = latest_per_key(rows.select(*[c for c in SNAPSHOT_COLUMNS if c in rows.columns]),
-                            "location_id", SNAPSHOT_ORDER)
-    keyed_merge(spark, snapshot_shard(latest), path, ["location_id"], SNAPSHOT_ORDER, "shard",
-                files_per_partition=1, parts=shards)
+    # keyed_merge collapses the batch to one row per station itself (a
+    # map-side combined arg-max) before merging with the stored shards.
+    cols = [c for c in SNAPSHOT_COLUMNS if c in rows.columns]
+    keyed_merge(spark, snapshot_shard(rows.select(*cols)), path, ["location_id"], SNAPSHOT_ORDER,
+                "shard", files_per_partition=1, parts=shards)
 
 
 class DualSink:
@@ -88,8 +89,10 @@ class DualSink:
                 return
             cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in batch.columns]
             # Must succeed: an exception here fails the micro-batch.
+            files = max(1, min(FILES_PER_PARTITION, meta["n"] // ROWS_PER_FILE))
             upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
-                           granularity=self.granularity, parts=list(meta["parts"]))
+                           granularity=self.granularity, parts=list(meta["parts"]),
+                           files_per_partition=files)
             if self.snapshot_path:
                 try:
                     merge_snapshot(self.spark, batch, self.snapshot_path,
