@@ -106,10 +106,11 @@ def read_raw_readings(spark, path: str, schema: T.StructType | None = None) -> D
 def write_wide(df: DataFrame, path: str, time_col: str = "datetime",
                station_col: str = "location_id") -> None:
     """Snappy parquet, one folder per day, rows sorted by station and time
-    inside each file.  Range-partitioning on (date, station) splits a big day
-    across many tasks (a hash on date alone would put a whole day in one)."""
+    inside each file.  Range-partitioning on (date, station, time) splits a
+    big day -- and even one station's busy day -- across many tasks (a hash
+    on date alone would put a whole day in one task)."""
     (df.withColumn("date", F.to_date(time_col))
-       .repartitionByRange("date", station_col)
+       .repartitionByRange("date", station_col, time_col)
        .sortWithinPartitions("date", station_col, time_col)
        .write.mode("overwrite").option("compression", "snappy")
        .partitionBy("date").parquet(path))
