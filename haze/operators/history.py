@@ -14,12 +14,10 @@ DEFAULT_KEYS = ("location_id", "datetime")
 PARTITION_COL = "event_date"
 HOUR_PARTITION_COL = "event_hour"
 PARTITION_COLS = {"day": PARTITION_COL, "hour": HOUR_PARTITION_COL}
-# Files written per table partition by a keyed merge (and the number of tasks
-# one partition is spread over).  Raise it for very large days.
-FILES_PER_PARTITION = 8
-# A micro-batch of n rows writes about n / ROWS_PER_FILE files per touched
-# partition (at least 1, at most FILES_PER_PARTITION).
+# A keyed merge writes about one file (and uses one task) per ROWS_PER_FILE
+# rows of a touched partition, between 1 and MAX_FILES_PER_PARTITION.
 ROWS_PER_FILE = 1_000_000
+MAX_FILES_PER_PARTITION = 4096
 # Serving bounds on the number of history rows returned.
 MIN_ROWS, MAX_ROWS, DEFAULT_ROWS = 1, 10_000, 1000
 
@@ -121,8 +119,8 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                 order: Sequence[str], partition_col: str,
-                files_per_partition: int = FILES_PER_PARTITION,
-                parts: Sequence | None = None) -> None:
+                files_per_partition: int | None = None,
+                parts: dict | Sequence | None = None) -> None:
     """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
     ``partition_col`` (a function of ``keys``, e.g. the day of the event
     instant): per key the row with the greatest ``order`` survives.
@@ -132,31 +130,48 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     untouched.  The touched-partition list has one value per partition of
     the batch (days, shards), not per row.
 
-    One shuffle, on (partition, hash(keys) mod ``files_per_partition``): the
-    arg-max per key runs inside it (the grouping keys contain the shuffle
-    keys), each partition is written as at most ``files_per_partition``
-    files, and a hot partition (today's day in a stream) is still spread over
-    that many tasks.  Re-running the same batch gives the same table
+    One shuffle, on (partition, hash(key) mod files(partition)): the arg-max
+    per key runs inside it (the grouping keys contain the shuffle keys).
+    ``files(partition)`` follows the partition's size -- batch rows plus
+    stored rows (footer counts of the touched partitions), about one file per
+    ``ROWS_PER_FILE`` rows, at most ``MAX_FILES_PER_PARTITION`` -- so a hot
+    partition (a third of all rows) is spread over as many tasks as it
+    needs, and a small one is written as one file.  ``files_per_partition``
+    fixes the count instead.  Re-running the same batch gives the same table
     (idempotent), so a retried micro-batch does not duplicate rows.
+    ``parts`` ({partition: batch rows} or a list) can be passed when the
+    caller already knows it, saving a job.
     """
     # Copies of one key inside the batch collapse first, in a map-side
     # combined aggregate: after this each key occurs at most twice below
     # (stored row + batch row), so no task receives a hot group of copies.
     batch = latest_per_key(batch, [partition_col, *keys], list(order))
     if parts is None:
-        parts = [r[0] for r in batch.select(partition_col).distinct().collect()]
-    if not parts:
+        parts = {r[0]: r[1] for r in batch.groupBy(partition_col).count().collect()}
+    batch_rows = parts if isinstance(parts, dict) else {p: 0 for p in parts}
+    if not batch_rows:
         return
+    stored_rows: dict = {}
     try:
-        existing = spark.read.parquet(path).where(F.col(partition_col).isin(parts))
+        existing = spark.read.parquet(path).where(F.col(partition_col).isin(list(batch_rows)))
         merged = existing.unionByName(batch.select(*existing.columns))
+        if files_per_partition is None:
+            stored_rows = {r[0]: r[1] for r in existing.groupBy(partition_col).count().collect()}
     except Exception as exc:  # table does not exist yet
         if not any(m in str(exc) for m in ("PATH_NOT_FOUND", "does not exist",
                                             "UNABLE_TO_INFER_SCHEMA")):
             raise
         merged = batch
+    if files_per_partition is None:
+        sizes = {p: -(-(batch_rows.get(p, 0) + stored_rows.get(p, 0)) // ROWS_PER_FILE)
+                 for p in batch_rows}
+        pairs = [x for p, n in sizes.items()
+                 for x in (F.lit(p), F.lit(max(1, min(MAX_FILES_PER_PARTITION, n))))]
+        files = F.coalesce(F.element_at(F.create_map(*pairs), F.col(partition_col)), F.lit(1))
+    else:
+        files = F.lit(int(files_per_partition))
     cols = merged.columns
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(files_per_partition)))
+    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), files.cast("long"))
     spread = merged.withColumn("_file", bucket).repartition(partition_col, "_file")
     current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
     (current.select(*cols).sortWithinPartitions(partition_col, *keys)
@@ -168,8 +183,8 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
                    keys: Sequence[str] = DEFAULT_KEYS,
                    order: Sequence[str] = ("processed_at",),
                    ts_col: str = "event_ts", granularity: str = "day",
-                   parts: Sequence | None = None,
-                   files_per_partition: int = FILES_PER_PARTITION) -> None:
+                   parts: dict | Sequence | None = None,
+                   files_per_partition: int | None = None) -> None:
     """Upsert into the time-partitioned history table (primary key ``keys``,
     the latest ``order`` wins, default: the last processed write).
 

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from haze.functions.aqi import score
-from haze.operators.history import (DEFAULT_KEYS, FILES_PER_PARTITION, PARTITION_COLS,
-                                    ROWS_PER_FILE, keyed_merge, upsert_history, with_partition)
+from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, keyed_merge, upsert_history,
+                                    with_partition)
 from haze.operators.latest import SNAPSHOT_COLUMNS, latest_per_key
 from haze.schemas import HISTORY_COLUMNS
 
@@ -79,24 +79,26 @@ class DualSink:
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            # One pass fills the cache and returns the row count plus the
-            # touched time partitions and snapshot shards (both bounded sets).
+            # One pass fills the cache and returns the rows per (time
+            # partition, snapshot shard) -- a bounded table (partitions x
+            # shards) from which the empty check, the touched partitions with
+            # their sizes and the touched shards all follow.
             part_col = PARTITION_COLS[self.granularity]
-            meta = snapshot_shard(with_partition(batch, "event_ts", self.granularity)).agg(
-                F.count(F.lit(1)).alias("n"), F.collect_set(part_col).alias("parts"),
-                F.collect_set("shard").alias("shards")).first()
-            if not meta["n"]:
+            meta = snapshot_shard(with_partition(batch, "event_ts", self.granularity)) \
+                .groupBy(part_col, "shard").count().collect()
+            if not meta:
                 return
+            part_rows: dict = {}
+            for r in meta:
+                part_rows[r[0]] = part_rows.get(r[0], 0) + r[2]
+            shards = sorted({r[1] for r in meta})
             cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in batch.columns]
             # Must succeed: an exception here fails the micro-batch.
-            files = max(1, min(FILES_PER_PARTITION, meta["n"] // ROWS_PER_FILE))
             upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
-                           granularity=self.granularity, parts=list(meta["parts"]),
-                           files_per_partition=files)
+                           granularity=self.granularity, parts=part_rows)
             if self.snapshot_path:
                 try:
-                    merge_snapshot(self.spark, batch, self.snapshot_path,
-                                   shards=list(meta["shards"]))
+                    merge_snapshot(self.spark, batch, self.snapshot_path, shards=shards)
                 except Exception:  # best effort, like the cache it models
                     log.warning("snapshot update failed for batch %s", epoch_id, exc_info=True)
             if self.alerts_path:

@@ -215,3 +215,19 @@ def test_kv_and_ratio_overflow_is_null_not_error(spark):
     df = spark.createDataFrame([(100.0, 1e-300), (5.0, 10.0), (5.0, 0.0), (5.0, -1.0)],
                                "pm25 double, pm10 double")
     assert [x[0] for x in df.select(pm25_share("pm25", "pm10")).collect()] == [None, 50, None, 0]
+
+
+def test_keyed_merge_files_follow_partition_size(spark, tmp_dir, monkeypatch):
+    monkeypatch.setattr(history, "ROWS_PER_FILE", 4)
+    big = [(i, f"b{i}", T0 + dt.timedelta(minutes=i), 1.0, 1, T0) for i in range(40)]
+    small = [(1, "s", T0 + dt.timedelta(days=3), 1.0, 1, T0)]
+    path = os.path.join(tmp_dir, "sized")
+    history.upsert_history(spark, _rows(spark, big + small), path)
+    counts = {}
+    for d, _, files in os.walk(path):
+        n = len([f for f in files if f.endswith(".parquet")])
+        if n:
+            counts[os.path.basename(d)] = n
+    assert counts["event_date=2024-01-04"] == 1
+    assert 5 <= counts["event_date=2024-01-01"] <= 10        # 40 rows / 4 per file, hashed
+    assert spark.read.parquet(path).count() == 41
