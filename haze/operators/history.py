@@ -163,16 +163,18 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
             raise
         merged = batch
     if files_per_partition is None:
-        sizes = {p: -(-(batch_rows.get(p, 0) + stored_rows.get(p, 0)) // ROWS_PER_FILE)
+        sizes = {p: max(1, min(MAX_FILES_PER_PARTITION,
+                               -(-(batch_rows.get(p, 0) + stored_rows.get(p, 0)) // ROWS_PER_FILE)))
                  for p in batch_rows}
-        pairs = [x for p, n in sizes.items()
-                 for x in (F.lit(p), F.lit(max(1, min(MAX_FILES_PER_PARTITION, n))))]
-        files = F.coalesce(F.element_at(F.create_map(*pairs), F.col(partition_col)), F.lit(1))
     else:
-        files = F.lit(int(files_per_partition))
+        sizes = {p: int(files_per_partition) for p in batch_rows}
+    pairs = [x for p, n in sizes.items() for x in (F.lit(p), F.lit(n))]
+    files = F.coalesce(F.element_at(F.create_map(*pairs), F.col(partition_col)), F.lit(1))
     cols = merged.columns
     bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), files.cast("long"))
-    spread = merged.withColumn("_file", bucket).repartition(partition_col, "_file")
+    # As many tasks as files in total (an explicit count, which AQE keeps).
+    spread = merged.withColumn("_file", bucket) \
+        .repartition(sum(sizes.values()), partition_col, "_file")
     current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
     (current.select(*cols).sortWithinPartitions(partition_col, *keys)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
