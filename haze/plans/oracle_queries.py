@@ -460,3 +460,18 @@ FROM history GROUP BY location_id""", "history")
 ORACLE["stream_history_append"] = with_views("""
 SELECT datetime, location_id, event_ts, pm25, pm10, aqi, quality FROM s""",
                                              "readings", extra={"f32": _F32, "s": _F32_SCORED})
+
+ORACLE["grid_left_join"] = with_views("""
+SELECT grid.location_id, grid.g AS datetime, round(w.pm25, 6) AS pm25, round(w.pm10, 6) AS pm10
+FROM grid LEFT JOIN wide w ON w.location_id = grid.location_id AND w.datetime = grid.g""",
+                                      "raw_long", extra={
+    "wide": WIDE,
+    "bounds": "SELECT location_id, min(datetime) AS t0, max(datetime) AS t1 FROM wide GROUP BY 1",
+    "grid": "SELECT location_id, unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS g FROM bounds",
+})
+
+ORACLE["aqi_quantiles"] = with_views("""
+SELECT q.name AS quantile, CAST(r.aqi AS INTEGER) AS aqi
+FROM (VALUES ('p10', 0.1), ('p50', 0.5), ('p90', 0.9), ('p99', 0.99), ('max', 1.0)) q(name, p)
+JOIN (SELECT aqi, row_number() OVER (ORDER BY aqi) - 1 AS rk, count(*) OVER () AS n FROM history) r
+  ON r.rk = CAST(floor((r.n - 1) * CAST(q.p AS DOUBLE) + 0.5) AS BIGINT)""", "history")

@@ -538,3 +538,23 @@ def stream_history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
             q.awaitTermination()
     return current_history(spark.read.parquet(f"{root}/history")).select(
         "datetime", "location_id", "event_ts", "pm25", "pm10", "aqi", "quality")
+
+
+@query("grid_left_join")
+def grid_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal hourly grid per station left-joined with the hourly wide
+    readings (values only where a reading exists)."""
+    from haze.operators.densify import left_join_grid
+    g = left_join_grid(_wide(spark, sf_dir), step_seconds=3600)
+    return g.select("location_id", "datetime", F.round("pm25", 6).alias("pm25"),
+                    F.round("pm10", 6).alias("pm10"))
+
+
+@query("aqi_quantiles")
+def aqi_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact nearest-rank quantiles of the overall index over all readings,
+    through the generic two-level histogram (bucket width from the data)."""
+    from haze.operators.metrics import exact_ranks
+    qs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
+    r = exact_ranks(tables.history(spark, sf_dir), "aqi", qs)
+    return r.select(F.col("name").alias("quantile"), F.col("v").cast("int").alias("aqi"))
