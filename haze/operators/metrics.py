@@ -132,35 +132,39 @@ MAX_RANK_RANGE_BITS = 40
 def exact_ranks(values: DataFrame, col: str, quantiles: dict[str, float | str],
                 bucket: int | None = None) -> DataFrame:
     """Exact order statistics of an integer column without collecting or
-    globally sorting it: (name, value) rows, values relative to the minimum
-    when ``bucket`` is not given.
-
-    Two-level histogram.  Level 1 counts rows per ``value div bucket``
-    (map-side combined) and locates each target rank's bucket from running
-    counts; level 2 re-reads only the rows of those buckets, counts per
-    distinct value and picks the value at the rank inside the bucket.
-    Without an explicit ``bucket`` the width is 2**ceil(bits/2) for a value
-    range of 2**bits, so both levels hold at most ~sqrt(range) rows; ranges
-    wider than 2**40 raise an error (use ``percentile_approx`` there).  Every
-    single-partition window here runs over one of those bounded tables.
+    globally sorting it: (name, value) rows.
+
+    Two-level histogram.  Level 1 counts rows per ``(value - min) div
+    bucket`` (map-side combined) and is written once to the shared
+    checkpoint folder; each target rank's bucket is located from running
+    counts over that small table.  Level 2 re-reads only the rows of those
+    buckets, counts per distinct value and picks the value at the rank
+    inside its bucket.  Without an explicit ``bucket`` the width is
+    2**ceil(bits/2) for a value range of 2**bits (min/max come from one
+    one-row aggregate), so both levels hold at most ~sqrt(range) rows;
+    ranges wider than 2**40 are refused (use ``percentile_approx`` there).
+    Every single-partition window here runs over one of those bounded tables.
     """
-    origin = None
+    from haze.session import materialize
+    origin = 0
     if bucket is None:
-        mm = values.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
-        width = mm["hi"] - mm["lo"] + 1
-        bits = F.ceil(F.log2(width.cast("double")))
-        bucket = F.when(bits > MAX_RANK_RANGE_BITS, F.raise_error(F.lit(
-            f"exact_ranks: value range wider than 2**{MAX_RANK_RANGE_BITS}")).cast("long")) \
-            .otherwise(F.pow(F.lit(2.0), F.ceil(bits / 2)).cast("long"))
-        origin = mm["lo"]
-    else:
-        bucket = F.lit(int(bucket))
-    v = _bucketed(values, col, bucket, origin)
-    hist1 = v.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+        mm = values.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        if mm["lo"] is None:
+            return values.sparkSession.createDataFrame([], "name string, v long")
+        width = int(mm["hi"]) - int(mm["lo"]) + 1
+        bits = max(0, (width - 1).bit_length())
+        if bits > MAX_RANK_RANGE_BITS:
+            raise ValueError(f"exact_ranks: value range wider than 2**{MAX_RANK_RANGE_BITS}; "
+                             "use percentile_approx")
+        bucket = 1 << ((bits + 1) // 2)
+        origin = int(mm["lo"])
+    v = _bucketed(values, col, F.lit(int(bucket)), F.lit(origin) if origin else None)
+    hist1 = materialize(v.groupBy("b").agg(F.count(F.lit(1)).alias("c")).coalesce(1),
+                        "rank-histogram")
     n = hist1.select(F.sum("c")).scalar()
     picked = _pick(v, _locate(hist1, n, quantiles))
-    if origin is not None:
-        picked = picked.select("name", (F.col("v") + origin).alias("v"))
+    if origin:
+        picked = picked.select("name", (F.col("v") + F.lit(origin)).alias("v"))
     return picked
 
 
