@@ -44,11 +44,11 @@ def apply_rules(df: DataFrame, rules: DataFrame, out_col: str = "severity") -> D
 
     The rules table is configuration: its size is checked and its rows become
     one ``CASE WHEN`` expression, so evaluation stays a narrow projection."""
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"{n} rules; at most {MAX_RULES} are supported")
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules are not supported")
     expr: Column | None = None
-    for r in rules.collect():
+    for r in rows:
         cond = _OPS[r["op"]](F.col(r["column"]), F.lit(r["threshold"]))
         expr = F.when(cond, F.lit(r["severity"])) if expr is None \
             else expr.when(cond, F.lit(r["severity"]))
