@@ -40,10 +40,14 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
 
 
 def apply_rules(df: DataFrame, rules: DataFrame, out_col: str = "severity") -> DataFrame:
-    """First matching rule's severity (rules in table order, strongest first).
+    """First matching rule's severity: rules in ``priority`` order when the
+    table has that column (lowest first), else in table order (strongest
+    first, as a local list keeps it).
 
     The rules table is configuration: its size is checked and its rows become
     one ``CASE WHEN`` expression, so evaluation stays a narrow projection."""
+    if "priority" in rules.columns:
+        rules = rules.orderBy("priority")
     rows = rules.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules are not supported")

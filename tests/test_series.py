@@ -205,3 +205,17 @@ def test_exact_ranks_adaptive_width_and_guard(spark):
     wide = spark.createDataFrame([(0,), (1 << 50,)], "v long")
     with pytest.raises(Exception):
         M.exact_ranks(wide, "v", {"p50": 0.5}).collect()
+
+
+def test_rules_priority_and_edges(spark):
+    from haze.operators import windows as W
+    rules = spark.createDataFrame(
+        [(2, "aqi", ">", 150.0, "warning"), (1, "aqi", ">", 200.0, "danger")],
+        "priority int, column string, op string, threshold double, severity string")
+    rows = [(1, T0 + dt.timedelta(hours=h), a) for h, a in
+            enumerate([10, 160, 170, 250, 240, 90, 210])]
+    rows += [(2, T0 + dt.timedelta(days=d), 300) for d in range(3)]   # crosses day chunks
+    df = spark.createDataFrame(rows, "location_id long, event_ts timestamp, aqi int")
+    got = W.alert_edges(df, rules).orderBy("location_id", "event_ts").collect()
+    assert [(r.location_id, r.aqi, r.severity) for r in got] == [
+        (1, 160, "warning"), (1, 250, "danger"), (1, 210, "danger"), (2, 300, "danger")]
