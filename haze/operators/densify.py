@@ -45,7 +45,13 @@ def _chunked_neighbours(df: DataFrame, station: str, values: Sequence[str], chun
     """Per row (``_t`` in micros): ``_p_<c>`` = last known (t, v) at or before
     the row, ``_n_<c>`` = first known (t, v) strictly after it, and ``_t_next``
     = the next row's instant; all across chunk boundaries."""
-    df = df.withColumn("_chunk", F.floor((F.col("_t") - F.col("_t0")) / F.lit(chunk_us)))
+    # Pin the partitioning to (station, chunk).  Without it, a join that the
+    # planner turns into a broadcast leaves the rows hash-partitioned by
+    # station alone, which Spark accepts for a (station, chunk) window (a
+    # subset of the keys) -- putting a hot station back into one task.  The
+    # same exchange also feeds the per-chunk summary (reused, one shuffle).
+    df = df.withColumn("_chunk", F.floor((F.col("_t") - F.col("_t0")) / F.lit(chunk_us))) \
+        .repartition(station, "_chunk")
     known = {c: _known(F.col("_t"), F.col(c)) for c in values}
 
     # One row per (station, chunk): bounded by stations x chunks.

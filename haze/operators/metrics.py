@@ -272,7 +272,8 @@ def latency_series(samples: DataFrame, station_col: str = "location_id",
     chunk_us = int(chunk_seconds) * 1_000_000
     valid = samples.where(F.col("disposition") == "valid").select(
         station_col, "event_time", "processed_at", "latency",
-        F.floor(F.unix_micros("event_time") / F.lit(chunk_us)).alias("_chunk"))
+        F.floor(F.unix_micros("event_time") / F.lit(chunk_us)).alias("_chunk")) \
+        .repartition(station_col, "_chunk")   # pin (station, day): see densify
     per_chunk = valid.groupBy(station_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(station_col).orderBy("_chunk") \
         .rowsBetween(Window.unboundedPreceding, -1)

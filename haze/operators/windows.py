@@ -71,7 +71,8 @@ def previous_value(df: DataFrame, col: str, station: str = "location_id",
     out_col = out_col or f"prev_{col}"
     chunk_us = int(chunk_seconds) * 1_000_000
     base = df.withColumns({"_t": F.unix_micros(F.col(ts_col))}) \
-        .withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk_us)))
+        .withColumn("_chunk", F.floor(F.col("_t") / F.lit(chunk_us))) \
+        .repartition(station, "_chunk")   # pin (station, day): see densify
     item = F.struct(F.col("_t").alias("t"), F.col(col).alias("v"))
     summary = base.groupBy(station, "_chunk").agg(F.max(item).alias("_last"))
     carry = summary.select(station, "_chunk", F.lag("_last").over(

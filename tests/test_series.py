@@ -219,3 +219,29 @@ def test_rules_priority_and_edges(spark):
     got = W.alert_edges(df, rules).orderBy("location_id", "event_ts").collect()
     assert [(r.location_id, r.aqi, r.severity) for r in got] == [
         (1, 160, "warning"), (1, 250, "danger"), (1, 210, "danger"), (2, 300, "danger")]
+
+
+def test_hot_station_is_spread_over_tasks(spark):
+    """A station with most of the rows is split by (station, day) in every
+    per-row window, so its work lands in several tasks, not one."""
+    from haze.operators import windows as W
+    rows = [(1, T0 + dt.timedelta(minutes=30 * i), float(i % 17), 100 + i % 150)
+            for i in range(20 * 48)]
+    rows += [(2, T0 + dt.timedelta(hours=h), 1.0, 10) for h in range(5)]
+    df = spark.createDataFrame(rows, "location_id long, datetime timestamp, a double, aqi int")
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dense = D.densify(df, values=["a"], step_seconds=1800)
+        filled = D.forward_fill(df, ["a"])
+        edges = W.previous_value(df.withColumnRenamed("datetime", "event_ts"), "aqi")
+        series_in = df.select("location_id", F.col("datetime").alias("event_time"),
+                              F.col("datetime").alias("processed_at"), F.lit(0.0).alias("latency"),
+                              F.lit("valid").alias("disposition"))
+        for out in (dense, filled, edges, M.latency_series(series_in)):
+            parts = out.where("location_id = 1").select(F.spark_partition_id().alias("p")) \
+                .distinct().count()
+            assert parts > 1
+        assert dense.where("location_id = 1").count() == 20 * 48
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
