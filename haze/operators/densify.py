@@ -98,7 +98,8 @@ def _with_origin(df: DataFrame, station: str, ts: str) -> DataFrame:
 
 def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
             values: Sequence[str] | None = None, step_seconds: int = 5,
-            chunk_seconds: int = DAY_SECONDS, off_grid: str = "drop") -> DataFrame:
+            chunk_seconds: int = DAY_SECONDS, off_grid: str = "drop",
+            spread_gaps: bool = False) -> DataFrame:
     """Regular grid per station from its first to its last reading every
     ``step_seconds``; each value column linearly interpolated in time between
     the surrounding known points (leading/trailing gaps stay null).
@@ -106,6 +107,12 @@ def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
     ``off_grid="drop"``: readings not on the station's grid are ignored (the
     effect of joining the grid on exact instants).  ``"snap"``: they are
     moved down to the grid and averaged per grid instant.
+
+    ``spread_gaps=True`` cuts every gap at chunk boundaries and shuffles the
+    pieces by (station, chunk) before generating the grid, so no task emits
+    more than one chunk of grid per station even when a station was silent
+    for months (one extra shuffle of the sparse rows).  Without it, a gap's
+    grid points stream out of the task that holds the row before the gap.
     """
     values = _value_columns(df, station, ts, values)
     step_us = int(step_seconds) * 1_000_000
@@ -120,7 +127,19 @@ def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
 
     rows = _chunked_neighbours(base, station, values, chunk_us)
     stop = F.coalesce(F.col("_t_next") - F.lit(step_us), F.col("_t"))
-    grid = rows.withColumn("_g", F.explode(F.sequence(F.col("_t"), stop, F.lit(step_us))))
+    if spread_gaps:
+        # One piece per chunk the segment touches; piece bounds stay on the
+        # grid because chunks are whole multiples of the step from _t0.
+        chunk_of = lambda t: F.floor((t - F.col("_t0")) / F.lit(chunk_us))
+        rows = rows.withColumn("_stop", stop).withColumn(
+            "_pc", F.explode(F.sequence(chunk_of(F.col("_t")), chunk_of(F.col("_stop")))))
+        lo = F.greatest(F.col("_t"), F.col("_t0") + F.col("_pc") * F.lit(chunk_us))
+        hi = F.least(F.col("_stop"),
+                     F.col("_t0") + (F.col("_pc") + 1) * F.lit(chunk_us) - F.lit(step_us))
+        rows = rows.withColumns({"_lo": lo, "_hi": hi}).repartition(station, "_pc")
+        grid = rows.withColumn("_g", F.explode(F.sequence("_lo", "_hi", F.lit(step_us))))
+    else:
+        grid = rows.withColumn("_g", F.explode(F.sequence(F.col("_t"), stop, F.lit(step_us))))
     out = [F.col(station), F.timestamp_micros(F.col("_g")).alias(ts)]
     for c in values:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")

@@ -475,3 +475,5 @@ SELECT q.name AS quantile, CAST(r.aqi AS INTEGER) AS aqi
 FROM (VALUES ('p10', 0.1), ('p50', 0.5), ('p90', 0.9), ('p99', 0.99), ('max', 1.0)) q(name, p)
 JOIN (SELECT aqi, row_number() OVER (ORDER BY aqi) - 1 AS rk, count(*) OVER () AS n FROM history) r
   ON r.rk = CAST(floor((r.n - 1) * CAST(q.p AS DOUBLE) + 0.5) AS BIGINT)""", "history")
+
+ORACLE["densify_spread"] = ORACLE["densify_linear"]

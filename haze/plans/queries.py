@@ -558,3 +558,11 @@ def aqi_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0}
     r = exact_ranks(tables.history(spark, sf_dir), "aqi", qs)
     return r.select(F.col("name").alias("quantile"), F.col("v").cast("int").alias("aqi"))
+
+
+@query("densify_spread")
+def densify_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``densify_linear`` with gaps cut at day boundaries and spread over
+    tasks before the grid is generated (same result)."""
+    from haze.operators.densify import densify
+    return densify(_wide(spark, sf_dir), step_seconds=3600, spread_gaps=True)

@@ -57,8 +57,10 @@ def test_densify_matches_brute_force(spark):
     rows = _fixture_rows()
     df = spark.createDataFrame(rows, "location_id long, datetime timestamp, a double, b double")
     want = _brute_densify(rows, 5).sort_values(["location_id", "datetime"]).reset_index(drop=True)
-    for chunk in (D.DAY_SECONDS, 60):       # result must not depend on the chunking
-        got = D.densify(df, values=["a", "b"], step_seconds=5, chunk_seconds=chunk).toPandas()
+    for chunk, spread in ((D.DAY_SECONDS, False), (60, False), (60, True), (D.DAY_SECONDS, True)):
+        # the result must not depend on the chunking or on spreading gaps
+        got = D.densify(df, values=["a", "b"], step_seconds=5, chunk_seconds=chunk,
+                        spread_gaps=spread).toPandas()
         got = got.sort_values(["location_id", "datetime"]).reset_index(drop=True)
         assert len(got) == len(want)
         assert (got.datetime.values == want.datetime.values).all()
@@ -245,3 +247,19 @@ def test_hot_station_is_spread_over_tasks(spark):
         assert dense.where("location_id = 1").count() == 20 * 48
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def test_long_gap_spread_over_tasks(spark):
+    rows = [(1, T0, 1.0), (1, T0 + dt.timedelta(days=30), 31.0)]     # one 30-day gap
+    df = spark.createDataFrame(rows, "location_id long, datetime timestamp, a double")
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = D.densify(df, values=["a"], step_seconds=3600, spread_gaps=True)
+        assert out.count() == 30 * 24 + 1
+        parts = out.select(F.spark_partition_id()).distinct().count()
+        assert parts > 1
+        mid = out.where(F.col("datetime") == T0 + dt.timedelta(days=15)).first()
+        assert mid.a == pytest.approx(16.0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
