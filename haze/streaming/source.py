@@ -34,9 +34,18 @@ def readings_stream(spark: SparkSession, source: str = "kafka", path: str | None
             opts.setdefault("maxOffsetsPerTrigger", str(max_per_trigger))
         if min_partitions:
             opts.setdefault("minPartitions", str(min_partitions))
-        return spark.readStream.format("kafka").options(**opts).load() \
-            .select(F.col("value").cast("string").alias("value"),
-                    "topic", "partition", "offset", F.col("timestamp").alias("kafka_ts"))
+        try:
+            raw = spark.readStream.format("kafka").options(**opts).load()
+        except Exception as exc:
+            if "kafka" in str(exc).lower() and ("find" in str(exc).lower()
+                                                 or "DATA_SOURCE_NOT_FOUND" in str(exc)):
+                raise RuntimeError(
+                    "the Kafka connector is not on the classpath; start Spark with "
+                    "spark.jars.packages=org.apache.spark:spark-sql-kafka-0-10_2.13:"
+                    f"{spark.version}") from exc
+            raise
+        return raw.select(F.col("value").cast("string").alias("value"),
+                          "topic", "partition", "offset", F.col("timestamp").alias("kafka_ts"))
     if source in ("text", "json-lines"):
         reader = spark.readStream.format("text").options(**opts)
         if max_per_trigger:

@@ -162,3 +162,9 @@ def test_append_job_exactly_once_and_current_view(spark, tmp_dir):
     assert stored.count() == 3 and "event_date" in stored.columns
     assert job.current_history(stored).count() == 2
     assert spark.read.parquet(snap).count() == 2
+
+
+def test_kafka_source_without_connector_says_so(spark):
+    with pytest.raises(RuntimeError, match="Kafka connector"):
+        source.readings_stream(spark, "kafka", options={
+            "kafka.bootstrap.servers": "localhost:9092", "subscribe": "t"})
