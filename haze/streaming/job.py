@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,22 +94,34 @@ class DualSink:
                 part_rows[r[0]] = part_rows.get(r[0], 0) + r[2]
             shards = sorted({r[1] for r in meta})
             cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in batch.columns]
-            # Must succeed: an exception here fails the micro-batch.
-            upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
-                           granularity=self.granularity, parts=part_rows)
-            if self.snapshot_path:
-                try:
-                    merge_snapshot(self.spark, batch, self.snapshot_path, shards=shards)
-                except Exception:  # best effort, like the cache it models
-                    log.warning("snapshot update failed for batch %s", epoch_id, exc_info=True)
-            if self.alerts_path:
-                try:
-                    self.write_alerts(batch, epoch_id)
-                except Exception:
-                    log.warning("alert write failed for batch %s", epoch_id, exc_info=True)
+            # The snapshot and alert writes are independent of the history
+            # write: they run as concurrent Spark jobs from a second driver
+            # thread, and their failures are only logged (best effort, like
+            # the cache they model).
+            side = ThreadPoolExecutor(max_workers=1)
+            pending = side.submit(self._serving_writes, batch, epoch_id, shards)
+            try:
+                # Must succeed: an exception here fails the micro-batch.
+                upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
+                               granularity=self.granularity, parts=part_rows)
+            finally:
+                pending.result()
+                side.shutdown()
         finally:
             batch.unpersist()
 
+    def _serving_writes(self, batch: DataFrame, epoch_id: int, shards) -> None:
+        if self.snapshot_path:
+            try:
+                merge_snapshot(self.spark, batch, self.snapshot_path, shards=shards)
+            except Exception:
+                log.warning("snapshot update failed for batch %s", epoch_id, exc_info=True)
+        if self.alerts_path:
+            try:
+                self.write_alerts(batch, epoch_id)
+            except Exception:
+                log.warning("alert write failed for batch %s", epoch_id, exc_info=True)
+
     def write_alerts(self, batch: DataFrame, epoch_id: int) -> None:
         src = batch
         if self.latest_only_alerts:
