@@ -271,3 +271,20 @@ def snapshot_stream(scored: DataFrame, path: str, checkpoint: str,
     trig = trigger or ({"processingTime": every} if every else {"availableNow": True})
     return start(latest, checkpoint, mode="update", trigger=trig,
                  sink=lambda b, e: merge_snapshot(b.sparkSession, b, path))
+
+
+def compact_history(spark: SparkSession, append_path: str, compacted_path: str,
+                    partitions: Sequence | None = None, keys: Sequence[str] = DEFAULT_KEYS,
+                    order: Sequence[str] = ("processed_at",), granularity: str = "day") -> None:
+    """Deduplicate time partitions of an append-mode history into a keyed
+    table (latest write per key), rewriting only those partitions there.
+
+    The append table itself is never rewritten: its files are tracked by the
+    streaming file sink's metadata log, and files written outside it would
+    be invisible to readers.  ``partitions=None`` compacts every partition.
+    """
+    part = PARTITION_COLS[granularity]
+    src = spark.read.parquet(append_path)
+    if partitions is not None:
+        src = src.where(F.col(part).isin(list(partitions)))
+    keyed_merge(spark, src, compacted_path, list(keys), list(order), part)

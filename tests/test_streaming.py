@@ -168,3 +168,20 @@ def test_kafka_source_without_connector_says_so(spark):
     with pytest.raises(RuntimeError, match="Kafka connector"):
         source.readings_stream(spark, "kafka", options={
             "kafka.bootstrap.servers": "localhost:9092", "subscribe": "t"})
+
+
+def test_compact_append_history(spark, tmp_dir):
+    inp = os.path.join(tmp_dir, "in")
+    hist, compacted = os.path.join(tmp_dir, "h"), os.path.join(tmp_dir, "c")
+    msg = {"datetime": "2024-01-01T00:00:00+00:00", "location_id": 1, "pm25": 30.0}
+    for items in ([msg, {**msg, "location_id": 2}], [msg]):
+        _write(spark, inp, items)
+        for q in job.scoring_job_append(spark, source.readings_stream(spark, "text", inp), hist,
+                                        checkpoint=os.path.join(tmp_dir, "ck"),
+                                        trigger={"availableNow": True}):
+            q.awaitTermination()
+    assert spark.read.parquet(hist).count() == 3
+    job.compact_history(spark, hist, compacted)
+    job.compact_history(spark, hist, compacted)          # idempotent
+    c = spark.read.parquet(compacted)
+    assert c.count() == 2 and sorted(r.location_id for r in c.collect()) == [1, 2]
