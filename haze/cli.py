@@ -7,6 +7,7 @@ Spark jobs.  Only one-row reports are printed on the driver.
     densify    wide parquet -> regular grid per station (+ optional noise)
     publish    wide/dense parquet -> JSON messages (Kafka topic or files)
     stream     scoring job: messages -> console, or history + snapshot + alerts
+    compact    append-mode history -> keyed table (latest write per key)
     analyze    latency report from a history table (+ optional CSV of samples)
     freshness  newest reading age and level
     lag        produced vs stored rows
@@ -97,6 +98,13 @@ def cmd_stream(args) -> None:
         q.awaitTermination()
 
 
+def cmd_compact(args) -> None:
+    from haze.streaming.job import compact_history
+    spark = _spark(args)
+    parts = args.partitions.split(",") if args.partitions else None
+    compact_history(spark, args.history, args.output, parts, granularity=args.granularity)
+
+
 def cmd_analyze(args) -> None:
     from haze.operators.history import read_history
     from haze.operators.metrics import latency_samples, latency_summary, write_latency_csv
@@ -173,6 +181,13 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--once", action="store_true", help="process what is there, then stop")
     s.set_defaults(fn=cmd_stream)
 
+    s = sub.add_parser("compact")
+    s.add_argument("history", help="append-mode history table")
+    s.add_argument("output", help="keyed (deduplicated) table")
+    s.add_argument("--partitions", default=None, help="comma list; default: all")
+    s.add_argument("--granularity", choices=["day", "hour"], default="day")
+    s.set_defaults(fn=cmd_compact)
+
     s = sub.add_parser("analyze")
     s.add_argument("history")
     s.add_argument("--as-of", required=True)
