@@ -36,3 +36,38 @@ def test_monotone_inside_bracket(spark, bracket, fracs):
     got = [r.a for r in df.orderBy("i").select(aqi.sub_index("c", std).alias("a")).collect()]
     assert got == sorted(got)
     assert all(bracket.i_low <= a <= bracket.i_high for a in got)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 400),
+                          st.one_of(st.none(), st.floats(-50, 50)),
+                          st.booleans()), min_size=1, max_size=40),
+       st.booleans())
+def test_densify_matches_brute_force(spark, points, spread):
+    """Random stations, gaps, nulls and off-grid rows: densify equals a
+    per-station pandas reindex + time interpolation."""
+    import datetime as dt
+
+    import numpy as np
+
+    from haze.operators import densify as D
+    from test_series import _brute_densify
+
+    t0 = dt.datetime(2024, 1, 1)
+    seen, rows = set(), []
+    for station, k, v, off in points:
+        secs = k * 5 + (2 if off else 0)
+        if (station, secs) in seen:
+            continue
+        seen.add((station, secs))
+        rows.append((station, t0 + dt.timedelta(seconds=secs), v, None if v is None else -v))
+    df = spark.createDataFrame(rows, "location_id long, datetime timestamp, a double, b double")
+    got = D.densify(df, values=["a", "b"], step_seconds=5, chunk_seconds=300,
+                    spread_gaps=spread).toPandas().sort_values(["location_id", "datetime"])
+    want = _brute_densify(rows, 5).sort_values(["location_id", "datetime"])
+    assert len(got) == len(want)
+    assert (got.datetime.values == want.datetime.values).all()
+    for c in ("a", "b"):
+        g, w = got[c].astype(float), want[c].astype(float)
+        assert (g.isna().values == w.isna().values).all()
+        np.testing.assert_allclose(g.fillna(0).values, w.fillna(0).values, rtol=1e-9, atol=1e-9)

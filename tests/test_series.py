@@ -40,6 +40,7 @@ def _brute_densify(rows, step):
     """Per station: reindex on the grid from its first reading, drop
     off-grid rows, interpolate linearly in time inside known values only."""
     pdf = pd.DataFrame(rows, columns=["location_id", "datetime", "a", "b"])
+    pdf[["a", "b"]] = pdf[["a", "b"]].astype(float)
     out = []
     for sid, g in pdf.groupby("location_id"):
         t0 = g.datetime.min()
