@@ -71,3 +71,30 @@ def test_densify_matches_brute_force(spark, points, spread):
         g, w = got[c].astype(float), want[c].astype(float)
         assert (g.isna().values == w.isna().values).all()
         np.testing.assert_allclose(g.fillna(0).values, w.fillna(0).values, rtol=1e-9, atol=1e-9)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 5000), st.integers(0, 300)),
+                min_size=1, max_size=60, unique_by=lambda t: (t[0], t[1])))
+def test_previous_value_and_latest_match_pandas(spark, points):
+    import datetime as dt
+
+    import pandas as pd
+
+    from haze.operators.latest import latest_per_key
+    from haze.operators.windows import previous_value
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(minutes=m), a) for s, m, a in points]
+    df = spark.createDataFrame(rows, "location_id long, event_ts timestamp, aqi int")
+    got = previous_value(df, "aqi", chunk_seconds=3600).toPandas() \
+        .sort_values(["location_id", "event_ts"]).reset_index(drop=True)
+    pdf = pd.DataFrame(rows, columns=["location_id", "event_ts", "aqi"]) \
+        .sort_values(["location_id", "event_ts"]).reset_index(drop=True)
+    want = pdf.groupby("location_id")["aqi"].shift(1)
+    assert [None if pd.isna(x) else int(x) for x in got["prev_aqi"]] == \
+        [None if pd.isna(x) else int(x) for x in want]
+    latest = {r.location_id: (r.event_ts, r.aqi) for r in latest_per_key(df).collect()}
+    newest = pdf.loc[pdf.groupby("location_id")["event_ts"].idxmax()]
+    assert latest == {int(r.location_id): (r.event_ts.to_pydatetime(), int(r.aqi))
+                      for r in newest.itertuples()}
