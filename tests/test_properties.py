@@ -98,3 +98,45 @@ def test_previous_value_and_latest_match_pandas(spark, points):
     newest = pdf.loc[pdf.groupby("location_id")["event_ts"].idxmax()]
     assert latest == {int(r.location_id): (r.event_ts.to_pydatetime(), int(r.aqi))
                       for r in newest.itertuples()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.floats(-1000, 1000), min_size=1, max_size=80), st.integers(1, 12))
+def test_histogram_matches_numpy(spark, xs, bins):
+    import math
+
+    from haze.operators.metrics import histogram
+
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = {r.bin: r["count"] for r in histogram(df, "x", bins).collect()}
+    lo, hi = min(xs), max(xs)
+    want = {b: 0 for b in range(1, bins + 1)}
+    for x in xs:
+        b = 1 if hi == lo else min(int(math.floor(bins * (x - lo) / (hi - lo))) + 1, bins)
+        want[b] += 1
+    assert got == want
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 3),
+                          st.sampled_from([" PM2.5 ", "pm2_5", "PM10", "Temperature", "co"]),
+                          st.floats(0, 100)), min_size=1, max_size=50))
+def test_pivot_mean_matches_pandas(spark, points):
+    import pandas as pd
+
+    from haze.operators.clean import clean_parameter, pivot_mean
+
+    df = spark.createDataFrame(points, "location_id long, hour int, parameter string, value double")
+    got = pivot_mean(df.withColumn("parameter", clean_parameter("parameter")),
+                     ("location_id", "hour"), ["pm25", "pm10", "temperature", "co"]).toPandas()
+    pdf = pd.DataFrame(points, columns=["location_id", "hour", "parameter", "value"])
+    pdf["parameter"] = pdf["parameter"].str.strip().str.lower().replace(
+        {"pm2.5": "pm25", "pm2_5": "pm25"})
+    want = pdf.pivot_table(index=["location_id", "hour"], columns="parameter", values="value",
+                           aggfunc="mean").reset_index()
+    got = got.set_index(["location_id", "hour"]).sort_index()
+    want = want.set_index(["location_id", "hour"]).sort_index()
+    assert list(got.index) == list(want.index)
+    for c in want.columns:
+        assert ((got[c] - want[c]).abs().fillna(0) < 1e-9).all()
+        assert (got[c].isna() == want[c].isna()).all()
