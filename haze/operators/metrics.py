@@ -191,18 +191,20 @@ def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> Dat
     groups = materialize(groups.coalesce(1), "latency-groups")
     valid = groups.where(F.col("disposition") == "valid")
 
-    n = F.sum("c")
-    counts = groups.agg(
-        n.alias("raw"),
-        F.sum(F.when(F.col("disposition") == "valid", F.col("c")).otherwise(0)).alias("valid"),
-        F.sum(F.when(F.col("disposition") == "old", F.col("c")).otherwise(0)).alias("old"),
-        F.sum(F.when(F.col("disposition") == "invalid", F.col("c")).otherwise(0)).alias("invalid"))
+    n = F.coalesce(F.sum("c"), F.lit(0).cast("long"))
+
+    def count_of(disposition):
+        return F.coalesce(F.sum(F.when(F.col("disposition") == disposition, F.col("c"))),
+                          F.lit(0).cast("long")).alias(disposition)
+
+    counts = groups.agg(n.alias("raw"), count_of("valid"), count_of("old"), count_of("invalid"))
     mean = valid.select((F.sum("sm") / F.sum("c")).alias("m")).scalar()
+    m2 = F.sum(F.col("vp") * F.col("c") + F.col("c") * F.pow(F.col("sm") / F.col("c") - mean, 2))
     stats = valid.agg(
         n.alias("count"), F.min("mn").alias("min"), F.max("mx").alias("max"),
-        (F.sum("sm") / n).alias("avg"),
-        F.sqrt(F.sum(F.col("vp") * F.col("c") + F.col("c") * F.pow(F.col("sm") / F.col("c") - mean, 2))
-               / (n - 1)).alias("std_dev"))
+        F.when(n > 0, F.sum("sm") / n).alias("avg"),
+        # sample standard deviation: undefined (null) below two samples
+        F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std_dev"))
 
     hist1 = valid.select("b", "c")
     located = _locate(hist1, hist1.select(F.sum("c")).scalar(),

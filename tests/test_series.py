@@ -264,3 +264,16 @@ def test_long_gap_spread_over_tasks(spark):
         assert mid.a == pytest.approx(16.0)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def test_latency_summary_edge_sizes(spark):
+    as_of = dt.datetime(2024, 1, 1, 12, 0)
+    one = spark.createDataFrame([("2024-01-01T11:59:00+00:00", as_of)],
+                                "datetime string, processed_at timestamp")
+    r = M.latency_summary(M.latency_samples(one, as_of, 60)).first()
+    assert (r.raw, r.valid, r["count"], r.min, r.p50, r.p99) == (1, 1, 1, 60.0, 60.0, 60.0)
+    assert r.std_dev is None and r.unstable is None
+    empty = spark.createDataFrame([], "datetime string, processed_at timestamp")
+    r = M.latency_summary(M.latency_samples(empty, as_of, 60)).first()
+    assert (r.raw, r.valid, r.old, r.invalid, r["count"]) == (0, 0, 0, 0, 0)
+    assert r.avg is None and r.p50 is None
