@@ -125,7 +125,9 @@ def sub_index(
 ) -> Column:
     """Sub-index of one pollutant concentration, IntegerType."""
     std = STANDARDS[standard] if isinstance(standard, str) else standard
-    x = _col(c).cast("double")
+    # try_cast: text that is not a number scores as missing instead of
+    # failing the job under ANSI; numeric inputs convert exactly as cast.
+    x = _col(c).try_cast("double")
     missing = F.lit(0) if null_policy == "zero" else F.lit(None).cast("int")
     expr = F.when(x.isNull(), missing).when(F.isnan(x), missing)
     brackets = std.brackets

@@ -124,10 +124,13 @@ def select_available(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Add missing columns as typed nulls, cast present ones, order as the
-    schema, drop extras.  Narrow projection, no shuffle."""
+    schema, drop extras.  Narrow projection, no shuffle.  Values that do not
+    convert (e.g. ``'N/A'`` in a numeric column of an old table) become null
+    instead of failing the job (``try_cast``)."""
     have = set(df.columns)
     cols = []
     for f in schema.fields:
-        src = F.col(f.name) if f.name in have else F.lit(None)
-        cols.append(src.cast(f.dataType).alias(f.name))
+        src = F.col(f.name).try_cast(f.dataType) if f.name in have \
+            else F.lit(None).cast(f.dataType)
+        cols.append(src.alias(f.name))
     return df.select(*cols)

@@ -231,3 +231,13 @@ def test_keyed_merge_files_follow_partition_size(spark, tmp_dir, monkeypatch):
     assert counts["event_date=2024-01-04"] == 1
     assert 5 <= counts["event_date=2024-01-01"] <= 10        # 40 rows / 4 per file, hashed
     assert spark.read.parquet(path).count() == 41
+
+
+def test_align_and_score_tolerate_bad_text(spark):
+    from haze.functions import aqi
+    old = spark.createDataFrame([("2024-01-01T00:00:00+00:00", "N/A", "12.5")],
+                                "datetime string, aqi string, pm25 string")
+    r = clean.align_to_schema(old, HISTORY_SCHEMA).first()
+    assert r.aqi is None and r.pm25 == 12.5
+    s = old.select(aqi.aqi_pm25("aqi").alias("a"), aqi.aqi_pm25("pm25").alias("b")).first()
+    assert (s.a, s.b) == (0, 25)
