@@ -105,7 +105,8 @@ def from_kv(kv: DataFrame) -> DataFrame:
     f = F.col("fields")
     return kv.select(
         F.coalesce(f["timestamp"], F.lit("")).alias("datetime"),
-        F.split(F.col("key"), ":").getItem(1).try_cast("long").alias("location_id"),
+        F.try_element_at(F.split(F.col("key"), ":"), F.lit(2)).try_cast("long")
+        .alias("location_id"),
         *[text_to_double(f[m]).alias(m) for m in MEASURES],
         F.coalesce(text_to_int(f["aqi"]), F.lit(0)).alias("aqi"),
         text_to_int(f["aqi_pm25"]).alias("aqi_pm25"),

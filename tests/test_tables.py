@@ -241,3 +241,10 @@ def test_align_and_score_tolerate_bad_text(spark):
     assert r.aqi is None and r.pm25 == 12.5
     s = old.select(aqi.aqi_pm25("aqi").alias("a"), aqi.aqi_pm25("pm25").alias("b")).first()
     assert (s.a, s.b) == (0, 25)
+
+
+def test_from_kv_malformed_keys(spark):
+    df = spark.createDataFrame([("garbage", {"aqi": "5"}), (None, {"aqi": "1"}),
+                                ("location:x", {})], "key string, fields map<string,string>")
+    got = [(r.location_id, r.aqi) for r in latest.from_kv(df).collect()]
+    assert got == [(None, 5), (None, 1), (None, 0)]
