@@ -45,7 +45,9 @@ def score_by_table(df: DataFrame, value_col: str, pollutant: str, breakpoints: D
     x = F.col(value_col).cast("double")
     joined = df.join(F.broadcast(bp),
                      (~F.isnan(x)) & x.between(F.col("c_low"), F.col("c_high")), "left")
-    slope = (F.col("i_high") - F.col("i_low")) / (F.col("c_high") - F.col("c_low"))
+    # try_divide: a degenerate user bracket (c_low = c_high) scores null
+    # instead of failing the job with an ANSI division by zero.
+    slope = F.try_divide(F.col("i_high") - F.col("i_low"), F.col("c_high") - F.col("c_low"))
     idx = F.rint(slope * (x - F.col("c_low")) + F.col("i_low")).cast("int")
     value = (F.when(x.isNull() | F.isnan(x), F.lit(0))
              .when(F.col("c_low").isNotNull(), idx)
