@@ -41,3 +41,9 @@ def test_cli_pipeline(tmp_dir):
     assert report["count"] == 21 and report["age_s"] == 20.0 and report["status"] == "OK"
     lag = json.loads(_run("lag", hist, "--messages", msgs).strip().splitlines()[-1])
     assert lag == {"produced": 21, "stored": 21, "lag": 0}
+    out = _run("analyze", hist, "--as-of", "2025-01-01 03:02:00", "--window", "60",
+               "--output", os.path.join(tmp_dir, "lat"))
+    report = json.loads(out.strip().splitlines()[-1])
+    assert report["raw"] == 21 and report["valid"] + report["invalid"] + report["old"] == 21
+    _run("compact", hist, os.path.join(tmp_dir, "compacted"))
+    assert os.path.isdir(os.path.join(tmp_dir, "compacted"))
