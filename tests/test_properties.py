@@ -140,3 +140,32 @@ def test_pivot_mean_matches_pandas(spark, points):
     for c in want.columns:
         assert ((got[c] - want[c]).abs().fillna(0) < 1e-9).all()
         assert (got[c].isna() == want[c].isna()).all()
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 3000), st.integers(0, 500)),
+                min_size=1, max_size=60))
+def test_window_stats_match_pandas(spark, points):
+    import datetime as dt
+
+    import pandas as pd
+
+    from haze.operators.windows import window_stats
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(minutes=m), a) for s, m, a in points]
+    df = spark.createDataFrame(rows, "location_id long, event_ts timestamp, aqi int")
+    got = window_stats(df, every="6 hours").toPandas()
+    pdf = pd.DataFrame(rows, columns=["location_id", "event_ts", "aqi"])
+    pdf["window_start"] = pdf["event_ts"].dt.floor("6h")
+    want = pdf.groupby(["window_start", "location_id"]).agg(
+        n=("aqi", "size"), avg_aqi=("aqi", "mean"), max_aqi=("aqi", "max")).reset_index()
+    key = ["window_start", "location_id"]
+    got = got.sort_values(key).reset_index(drop=True)
+    want = want.sort_values(key).reset_index(drop=True)
+    assert len(got) == len(want)
+    assert (got["window_start"].values == want["window_start"].values).all()
+    assert (got["n"].values == want["n"].values).all()
+    assert (got["max_aqi"].values == want["max_aqi"].values).all()
+    assert ((got["avg_aqi"] - want["avg_aqi"]).abs() < 1e-9).all()
+    assert ((got["window_end"] - got["window_start"]) == pd.Timedelta(hours=6)).all()
