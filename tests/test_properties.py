@@ -169,3 +169,27 @@ def test_window_stats_match_pandas(spark, points):
     assert (got["max_aqi"].values == want["max_aqi"].values).all()
     assert ((got["avg_aqi"] - want["avg_aqi"]).abs() < 1e-9).all()
     assert ((got["window_end"] - got["window_start"]) == pd.Timedelta(hours=6)).all()
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 5000)), min_size=1, max_size=60,
+                unique_by=lambda t: t))
+def test_latency_series_numbering_matches_pandas(spark, points):
+    import datetime as dt
+
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from haze.operators.metrics import latency_series
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(s, t0 + dt.timedelta(minutes=m)) for s, m in points]
+    df = spark.createDataFrame(rows, "location_id long, event_time timestamp") \
+        .withColumns({"processed_at": F.col("event_time"), "latency": F.lit(0.0),
+                      "disposition": F.lit("valid")})
+    got = latency_series(df, chunk_seconds=3600).toPandas() \
+        .sort_values(["location_id", "event_time"]).reset_index(drop=True)
+    pdf = pd.DataFrame(rows, columns=["location_id", "event_time"]) \
+        .sort_values(["location_id", "event_time"]).reset_index(drop=True)
+    want = pdf.groupby("location_id").cumcount() + 1
+    assert list(got["idx"]) == list(want)
