@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import substring_dedup
+from haze.llm import decontaminate, substring_dedup
 from haze.llm.common import ship
 
 
@@ -18,9 +18,11 @@ def _shipped(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {name: _shipped(fn) for name, fn in {
+    "op1_decontamination": decontaminate.query,
     "op8_substring_dedup": substring_dedup.query,
 }.items()}
 
 ORACLE = {
+    "op1_decontamination": decontaminate.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
 }
