@@ -46,12 +46,12 @@ def materialize(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(df: DataFrame) -> int:
+def partitions_for(df: DataFrame, target: int = TARGET_BYTES) -> int:
     """Shuffle width for ``df``: the session's setting, or more where the input asks for it."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = 1 << 16
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, size // TARGET_BYTES), 1)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, size // target), 1)
 
 
 def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -36,6 +36,7 @@ from haze.llm.common import (
 )
 
 WINDOW = 13
+GROUP_BYTES = 4 << 20
 MESSAGE = "__g int, kind int, b int, body binary"
 FIRST, SECOND, STATE = 1, 2, 3
 _ARROW = pa.schema([("__g", pa.int32()), ("kind", pa.int32()), ("b", pa.int32()), ("body", pa.binary())])
@@ -126,7 +127,7 @@ class RepeatedWindows:
         if window < 1:
             raise ValueError("window must be at least one word")
         self.window, self.id_col, self.text_col, self.schema = window, id_col, text_col, docs.schema
-        self.n = partitions_for(docs)
+        self.n = partitions_for(docs, GROUP_BYTES)
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
         g = F.pmod(F.xxhash64(F.col(f"__row.`{id_col}`"), F.col(f"__row.`{text_col}`")), F.lit(self.n)).cast("int")
         self.docs = bucketed(rows.withColumn("__g", g), "__g", self.n)
