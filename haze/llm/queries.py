@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import decontaminate, substring_dedup, token_file
+from haze.llm import decontaminate, near_dedup, substring_dedup, token_file
 from haze.llm.common import ship
 
 
@@ -21,9 +21,11 @@ QUERIES = {name: _shipped(fn) for name, fn in {
     "op1_decontamination": decontaminate.query,
     "op5_token_file": token_file.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_near_dedup": near_dedup.query,
 }.items()}
 
 ORACLE = {
     "op1_decontamination": decontaminate.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }
