@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import decontaminate, near_dedup, substring_dedup, token_file, toxicity
+from haze.llm import decontaminate, language_id, near_dedup, substring_dedup, token_file, toxicity
 from haze.llm.common import ship
 
 
@@ -21,6 +21,7 @@ QUERIES = {name: _shipped(fn) for name, fn in {
     "op1_decontamination": decontaminate.query,
     "op3_toxicity": toxicity.query,
     "op5_token_file": token_file.query,
+    "op6_language_id": language_id.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_near_dedup": near_dedup.query,
 }.items()}
