@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import decontaminate, language_id, near_dedup, substring_dedup, token_file, toxicity
+from haze.llm import decontaminate, language_id, near_dedup, packing, substring_dedup, token_file, toxicity
 from haze.llm.common import ship
 
 
@@ -20,6 +20,7 @@ def _shipped(fn) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES = {name: _shipped(fn) for name, fn in {
     "op1_decontamination": decontaminate.query,
     "op3_toxicity": toxicity.query,
+    "op4_packing": packing.query,
     "op5_token_file": token_file.query,
     "op6_language_id": language_id.query,
     "op8_substring_dedup": substring_dedup.query,
