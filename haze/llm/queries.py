@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import decontaminate, language_id, licenses, near_dedup, packing, substring_dedup, token_file, toxicity
+from haze.llm import decontaminate, language_id, licenses, near_dedup, packing, substring_dedup, token_file, toxicity, wrappers
 from haze.llm.common import ship
 
 
@@ -23,6 +23,7 @@ QUERIES = {name: _shipped(fn) for name, fn in {
     "op4_packing": packing.query,
     "op5_token_file": token_file.query,
     "op6_language_id": language_id.query,
+    "op7_html_wrappers": wrappers.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_near_dedup": near_dedup.query,
     "op10_licenses": licenses.query,
