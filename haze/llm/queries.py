@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import decontaminate, language_id, licenses, near_dedup, packing, substring_dedup, token_file, toxicity, wrappers
+from haze.llm import decontaminate, language_id, licenses, near_dedup, packing, substring_dedup, token_file, toxicity, vector_search, wrappers
 from haze.llm.common import ship
 
 
@@ -19,6 +19,7 @@ def _shipped(fn) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES = {name: _shipped(fn) for name, fn in {
     "op1_decontamination": decontaminate.query,
+    "op2_vector_search": vector_search.query,
     "op3_toxicity": toxicity.query,
     "op4_packing": packing.query,
     "op5_token_file": token_file.query,
