@@ -36,7 +36,7 @@ from haze.llm.common import (
 )
 
 WINDOW = 13
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 MESSAGE = "__g int, kind int, b int, body binary"
 FIRST, SECOND, STATE = 1, 2, 3
 _ARROW = pa.schema([("__g", pa.int32()), ("kind", pa.int32()), ("b", pa.int32()), ("body", pa.binary())])
@@ -67,9 +67,20 @@ class _Group:
         self.one, self.two, self.row, self.count = cat(one, U64), cat(two, U64), cat(at, np.int64), cat(counts, np.int64)
 
 
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``values`` that are in the ascending ``wanted``."""
+    if not len(wanted):
+        return np.zeros(0, np.int64)
+    table = np.zeros(1 << 22, bool)
+    table[(wanted & U64((1 << 22) - 1)).astype(np.int64)] = True
+    at = np.flatnonzero(table[(values & U64((1 << 22) - 1)).astype(np.int64)])
+    near = values[at]
+    return at[wanted[np.minimum(np.searchsorted(wanted, near), len(wanted) - 1)] == near]
+
+
 def _runs(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct hashes, smallest id, largest id, index of each input among the distinct)."""
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     h = hashes[order]
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
@@ -152,10 +163,11 @@ class RepeatedWindows:
             return _out([(g, FIRST, b, pack(distinct[s], ascending=True)) for b, s in _slices(distinct, 48, n)])
 
         def candidates(group, answers):
+            # asked for by another bucket, or more than once in this one
             ok = np.flatnonzero(window_ok(group.row, w))
-            distinct, low, high, where = _runs(window_hashes(group.one, w)[ok] >> U64(16), group.ids[group.row[ok]])
-            again = _flags(answers, FIRST, len(distinct)) | (low != high)
-            at = ok[again[where]]
+            h = window_hashes(group.one, w)[ok] >> U64(16)
+            distinct, times = np.unique(h, return_counts=True)
+            at = ok[_among(h, distinct[_flags(answers, FIRST, len(distinct)) | (times > 1)])]
             return at, _runs(window_hashes(group.two, w, 13)[at], group.ids[group.row[at]])
 
         def second(table, answers):
@@ -262,7 +274,7 @@ def _shared(table: pa.Table) -> pa.Table:
     g, bodies, b = table.column("__g").to_pylist(), table.column("body").to_pylist(), table.column("b")[0].as_py()
     parts = [unpack(x) for x in bodies]
     values = np.concatenate(parts)
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     same = values[order][1:] == values[order][:-1]
     twice = np.zeros(len(values), bool)
     twice[1:] |= same
