@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haze.operators.latest import latest_per_key
-from haze.schemas import HISTORY_COLUMNS
 
 DEFAULT_KEYS = ("location_id", "datetime")
 PARTITION_COL = "event_date"
 HOUR_PARTITION_COL = "event_hour"
 PARTITION_COLS = {"day": PARTITION_COL, "hour": HOUR_PARTITION_COL}
 # A keyed merge writes about one file (and uses one task) per ROWS_PER_FILE
-# rows of a touched partition, between 1 and MAX_FILES_PER_PARTITION.
+# rows of a touched partition.
 ROWS_PER_FILE = 1_000_000
-MAX_FILES_PER_PARTITION = 4096
 # Serving bounds on the number of history rows returned.
 MIN_ROWS, MAX_ROWS, DEFAULT_ROWS = 1, 10_000, 1000
 
@@ -102,90 +102,141 @@ def with_partition(df: DataFrame, ts_col: str = "event_ts", granularity: str = "
 
 
 def append_history(df: DataFrame, path: str, ts_col: str = "event_ts") -> None:
-    """Append rows, one folder per event day, station-clustered files."""
-    (with_partition(df, ts_col)
+    """Append rows, one folder per event day, station-clustered files.
+
+    The range shuffle on (day, station, instant) gives every day to a few
+    tasks instead of every task a file in every day, and splits a busy day."""
+    dated = with_partition(df, ts_col)
+    (dated.repartitionByRange(PARTITION_COL, "location_id", ts_col)
         .sortWithinPartitions(PARTITION_COL, "location_id", ts_col)
         .write.mode("append").partitionBy(PARTITION_COL).parquet(path))
+    _note_table(df.sparkSession, path, dated.schema)
+
+
+# ------------------------------------------------- schema kept beside the table
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Does ``path`` exist on its file system?  Asked before a read, so that an
+    error during one is never mistaken for a table that is not there yet."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _note_path(path: str) -> str:
+    # A leading underscore hides the folder from Spark's own listing of the table.
+    return f"{path.rstrip('/')}/_schema"
+
+
+def table_note(spark: SparkSession, path: str) -> tuple[T.StructType | None, int | None]:
+    """(schema, shards) recorded for the table at ``path``; None where nothing is."""
+    if not table_exists(spark, _note_path(path)):
+        return None, None
+    row = spark.read.schema("schema string, shards int").parquet(_note_path(path)).first()
+    return T.StructType.fromJson(json.loads(row["schema"])), row["shards"]
+
+
+def _note_table(spark: SparkSession, path: str, schema: T.StructType,
+                shards: int | None = None) -> T.StructType:
+    """Record ``schema`` (added to the columns already known) and the shard count."""
+    old, old_shards = table_note(spark, path)
+    names = {f.name for f in old.fields} if old else set()
+    merged = T.StructType((old.fields if old else []) +
+                          [T.StructField(f.name, f.dataType, True) for f in schema.fields
+                           if f.name not in names])
+    if merged != old or shards not in (None, old_shards):
+        spark.createDataFrame([(merged.json(), shards or old_shards)],
+                              "schema string, shards int") \
+            .coalesce(1).write.mode("overwrite").parquet(_note_path(path))
+    return merged
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table with every column any of its files has.  The recorded schema
+    saves opening the footer of each file; a table without one (written by
+    something else) is read with ``mergeSchema``."""
+    schema, _ = table_note(spark, path)
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                  fmt: str = "parquet", options: dict | None = None) -> DataFrame:
-    """Read the table (any format/connector via ``fmt``/``options``), projected
-    to ``columns`` (default: the 13 history columns that exist)."""
-    df = spark.read.format(fmt).options(**(options or {})).option("mergeSchema", "true").load(path)
-    cols = [c for c in (columns or HISTORY_COLUMNS) if c in df.columns]
-    return df.select(*cols) if columns is not None else df
+    """Read the table (any format/connector via ``fmt``/``options``): all its
+    columns, or those of ``columns`` that it has."""
+    if fmt == "parquet" and not options:
+        df = read_table(spark, path)
+    else:
+        df = spark.read.format(fmt).options(**(options or {})).load(path)
+    return df if columns is None else df.select(*[c for c in columns if c in df.columns])
 
 
 def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                 order: Sequence[str], partition_col: str,
-                files_per_partition: int | None = None,
-                parts: dict | Sequence | None = None) -> None:
+                files_per_partition: int | None = None, shards: int | None = None) -> None:
     """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
     ``partition_col`` (a function of ``keys``, e.g. the day of the event
     instant): per key the row with the greatest ``order`` survives.
 
     Only the partitions the batch touches are read, merged with the batch and
-    rewritten with dynamic partition overwrite; every other partition stays
-    untouched.  The touched-partition list has one value per partition of
-    the batch (days, shards), not per row.
-
-    One shuffle, on (partition, hash(key) mod files(partition)): the arg-max
-    per key runs inside it (the grouping keys contain the shuffle keys).
-    ``files(partition)`` follows the partition's size -- batch rows plus
-    stored rows (footer counts of the touched partitions), about one file per
-    ``ROWS_PER_FILE`` rows, at most ``MAX_FILES_PER_PARTITION`` -- so a hot
-    partition (a third of all rows) is spread over as many tasks as it
-    needs, and a small one is written as one file.  ``files_per_partition``
-    fixes the count instead.  Re-running the same batch gives the same table
-    (idempotent), so a retried micro-batch does not duplicate rows.
-    ``parts`` ({partition: batch rows} or a list) can be passed when the
-    caller already knows it, saving a job.
+    rewritten with dynamic partition overwrite; the null partition (rows
+    without an instant) is one like any other.  Which partitions those are,
+    and how many rows they hold, stays a table that is joined null-safely; the
+    driver sees their smallest and largest value and the total of files.
+
+    Two shuffles of the batch: one collapses copies of a key (map-side
+    combined), one deals the merged rows by (partition, hash(key) mod files of
+    the partition), with the arg-max per key inside it.  ``files`` is about
+    one per ``ROWS_PER_FILE`` rows, so a hot partition is spread over as many
+    tasks as it needs; ``files_per_partition`` fixes it instead.  Columns that
+    only one side has are kept and null in the other side's rows.  Re-running
+    the same batch gives the same table.
+
+    This is the compaction route; a stream appends by default and reads
+    through ``current_history``.  The overwrite of several partitions is not
+    atomic on a bare Parquet folder: a reader may see some of them replaced.
     """
-    # Copies of one key inside the batch collapse first, in a map-side
-    # combined aggregate: after this each key occurs at most twice below
-    # (stored row + batch row), so no task receives a hot group of copies.
-    batch = latest_per_key(batch, [partition_col, *keys], list(order))
-    if parts is None:
-        parts = {r[0]: r[1] for r in batch.groupBy(partition_col).count().collect()}
-    batch_rows = parts if isinstance(parts, dict) else {p: 0 for p in parts}
-    if not batch_rows:
-        return
-    stored_rows: dict = {}
+    batch = latest_per_key(batch, [partition_col, *keys], list(order)).persist()
     try:
-        existing = spark.read.parquet(path).where(F.col(partition_col).isin(list(batch_rows)))
-        merged = existing.unionByName(batch.select(*existing.columns))
-        if files_per_partition is None:
-            stored_rows = {r[0]: r[1] for r in existing.groupBy(partition_col).count().collect()}
-    except Exception as exc:  # table does not exist yet
-        if not any(m in str(exc) for m in ("PATH_NOT_FOUND", "does not exist",
-                                            "UNABLE_TO_INFER_SCHEMA")):
-            raise
+        span = batch.agg(F.min(partition_col), F.max(partition_col),
+                         F.bool_or(F.col(partition_col).isNull()), F.count(F.lit(1))).first()
+        if not span[3]:
+            return
+        part = F.col(partition_col)
         merged = batch
-    if files_per_partition is None:
-        sizes = {p: max(1, min(MAX_FILES_PER_PARTITION,
-                               -(-(batch_rows.get(p, 0) + stored_rows.get(p, 0)) // ROWS_PER_FILE)))
-                 for p in batch_rows}
-    else:
-        sizes = {p: int(files_per_partition) for p in batch_rows}
-    pairs = [x for p, n in sizes.items() for x in (F.lit(p), F.lit(n))]
-    files = F.coalesce(F.element_at(F.create_map(*pairs), F.col(partition_col)), F.lit(1))
-    cols = merged.columns
-    bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), files.cast("long"))
-    # As many tasks as files in total (an explicit count, which AQE keeps).
-    spread = merged.withColumn("_file", bucket) \
-        .repartition(sum(sizes.values()), partition_col, "_file")
-    current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
-    (current.select(*cols).sortWithinPartitions(partition_col, *keys)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_col).parquet(path))
+        if table_exists(spark, path):
+            near = part.between(F.lit(span[0]), F.lit(span[1]))
+            near = F.coalesce(near, F.lit(False)) | (part.isNull() if span[2] else F.lit(False))
+            touched = batch.select(part.alias("_touched")).distinct()
+            stored = read_table(spark, path).where(near) \
+                .join(touched, part.eqNullSafe(F.col("_touched")), "left_semi")
+            merged = stored.unionByName(batch, allowMissingColumns=True)
+        if files_per_partition is None:
+            sizes = merged.groupBy(part.alias("_part")).agg(
+                F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files"))
+        else:
+            sizes = batch.select(part.alias("_part")).distinct() \
+                .withColumn("_files", F.lit(int(files_per_partition)).cast("long"))
+        total = sizes.agg(F.sum("_files")).first()[0]
+        cols = merged.columns
+        bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.col("_files"))
+        # As many tasks as files in total (an explicit count, which AQE keeps).
+        spread = merged.join(sizes, part.eqNullSafe(F.col("_part"))) \
+            .withColumn("_file", bucket).select(*cols, "_file") \
+            .repartition(int(total), partition_col, "_file")
+        current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
+        (current.select(*cols).sortWithinPartitions(partition_col, *keys)
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy(partition_col).parquet(path))
+        _note_table(spark, path, merged.schema, shards)
+    finally:
+        batch.unpersist()
 
 
 def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
                    keys: Sequence[str] = DEFAULT_KEYS,
                    order: Sequence[str] = ("processed_at",),
                    ts_col: str = "event_ts", granularity: str = "day",
-                   parts: dict | Sequence | None = None,
                    files_per_partition: int | None = None) -> None:
     """Upsert into the time-partitioned history table (primary key ``keys``,
     the latest ``order`` wins, default: the last processed write).
@@ -196,5 +247,4 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
     instead of a day (a table format with ``MERGE INTO`` avoids the rewrite
     altogether)."""
     keyed_merge(spark, with_partition(batch, ts_col, granularity), path, keys, order,
-                PARTITION_COLS[granularity], files_per_partition=files_per_partition,
-                parts=parts)
+                PARTITION_COLS[granularity], files_per_partition=files_per_partition)

@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from haze.functions.aqi import score
-from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, keyed_merge, upsert_history,
-                                    with_partition)
+from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, keyed_merge, table_note,
+                                    upsert_history, with_partition)
 from haze.operators.latest import SNAPSHOT_COLUMNS, latest_per_key
 from haze.schemas import HISTORY_COLUMNS
+from haze.streaming.source import CORRUPT
 
 log = logging.getLogger(__name__)
 
 # Event-time tolerance and the alert threshold.
 LATE_TOLERANCE = "10 minutes"
 ALERT_THRESHOLD = 200
-# One row per station: 32 shards keep even millions of stations at tens of MB
-# per shard, and a batch touching few stations rewrites only their shards.
+# Shards of a new snapshot table unless the caller says otherwise; the number is
+# recorded beside the table, and every later write uses the recorded one.
 SNAPSHOT_SHARDS = 32
 SNAPSHOT_ORDER = ("event_ts", "datetime", "processed_at")
 
@@ -51,23 +52,38 @@ def snapshot_shard(df: DataFrame, shards: int = SNAPSHOT_SHARDS) -> DataFrame:
 
 
 def merge_snapshot(spark: SparkSession, rows: DataFrame, path: str,
-                   shards: list | None = None) -> None:
+                   shards: int = SNAPSHOT_SHARDS) -> None:
     """Keep one row per station, never regressing to an older reading: the
-    batch's latest rows are merged with the stored ones of the same shards."""
+    batch's latest rows are merged with the stored ones of the same shards.
+
+    ``shards`` is the number for a new table; an existing one keeps its own
+    (about one per million stations holds a shard at tens of MB)."""
     # keyed_merge collapses the batch to one row per station itself (a
     # map-side combined arg-max) before merging with the stored shards.
     cols = [c for c in SNAPSHOT_COLUMNS if c in rows.columns]
-    keyed_merge(spark, snapshot_shard(rows.select(*cols)), path, ["location_id"], SNAPSHOT_ORDER,
-                "shard", files_per_partition=1, parts=shards)
+    shards = table_note(spark, path)[1] or int(shards)
+    keyed_merge(spark, snapshot_shard(rows.select(*cols), shards), path, ["location_id"],
+                SNAPSHOT_ORDER, "shard", files_per_partition=1, shards=shards)
+
+
+def _query_id(spark: SparkSession) -> str:
+    """The id of the running stream: it lives in the checkpoint, so a restart
+    keeps it and a new checkpoint has another."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
 
 
 class DualSink:
-    """``foreachBatch`` target writing history, snapshot and alerts."""
+    """``foreachBatch`` target writing history, snapshot, alerts and quarantine.
 
-    def __init__(self, spark: SparkSession, history_path: str, snapshot_path: str | None = None,
+    Rows whose ``decode_status`` is ``corrupt`` go to ``quarantine_path`` with
+    their raw text; ``counts`` holds the rows per status of the last batch."""
+
+    def __init__(self, spark: SparkSession, history_path: str | None,
+                 snapshot_path: str | None = None,
                  alerts_path: str | None = None, keys: Sequence[str] = DEFAULT_KEYS,
                  alert_threshold: int = ALERT_THRESHOLD, latest_only_alerts: bool = False,
-                 granularity: str = "day"):
+                 granularity: str = "day", quarantine_path: str | None = None,
+                 shards: int = SNAPSHOT_SHARDS):
         self.spark = spark
         self.history_path = history_path
         self.snapshot_path = snapshot_path
@@ -76,64 +92,72 @@ class DualSink:
         self.alert_threshold = alert_threshold
         self.latest_only_alerts = latest_only_alerts
         self.granularity = granularity
+        self.quarantine_path = quarantine_path
+        self.shards = shards
+        self.counts: dict[str, int] = {}
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            # One pass fills the cache and returns the rows per (time
-            # partition, snapshot shard) -- a bounded table (partitions x
-            # shards) from which the empty check, the touched partitions with
-            # their sizes and the touched shards all follow.
-            part_col = PARTITION_COLS[self.granularity]
-            meta = snapshot_shard(with_partition(batch, "event_ts", self.granularity)) \
-                .groupBy(part_col, "shard").count().collect()
-            if not meta:
+            # One pass fills the cache and counts the rows per decode status.
+            status = F.col("decode_status") if "decode_status" in batch.columns else F.lit("ok")
+            self.counts = {r[0]: r[1] for r in batch.groupBy(status).count().collect()}
+            if not self.counts:
                 return
-            part_rows: dict = {}
-            for r in meta:
-                part_rows[r[0]] = part_rows.get(r[0], 0) + r[2]
-            shards = sorted({r[1] for r in meta})
-            cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in batch.columns]
+            query_id = _query_id(self.spark)
+            if self.counts.get("corrupt"):
+                log.warning("batch %s: %s of %s messages cannot be decoded", epoch_id,
+                            self.counts["corrupt"], sum(self.counts.values()))
+                if self.quarantine_path:
+                    self._write_own(batch.where(status == "corrupt").select(
+                        F.col(CORRUPT).alias("value")), self.quarantine_path, query_id, epoch_id)
+            good = batch.where(status != "corrupt").drop(CORRUPT)
             # The snapshot and alert writes are independent of the history
             # write: they run as concurrent Spark jobs from a second driver
             # thread, and their failures are only logged (best effort, like
             # the cache they model).
             side = ThreadPoolExecutor(max_workers=1)
-            pending = side.submit(self._serving_writes, batch, epoch_id, shards)
+            pending = side.submit(self._serving_writes, good, epoch_id, query_id)
             try:
                 # Must succeed: an exception here fails the micro-batch.
-                upsert_history(self.spark, batch.select(*cols), self.history_path, self.keys,
-                               granularity=self.granularity, parts=part_rows)
+                if self.history_path:
+                    cols = [c for c in HISTORY_COLUMNS + ["event_ts"] if c in good.columns]
+                    upsert_history(self.spark, good.select(*cols), self.history_path, self.keys,
+                                   granularity=self.granularity)
             finally:
                 pending.result()
                 side.shutdown()
         finally:
             batch.unpersist()
 
-    def _serving_writes(self, batch: DataFrame, epoch_id: int, shards) -> None:
+    def _serving_writes(self, batch: DataFrame, epoch_id: int, query_id: str) -> None:
         if self.snapshot_path:
             try:
-                merge_snapshot(self.spark, batch, self.snapshot_path, shards=shards)
+                merge_snapshot(self.spark, batch, self.snapshot_path, self.shards)
             except Exception:
                 log.warning("snapshot update failed for batch %s", epoch_id, exc_info=True)
         if self.alerts_path:
             try:
-                self.write_alerts(batch, epoch_id)
+                self.write_alerts(batch, epoch_id, query_id)
             except Exception:
                 log.warning("alert write failed for batch %s", epoch_id, exc_info=True)
 
-    def write_alerts(self, batch: DataFrame, epoch_id: int) -> None:
+    @staticmethod
+    def _write_own(rows: DataFrame, path: str, query_id: str, epoch_id: int) -> None:
+        """Rows of one batch of one query: a retried batch replaces its own, and
+        batch 0 of a new checkpoint does not touch those of the old one."""
+        (rows.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(int(epoch_id))})
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("query_id", "batch_id").parquet(path))
+
+    def write_alerts(self, batch: DataFrame, epoch_id: int, query_id: str = "batch") -> None:
         src = batch
         if self.latest_only_alerts:
             src = latest_per_key(batch.select(*[c for c in SNAPSHOT_COLUMNS if c in batch.columns]),
                                  "location_id", SNAPSHOT_ORDER)
         alerts = src.where(F.col("aqi") > F.lit(self.alert_threshold)).select(
-            "location_id", "datetime", "event_ts", "aqi", "quality",
-            F.lit(int(epoch_id)).alias("batch_id"))
-        # Partitioned by batch id + dynamic overwrite: a retried batch
-        # replaces its own alerts instead of duplicating them.
-        (alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id").parquet(self.alerts_path))
+            "location_id", "datetime", "event_ts", "aqi", "quality")
+        self._write_own(alerts, self.alerts_path, query_id, epoch_id)
 
 
 def latest_state(scored: DataFrame) -> DataFrame:
@@ -176,25 +200,35 @@ def run_to_completion(df: DataFrame, checkpoint: str, **kw) -> None:
         raise RuntimeError(str(q.exception()))
 
 
+def _needs_checkpoint(checkpoint: str | None) -> str:
+    if not checkpoint:
+        raise ValueError("a checkpoint folder is needed: without it a restart begins anew")
+    return checkpoint
+
+
 def scoring_job(spark: SparkSession, messages: DataFrame, mode: str = "console",
                 checkpoint: str | None = None, history_path: str | None = None,
                 snapshot_path: str | None = None, alerts_path: str | None = None,
-                trigger: dict | None = None, granularity: str = "day") -> StreamingQuery:
-    """The whole job: decode ``messages`` (a ``value`` column), set corrupt
-    rows aside, score, and write either to the console (``mode="console"``) or to history +
-    snapshot + alerts (``mode="dual"``).  ``checkpoint`` defaults to a fresh
-    folder under the shared ``spark.checkpoint.dir``."""
+                trigger: dict | None = None, granularity: str = "day",
+                quarantine_path: str | None = None,
+                shards: int = SNAPSHOT_SHARDS) -> StreamingQuery:
+    """The whole job: decode ``messages`` (a ``value`` column), score, and write
+    either to the console (``mode="console"``, every row with its decode status)
+    or to history + snapshot + alerts (``mode="dual"``); there corrupt messages
+    go to ``quarantine_path`` (default: beside the history).  ``dual`` needs a
+    ``checkpoint``; a console run without one starts at the latest message."""
     from haze.session import scratch_path
-    from haze.streaming.source import decode_readings, split_decoded
-    good, _ = split_decoded(decode_readings(messages))
-    scored = score_stream(good)
-    ckpt = checkpoint or scratch_path(spark, "scoring-job")
+    from haze.streaming.source import decode_readings
+    scored = score_stream(decode_readings(messages))
+    trigger = trigger or {"processingTime": "0 seconds"}
     if mode == "console":
-        return start(scored, ckpt, fmt="console", trigger=trigger or {"processingTime": "0 seconds"})
+        return start(scored, checkpoint or scratch_path(spark, "console"), fmt="console",
+                     trigger=trigger)
     if mode == "dual":
         sink = DualSink(spark, history_path, snapshot_path, alerts_path,
-                        granularity=granularity)
-        return start(scored, ckpt, sink=sink, trigger=trigger or {"processingTime": "0 seconds"})
+                        granularity=granularity, shards=shards,
+                        quarantine_path=quarantine_path or f"{history_path}_quarantine")
+        return start(scored, _needs_checkpoint(checkpoint), sink=sink, trigger=trigger)
     raise ValueError(f"unknown mode {mode!r}")
 
 
@@ -224,44 +258,26 @@ def current_history(history: DataFrame, keys: Sequence[str] = DEFAULT_KEYS,
 def scoring_job_append(spark: SparkSession, messages: DataFrame, history_path: str,
                        snapshot_path: str | None = None, alerts_path: str | None = None,
                        checkpoint: str | None = None, granularity: str = "day",
-                       trigger: dict | None = None) -> list[StreamingQuery]:
+                       trigger: dict | None = None, quarantine_path: str | None = None,
+                       shards: int = SNAPSHOT_SHARDS) -> list[StreamingQuery]:
     """The scoring job for high-rate streams: history by the exactly-once
-    file sink (append, O(batch) per micro-batch) and the snapshot + alerts
-    by ``foreachBatch``; two queries over the same decoded stream, each
-    with its own checkpoint."""
-    from haze.session import scratch_path
+    file sink (append, O(batch) per micro-batch); snapshot, alerts and the
+    quarantine of corrupt messages (default: beside the history) by
+    ``foreachBatch``; two queries over the same decoded stream, each with its
+    own folder under ``checkpoint``."""
     from haze.streaming.source import decode_readings, split_decoded
-    good, _ = split_decoded(decode_readings(messages))
-    scored = score_stream(good)
-    ckpt = checkpoint or scratch_path(spark, "scoring-job")
+    ckpt = _needs_checkpoint(checkpoint)
+    decoded = decode_readings(messages)
+    scored = score_stream(split_decoded(decoded)[0])
     queries = [history_append_stream(scored, history_path, f"{ckpt}/history", granularity,
                                      trigger)]
-    if snapshot_path or alerts_path:
-        serving = _ServingSink(spark, snapshot_path, alerts_path)
-        queries.append(start(scored, f"{ckpt}/serving", sink=serving,
-                             trigger=trigger or {"processingTime": "0 seconds"}))
+    serving = DualSink(spark, None, snapshot_path, alerts_path, shards=shards,
+                       quarantine_path=quarantine_path or f"{history_path}_quarantine")
+    queries.append(start(score_stream(decoded), f"{ckpt}/serving", sink=serving,
+                         trigger=trigger or {"processingTime": "0 seconds"}))
     return queries
 
 
-class _ServingSink(DualSink):
-    """Snapshot + alerts only (history is written by the file sink)."""
-
-    def __init__(self, spark, snapshot_path, alerts_path):
-        super().__init__(spark, None, snapshot_path, alerts_path)
-
-    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if batch.isEmpty():
-                return
-            if self.snapshot_path:
-                merge_snapshot(self.spark, batch, self.snapshot_path)
-            if self.alerts_path:
-                self.write_alerts(batch, epoch_id)
-        finally:
-            batch.unpersist()
-
-
 def snapshot_stream(scored: DataFrame, path: str, checkpoint: str,
                     every: str | None = "5 seconds", trigger: dict | None = None) -> StreamingQuery:
     """The latest-per-station snapshot as its own stream: the stateful
