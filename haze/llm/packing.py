@@ -39,7 +39,7 @@ def _tokenized(docs: DataFrame, path: str) -> DataFrame:
         if enc.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into two bytes")
         for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
+            for part in chunks(batch, "text", 8 << 20):
                 ids, counts = enc.encode(part.column("text"))
                 first = np.cumsum(counts) - counts
                 before = np.concatenate([[0], ids[:-1]]).astype(U64)

@@ -8,9 +8,10 @@ needs nothing but the frequency table, so blocks decode in parallel, and inside
 checkpoint is a place to start.
 
 The frequency table is counted over all documents, scaled to 2**20 with at least 1 for every id
-of the vocabulary, and stored beside the blocks. Documents are dealt out by ranges of
-(doc_id, hash), blocks hold whole documents in ascending doc_id order, and a document's start is
-the number of ids in all blocks and documents before it: sums per range are added up, not rows.
+of the vocabulary, and stored beside the blocks. Documents are dealt out by ranges of (doc_id,
+hash of the text) and tokenized in that order; blocks hold whole documents, named by range and
+first row, and a document's start is the number of ids in all blocks and documents before it:
+sums per range are added up, not rows.
 
 Defined cases: a null text is the empty text and has the end id alone; repeated doc_ids stand
 next to each other and each gets its own row; null ids come first; an empty table gives no blocks.
@@ -112,17 +113,25 @@ class Coder:
 
 # ---------------------------------------------------------------- writing and reading
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (packed, 2 bytes each where the vocabulary allows), n and crc of each document."""
+def tokenized(docs: DataFrame, path: str, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents in ascending order: part, row (in its part), doc_id, ids (2 bytes each where the vocabulary allows), n, crc."""
     def run(batches):
+        from pyspark import TaskContext
+        part, row = TaskContext.get().partitionId(), 0
         enc = encoder(path)
         small = enc.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
-            for part in chunks(batch, text_col, 4 << 20):
-                ids, counts = enc.encode(part.column(text_col))
-                yield packed_rows(part.column(id_col), ids, counts, small)
+            for piece in chunks(batch, "text", 8 << 20):
+                ids, counts = enc.encode(piece.column("text"))
+                out = packed_rows(piece.column("doc_id"), ids, counts, small)
+                at = np.arange(row, row + piece.num_rows)
+                row += piece.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, part)), pa.array(at), *out.columns], names=["part", "row", *out.schema.names])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids binary, n long, crc long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    keys = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, "part long, row long, doc_id long, ids binary, n long, crc long")
 
 
 def packed_rows(doc_ids, ids, counts, small: bool) -> pa.RecordBatch:
@@ -159,36 +168,34 @@ def write_tokens(docs: DataFrame, path: str, out: str, block_ids: int = BLOCK_ID
     enc = encoder(path)
     vocabulary = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1)
     small = enc.tokenizer.get_vocab_size() <= 1 << 16
-    tokens = materialize(tokenized(docs, path))
+    tokens = materialize(tokenized(docs, path, partitions_for(docs)))
     freq = scaled(id_counts(tokens, vocabulary, small))
     spark.createDataFrame(pa.table({"freq": freq})).coalesce(1).write.parquet(f"{out}/table")
     table = spark.sparkContext.broadcast(freq)
 
     def blocks(batches):
-        from pyspark import TaskContext
-        part = TaskContext.get().partitionId()
-        coder, held, size, number = Coder(table.value), [], 0, 0
+        coder, held, size = Coder(table.value), [], 0
 
         def close():
-            docs_, ns, crcs, raws = zip(*held, strict=True)
+            parts, rows, doc_ids, ns, crcs, raws = zip(*held, strict=True)
             ids = np.concatenate([np.frombuffer(r, "<u2" if small else "<u4") for r in raws]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([len(ids)], pa.int64()),
-                                               pa.array([list(docs_)], pa.list_(pa.int64())), pa.array([list(ns)], pa.list_(pa.int64())),
-                                               pa.array([list(crcs)], pa.list_(pa.int64())), pa.array([coder.encode(ids, len(ns))], pa.binary())],
+            lists = [pa.array([list(x)], pa.list_(pa.int64())) for x in (doc_ids, ns, crcs)]
+            return pa.RecordBatch.from_arrays([pa.array([parts[0]], pa.int64()), pa.array([rows[0]], pa.int64()), pa.array([len(ids)], pa.int64()),
+                                               *lists, pa.array([coder.encode(ids, len(ns))], pa.binary())],
                                               names=["part", "number", "n", "doc_ids", "ns", "crcs", "body"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "crc", "ids")), strict=True):
-                held.append(row)
-                size += row[1]
-                if size >= block_ids:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "row", "doc_id", "n", "crc", "ids")), strict=True):
+                # a block holds consecutive documents: a scan may end one file and begin another
+                if held and (size >= block_ids or row[0] != held[-1][0] or row[1] != held[-1][1] + 1):
                     yield close()
-                    held, size, number = [], 0, number + 1
+                    held, size = [], 0
+                held.append(row)
+                size += row[3]
         if held:
             yield close()
 
-    keys = ["doc_id", "crc", "n"]
-    (tokens.repartitionByRange(partitions_for(tokens), *keys).sortWithinPartitions(*keys)
+    (tokens.select("part", "row", "doc_id", "n", "crc", "ids")
            .mapInArrow(blocks, "part long, number long, n long, doc_ids array<long>, ns array<long>, crcs array<long>, body binary")
            .write.option("compression", "none").parquet(f"{out}/blocks"))
 

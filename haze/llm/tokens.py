@@ -2,8 +2,8 @@
 
 The pre-tokenizers of both files start a new unit before ASCII white space that follows anything
 else, and between a letter and an ASCII sign. Texts are therefore cut there, the distinct pieces
-of a batch are looked up in a table the worker keeps (bounded, refilled when full), and only new
-ones reach the tokenizer. ``tests/llm`` holds the result against encoding the whole text.
+of a batch are looked up in a table the worker keeps (two generations, so that a full table loses
+what it did not use of late), and only new ones reach the tokenizer. ``tests/llm`` holds the result against encoding the whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from haze.llm.common import text_buffers
 
 END_ID = 2
-MAX_PIECES = 1_000_000
+MAX_PIECES = 700_000  # of each generation
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,6 +50,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.blind = self.normalizer is not None  # white space and case of ASCII letters make no difference
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode_piece(self, piece: bytes) -> bytes:
         text = piece.decode()
@@ -84,8 +85,10 @@ class Encoder:
             ids = known.get(piece)
             if ids is None:
                 if len(known) >= MAX_PIECES:
-                    known.clear()
-                ids = known[piece] = self._encode_piece(piece)
+                    self.older, self.known = known, {}
+                    known = self.known
+                ids = self.older.get(piece)
+                known[piece] = ids = self._encode_piece(piece) if ids is None else ids
             found.append(ids)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
