@@ -14,7 +14,8 @@
    links, so what leaves a block grows with its members.
 4. Links become components by alternating star contractions.
 
-Lists are split by the number and the bytes of their members' sets; nothing is capped.
+Lists are split by the number and the bytes of their members' sets; nothing is capped. Joins with
+texts and sets are sort-merge joins at every size, so that a run grows as its input does.
 
 Defined cases: null, empty or blank texts have no shingles and stand alone; a text of fewer than
 ``SHINGLE`` words is one shingle; rows with one id count as one document; rows without an id
@@ -103,8 +104,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFr
                     out.append((right.column("a")[0].as_py(), b_id))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("other")), "b")
-    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("mine")).join(pairs.select("a").distinct(), "a", "left_semi")
+    right = pairs.hint("merge").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("other")), "b")
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("mine")).join(pairs.select("a").distinct().hint("merge"), "a", "left_semi")
     return left.groupBy("a").cogroup(right.groupBy("a")).applyInArrow(check, "a long, b long")
 
 
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     asked = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).unionAll(members.select("rep")).distinct()
     # one row of each class asked for: rows of one id and one set repeat only if the table repeats them
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(asked, "rep", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(asked.hint("merge"), "rep", "left_semi")
 
     def as_sets(batches):
         for batch in batches:
@@ -209,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     sets = materialize(texts.mapInArrow(as_sets, "rep long, set binary"))
     found = _verified(pairs, sets, percent, k)
-    heavy = members.join(sets, "rep").groupBy("value", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    heavy = members.hint("merge").join(sets, "rep").groupBy("value", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
     linked = components(found.unionByName(heavy))
     named_class = classes.select("n", "one", "two", "rep").join(linked, F.col("rep") == F.col("node"), "left")
     named_class = named_class.select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
