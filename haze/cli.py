@@ -40,18 +40,23 @@ def cmd_etl(args) -> None:
     spark = _spark(args)
     raw = read_raw_readings(spark, args.input)
     good, bad = split_quarantine(clean_long(raw))
-    if args.quarantine:
-        bad.write.mode("overwrite").parquet(args.quarantine)
+    aside = args.quarantine or f"{args.output.rstrip('/')}_quarantine"
+    bad.write.mode("overwrite").parquet(aside)
+    n = spark.read.schema(bad.schema).parquet(aside).count()
+    print(json.dumps({"bad_datetime": n, "quarantine": aside}))
     params = args.parameters.split(",") if args.parameters else None
     wide = pivot_mean(good, ("location_id", "ts"), params).withColumnRenamed("ts", "datetime")
     write_wide(wide, args.output)
 
 
 def cmd_densify(args) -> None:
-    from haze.operators.densify import densify, jitter
+    from haze.operators.densify import densify, jitter, off_grid_rows
     spark = _spark(args)
     wide = spark.read.parquet(args.input)
-    dense = densify(wide, step_seconds=args.step, off_grid=args.off_grid)
+    if args.off_grid == "drop":
+        _print_row(off_grid_rows(wide, step_seconds=args.step))
+    dense = densify(wide, step_seconds=args.step, off_grid=args.off_grid,
+                    spread_gaps=not args.whole_gaps)
     if args.noise > 0:
         values = [c for c in dense.columns if c not in ("location_id", "datetime")]
         dense = jitter(dense, values, std=args.noise, seed=args.seed)
@@ -88,12 +93,12 @@ def cmd_stream(args) -> None:
     if args.mode == "append":
         qs = scoring_job_append(spark, messages, args.history, args.snapshot, args.alerts,
                                 checkpoint=args.checkpoint, granularity=args.granularity,
-                                trigger=trigger)
+                                trigger=trigger, quarantine_path=args.quarantine)
     else:
         qs = [scoring_job(spark, messages, mode=args.mode, checkpoint=args.checkpoint,
                           history_path=args.history, snapshot_path=args.snapshot,
                           alerts_path=args.alerts, trigger=trigger,
-                          granularity=args.granularity)]
+                          granularity=args.granularity, quarantine_path=args.quarantine)]
     for q in qs:
         q.awaitTermination()
 
@@ -151,7 +156,9 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("input")
     s.add_argument("output")
     s.add_argument("--step", type=int, default=5)
-    s.add_argument("--off-grid", choices=["drop", "snap"], default="drop")
+    s.add_argument("--off-grid", choices=["drop", "snap"], required=True,
+                   help="readings off their station's grid: ignored (and counted) or moved onto it")
+    s.add_argument("--whole-gaps", action="store_true", help="do not cut long gaps at day bounds")
     s.add_argument("--noise", type=float, default=0.02)
     s.add_argument("--seed", type=int, default=42)
     s.set_defaults(fn=cmd_densify)
@@ -176,6 +183,8 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--history", default=None)
     s.add_argument("--snapshot", default=None)
     s.add_argument("--alerts", default=None)
+    s.add_argument("--quarantine", default=None,
+                   help="folder for messages that cannot be decoded (default: beside the history)")
     s.add_argument("--trigger", default="0 seconds")
     s.add_argument("--max-per-trigger", type=int, default=None)
     s.add_argument("--once", action="store_true", help="process what is there, then stop")

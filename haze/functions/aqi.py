@@ -149,8 +149,12 @@ def aqi_pm10(c: ColumnOrName, **kw) -> Column:
     return sub_index(c, PM10, **kw)
 
 
-def overall(*parts: ColumnOrName) -> Column:
-    """Overall index = the largest sub-index, a missing part counts as 0."""
+def overall(*parts: ColumnOrName, null_policy: str = "zero") -> Column:
+    """Overall index = the largest sub-index.  ``null_policy="zero"``: a missing
+    part counts as 0; ``"null"``: missing parts are passed over, and the index is
+    null if all are missing."""
+    if null_policy == "null":
+        return F.greatest(*[_col(p) for p in parts]) if len(parts) > 1 else _col(parts[0])
     return F.greatest(*[F.coalesce(_col(p), F.lit(0)) for p in parts]) if len(parts) > 1 \
         else F.coalesce(_col(parts[0]), F.lit(0))
 
@@ -221,17 +225,26 @@ def score(df, pm25: str = "pm25", pm10: str = "pm10", **kw):
     projection (one ``withColumns`` keeps a single Project node)."""
     a25 = aqi_pm25(pm25, **kw)
     a10 = aqi_pm10(pm10, **kw)
+    policy = kw.get("null_policy", "zero")
     return df.withColumns({"aqi_pm25": a25, "aqi_pm10": a10}).withColumns(
-        {"aqi": overall("aqi_pm25", "aqi_pm10")}
-    ).withColumns({"quality": quality("aqi")})
+        {"aqi": overall("aqi_pm25", "aqi_pm10", null_policy=policy)}
+    ).withColumns({"quality": _scored_quality(policy)})
+
+
+def _scored_quality(policy: str) -> Column:
+    """Label of ``aqi``; without an index there is none to give (``N/A``)."""
+    if policy == "null":
+        return F.when(F.col("aqi").isNull(), F.lit(NULL_LABEL)).otherwise(quality("aqi"))
+    return quality("aqi")
 
 
 def score_many(df, standards: dict[str, Standard], **kw):
     """Score any number of pollutants; ``aqi`` is the maximum of all parts."""
     parts = {f"aqi_{col}": sub_index(col, std, **kw) for col, std in standards.items()}
     out = df.withColumns(parts)
-    out = out.withColumns({"aqi": overall(*parts.keys())})
-    return out.withColumns({"quality": quality("aqi")})
+    policy = kw.get("null_policy", "zero")
+    out = out.withColumns({"aqi": overall(*parts.keys(), null_policy=policy)})
+    return out.withColumns({"quality": _scored_quality(policy)})
 
 
 # ---------------------------------------------------------------- SQL text

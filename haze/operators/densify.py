@@ -72,7 +72,10 @@ def _chunked_neighbours(df: DataFrame, station: str, values: Sequence[str], chun
                          .alias(f"_carry_n_{c}"))
     carry_df = summary.select(station, "_chunk", *carry)
 
-    rows = df.join(carry_df, [station, "_chunk"], "left")
+    # Null-safe: readings without a station are a series of their own.
+    carry_df = carry_df.withColumnsRenamed({station: "_cs", "_chunk": "_cc"})
+    rows = df.join(carry_df, df[station].eqNullSafe(carry_df["_cs"])
+                   & df["_chunk"].eqNullSafe(carry_df["_cc"]), "left").drop("_cs", "_cc")
     in_chunk = Window.partitionBy(station, "_chunk").orderBy("_t")
     upto = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = in_chunk.rowsBetween(1, Window.unboundedFollowing)
@@ -92,38 +95,42 @@ def _with_origin(df: DataFrame, station: str, ts: str) -> DataFrame:
     The per-station minimum is a small aggregate; AQE broadcasts it when its
     measured size allows, else it is a normal shuffle join."""
     base = df.withColumn("_t", F.unix_micros(F.col(ts)))
-    origin = base.groupBy(station).agg(F.min("_t").alias("_t0"))
-    return base.join(origin, station)
+    origin = base.groupBy(F.col(station).alias("_os")).agg(F.min("_t").alias("_t0"))
+    return base.join(origin, base[station].eqNullSafe(origin["_os"])).drop("_os")
 
 
 def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
             values: Sequence[str] | None = None, step_seconds: int = 5,
             chunk_seconds: int = DAY_SECONDS, off_grid: str = "drop",
-            spread_gaps: bool = False) -> DataFrame:
+            spread_gaps: bool = True) -> DataFrame:
     """Regular grid per station from its first to its last reading every
     ``step_seconds``; each value column linearly interpolated in time between
     the surrounding known points (leading/trailing gaps stay null).
 
     ``off_grid="drop"``: readings not on the station's grid are ignored (the
-    effect of joining the grid on exact instants).  ``"snap"``: they are
-    moved down to the grid and averaged per grid instant.
+    effect of joining the grid on exact instants); ``off_grid_rows`` counts
+    them.  ``"snap"``: they are moved down to the grid.  Readings of one
+    station that fall on one instant are averaged.  Readings without an
+    instant are not on any grid; those without a station are one series.
 
     ``spread_gaps=True`` cuts every gap at chunk boundaries and shuffles the
     pieces by (station, chunk) before generating the grid, so no task emits
     more than one chunk of grid per station even when a station was silent
-    for months (one extra shuffle of the sparse rows).  Without it, a gap's
-    grid points stream out of the task that holds the row before the gap.
+    for months (one extra shuffle of the sparse rows).  Without it, the grid
+    of a gap is one array in the task that holds the row before the gap.
     """
     values = _value_columns(df, station, ts, values)
     step_us = int(step_seconds) * 1_000_000
     chunk_us = max(int(chunk_seconds) // int(step_seconds), 1) * step_us
     base = _with_origin(df.select(station, ts, *values), station, ts)
+    if off_grid not in ("drop", "snap"):
+        raise ValueError(f"off_grid must be drop or snap, got {off_grid!r}")
     if off_grid == "snap":
         snapped = F.col("_t0") + F.floor((F.col("_t") - F.col("_t0")) / F.lit(step_us)) * step_us
-        base = base.withColumn("_t", snapped).groupBy(station, "_t", "_t0").agg(
-            *[F.avg(c).alias(c) for c in values])
+        base = base.withColumn("_t", snapped)
     else:
         base = base.where((F.col("_t") - F.col("_t0")) % F.lit(step_us) == 0)
+    base = base.groupBy(station, "_t", "_t0").agg(*[F.avg(c).alias(c) for c in values])
 
     rows = _chunked_neighbours(base, station, values, chunk_us)
     stop = F.coalesce(F.col("_t_next") - F.lit(step_us), F.col("_t"))
@@ -150,6 +157,16 @@ def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
     return grid.select(*out)
 
 
+def off_grid_rows(df: DataFrame, station: str = "location_id", ts: str = "datetime",
+                  step_seconds: int = 5) -> DataFrame:
+    """One row: the readings, those on their station's grid, those off it (which
+    ``densify(off_grid="drop")`` ignores) and those without an instant."""
+    base = _with_origin(df.select(station, ts), station, ts)
+    on = (F.col("_t") - F.col("_t0")) % F.lit(int(step_seconds) * 1_000_000) == 0
+    return base.agg(F.count(F.lit(1)).alias("rows"), F.count_if(on).alias("on_grid"),
+                    F.count_if(~on).alias("off_grid"), F.count_if(F.col("_t").isNull()).alias("no_instant"))
+
+
 def left_join_grid(df: DataFrame, station: str = "location_id", ts: str = "datetime",
                    step_seconds: int = 5) -> DataFrame:
     """The literal formulation -- a per-station grid left-joined with the
@@ -177,16 +194,23 @@ def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "location
 
 
 def _unit(seed: int, salt: int, key_cols: Sequence[str]) -> Column:
-    """A uniform number in (0, 1) from a hash of the row's key."""
-    h = F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(c) for c in key_cols])
-    return (F.pmod(h, F.lit(1 << 52)).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    """A uniform number in (0, 1): the first 48 bits of the md5 of seed, salt and
+    the key's text.  Any engine with md5 draws the same numbers."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)),
+                       *[F.coalesce(_key_text(c), F.lit("")) for c in key_cols])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double")
+    return (h + F.lit(0.5)) / F.lit(float(1 << 48))
+
+
+def _key_text(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
 def jitter(df: DataFrame, columns: Sequence[str], std: float = 0.02, seed: int = 42,
            key_cols: Sequence[str] | None = ("location_id", "datetime")) -> DataFrame:
     """``v * (1 + N(0, std))`` with an independent draw per column.
 
-    The normal draw is a Box-Muller transform of two uniforms hashed from the
+    The normal draw is a Box-Muller transform of two uniforms, md5 hashes of the
     row's key (``key_cols``), the seed and the column index: a row gets the
     same noise however the data is partitioned and however often a task is
     re-run after an executor loss.  ``key_cols=None`` falls back to

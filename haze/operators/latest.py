@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haze.schemas import MEASURES
@@ -14,6 +14,9 @@ SNAPSHOT_COLUMNS = ["location_id", "datetime", "event_ts", *MEASURES,
                     "aqi", "aqi_pm25", "aqi_pm10", "quality", "processed_at"]
 KEY_PREFIX = "location:"
 DEFAULT_TTL_SECONDS = 3600
+_SNAPSHOT_TYPES = {"location_id": "long", "datetime": "string", "event_ts": "timestamp",
+                   **dict.fromkeys(MEASURES, "float"), "aqi": "int", "aqi_pm25": "int",
+                   "aqi_pm10": "int", "quality": "string", "processed_at": "timestamp"}
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str] = "location_id",
@@ -48,8 +51,31 @@ def fresh(df: DataFrame, as_of, ttl_seconds: int = DEFAULT_TTL_SECONDS,
 
 # ------------------------------------------------------------ key/value form
 
-def _num_text(c: Column) -> Column:
-    return F.coalesce(c.cast("double").cast("string"), F.lit(""))
+# A double's text as Spark prints it, split up: sign, digits before and after
+# the point, exponent.
+_PRINTED = r"^(-?)([0-9]+)\\.([0-9]+)(?:E(-?[0-9]+))?$"
+
+# The shortest decimal text of ``d`` (a double): plain digits from 1e-4 up to
+# below 1e16, else a mantissa and a signed exponent of two digits or more.  The
+# nested lambdas name a part once, so that it is computed once.
+_NUM_TEXT = """
+aggregate(array(cast({x} as string)), '', (no, t) -> CASE
+  WHEN t = 'NaN' THEN 'nan' WHEN t = 'Infinity' THEN 'inf' WHEN t = '-Infinity' THEN '-inf'
+  WHEN NOT contains(t, 'E') THEN t
+  ELSE aggregate(array(named_struct(
+      'sign', regexp_extract(t, r'{p}', 1),
+      'digits', rtrim('0', concat(regexp_extract(t, r'{p}', 2), regexp_extract(t, r'{p}', 3))),
+      'e', int(regexp_extract(t, r'{p}', 4)))), '', (none, s) -> concat(s.sign, CASE
+    WHEN s.e BETWEEN -4 AND -1 THEN concat('0.', repeat('0', -s.e - 1), s.digits)
+    WHEN s.e BETWEEN 0 AND 15 AND length(s.digits) <= s.e + 1 THEN concat(rpad(s.digits, s.e + 1, '0'), '.0')
+    WHEN s.e BETWEEN 0 AND 15 THEN concat(left(s.digits, s.e + 1), '.', substr(s.digits, s.e + 2))
+    ELSE concat(left(s.digits, 1), if(length(s.digits) > 1, '.', ''), substr(s.digits, 2),
+                if(s.e < 0, 'e-', 'e+'), if(abs(s.e) < 10, '0', ''), string(abs(s.e))) END)) END)"""
+
+
+def _num_text(c: str) -> Column:
+    text = F.expr(_NUM_TEXT.format(x=f"cast(`{c}` as double)", p=_PRINTED.replace("\\\\", "\\")))
+    return F.when(F.col(c).isNull(), F.lit("")).otherwise(text)
 
 
 def _int_text(c: Column) -> Column:
@@ -79,7 +105,7 @@ def to_kv(df: DataFrame, key_col: str = "location_id") -> DataFrame:
         "quality": F.when(F.coalesce(col("quality"), F.lit("")) == "", F.lit("N/A"))
                     .otherwise(col("quality")),
         "timestamp": F.coalesce(col("datetime").cast("string"), F.lit("")),
-        **{m: _num_text(col(m)) for m in MEASURES},
+        **{m: _num_text(m) if m in have else F.lit("") for m in MEASURES},
         "aqi_pm25": _int_text(col("aqi_pm25")),
         "aqi_pm10": _int_text(col("aqi_pm10")),
         "processed_at": _ts_text(col("processed_at")),
@@ -119,10 +145,11 @@ def from_kv(kv: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fallback
 
 def latest_or_history(snapshot: DataFrame, history: DataFrame, columns: Sequence[str],
-                      n: int | None = 100) -> DataFrame:
+                      n: int | None = None, ranked: bool = False) -> DataFrame:
     """Snapshot rows tagged ``source='snapshot'`` if there are any, else the
-    newest ``n`` history rows tagged ``'history'`` (``n=None``: ``history``
-    is used as given, e.g. already limited).
+    newest ``n`` history rows tagged ``'history'`` (default ``DEFAULT_ROWS``),
+    newest first; ``ranked`` adds that order as ``rank`` (the rows served fit
+    one response, so numbering them is one small task).
 
     One plan, no driver-side branch.  The history side is guarded by an
     uncorrelated ``NOT EXISTS (snapshot)`` placed directly on the history
@@ -130,8 +157,38 @@ def latest_or_history(snapshot: DataFrame, history: DataFrame, columns: Sequence
     turns it into a partition filter evaluated before listing files, and a
     non-empty snapshot means no history file is read at all.
     """
-    from haze.operators.history import latest_history
+    from haze.operators.history import DEFAULT_ROWS, latest_history
     snap = snapshot.select(*columns).withColumn("source", F.lit("snapshot"))
     guarded = history.where(~snapshot.exists())
-    hist = latest_history(guarded, n) if n is not None else guarded
-    return snap.unionByName(hist.select(*columns).withColumn("source", F.lit("history")))
+    hist = latest_history(guarded, DEFAULT_ROWS if n is None else n)
+    out = snap.unionByName(hist.select(*columns).withColumn("source", F.lit("history")))
+    by = [F.col(c).desc_nulls_last() for c in ("event_ts", "location_id") if c in out.columns]
+    if ranked:
+        out = out.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+    return out.orderBy(*by)
+
+
+# ---------------------------------------------------------------- stored snapshot
+
+def read_snapshot(spark: SparkSession, path: str, as_of=None,
+                  ttl_seconds: int = DEFAULT_TTL_SECONDS) -> DataFrame:
+    """The stored snapshot table, without the entries expired at ``as_of``; an
+    absent table reads as an empty one."""
+    from haze.operators.history import read_table, table_exists
+    if not table_exists(spark, path):
+        empty = ", ".join(f"{c} {t}" for c, t in _SNAPSHOT_TYPES.items())
+        return spark.createDataFrame([], empty)
+    snap = read_table(spark, path).drop("shard")
+    return snap if as_of is None else fresh(snap, as_of, ttl_seconds)
+
+
+def compact_snapshot(spark: SparkSession, path: str, as_of, output: str,
+                     ttl_seconds: int = DEFAULT_TTL_SECONDS) -> None:
+    """Write the entries still alive at ``as_of`` as a new snapshot table at
+    ``output``, one file per shard; the old table is left as it is."""
+    from haze.operators.history import _note_table, read_table, table_note
+    live = fresh(read_table(spark, path), as_of, ttl_seconds)
+    shards = table_note(spark, path)[1]
+    (live.repartition("shard").write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").partitionBy("shard").parquet(output))
+    _note_table(spark, output, live.schema, shards)

@@ -74,15 +74,15 @@ def disposition_counts(samples: DataFrame) -> DataFrame:
 
 
 def _rank_targets(n: Column, quantiles: dict[str, float]) -> list[Column]:
-    """(name, 0-based rank) structs.  ``nearest``: floor((n-1)q + 0.5);
-    the median is linear: the two middle ranks, averaged afterwards."""
+    """(name, 0-based rank) structs.  A number means the nearest rank,
+    floor((n-1)q + 0.5); ``("linear", q)`` means the two ranks around (n-1)q, to
+    be interpolated afterwards, and ``"median"`` is ``("linear", 0.5)``."""
     out = []
     for name, q in quantiles.items():
-        if q == "median":
-            out.append(F.struct(F.lit(f"{name}#lo").alias("name"),
-                                F.floor((n - 1) * F.lit(0.5)).alias("rank")))
-            out.append(F.struct(F.lit(f"{name}#hi").alias("name"),
-                                F.ceil((n - 1) * F.lit(0.5)).alias("rank")))
+        if q == "median" or isinstance(q, tuple):
+            at = (n - 1) * F.lit(0.5 if q == "median" else float(q[1]))
+            out.append(F.struct(F.lit(f"{name}#lo").alias("name"), F.floor(at).alias("rank")))
+            out.append(F.struct(F.lit(f"{name}#hi").alias("name"), F.ceil(at).alias("rank")))
         else:
             out.append(F.struct(F.lit(name).alias("name"),
                                 F.floor((n - 1) * F.lit(float(q)) + F.lit(0.5)).alias("rank")))
@@ -124,50 +124,76 @@ def _bucketed(values: DataFrame, col: str, bucket, origin=None) -> DataFrame:
         .withColumn("b", F.floor(F.col("v") / bucket))
 
 
-# Widest value range exact_ranks accepts: both histogram levels then stay
-# at or below 2**20 rows.
-MAX_RANK_RANGE_BITS = 40
+# Bits of a value that one histogram level resolves: at most 2**20 rows.
+LEVEL_BITS = 20
 
 
-def exact_ranks(values: DataFrame, col: str, quantiles: dict[str, float | str],
+def _narrow(v: DataFrame, located: DataFrame, wide: int, narrow: int) -> DataFrame:
+    """One more histogram level: inside the located buckets of width ``wide``
+    (a handful) count per bucket of width ``narrow`` and follow each rank."""
+    inside = v.join(F.broadcast(located.select("b").distinct()), "b", "left_semi") \
+        .groupBy("b", F.floor(F.col("v") / F.lit(narrow)).alias("b2")) \
+        .agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy("b").orderBy("b2").rowsBetween(Window.unboundedPreceding,
+                                                             Window.currentRow)
+    cum = inside.withColumn("end", F.sum("c").over(upto)) \
+        .withColumn("start", F.col("end") - F.col("c"))
+    return located.join(cum, "b").where(
+        (F.col("local") >= F.col("start")) & (F.col("local") < F.col("end"))) \
+        .select("name", F.col("b2").alias("b"), (F.col("local") - F.col("start")).alias("local"))
+
+
+def exact_ranks(values: DataFrame, col: str, quantiles: dict[str, float | str | tuple],
                 bucket: int | None = None) -> DataFrame:
     """Exact order statistics of an integer column without collecting or
     globally sorting it: (name, value) rows.
 
-    Two-level histogram.  Level 1 counts rows per ``(value - min) div
-    bucket`` (map-side combined) and is written once to the shared
-    checkpoint folder; each target rank's bucket is located from running
-    counts over that small table.  Level 2 re-reads only the rows of those
-    buckets, counts per distinct value and picks the value at the rank
-    inside its bucket.  Without an explicit ``bucket`` the width is
-    2**ceil(bits/2) for a value range of 2**bits (min/max come from one
-    one-row aggregate), so both levels hold at most ~sqrt(range) rows;
-    ranges wider than 2**40 are refused (use ``percentile_approx`` there).
-    Every single-partition window here runs over one of those bounded tables.
+    Histogram by levels.  Level 1 counts rows per ``(value - min) div bucket``
+    (map-side combined) and is written once to the shared checkpoint folder;
+    each target rank's bucket is located from running counts over that small
+    table.  The next level re-reads only the rows of those buckets, and the
+    last one counts per distinct value and picks the value at the rank.  Without
+    an explicit ``bucket`` a value range of 2**bits (min/max come from one
+    one-row aggregate) takes one level per ``LEVEL_BITS`` bits, so any range
+    works and no level has more than 2**20 rows per located bucket; the
+    single-partition windows run over those bounded tables.
     """
     from haze.session import materialize
-    origin = 0
+    origin, widths = 0, [bucket]
     if bucket is None:
         mm = values.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
         if mm["lo"] is None:
             return values.sparkSession.createDataFrame([], "name string, v long")
-        width = int(mm["hi"]) - int(mm["lo"]) + 1
-        bits = max(0, (width - 1).bit_length())
-        if bits > MAX_RANK_RANGE_BITS:
-            raise ValueError(f"exact_ranks: value range wider than 2**{MAX_RANK_RANGE_BITS}; "
-                             "use percentile_approx")
-        bucket = 1 << ((bits + 1) // 2)
         origin = int(mm["lo"])
-    v = _bucketed(values, col, F.lit(int(bucket)), F.lit(origin) if origin else None)
-    hist1 = materialize(v.groupBy("b").agg(F.count(F.lit(1)).alias("c")).coalesce(1),
-                        "rank-histogram")
+        bits = max(0, (int(mm["hi"]) - origin).bit_length())
+        if bits > 63:
+            origin, bits = 0, 63       # differences would leave the long range
+        levels = max(2, -(-bits // LEVEL_BITS))
+        widths = [1 << (bits * k // levels) for k in range(levels - 1, 0, -1)]
+    v = _bucketed(values, col, F.lit(int(widths[0])), F.lit(origin) if origin else None)
+    hist1 = materialize(v.groupBy("b").agg(F.count(F.lit(1)).alias("c")), "rank-histogram")
     n = hist1.select(F.sum("c")).scalar()
-    picked = _pick(v, _locate(hist1, n, quantiles))
+    located = _locate(hist1, n, quantiles)
+    for wide, narrow in zip(widths[:-1], widths[1:]):
+        located = materialize(_narrow(v, located, wide, narrow), "rank-level")
+        v = v.withColumn("b", F.floor(F.col("v") / F.lit(int(narrow))))
+    picked = _pick(v, located)
     if origin:
         picked = picked.select("name", (F.col("v") + F.lit(origin)).alias("v"))
     return picked
 
 
+def linear_quantiles(values: DataFrame, col: str, quantiles: dict[str, float]) -> DataFrame:
+    """One row: the linearly interpolated quantiles of an integer column."""
+    ranks = exact_ranks(values, col, {k: ("linear", q) for k, q in quantiles.items()})
+    n = values.select(F.count(col)).scalar()
+    out = []
+    for k, q in quantiles.items():
+        lo, hi = (F.max(F.when(F.col("name") == f"{k}#{s}", F.col("v"))) for s in ("lo", "hi"))
+        out.append((lo + (hi - lo) * F.max((n - 1) * F.lit(float(q)) % 1)).alias(k))
+    return ranks.agg(*out)
+
+
 def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> DataFrame:
     """One row: disposition counters, count/min/max/avg/std (sample) of the
     valid latencies, p50 (median, linear), p95 and p99 (nearest rank),
@@ -188,7 +214,7 @@ def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> Dat
     groups = samples.groupBy(d.alias("disposition"), b.alias("b")).agg(
         F.count(F.lit(1)).alias("c"), F.min(lat).alias("mn"), F.max(lat).alias("mx"),
         F.sum(lat).alias("sm"), F.var_pop(lat).alias("vp"))
-    groups = materialize(groups.coalesce(1), "latency-groups")
+    groups = materialize(groups, "latency-groups")
     valid = groups.where(F.col("disposition") == "valid")
 
     n = F.coalesce(F.sum("c"), F.lit(0).cast("long"))
@@ -282,23 +308,30 @@ def latency_series(samples: DataFrame, station_col: str = "location_id",
     offsets = per_chunk.select(station_col, "_chunk",
                                F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     w = Window.partitionBy(station_col, "_chunk").orderBy("event_time", "processed_at")
-    return valid.join(offsets, [station_col, "_chunk"]).select(
+    offsets = offsets.withColumnsRenamed({station_col: "_os", "_chunk": "_oc"})
+    same = valid[station_col].eqNullSafe(offsets["_os"]) & (valid["_chunk"] == offsets["_oc"])
+    return valid.join(offsets, same).select(
         station_col, (F.col("_off") + F.row_number().over(w)).alias("idx"),
         "event_time", "processed_at", "latency")
 
 
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"      # microseconds survive the file
+
+
 def write_latency_csv(samples: DataFrame, path: str) -> None:
     """Valid samples (event_time, processed_at, latency) ordered by event
     time into CSV with a header (a range-partitioned sort, not one task)."""
     (samples.where(F.col("disposition") == "valid")
         .select("event_time", "processed_at", "latency")
         .orderBy("event_time")
-        .write.mode("overwrite").option("header", True).csv(path))
+        .write.mode("overwrite").option("header", True)
+        .option("timestampFormat", CSV_TIME).csv(path))
 
 
 def read_latency_csv(spark: SparkSession, path: str) -> DataFrame:
     from haze.schemas import LATENCY_SCHEMA
-    return spark.read.schema(LATENCY_SCHEMA).option("header", True).csv(path)
+    return spark.read.schema(LATENCY_SCHEMA).option("header", True) \
+        .option("timestampFormat", CSV_TIME).csv(path)
 
 
 def throughput(df: DataFrame, ts_col: str) -> DataFrame:

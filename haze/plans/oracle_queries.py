@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from haze.functions import aqi as aqi_sql
-from haze.plans.oracle import with_views
+from haze.plans.oracle import (COLORS, INDEX, LEVEL_BOUNDS, NO_COLOR, NO_LABEL, SHORT_LABELS,
+                               index_sql, level_sql, with_views)
 
 ORACLE: dict[str, str] = {}
 
@@ -19,13 +19,8 @@ FROM history GROUP BY quality""", "history")
 
 
 def _bp_values() -> str:
-    from haze.functions import aqi
-    rows = []
-    for name, std in aqi.STANDARDS.items():
-        for b in std.brackets:
-            rows.append(f"('{name}', {aqi.float_literal(b.c_low)}, {aqi.float_literal(b.c_high)}, "
-                        f"{b.i_low}, {b.i_high}, {aqi.float_literal(std.cap_above)}, {std.index_cap})")
-    return ", ".join(rows)
+    return ", ".join(f"('{name}', {lo}E0, {hi}E0, {a}, {b}, {cap}E0, 500)"
+                     for name, (rows, cap) in INDEX.items() for lo, hi, a, b in rows)
 
 
 ORACLE["aqi_by_breakpoint_table"] = with_views("""
@@ -50,7 +45,8 @@ SELECT location_id, datetime, aqi_pm25, aqi_pm10, aqi, quality FROM history""",
 
 def _clean_param_sql(expr: str) -> str:
     from haze.schemas import PARAMETER_NAMES
-    name = f"lower(regexp_replace({expr}, '^\\s+|\\s+$', '', 'g'))"
+    blank = "[\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+    name = f"lower(regexp_replace({expr}, '^{blank}+|{blank}+$', '', 'g'))"
     whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PARAMETER_NAMES.items())
     return f"coalesce(CASE {name} {whens} END, {name})"
 
@@ -100,11 +96,12 @@ SELECT {HIST_COLS} FROM history ORDER BY event_ts DESC, location_id DESC LIMIT 1
                                       "history")
 
 _FALLBACK = """
+SELECT *, CAST(row_number() OVER (ORDER BY event_ts DESC, location_id DESC) AS INTEGER) AS rank FROM (
 SELECT {cols}, 'snapshot' AS source FROM latest WHERE {ttl}
 UNION ALL
 SELECT * FROM (SELECT {cols}, 'history' AS source FROM history
-               ORDER BY event_ts DESC, location_id DESC LIMIT 100)
-WHERE NOT EXISTS (SELECT 1 FROM latest WHERE {ttl})"""
+               ORDER BY event_ts DESC, location_id DESC LIMIT 1000)
+WHERE NOT EXISTS (SELECT 1 FROM latest WHERE {ttl}))"""
 
 ORACLE["latest_or_history"] = _with_latest(
     _FALLBACK.format(cols=HIST_COLS, ttl=TTL.format(as_of="2024-01-30 23:00:00")))
@@ -290,10 +287,10 @@ _F32 = f"""
          CAST(NULL AS REAL) AS pm1
   FROM readings"""
 _F32_SCORED = f"""
-  SELECT *, {aqi_sql.quality_sql('aqi')} AS quality FROM (
+  SELECT *, {level_sql('aqi')} AS quality FROM (
     SELECT *, greatest(coalesce(aqi_pm25, 0), coalesce(aqi_pm10, 0)) AS aqi FROM (
-      SELECT *, {aqi_sql.sub_index_sql('pm25', aqi_sql.PM25, 'duckdb')} AS aqi_pm25,
-                {aqi_sql.sub_index_sql('pm10', aqi_sql.PM10, 'duckdb')} AS aqi_pm10
+      SELECT *, {index_sql('pm25', 'pm25')} AS aqi_pm25,
+                {index_sql('pm10', 'pm10')} AS aqi_pm10
       FROM f32))"""
 
 ORACLE["json_decode"] = with_views("""
@@ -326,15 +323,15 @@ FROM readings""", "readings")
 
 
 def _level_sql(expr: str, labels, null_value) -> str:
-    whens = " ".join(f"WHEN {expr} <= {b} THEN '{lab}'" for b, lab in zip(aqi_sql.LEVEL_BOUNDS, labels))
+    whens = " ".join(f"WHEN {expr} <= {b} THEN '{lab}'" for b, lab in zip(LEVEL_BOUNDS, labels))
     return f"CASE WHEN {expr} IS NULL THEN '{null_value}' {whens} ELSE '{labels[-1]}' END"
 
 
 ORACLE["alerts"] = with_views(f"""
 SELECT location_id, datetime, aqi, quality,
        CASE WHEN aqi > 200 THEN 'danger' WHEN aqi > 150 THEN 'warning' END AS severity,
-       {_level_sql('aqi', aqi_sql.LEVEL_COLORS, aqi_sql.NULL_COLOR)} AS color,
-       {_level_sql('aqi', aqi_sql.QUALITY_SHORT, aqi_sql.NULL_LABEL)} AS level,
+       {_level_sql('aqi', COLORS, NO_COLOR)} AS color,
+       {_level_sql('aqi', SHORT_LABELS, NO_LABEL)} AS level,
        CASE WHEN pm25 < 50 THEN 'Tốt' WHEN pm25 > 150 THEN 'Nguy hại'
             WHEN pm25 IS NOT NULL THEN 'Trung bình' END AS pm25_status,
        printf('Station %d: AQI %d (%s)', location_id, aqi, quality) AS message
@@ -353,8 +350,8 @@ SELECT location_id, pm25, pm10,
             THEN CAST(trunc({_D.format(c='pm25')} / {_D.format(c='pm10')} * 100) AS INTEGER)
             ELSE 0 END AS pm25_share_pct,
        greatest(0.0E0, {_D.format(c='pm10')} - {_D.format(c='pm25')}) AS coarse_pm,
-       {_level_sql('aqi', aqi_sql.LEVEL_COLORS, aqi_sql.NULL_COLOR)} AS color,
-       {_level_sql('aqi', aqi_sql.QUALITY_SHORT, aqi_sql.NULL_LABEL)} AS level
+       {_level_sql('aqi', COLORS, NO_COLOR)} AS color,
+       {_level_sql('aqi', SHORT_LABELS, NO_LABEL)} AS level
 FROM latest""")
 
 ORACLE["window_aqi"] = with_views("""
@@ -378,10 +375,10 @@ SELECT location_id, event_ts, datetime, aqi, severity, prev_severity FROM (
 WHERE severity IS NOT NULL AND (prev_severity IS NULL OR prev_severity <> severity)""", "history")
 
 ORACLE["multi_pollutant"] = with_views(f"""
-SELECT location_id, datetime, aqi_pm25, aqi_pm10, aqi, {aqi_sql.quality_sql('aqi')} AS quality
+SELECT location_id, datetime, aqi_pm25, aqi_pm10, aqi, {level_sql('aqi')} AS quality
 FROM (SELECT *, greatest(coalesce(aqi_pm25, 0), coalesce(aqi_pm10, 0)) AS aqi
-      FROM (SELECT *, {aqi_sql.sub_index_sql('pm25', aqi_sql.PM25, 'duckdb')} AS aqi_pm25,
-                      {aqi_sql.sub_index_sql('pm10', aqi_sql.PM10, 'duckdb')} AS aqi_pm10
+      FROM (SELECT *, {index_sql('pm25', 'pm25')} AS aqi_pm25,
+                      {index_sql('pm10', 'pm10')} AS aqi_pm10
             FROM wide))""", "raw_long", extra={"wide": WIDE})
 
 ORACLE["aqi_histogram"] = with_views("""
@@ -397,23 +394,9 @@ LEFT JOIN (SELECT CAST(CASE WHEN mx = mn THEN 1
                                                   "CAST(max(aqi) AS DOUBLE) AS mx FROM history"})
 
 
-def _continuous_sql(expr: str, std) -> str:
-    x = f"CAST({expr} AS DOUBLE)"
-    parts = [f"CASE WHEN {x} IS NULL THEN 0 WHEN isnan({x}) THEN 0"]
-    br = std.brackets
-    for i, b in enumerate(br):
-        lo = aqi_sql.float_literal(b.c_low)
-        hi_cond = (f"{x} < {aqi_sql.float_literal(br[i + 1].c_low)}" if i + 1 < len(br)
-                   else f"{x} <= {aqi_sql.float_literal(b.c_high)}")
-        value = f"{aqi_sql.float_literal(b.slope)} * ({x} - {lo}) + {b.i_low}"
-        parts.append(f"WHEN {x} >= {lo} AND {hi_cond} THEN CAST(round_even({value}, 0) AS INTEGER)")
-    parts.append(f"WHEN {x} > {aqi_sql.float_literal(std.cap_above)} THEN {std.index_cap} ELSE 0 END")
-    return " ".join(parts)
-
-
 ORACLE["aqi_score_continuous"] = with_views(f"""
-SELECT location_id, datetime, {_continuous_sql('pm25', aqi_sql.PM25)} AS aqi_pm25,
-       {_continuous_sql('pm10', aqi_sql.PM10)} AS aqi_pm10
+SELECT location_id, datetime, {index_sql('pm25', 'pm25', True)} AS aqi_pm25,
+       {index_sql('pm10', 'pm10', True)} AS aqi_pm10
 FROM readings""", "readings")
 
 ORACLE["clean_pivot_discovered"] = ORACLE["clean_pivot"]
@@ -477,3 +460,18 @@ JOIN (SELECT aqi, row_number() OVER (ORDER BY aqi) - 1 AS rk, count(*) OVER () A
   ON r.rk = CAST(floor((r.n - 1) * CAST(q.p AS DOUBLE) + 0.5) AS BIGINT)""", "history")
 
 ORACLE["densify_spread"] = ORACLE["densify_linear"]
+
+
+def _draw(column: int) -> str:
+    """The normal draw of one column: Box-Muller over two md5 hashes of the key."""
+    u = [f"((CAST('0x' || substr(md5('42|{salt}|' || location_id || '|' || datetime), 1, 12) AS BIGINT)) + 0.5E0) / 281474976710656.0E0"
+         for salt in (2 * column, 2 * column + 1)]
+    return f"sqrt(-2.0E0 * ln({u[0]})) * cos(2 * 3.141592653589793E0 * {u[1]})"
+
+
+ORACLE["jitter"] = (f"SELECT location_id, datetime, {', '.join(f'round({c} * (1.0E0 + 0.02E0 * {_draw(i)}), 6) AS {c}' for i, c in enumerate(_DCOLS))} "
+                    f"FROM ({ORACLE['densify_linear']})")
+
+from haze.plans.round_trips import ROUND_TRIP_ORACLE  # noqa: E402
+
+ORACLE |= ROUND_TRIP_ORACLE

@@ -107,23 +107,31 @@ def latest_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_history(tables.history(spark, sf_dir), 1000).select(*HISTORY_OUT)
 
 
+def _stored_snapshot(spark, sf_dir) -> str:
+    """The snapshot table of all history rows, written as the serving job does."""
+    from haze.session import scratch_path
+    from haze.streaming.job import merge_snapshot
+    path = scratch_path(spark, "snapshot")
+    merge_snapshot(spark, tables.history(spark, sf_dir), path, shards=4)
+    return path
+
+
+def _served(spark, sf_dir, as_of):
+    from haze.operators.latest import latest_or_history, read_snapshot
+    snap = read_snapshot(spark, _stored_snapshot(spark, sf_dir), as_of)
+    return latest_or_history(snap, tables.history(spark, sf_dir), HISTORY_OUT, ranked=True)
+
+
 @query("latest_or_history")
 def latest_or_history_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from haze.operators.history import latest_history
-    from haze.operators.latest import fresh, latest_or_history
-    hist = tables.history(spark, sf_dir)
-    snap = fresh(_latest(spark, sf_dir), tables.SNAPSHOT_AS_OF)
-    return latest_or_history(snap, hist, HISTORY_OUT, 100)
+    """Serving query over the stored snapshot; rank is the order served."""
+    return _served(spark, sf_dir, tables.SNAPSHOT_AS_OF)
 
 
 @query("latest_or_history_fallback")
 def latest_or_history_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same serving query after every snapshot entry has expired."""
-    from haze.operators.history import latest_history
-    from haze.operators.latest import fresh, latest_or_history
-    hist = tables.history(spark, sf_dir)
-    snap = fresh(_latest(spark, sf_dir), "2024-02-02 00:00:00")
-    return latest_or_history(snap, hist, HISTORY_OUT, 100)
+    return _served(spark, sf_dir, "2024-02-02 00:00:00")
 
 
 @query("serving_counts")
@@ -257,8 +265,8 @@ def ingest_lag_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark, sf_dir):
-    from haze.operators.clean import hourly_wide
-    return hourly_wide(tables.raw_long(spark, sf_dir))
+    from haze.operators.clean import WIDE_PARAMETERS, hourly_wide
+    return hourly_wide(tables.raw_long(spark, sf_dir), WIDE_PARAMETERS)
 
 
 @query("densify_linear")
@@ -276,10 +284,11 @@ def forward_fill_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jitter")
 def jitter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Densified hourly grid with 2 % multiplicative noise (random: rows-only check)."""
+    """Densified hourly grid with 2 % multiplicative noise drawn from the key's md5."""
     from haze.operators.densify import densify, jitter
     dense = densify(_wide(spark, sf_dir), step_seconds=3600)
-    return jitter(dense, ["pm25", "pm10", "temperature", "relativehumidity"])
+    columns = ["pm25", "pm10", "temperature", "relativehumidity"]
+    return jitter(dense, columns).withColumns({c: F.round(c, 6) for c in columns})
 
 
 # ------------------------------------------------------------------ streaming
@@ -565,3 +574,8 @@ def densify_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks before the grid is generated (same result)."""
     from haze.operators.densify import densify
     return densify(_wide(spark, sf_dir), step_seconds=3600, spread_gaps=True)
+
+
+from haze.plans.round_trips import ROUND_TRIPS  # noqa: E402
+
+QUERIES |= ROUND_TRIPS

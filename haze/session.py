@@ -21,7 +21,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
 }
@@ -56,6 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext, "getCheckpointDir") else None
     if not base:
         # Only reached in tests / local runs: nothing configured a shared folder.
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all "
+                             "executors share")
         base = tempfile.mkdtemp(prefix="haze-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():

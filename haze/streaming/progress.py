@@ -1,33 +1,55 @@
-"""Live pipeline metrics from streaming progress events."""
+"""Streaming progress as plain records: rows, rates, offsets and the lag behind the source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections import deque
+
 from pyspark.sql.streaming import StreamingQueryListener
 
+KEPT = 1000
+
+
+def _offsets(text) -> dict[str, int]:
+    """``topic/partition`` -> offset of a source that reports offsets per partition; else empty."""
+    try:
+        value = json.loads(text) if isinstance(text, str) else text
+    except ValueError:
+        return {}
+    if not isinstance(value, dict):
+        return {}
+    return {f"{topic}/{part}": int(n) for topic, parts in value.items() if isinstance(parts, dict)
+            for part, n in parts.items() if isinstance(n, (int, str)) and str(n).lstrip("-").isdigit()}
+
+
+def source_lag(end, latest) -> int | None:
+    """Messages the source has beyond what was read, from its own progress report (no topic is
+    read for it); None for sources without offsets per partition."""
+    read, there = _offsets(end), _offsets(latest)
+    if not there:
+        return None
+    return sum(max(0, n - read.get(k, 0)) for k, n in there.items())
+
 
 class ProgressLog(StreamingQueryListener):
-    """Records one row per micro-batch: batch id, rows in, input and
-    processing rates, duration, and the source end offsets (the "produced"
-    side of the lag).  Rows are small and one per batch; ``drain`` hands them
-    out as a DataFrame and clears the buffer."""
+    """Collects the newest ``kept`` progress records of each batch of every stream."""
 
-    def __init__(self):
-        self.rows: list[dict] = []
+    def __init__(self, kept: int = KEPT):
+        self.records: deque[dict] = deque(maxlen=kept)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.rows.append({
-            "query": p.name or str(p.id),
-            "batch_id": int(p.batchId),
-            "rows": int(p.numInputRows),
-            "input_rows_per_s": float(p.inputRowsPerSecond or 0.0),
-            "processed_rows_per_s": float(p.processedRowsPerSecond or 0.0),
-            "duration_ms": int((p.durationMs or {}).get("triggerExecution", 0)),
-            "end_offset": str(p.sources[0].endOffset) if p.sources else None,
+        sources = [{"start": s.startOffset, "end": s.endOffset, "latest": s.latestOffset,
+                    "lag": source_lag(s.endOffset, s.latestOffset)} for s in p.sources]
+        lags = [s["lag"] for s in sources if s["lag"] is not None]
+        self.records.append({
+            "query": p.name, "batch_id": p.batchId, "input_rows": p.numInputRows,
+            "input_rows_per_s": p.inputRowsPerSecond,
+            "processed_rows_per_s": p.processedRowsPerSecond,
+            "offsets": sources, "lag": sum(lags) if lags else None,
         })
 
     def onQueryIdle(self, event):
@@ -36,8 +58,7 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event):
         pass
 
-    def drain(self, spark: SparkSession) -> DataFrame:
-        rows, self.rows = self.rows, []
-        return spark.createDataFrame(
-            rows, "query string, batch_id long, rows long, input_rows_per_s double, "
-                  "processed_rows_per_s double, duration_ms long, end_offset string")
+    def drain(self) -> list[dict]:
+        out = list(self.records)
+        self.records.clear()
+        return out

@@ -88,11 +88,13 @@ def split_decoded(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def encode_readings(df: DataFrame, time_col: str = "datetime", event_time=None) -> DataFrame:
-    """Rows -> (key, value) JSON messages for a topic or files.  A timestamp
-    ``time_col`` is rendered as ISO-8601 text; ``event_time`` (a Column)
-    re-stamps every message, e.g. with an injected "now"."""
+    """Rows -> (key, value) JSON messages for a topic or files, every column of a
+    row included (nulls are left out).  A timestamp ``time_col`` is rendered as
+    ISO-8601 text; ``event_time`` (a Column) re-stamps every message, e.g. with
+    an injected "now"."""
     from haze.functions.timefmt import iso_format
-    cols = [c for c in ["datetime", "location_id", *MEASURES] if c in df.columns or c == "datetime"]
+    first = [c for c in ["datetime", "location_id", *MEASURES] if c in df.columns or c == "datetime"]
+    cols = first + [c for c in df.columns if c not in first and c != time_col]
     dt = event_time if event_time is not None else F.col(time_col)
     if dict(df.dtypes).get(time_col) in ("timestamp", "timestamp_ntz") or event_time is not None:
         dt = iso_format(dt)

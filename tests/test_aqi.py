@@ -1,5 +1,8 @@
 import math
 import random
+from bisect import bisect
+from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -22,15 +25,41 @@ GOLDEN = [
 ]
 
 
-def reference_formula(c, std):
-    """The documented formula restated in plain Python (differential oracle)."""
-    if c is None:
+# The published tables once more, as exact decimals.
+SPEC = {
+    "pm25": (["0", "25.1", "50.1", "100.1", "150.1", "250.1", "350.1"],
+             ["25", "50", "100", "150", "250", "350", "500"], "500"),
+    "pm10": (["0", "50.1", "100.1", "200.1", "300.1", "400.1", "500.1"],
+             ["50", "100", "200", "300", "400", "500", "600"], "600"),
+}
+STEPS = [0, 50, 100, 150, 200, 300, 400, 500]
+
+
+def exact_index(c, pollutant):
+    """The written specification in exact arithmetic: interpolate inside the
+    bracket that holds ``c``, half to even; 0 between brackets and below them."""
+    lows, highs, cap = ([Decimal(x) for x in v] if isinstance(v, list) else Decimal(v)
+                        for v in SPEC[pollutant])
+    x = Decimal(repr(c))
+    if x > cap:
+        return 500
+    at = bisect(lows, x) - 1
+    if at < 0 or x > highs[at]:
         return 0
-    c = float(c)
-    for b in std.brackets:
-        if b.c_low <= c <= b.c_high:
-            return int(round((b.i_high - b.i_low) / (b.c_high - b.c_low) * (c - b.c_low) + b.i_low))
-    return 500 if c > std.cap_above else 0
+    base = STEPS[at] + (1 if at else 0)
+    share = Fraction(x - lows[at]) / Fraction(highs[at] - lows[at])
+    return round(base + share * (STEPS[at + 1] - base))
+
+
+def _half(c, pollutant):
+    """1 where the exact index lies on a half, which doubles may round either way."""
+    lows, highs, _ = SPEC[pollutant]
+    at = bisect([Decimal(x) for x in lows], Decimal(repr(c))) - 1
+    if at < 0 or Decimal(repr(c)) > Decimal(highs[at]):
+        return 0
+    base = STEPS[at] + (1 if at else 0)
+    share = Fraction(Decimal(repr(c)) - Decimal(lows[at])) / Fraction(Decimal(highs[at]) - Decimal(lows[at]))
+    return int((base + share * (STEPS[at + 1] - base)) % 1 == Fraction(1, 2))
 
 
 def test_golden_vectors(spark):
@@ -49,8 +78,8 @@ def test_differential_random(spark):
     df = spark.createDataFrame([(v,) for v in vals], "c double")
     got = df.select("c", aqi.aqi_pm25("c").alias("a"), aqi.aqi_pm10("c").alias("b")).collect()
     for r in got:
-        assert r.a == reference_formula(r.c, aqi.PM25)
-        assert r.b == reference_formula(r.c, aqi.PM10)
+        assert abs(r.a - exact_index(r.c, "pm25")) <= _half(r.c, "pm25")
+        assert abs(r.b - exact_index(r.c, "pm10")) <= _half(r.c, "pm10")
         assert 0 <= r.a <= 500 and 0 <= r.b <= 500
 
 

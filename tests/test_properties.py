@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from haze.functions import aqi
-from test_aqi import reference_formula
+from test_aqi import _half, exact_index
 
 values = st.lists(st.one_of(st.none(), st.just(float("nan")),
                             st.floats(min_value=-50, max_value=900)),
@@ -22,8 +22,8 @@ def test_scoring_properties(spark, xs):
         assert 0 <= r.a <= 500 and 0 <= r.b <= 500
         assert r.o >= r.a and r.o >= r.b and r.o in (r.a, r.b)
         c = None if r.c is None or r.c != r.c else r.c
-        assert r.a == reference_formula(c, aqi.PM25)
-        assert r.b == reference_formula(c, aqi.PM10)
+        assert abs(r.a - exact_index(c, "pm25")) <= _half(c, "pm25")
+        assert abs(r.b - exact_index(c, "pm10")) <= _half(c, "pm10")
 
 
 @settings(max_examples=10, deadline=None)
