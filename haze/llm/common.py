@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = (1 << 19) - 1
 TARGET_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).max
 
