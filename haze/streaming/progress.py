@@ -1,10 +1,11 @@
-"""Streaming progress as plain records: rows, rates, offsets and the lag behind the source."""
+"""Live pipeline metrics from streaming progress events."""
 
 from __future__ import annotations
 
 import json
 from collections import deque
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
 KEPT = 1000
@@ -32,24 +33,30 @@ def source_lag(end, latest) -> int | None:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Collects the newest ``kept`` progress records of each batch of every stream."""
+    """Records one row per micro-batch: batch id, rows in, input and
+    processing rates, duration, the source end offsets and the lag behind the
+    source.  The newest ``kept`` rows stay in memory; ``drain`` hands them out
+    as a DataFrame and clears the buffer."""
 
     def __init__(self, kept: int = KEPT):
-        self.records: deque[dict] = deque(maxlen=kept)
+        self.rows: deque[dict] = deque(maxlen=kept)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        sources = [{"start": s.startOffset, "end": s.endOffset, "latest": s.latestOffset,
-                    "lag": source_lag(s.endOffset, s.latestOffset)} for s in p.sources]
-        lags = [s["lag"] for s in sources if s["lag"] is not None]
-        self.records.append({
-            "query": p.name, "batch_id": p.batchId, "input_rows": p.numInputRows,
-            "input_rows_per_s": p.inputRowsPerSecond,
-            "processed_rows_per_s": p.processedRowsPerSecond,
-            "offsets": sources, "lag": sum(lags) if lags else None,
+        lags = [source_lag(s.endOffset, s.latestOffset) for s in p.sources]
+        lags = [x for x in lags if x is not None]
+        self.rows.append({
+            "query": p.name or str(p.id),
+            "batch_id": int(p.batchId),
+            "rows": int(p.numInputRows),
+            "input_rows_per_s": float(p.inputRowsPerSecond or 0.0),
+            "processed_rows_per_s": float(p.processedRowsPerSecond or 0.0),
+            "duration_ms": int((p.durationMs or {}).get("triggerExecution", 0)),
+            "end_offset": str(p.sources[0].endOffset) if p.sources else None,
+            "lag": sum(lags) if lags else None,
         })
 
     def onQueryIdle(self, event):
@@ -58,7 +65,8 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event):
         pass
 
-    def drain(self) -> list[dict]:
-        out = list(self.records)
-        self.records.clear()
-        return out
+    def drain(self, spark: SparkSession) -> DataFrame:
+        rows = [self.rows.popleft() for _ in range(len(self.rows))]
+        return spark.createDataFrame(
+            rows, "query string, batch_id long, rows long, input_rows_per_s double, "
+                  "processed_rows_per_s double, duration_ms long, end_offset string, lag long")

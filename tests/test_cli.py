@@ -29,7 +29,8 @@ def test_cli_pipeline(tmp_dir):
         fh.write("\n".join(lines) + "\n")
     wide, dense, msgs = (os.path.join(tmp_dir, p) for p in ("wide", "dense", "msgs"))
     _run("etl", os.path.join(tmp_dir, "raw", "month=*", "location-*.csv.gz"), wide)
-    _run("densify", wide, dense, "--step", "5", "--noise", "0")
+    _run("densify", wide, dense, "--step", "5", "--noise", "0",
+         "--off-grid", "drop")
     _run("publish", dense, "--out-dir", msgs)
     hist = os.path.join(tmp_dir, "hist")
     _run("stream", "--source", "text", "--path", msgs, "--mode", "dual", "--once",
