@@ -118,17 +118,19 @@ class _Walk:
 
 # ---------------------------------------------------------------- wrapper inference
 
-# A node is ["<sig", furniture] / [">"] for tags, ["T", constant or None, letters, linked letters] for texts,
+# A node is ["<sig", furniture] / [">sig"] for tags, ["T", constant or None, letters, linked letters] for texts,
 # ["+", nodes] for a repeated and ["?", nodes] for an optional group.
 
 def stream(page: str) -> list:
     """Tags and texts of a page as wrapper nodes."""
     out: list = []
+    path: list[str] = []
     for e in _Walk(page).events:
         if e[0] == "+":
+            path.append(e[1])
             out.append(["<" + e[1], e[2]])
         elif e[0] == "-":
-            out.append([">"])
+            out.append([">" + path.pop()])
         elif e[0] == "t" and (text := _BLANK.sub(" ", e[1]).strip()):
             n, linked = len(text), len(text) if e[2] else 0
             if out and out[-1][0] == "T":
@@ -151,6 +153,45 @@ def _merge(a: list, b: list) -> list:
     return a
 
 
+def _sound(keys: list[str]) -> bool:
+    """Does every element of a stretch begin and end in it?"""
+    depth = 0
+    for k in keys:
+        depth += (k[0] == "<") - (k[0] == ">")
+        if depth < 0:
+            return False
+    return depth == 0
+
+
+def _units(nodes: list) -> list[list]:
+    """What the repeated groups of a stream repeat, inner groups first."""
+    out = []
+    for n in nodes:
+        if n[0] in "+?":
+            out += _units(n[1])
+            if n[0] == "+":
+                out.append(n[1])
+    return out
+
+
+def _adopt(nodes: list, units: list[list]) -> list:
+    """Single occurrences of what the other stream repeats become repeated groups too."""
+    for unit in units:
+        keys = [_key(n) for n in unit]
+        out, i = [], 0
+        while i < len(nodes):
+            if [_key(n) for n in nodes[i:i + len(keys)]] == keys:
+                out.append(["+", nodes[i:i + len(keys)]])
+                i += len(keys)
+            else:
+                n = nodes[i]
+                inner = n[0] in "+?" and [_key(m) for m in n[1]] != keys
+                out.append([n[0], _adopt(n[1], [unit])] if inner else n)
+                i += 1
+        nodes = out
+    return nodes
+
+
 def fold(nodes: list) -> list:
     """Adjacent repetitions as repeated groups, shortest patterns first, until none is left."""
     size = 1
@@ -159,12 +200,7 @@ def fold(nodes: list) -> list:
         while i < len(nodes):
             j = i + size
             unit = keys[i:j]
-            opens = sum(k[0] == "<" for k in unit) - sum(k == ">" for k in unit)
-            depth, sound = 0, opens == 0
-            for k in unit:
-                depth += (k[0] == "<") - (k == ">")
-                sound = sound and depth >= 0
-            if sound and not (size == 1 and unit[0][0] in "+?T") and keys[j:j + size] == unit:
+            if _sound(unit) and not (size == 1 and unit[0][0] in "+?T") and keys[j:j + size] == unit:
                 group = nodes[i:j]
                 while keys[j:j + size] == unit:
                     group = [_merge(x, y) for x, y in zip(group, nodes[j:j + size], strict=True)]
@@ -182,6 +218,7 @@ def fold(nodes: list) -> list:
 
 def align(a: list, b: list) -> list:
     """The wrapper of two streams: common nodes merged, the rest optional or taken into a repetition."""
+    a, b = _adopt(a, _units(b)), _adopt(b, _units(a))
     x, y = [_key(n) for n in a], [_key(n) for n in b]
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
@@ -202,11 +239,6 @@ def align(a: list, b: list) -> list:
         if alone:
             inner = alone[:]
             alone.clear()
-            depth = 0
-            for n in inner:
-                depth += (n[0][0] == "<") - (n[0] == ">")
-                if depth < 0:
-                    break
             near = out[-1] if out and out[-1][0] == "+" else None
             if near and [_key(n) for n in near[1]] == [_key(n) for n in inner]:
                 near[1] = [_merge(m, n) for m, n in zip(near[1], inner, strict=True)]
@@ -248,7 +280,7 @@ def expression(nodes: list) -> str:
         elif n[0] == "T":
             out.append("#text" if n[1] is None else json.dumps(n[1][:40], ensure_ascii=False))
         else:
-            out.append(n[0] + ">" if n[0][0] == "<" else "</>")
+            out.append(n[0] + ">" if n[0][0] == "<" else f"</{n[0][1:]}>")
     return " ".join(out)
 
 
@@ -263,7 +295,7 @@ def container(nodes: list) -> list[str]:
                 walk(n[1])
             elif n[0][0] == "<":
                 path.append((n[0][1:], n[1]))
-            elif n[0] == ">":
+            elif n[0][0] == ">":
                 if path:
                     path.pop()
             elif not any(f for _, f in path):
