@@ -47,10 +47,14 @@ def materialize(df: DataFrame, **options) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, target: int = TARGET_BYTES) -> int:
-    """Shuffle width for ``df``: the session's setting, or more where the input asks for it."""
+    """Shuffle width for ``df``: the session's setting, or more where the input's size asks for it.
+
+    Spark does not know the size of every plan (rows from Python, RDDs); then the setting holds."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     most = 1 << 16
+    if size >= 1 << 56:
+        size = 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, size // target), 1)
 
 
