@@ -36,7 +36,7 @@ from haze.llm.common import (
 )
 
 WINDOW = 13
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
 MESSAGE = "__g int, kind int, b int, body binary"
 FIRST, SECOND, STATE = 1, 2, 3
 _ARROW = pa.schema([("__g", pa.int32()), ("kind", pa.int32()), ("b", pa.int32()), ("body", pa.binary())])
