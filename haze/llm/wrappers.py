@@ -1,26 +1,32 @@
-"""Main text of web pages by wrappers inferred from pages of the same host.
-
-A page becomes a stream of block tags and texts. Repetitions inside a stream are folded into
-repeated groups; the folded streams of a host's sample pages are aligned one after another, and
-every mismatch is resolved: differing texts become a text slot, a stretch that only one side has
-becomes an optional group, or joins the neighbouring repeated group if it repeats it. The result
-is a union-free regular expression over tags, the host's wrapper. Its containers are then weighed
-by the slot text they hold outside navigation, notices and comments, and the best one - an
-article or main element where there is one - is where the host's main text lives.
-
-The sample is ``SAMPLES`` pages of a host at most, the pages with the smallest hash of their id
-in each of that many hash classes, so no host, however large, is gathered anywhere. Every page is
-then read whole: its stream is walked once, the wrapper's container decides what is main text.
-Pages whose host's container does not occur in them fall back to the container their own stream
-suggests.
-
-Defined cases: a null or empty page gives an empty text; unclosed elements end where the next
-block of their kind begins or their parent ends; a page cut off in a tag loses that tag only; a
-null url counts as a host of its own; repeated pages are each reported.
+"""Main text of web pages by wrappers inferred from pages of the same host and layout.
+
+Every page becomes a stream of block tags and texts. Repetitions inside a stream are folded into
+repeated groups, which gives the page's skeleton. A page's layout is the path of the element that
+holds most of its own text; pages of one host and layout that have the same skeleton are counted
+as one, and the distinct skeletons of a host's layout are aligned in a tree of merges, at most
+about ``MERGE`` skeletons a merge. In an alignment every mismatch is resolved: differing texts
+become a text slot, a stretch that only one side has becomes an optional group, or joins the
+neighbouring repeated group if it repeats it. The result is a union-free regular expression over
+tags, the wrapper of that layout. Its containers are then weighed by the slot text they hold
+outside navigation, notices and comments, and the best one - an article or main element where
+there is one - is where the layout's main text lives. Constants are counted apart, so that they
+are found inside repeated groups too: a text that stands at the same path on more than half of a
+layout's different pages, three at least, is boilerplate.
+
+All pages take part, and no host, however large, is gathered anywhere. Every page is then read
+again: blocks under its layout's container are its main text, without boilerplate and furniture.
+Where that leaves nothing, the page's own container decides, then boilerplate counts as text, and
+at last furniture does.
+
+Defined cases: a null or empty page gives an empty text, and so does one whose only texts are
+links; unclosed elements end where the next block of their kind begins or their parent ends; a
+page cut off in a tag loses that tag only; a null url counts as a host of its own; repeated pages
+are each reported, and count once for boilerplate.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -31,8 +37,9 @@ from pyspark.sql import functions as F
 
 from haze.llm.common import chunks, materialize
 
-SAMPLES = 8
+MERGE, HELD_NODES = 64, 200_000
 MAX_GROUP = 8
+SHARED = 3
 
 #: Elements that never hold text, that hold no main text, and that are blocks.
 SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video textarea select option button head".split())
@@ -121,11 +128,11 @@ class _Walk:
 # A node is ["<sig", furniture] / [">sig"] for tags, ["T", constant or None, letters, linked letters] for texts,
 # ["+", nodes] for a repeated and ["?", nodes] for an optional group.
 
-def stream(page: str) -> list:
-    """Tags and texts of a page as wrapper nodes."""
+def stream(events: list) -> list:
+    """Tags and texts of a page, given as the events of its walk, as wrapper nodes."""
     out: list = []
     path: list[str] = []
-    for e in _Walk(page).events:
+    for e in events:
         if e[0] == "+":
             path.append(e[1])
             out.append(["<" + e[1], e[2]])
@@ -200,7 +207,7 @@ def fold(nodes: list) -> list:
         while i < len(nodes):
             j = i + size
             unit = keys[i:j]
-            if _sound(unit) and not (size == 1 and unit[0][0] in "+?T") and keys[j:j + size] == unit:
+            if keys[j:j + size] == unit and not (size == 1 and unit[0][0] in "+?T") and _sound(unit):
                 group = nodes[i:j]
                 while keys[j:j + size] == unit:
                     group = [_merge(x, y) for x, y in zip(group, nodes[j:j + size], strict=True)]
@@ -216,6 +223,22 @@ def fold(nodes: list) -> list:
     return nodes
 
 
+def _common(p: list[str], q: list[str]):
+    """Length of the longest common subsequence of p[i:] and q[j:], for any i and j; one bit a cell."""
+    full = (1 << len(q)) - 1
+    places: dict[str, int] = {}
+    for j, k in enumerate(reversed(q)):
+        places[k] = places.get(k, 0) | 1 << j
+    row = full
+    rows = [row]
+    for k in reversed(p):
+        u = row & places.get(k, 0)
+        row = ((row + u) | (row - u)) & full
+        rows.append(row)
+    rows.reverse()
+    return lambda i, j: (~rows[i] & ((1 << (len(q) - j)) - 1)).bit_count()
+
+
 def align(a: list, b: list) -> list:
     """The wrapper of two streams: common nodes merged, the rest optional or taken into a repetition."""
     a, b = _adopt(a, _units(b)), _adopt(b, _units(a))
@@ -227,10 +250,7 @@ def align(a: list, b: list) -> list:
     while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
     p, q = x[head:len(x) - tail], y[head:len(y) - tail]
-    table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i in range(len(p) - 1, -1, -1):
-        for j in range(len(q) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if p[i] == q[j] else max(table[i + 1][j], table[i][j + 1])
+    common = _common(p, q)
     out = [_merge(a[i], b[i]) for i in range(head)]
     i = j = 0
     alone: list = []
@@ -252,7 +272,7 @@ def align(a: list, b: list) -> list:
             settle()
             out.append(_merge(a[head + i], b[head + j]))
             i, j = i + 1, j + 1
-        elif j == len(q) or i < len(p) and table[i + 1][j] >= table[i][j + 1]:
+        elif j == len(q) or i < len(p) and common(i + 1, j) >= common(i, j + 1):
             alone.append(a[head + i])
             i += 1
         else:
@@ -266,7 +286,7 @@ def infer(pages: list[str]) -> list:
     """The wrapper of pages of one host."""
     wrapper: list | None = None
     for page in pages:
-        folded = fold(stream(page))
+        folded = fold(stream(_Walk(page).events))
         wrapper = folded if wrapper is None else align(wrapper, folded)
     return wrapper or []
 
@@ -284,7 +304,22 @@ def expression(nodes: list) -> str:
     return " ".join(out)
 
 
-def container(nodes: list) -> list[str]:
+def _best(weights: dict[tuple, float]) -> list[str] | None:
+    """The path that holds the main text, given the text under each; None if there is none."""
+    most = max(weights.values(), default=0)
+    if most <= 0:
+        return None
+    last = {k: k[-1].split(".")[0] if k else "" for k in weights}
+    named = {k: w for k, w in weights.items() if last[k] in ("article", "main") and w >= 0.3 * most}
+    if named:
+        articles = {k: w for k, w in named.items() if last[k] == "article"}
+        pool = articles or named
+        return list(max(pool, key=lambda k: (pool[k], -len(k))))
+    whole = [k for k, w in weights.items() if w >= 0.8 * most and last[k] not in ("p", "li", "h1", "h2", "h3", "td", "pre", "blockquote")]
+    return list(max(whole, key=len))
+
+
+def container(nodes: list) -> list[str] | None:
     """Path of the element that holds the main text; constant texts weigh nothing next to slots."""
     weights: dict[tuple, float] = {}
     path: list[tuple[str, bool]] = []
@@ -301,108 +336,246 @@ def container(nodes: list) -> list[str]:
             elif not any(f for _, f in path):
                 # links and texts that never change are seldom main text
                 good = (n[2] - n[3]) * (1.0 if n[1] is None else 0.1)
-                for depth in range(1, len(path) + 1):
+                for depth in range(len(path) + 1):
                     key = tuple(s for s, _ in path[:depth])
                     weights[key] = weights.get(key, 0.0) + good
 
     walk(nodes)
-    if not weights:
-        return []
-    most = max(weights.values())
-    if most <= 0:
-        return []
-    named = {k: w for k, w in weights.items() if re.split(r"\.", k[-1])[0] in ("article", "main") and w >= 0.3 * most}
-    if named:
-        articles = {k: w for k, w in named.items() if k[-1].split(".")[0] == "article"}
-        pool = articles or named
-        best = max(pool, key=lambda k: (pool[k], -len(k)))
-    else:
-        whole = [k for k, w in weights.items() if w >= 0.8 * most and k[-1].split(".")[0] not in ("p", "li", "h1", "h2", "h3", "td", "pre", "blockquote")]
-        best = max(whole, key=len) if whole else max(weights, key=lambda k: (weights[k], -len(k)))
-    return list(best)
+    return _best(weights)
 
 
-# ---------------------------------------------------------------- extraction
+# ---------------------------------------------------------------- pages
 
-def main_text(page: str, where: list[str]) -> str | None:
-    """Blocks under the container ``where`` joined by line breaks; None if it does not occur."""
-    depth, path, furniture = len(where), [], []
-    inside, seen, blocks, text = False, False, [], []
+class Page:
+    """Elements of a page as (parent, signature, furniture) and its blocks as (element, text, linked letters)."""
 
-    def flush():
-        if text and (block := _BLANK.sub(" ", "".join(text)).strip()):
-            blocks.append(block)
-        text.clear()
+    def __init__(self, elements: list, blocks: list):
+        self.elements, self.blocks = elements, blocks
+        self.paths: list[tuple] = []
+        for parent, signature, _ in elements:
+            self.paths.append((*self.paths[parent], signature) if parent >= 0 else (signature,))
 
-    for e in _Walk(page).events:
-        if e[0] == "t":
-            if inside and not any(furniture[depth:]):
+    @classmethod
+    def of(cls, events: list) -> Page:
+        elements, blocks, at, text, linked = [], [], -1, [], 0
+        for e in events:
+            if e[0] == "t":
                 text.append(e[1])
-            continue
-        flush()
-        if e[0] == "+":
-            path.append(e[1])
-            furniture.append(e[2])
-            if not inside and path == where:
-                inside = seen = True
-        elif e[0] == "-" and path:
-            path.pop()
-            furniture.pop()
-            inside = inside and len(path) >= depth
-    flush()
-    return "\n".join(blocks) if seen else None
-
-
-def extract(page: str | None, where: list[str]) -> str:
-    """Main text of a page, by its host's container or else its own."""
-    if not page:
+                linked += len(_BLANK.sub(" ", e[1]).strip()) if e[2] else 0
+                continue
+            if text and (block := _BLANK.sub(" ", "".join(text)).strip()):
+                blocks.append((at, block, min(linked, len(block))))
+            text, linked = [], 0
+            if e[0] == "+":
+                elements.append((at, e[1], e[2]))
+                at = len(elements) - 1
+            elif e[0] == "-":
+                at = elements[at][0]
+        if text and (block := _BLANK.sub(" ", "".join(text)).strip()):
+            blocks.append((at, block, min(linked, len(block))))
+        return cls(elements, blocks)
+
+    def layout(self) -> list[str] | None:
+        """Path of the element that holds the page's own main text; None if all its texts are links."""
+        for furniture in (True, False):
+            veiled: list[bool] = []
+            for parent, _, named in self.elements:
+                veiled.append(furniture and (named or parent >= 0 and veiled[parent]))
+            own: dict[tuple, float] = {}
+            for at, text, linked in self.blocks:
+                if at < 0 or not veiled[at]:
+                    path = self.paths[at] if at >= 0 else ()
+                    own[path] = own.get(path, 0.0) + len(text) - linked
+            weights: dict[tuple, float] = {}
+            for path, good in own.items():
+                for depth in range(len(path) + 1):
+                    weights[path[:depth]] = weights.get(path[:depth], 0.0) + good
+            if (found := _best(weights)) is not None:
+                return found
+        return None
+
+    def marks(self) -> list[int]:
+        """A hash of each block: its path and its text."""
+        prefix: dict[int, bytes] = {}
+        out = []
+        for at, text, _ in self.blocks:
+            if at not in prefix:
+                prefix[at] = " ".join(self.paths[at]).encode() + b"\0" if at >= 0 else b"\0"
+            out.append(_hash(prefix[at] + text.encode(errors="replace")))
+        return out
+
+    def select(self, where: list[str], shared: frozenset = frozenset(), furniture: bool = True) -> str:
+        """Blocks under the container ``where`` joined by line breaks, without those in ``shared``."""
+        where = tuple(where)
+        kept: list[bool | None] = []  # None: outside of the container
+        for k, (parent, _, named) in enumerate(self.elements):
+            above = kept[parent] if parent >= 0 else None if where else True
+            if above is None:
+                kept.append(True if self.paths[k] == where else None)
+            else:
+                kept.append(above and not (furniture and named))
+        marks = self.marks() if shared else [0] * len(self.blocks)
+        root = None if where else True
+        return "\n".join(b[1] for b, m in zip(self.blocks, marks, strict=True) if (kept[b[0]] if b[0] >= 0 else root) and m not in shared)
+
+    def main_text(self, where: list[str] | None, own: list[str] | None, shared: frozenset) -> str:
+        """Main text by the layout's container and boilerplate, or what comes closest to it."""
+        places = [w for w in (where, own) if w is not None]
+        for known, furniture in ((shared, True), (frozenset(), True), (frozenset(), False)):
+            for place in places:
+                if found := self.select(place, known, furniture):
+                    return found
         return ""
-    found = main_text(page, where) if where else None
-    if found is None:
-        own = container(fold(stream(page)))
-        found = main_text(page, own) if own else None
-    return found or ""
 
 
-def wrappers(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """host, wrapper (readable) and container (JSON path) of every host of ``pages`` (page_id, url, html)."""
-    keyed = pages.where("html is not null").select(_host("url").alias("host"), "page_id", "url", "html")
-    draw = F.xxhash64("page_id", "url")
-    least = keyed.groupBy("host", F.pmod(draw, F.lit(samples)).alias("class")).agg(F.min_by(F.struct("page_id", "url"), draw).alias("key"))
-    chosen = least.select("host", F.col("key.page_id").alias("page_id"), F.col("key.url").alias("url"))
-    sample = keyed.join(chosen.withColumnRenamed("host", "__host"), (F.col("host") == F.col("__host")) & keyed.page_id.eqNullSafe(chosen.page_id) & keyed.url.eqNullSafe(chosen.url)).select("host", keyed.page_id, "html")
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+# ---------------------------------------------------------------- Spark
+
+_LEARN = "host string, layout string, page long, texts array<long>, skeleton long, nodes string"
+_KEYED = "host string, layout string, skeleton long, nodes string"
+
+
+def _short(nodes: list) -> list:
+    """Nodes whose long constants are cut to a beginning and a hash."""
+    out = []
+    for n in nodes:
+        if n[0] in "+?":
+            out.append([n[0], _short(n[1])])
+        elif n[0] == "T" and n[1] is not None and len(n[1]) > 60:
+            out.append(["T", f"{n[1][:40]}\0{_hash(n[1].encode(errors='replace'))}", n[2], n[3]])
+        else:
+            out.append(n)
+    return out
 
-    def learn(table):
-        table = table.sort_by([("page_id", "ascending")])
-        # a page that the table repeats adds nothing
-        nodes = infer(list(dict.fromkeys(table.column("html").to_pylist()))[:samples])
-        return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([expression(nodes)]), "container": pa.array([json.dumps(container(nodes))])})
 
-    return sample.groupBy("host").applyInArrow(learn, "host string, wrapper string, container string")
+def _skeleton(nodes: list) -> int:
+    return _hash(" ".join(map(_key, nodes)).encode(errors="replace"))
+
+
+def _learned(pages: DataFrame) -> DataFrame:
+    """One row of each page (host, layout, hash, block hashes) and of each skeleton that a task has met."""
+    def run(batches):
+        held: dict = {}
+        size = 0
+
+        def flush():
+            rows = [(h, w, k, json.dumps(n)) for (h, w, k), n in held.items()]
+            held.clear()
+            host, layout, skeleton, nodes = zip(*rows, strict=True) if rows else ((),) * 4
+            none = pa.nulls(len(rows))
+            return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(layout, pa.string()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())),
+                                               pa.array(skeleton, pa.int64()), pa.array(nodes, pa.string())], names=["host", "layout", "page", "texts", "skeleton", "nodes"])
+
+        for batch in batches:
+            for part in chunks(batch, "html"):
+                layouts, hashes, texts = [], [], []
+                for host, raw in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    events = _Walk(raw).events
+                    page = Page.of(events)
+                    marks, layout = page.marks(), json.dumps(page.layout())
+                    layouts.append(layout)
+                    hashes.append(_hash(repr(marks).encode()))
+                    texts.append(sorted(set(marks)))
+                    nodes = _short(fold(stream(events)))
+                    key = host, layout, _skeleton(nodes)
+                    if key in held:
+                        held[key] = [_merge(x, y) for x, y in zip(held[key], nodes, strict=True)]
+                    else:
+                        held[key] = nodes
+                        size += len(nodes)
+                    if size > HELD_NODES:
+                        yield flush()
+                        size = 0
+                none = pa.nulls(part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(layouts, pa.string()), pa.array(hashes, pa.int64()), pa.array(texts, pa.list_(pa.int64())),
+                                                  none.cast(pa.int64()), none.cast(pa.string())], names=["host", "layout", "page", "texts", "skeleton", "nodes"])
+        yield flush()
+
+    return pages.where("html is not null").select(_host("url").alias("host"), "html").mapInArrow(run, _LEARN)
+
+
+def _aligned(table):
+    """One wrapper for a table of skeletons or wrappers of one host and layout."""
+    met: dict = {}
+    for key, raw in sorted(zip(table.column("skeleton").to_pylist(), table.column("nodes").to_pylist(), strict=True)):
+        nodes = json.loads(raw)
+        met[key] = [_merge(x, y) for x, y in zip(met[key], nodes, strict=True)] if key in met else nodes
+    wrapper: list | None = None
+    for nodes in met.values():
+        wrapper = nodes if wrapper is None else align(wrapper, nodes)
+    return pa.table({"host": table.column("host")[:1], "layout": table.column("layout")[:1], "skeleton": pa.array([_skeleton(wrapper)], pa.int64()), "nodes": pa.array([json.dumps(wrapper)])})
+
+
+def _wrappers(learned: DataFrame) -> DataFrame:
+    """host, layout, wrapper (readable) and container (JSON path) of every layout."""
+    rows = learned.where("nodes is not null").select("host", "layout", "skeleton", "nodes")
+    while True:
+        sizes = materialize(rows.groupBy(F.col("host").alias("h"), F.col("layout").alias("l")).agg(F.count("*").alias("n")))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        buckets = F.ceil(F.col("n") / MERGE)
+        placed = rows.join(sizes, (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l"))).withColumn("bucket", F.pmod(F.xxhash64("skeleton"), buckets))
+        rows = materialize(placed.select("host", "layout", "skeleton", "nodes", "bucket").groupBy("host", "layout", "bucket").applyInArrow(_aligned, _KEYED))
+        if most <= MERGE:
+            break
+
+    def read(batches):
+        for batch in batches:
+            nodes = [json.loads(x) for x in batch.column("nodes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("layout"), pa.array([expression(n) for n in nodes], pa.string()),
+                                              pa.array([json.dumps(container(n)) for n in nodes], pa.string())], names=["host", "layout", "wrapper", "container"])
+
+    return rows.mapInArrow(read, "host string, layout string, wrapper string, container string")
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, layout, wrapper, container and shared (hashes of boilerplate blocks) of every layout of ``pages`` (page_id, url, html)."""
+    learned = materialize(_learned(pages))
+    # a page that the table repeats adds nothing
+    known = materialize(learned.where("page is not null").groupBy("host", "layout", "page").agg(F.first("texts").alias("texts")))
+    total = known.groupBy("host", "layout").agg(F.count("*").alias("pages"))
+    counts = known.select("host", "layout", F.explode("texts").alias("text")).groupBy("host", "layout", "text").agg(F.count("*").alias("c")).where(F.col("c") >= SHARED)
+    shared = counts.join(total, ["host", "layout"]).where(2 * F.col("c") > F.col("pages")).groupBy("host", "layout").agg(F.collect_list("text").alias("shared"))
+    return _wrappers(learned).join(shared, ["host", "layout"], "left")
 
 
 def _host(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def main_texts(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
+def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    learned = materialize(wrappers(pages, samples).select("host", "container"))
-    rows = pages.select("page_id", "url", "html", _host("url").alias("host")).join(learned, "host", "left").select("page_id", "url", "html", "container")
+    learned = materialize(wrappers(pages).select("host", "layout", "container", "shared"))
+
+    def read(batches):
+        for batch in batches:
+            for part in chunks(batch, "html"):
+                layouts, read = [], []
+                for raw in part.column("html").to_pylist():
+                    page = Page.of(_Walk(raw or "").events)
+                    layouts.append(json.dumps(page.layout()))
+                    read.append(json.dumps([page.elements, page.blocks], ensure_ascii=False).encode(errors="replace").decode() if raw else None)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(layouts, pa.string()), pa.array(read, pa.string())],
+                                                 names=["page_id", "url", "host", "layout", "page"])
 
     def run(batches):
         known: dict = {}
         for batch in batches:
-            for part in chunks(batch, "html"):
+            for part in chunks(batch, "page"):
                 texts = []
-                for page, where in zip(part.column("html").to_pylist(), part.column("container").to_pylist(), strict=True):
-                    if where not in known:
-                        known[where] = json.loads(where) if where else []
-                    texts.append(extract(page, known[where]))
+                for raw, host, layout, where, shared in zip(*(part.column(c).to_pylist() for c in ("page", "host", "layout", "container", "shared")), strict=True):
+                    if (host, layout) not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[host, layout] = json.loads(where) if where else None, json.loads(layout), frozenset(shared or ())
+                    texts.append(Page(*json.loads(raw)).main_text(*known[host, layout]) if raw else "")
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                                  names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select("page_id", "url", "html", _host("url").alias("host")).mapInArrow(read, "page_id long, url string, host string, layout string, page string")
+    return rows.join(learned, ["host", "layout"], "left").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -464,6 +464,37 @@ def test_wrapper_expression():
     assert text == '<ul> (<li> #text </li>)+ </ul> <p> "same" </p> (<div> "x" </div>)?'
 
 
+def test_wrappers_of_several_layouts(spark):
+    """All pages take part, each layout has its own wrapper, and shared blocks inside a container are left out."""
+    rows, want = [], {}
+    for i in range(150):
+        said = [f"Words {i} {j} of the first layout" for j in range(i % 5 + 1)]
+        rows.append((i, f"https://two.example/{i}", page(f"<div id='main'><h1>Title {i}</h1>{''.join(f'<p>{t}</p>' for t in said)}<p>Sign up for our letters today</p></div>", i)))
+        want[i] = "\n".join([f"Title {i}", *said])
+    for i in range(150, 160):
+        said = f"The second layout says {i} at some length, and more than the first one"
+        rows.append((i, f"https://two.example/{i}", page(f"<div id='main'></div><div id='story'><p>{said}</p><p>{said} again</p></div>", i)))
+        want[i] = f"{said}\n{said} again"
+    for i in range(160, 164):
+        rows.append((i, f"https://gone.example/{i}", page("<div id='main'><p>This page has gone</p></div>", i)))
+        want[i] = "This page has gone"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrappers.main_texts(pages).collect()}
+    assert got == want
+
+
+def test_common_subsequence_lengths():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        p, q = (list(map(str, rng.integers(0, 4, rng.integers(0, 12)))) for _ in range(2))
+        common = wrappers._common(p, q)
+        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i in range(len(p) - 1, -1, -1):
+            for j in range(len(q) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if p[i] == q[j] else max(table[i + 1][j], table[i][j + 1])
+        assert all(common(i, j) == table[i][j] for i in range(len(p) + 1) for j in range(len(q) + 1))
+
+
 def test_pipeline_on_awkward_rows(spark, tmp_path, texts):
     import corpus_pipeline
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
