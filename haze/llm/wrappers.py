@@ -20,7 +20,8 @@ at last furniture does.
 
 Defined cases: a null or empty page gives an empty text, and so does one whose only texts are
 links; unclosed elements end where the next block of their kind begins or their parent ends; a
-page cut off in a tag loses that tag only; a null url counts as a host of its own; repeated pages
+page cut off in a tag loses that tag only; scripts and other raw text end at their own end tag, or
+with the page; a head ends at the first tag or text that cannot stand in it; a null url counts as a host of its own; repeated pages
 are each reported, and count once for boilerplate.
 """
 
@@ -42,9 +43,11 @@ MAX_GROUP = 8
 SHARED = 3
 
 #: Elements that never hold text, that hold no main text, and that are blocks.
-SKIPPED = frozenset("script style noscript template svg math iframe object embed canvas audio video textarea select option button head".split())
-ASIDE = frozenset("nav footer aside form dialog menu fieldset".split())
-VOID = frozenset("area base br col hr img input link meta param source track wbr".split())
+RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+SKIPPED = RAW | frozenset("template svg math object canvas audio video select datalist button".split())
+HEAD = RAW | frozenset("base basefont bgsound link meta template".split())
+ASIDE = frozenset("nav footer aside form dialog menu fieldset option optgroup".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 #: Words in class, id or role that name page furniture.
 FURNITURE = frozenset("""nav navbar navigation menu topbar header masthead footer sidebar aside ad ads advert adverts advertisement
@@ -52,7 +55,8 @@ FURNITURE = frozenset("""nav navbar navigation menu topbar header masthead foote
  modal overlay share sharing social related recommended comment comments replies disqus breadcrumb breadcrumbs pagination pager widget
  toolbar contentinfo complementary dialog form copyright""".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(>|\Z)|([^<]+|<)", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANK = re.compile(r"\s+")
 _PART = re.compile(r"[A-Za-z]+")
@@ -74,23 +78,26 @@ class _Walk:
     def __init__(self, page: str):
         self.events: list[tuple] = []  # ("+", signature, furniture) ("-",) ("t", text, linked) ("|",)
         stack: list[str] = []
-        skip, linked = "", 0
-        for m in _TOKEN.finditer(page):
+        linked, at, head = 0, 0, False
+        unclosed: set[str] = set()
+        while m := _TOKEN.match(page, at):
+            at = m.end()
             closing, tag, attributes, end, text = m.groups()
             if text is not None:
-                if not skip:
+                head = head and text.isspace()
+                if not head:
                     self.events.append(("t", html.unescape(text), linked > 0))
                 continue
             if tag is None or not end:
                 continue
             tag = tag.lower()
-            if skip:
-                if closing and tag == skip:
-                    skip = ""
+            if tag == "head":
+                head = not closing
                 continue
+            head = head and (tag in HEAD or bool(closing))
             if tag in SKIPPED:
                 if not closing and not attributes.endswith("/"):
-                    skip = tag
+                    at = self._behind(page, at, tag, unclosed)
                 continue
             if tag == "a":
                 linked = 0 if closing else 1
@@ -122,6 +129,31 @@ class _Walk:
                 self.events.append(("-",))
         self.events += [("-",)] * len(stack)
 
+    @staticmethod
+    def _behind(page: str, at: int, tag: str, unclosed: set[str]) -> int:
+        """Where the page goes on after the element ``tag`` whose content begins at ``at``."""
+        if tag in RAW:
+            # its content is no markup: only its own end tag ends it
+            m = _END[tag].search(page, at)
+            return m.end() if m else len(page)
+        depth, start = 1, at
+        while tag not in unclosed and (m := _TOKEN.match(page, at)):
+            at = m.end()
+            closing, inner, attributes, end, _ = m.groups()
+            if inner is None or not end:
+                continue
+            inner = inner.lower()
+            if inner == tag and not attributes.endswith("/"):
+                depth += -1 if closing else 1
+                if not depth:
+                    return at
+            elif inner in RAW and not closing and not attributes.endswith("/"):
+                m = _END[inner].search(page, at)
+                at = m.end() if m else len(page)
+        # nothing closes it: what follows is the page's
+        unclosed.add(tag)
+        return start
+
 
 # ---------------------------------------------------------------- wrapper inference
 

@@ -483,6 +483,21 @@ def test_wrappers_of_several_layouts(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("html", [
+    "<body><p>Before</p><script>for(i=0;i<n;i++){f(i)}</script><p>After</p></body>",
+    "<body><p>Before</p><SCRIPT>if(a<b){s='it'+\"'\"}</Script ><p>After</p></body>",
+    "<body><p>Before</p><script>x='<!--'</script><p>After</p></body>",
+    "<body><p>Before</p><style>a<b{content:\"'\"}</style><textarea><p a='</textarea><noscript><p>no</noscript><p>After</p></body>",
+    "<html><head><title>t</title><meta charset=utf-8><body><p>Before</p><p>After</p>",
+    "<html><head><title>t</title><script>1<2</script><p>Before</p><p>After</p>",
+    "<body><p title=it's>Before</p><p>After</p></body>",
+    "<body><p>Before</p><embed src=x><canvas><p>After</p></body>",
+    "<body><p>Before</p><object><object>no</object>no</object><svg><style></svg></style><title>no</title></svg><p>After</p></body>",
+])
+def test_raw_text_and_open_heads(html):
+    assert wrappers.Page.of(wrappers._Walk(html).events).select([]) == "Before\nAfter"
+
+
 def test_common_subsequence_lengths():
     rng = np.random.default_rng(2)
     for _ in range(20):
