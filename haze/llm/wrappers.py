@@ -20,7 +20,8 @@ at last furniture does.
 
 Defined cases: a null or empty page gives an empty text, and so does one whose only texts are
 links; unclosed elements end where the next block of their kind begins or their parent ends; a
-page cut off in a tag loses that tag only; scripts and other raw text end at their own end tag, or
+page cut off in a tag loses that tag only; html, body, article and main are never furniture, nor is
+what holds most of a page's text and its title or article; scripts and other raw text end at their own end tag, or
 with the page; a head ends at the first tag or text that cannot stand in it; a null url counts as a host of its own; repeated pages
 are each reported, and count once for boilerplate.
 """
@@ -56,6 +57,11 @@ FURNITURE = frozenset("""nav navbar navigation menu topbar header masthead foote
  toolbar contentinfo complementary dialog form copyright""".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(>|\Z)|([^<]+|<)", re.S)
+#: Words that only say what kind of box a name is for, and words for the top of a page or an article.
+NEUTRAL = frozenset("section area block box list items posts articles links container wrapper content inner bar buttons form".split())
+TOP = frozenset("header masthead banner".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANK = re.compile(r"\s+")
@@ -66,10 +72,18 @@ def _signature(tag: str, attributes: str) -> tuple[str, bool]:
     """(tag with its names, does it name page furniture)."""
     if not attributes or "=" not in attributes:
         return tag, tag in ASIDE
-    names = sorted({x for m in _NAMED.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").lower().split()})
-    furniture = any(p in FURNITURE for n in names for p in _PART.findall(n))
-    stable = [n for n in names if not any(c.isdigit() for c in n)]
-    return tag + "".join("." + n for n in stable), furniture or tag in ASIDE
+    names, words = set(), set()
+    for m in _NAMED.finditer(attributes):
+        given = (m[2] or m[3] or m[4] or "").lower().split()
+        names.update(given)
+        for parts in map(_PART.findall, given):
+            # ids of headings and sections are slugs of their titles: only a name made of nothing else counts
+            slug = m[1].lower() == "id" and (tag in HEADINGS or tag == "section")
+            if not slug or tag == "section" and FURNITURE.issuperset(p for p in parts if p not in NEUTRAL):
+                words.update(FURNITURE.intersection(parts))
+    stable = [n for n in sorted(names) if not any(c.isdigit() for c in n)]
+    named = bool(words) or tag in ASIDE
+    return tag + "".join("." + n for n in stable), named and tag not in ("html", "body", "article", "main")
 
 
 class _Walk:
@@ -160,14 +174,15 @@ class _Walk:
 # A node is ["<sig", furniture] / [">sig"] for tags, ["T", constant or None, letters, linked letters] for texts,
 # ["+", nodes] for a repeated and ["?", nodes] for an optional group.
 
-def stream(events: list) -> list:
-    """Tags and texts of a page, given as the events of its walk, as wrapper nodes."""
+def stream(events: list, elements: list | None = None) -> list:
+    """Tags and texts of a page, given as the events of its walk, as wrapper nodes; ``elements`` say what is furniture."""
     out: list = []
     path: list[str] = []
+    opened = iter(elements or ())
     for e in events:
         if e[0] == "+":
             path.append(e[1])
-            out.append(["<" + e[1], e[2]])
+            out.append(["<" + e[1], next(opened)[2] if elements else e[2]])
         elif e[0] == "-":
             out.append([">" + path.pop()])
         elif e[0] == "t" and (text := _BLANK.sub(" ", e[1]).strip()):
@@ -189,7 +204,7 @@ def _merge(a: list, b: list) -> list:
         return ["T", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3]]
     if a[0] in "+?":
         return [a[0], [_merge(x, y) for x, y in zip(a[1], b[1], strict=True)]]
-    return a
+    return [a[0], a[1] and b[1]] if a[0][0] == "<" else a
 
 
 def _sound(keys: list[str]) -> bool:
@@ -405,7 +420,7 @@ class Page:
                 at = elements[at][0]
         if text and (block := _BLANK.sub(" ", "".join(text)).strip()):
             blocks.append((at, block, min(linked, len(block))))
-        return cls(elements, blocks)
+        return cls(_cleared(elements, blocks), blocks)
 
     def layout(self) -> list[str] | None:
         """Path of the element that holds the page's own main text; None if all its texts are links."""
@@ -460,6 +475,32 @@ class Page:
         return ""
 
 
+def _cleared(elements: list, blocks: list) -> list:
+    """Elements whose names say furniture but that hold the page, or an article's title, as no furniture."""
+    if not any(furniture for _, _, furniture in elements):
+        return elements
+    tags = [signature.split(".")[0] for _, signature, _ in elements]
+    letters, titled = [0] * len(elements), [tag in ("h1", "article", "main") for tag in tags]
+    for at, text, linked in blocks:
+        if at >= 0:
+            letters[at] += len(text) - linked
+    whole = sum(len(text) - linked for _, text, linked in blocks)
+    for k in range(len(elements) - 1, -1, -1):
+        parent = elements[k][0]
+        if parent >= 0:
+            letters[parent] += letters[k]
+            titled[parent] = titled[parent] or titled[k]
+    titles = any(tag in ("h1", "article", "main") for tag in tags)
+    out = []
+    for k, (parent, signature, furniture) in enumerate(elements):
+        if furniture:
+            most = 2 * letters[k] > whole and titled[k] or 10 * letters[k] >= 9 * whole and not titles
+            top = titled[k] and tags[k] not in ASIDE and all(p in TOP or p not in FURNITURE for p in _PART.findall(signature))
+            furniture = not (most or top)
+        out.append((parent, signature, furniture))
+    return out
+
+
 def _hash(raw: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
@@ -511,7 +552,7 @@ def _learned(pages: DataFrame) -> DataFrame:
                     layouts.append(layout)
                     hashes.append(_hash(repr(marks).encode()))
                     texts.append(sorted(set(marks)))
-                    nodes = _short(fold(stream(events)))
+                    nodes = _short(fold(stream(events, page.elements)))
                     key = host, layout, _skeleton(nodes)
                     if key in held:
                         held[key] = [_merge(x, y) for x, y in zip(held[key], nodes, strict=True)]

@@ -498,6 +498,26 @@ def test_raw_text_and_open_heads(html):
     assert wrappers.Page.of(wrappers._Walk(html).events).select([]) == "Before\nAfter"
 
 
+def test_furniture_words_that_name_no_furniture(spark):
+    text = lambda i, j: f"Sentence {j} of page {i} is main text and has some length"
+    shapes = {
+        "class": lambda i: (f"<html><body class='single right-sidebar'><div class='nav'>menu {i}</div><p>{text(i, 0)}</p><p>{text(i, 1)}</p></body>", [0, 1]),
+        "html": lambda i: (f"<html class='no-js has-header'><body><div id='x'><p>{text(i, 0)}</p></div><div class='sidebar'>also {i}</div></body></html>", [0]),
+        "form": lambda i: (f"<body><form id='aspnetForm'><nav>menu {i}</nav><div id='c'><h1>{text(i, 0)}</h1><p>{text(i, 1)}</p></div><div class='footer'>end {i}</div></form></body>", [0, 1]),
+        "slug": lambda i: (f"<body><article><div class='article-header'><h1>{text(i, 0)}</h1></div><h2 id='related-work'>{text(i, 1)}</h2><p>{text(i, 2)}</p><section id='social-history'>"
+                           f"<h2 id='form-of-government'>{text(i, 3)}</h2><p>{text(i, 4)}</p></section><section id='comments'><p>I disagree {i}</p></section></article></body>", [0, 1, 2, 3, 4]),
+        "only": lambda i: (f"<body><div class='widget'><p>{text(i, 0)}</p></div></body>", [0]),
+    }
+    rows, want = [], {}
+    for h, (name, shape) in enumerate(shapes.items()):
+        for i in range(10 * h, 10 * h + 5):
+            html, kept = shape(i)
+            rows.append((i, f"https://{name}.example/{i}", html))
+            want[i] = "\n".join(text(i, j) for j in kept)
+    got = {r.page_id: r.text for r in wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_common_subsequence_lengths():
     rng = np.random.default_rng(2)
     for _ in range(20):
