@@ -1,10 +1,12 @@
 """Toxicity of whole texts, after undoing obfuscation with a noisy-channel decoder.
 
 1. A character language model (3- and 4-grams of letters) is counted over all documents.
-2. Spans that look disguised - signs or digits inside a word, letters repeated three times or
-   more, single letters set apart - become a lattice: a sign stands for the letters it resembles
-   or for nothing, a run of one letter for one or two of them. Viterbi decoding picks the most
-   likely string under channel and language model, and the text is restored with it.
+2. Spans that look disguised - words with a sign or digit next to a letter or a separator between
+   letters, letters repeated three times or more, three or more single letters set apart - become
+   a lattice, however long they are: a sign stands for the letters it resembles, for itself or for
+   nothing, a blank between single letters for a word break or for nothing, a run of one letter for
+   one or two of them. Viterbi decoding picks the most likely string under channel and language
+   model, and the text is restored with it.
 3. The restored text is scored. Character n-grams whose documents are mostly labelled toxic get
    a weight (log odds over a bounded sample of labelled rows, ``TRAIN_ROWS``); a word counts
    with its heaviest n-gram, and a logistic curve over the sum and the density of these weights
@@ -20,7 +22,9 @@ repeated labels of one id the largest counts; a null id is not held out.
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +41,14 @@ SYMBOLS, FOUR_BINS = 92, 1 << 19
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
               "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "&": "", "*": "", "#": "", "%": ""}
 
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in LOOKS_LIKE]] = True
+_L, _S = r"[^\W\d_]", "[" + re.escape("".join(LOOKS_LIKE)) + "]"
+_M, _D = "[&*#%]", "[" + re.escape("".join(c for c, x in LOOKS_LIKE.items() if x)) + "]"
+#: What makes a word a lattice: a sign beside a letter (one that stands for no letter: between two), a separator between
+#: letters, a letter three times. At the edge of a word a sign that stands for no letter is a blank either way.
+_MARK = re.compile(rf"{_D}(?={_L})|(?<={_L}){_D}|(?<={_L}){_M}+(?={_L}|{_D})|(?<={_D}){_M}+(?={_L})|(?<={_L})[._\-]+(?={_L}|{_S})|(?<={_S})[._\-]+(?={_L})|([A-Za-z])(?i:\1\1)")
+#: Single letters set apart: one sign or one or two blanks between neighbours.
+_ALONE = rf"(?<!{_L})(?:{_L}|{_S})(?!{_L})"
+_APART = re.compile(rf"{_ALONE}(?:(?:\s{{1,2}}|[^\w\s]|_){_ALONE}){{2,}}")
 #: Letters in lower case, everything else a blank; the capitals of Latin-1 follow in ``folded``.
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -105,7 +113,9 @@ class Decoder:
         return max(wide, narrow - 1.0) if self.three[abc] > 0 else narrow - 1.0
 
     def decode(self, span: str) -> str:
-        """The most likely letters of ``span`` (lower case), or ``span`` if it holds none."""
+        """The most likely text behind ``span`` (lower case), or ``span`` if nothing is left of it."""
+        if len(span) > 64:
+            return self._search(span)
         if span not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
@@ -115,71 +125,120 @@ class Decoder:
     def _search(self, span: str) -> str:
         runs: list[list] = []
         for ch in span:
+            ch = " " if ch.isspace() else ch
             if runs and runs[-1][0] == ch:
                 runs[-1][1] += 1
             else:
                 runs.append([ch, 1])
-        best = {(0, 0, 0): (0.0, "")}
-        for ch, n in runs:
-            if ch.isalpha():
+        widths = {n for ch, n in runs if ch == " "}
+        few = sum(n for ch, n in runs if ch != " ") <= 3
+        # (score, way back) for each state of three codes; a way is (text, way before)
+        best: dict = {(0, 0, 0): (0.0, None)}
+        for k, (ch, n) in enumerate(runs):
+            kept = -1.0
+            if _letter(ch):
                 options = [(ch, 0.0 if n == 1 else 1.0)] + ([(ch * 2, 0.0 if n == 2 else 1.0)] if n > 1 else [])
+            elif ch == " ":
+                # where both widths occur the wider one parts words
+                wide = len(widths) > 1 and n > 1
+                options, kept = [("", 3.0 if wide else 1.0 if few else 0.0)], 0.0 if wide or few else 4.0 if len(widths) > 1 else 2.0
             else:
-                options = [(x * m, 1.0 + m * 0.2) for x in LOOKS_LIKE.get(ch, "") for m in ((1, 2) if n > 1 else (1,))]
-                options.append(("", 0.5 if ch in " .-_*#%&" else 6.0))
+                looks = LOOKS_LIKE.get(ch, "")
+                options = [(x * m, 1.0 + m * 0.2) for x in looks for m in ((1, 2) if n > 1 else (1,))]
+                options.append(("", 0.5 if ch in ".-_*#%&" else 6.0))
+                after = k + 1 < len(runs) and (_letter(runs[k + 1][0]) or runs[k + 1][0] in LOOKS_LIKE)
+                if ch not in LOOKS_LIKE and ch not in ".-_" or ch == "!" and not after or ch == "(" and not k:
+                    kept = 0.0
+                else:
+                    kept = 1.0 if ch in ".-_" else 2.5
             step: dict = {}
-            for state, (score, text) in best.items():
+            for state, (score, way) in best.items():
                 for letters, cost in options:
                     a, s = state, score - cost
                     for letter in letters:
-                        for byte in letter.encode():
+                        for byte in letter.encode(errors="replace"):
                             code = int(_CODE[byte])
                             s += self._step(*a, code)
                             a = (a[1], a[2], code)
                     if a not in step or step[a][0] < s:
-                        step[a] = (s, text + letters)
+                        step[a] = (s, (letters, way) if letters else way)
+                if kept >= 0:
+                    # the sign stands for itself: words end at it, and a number goes on at less cost
+                    after_break = state[2] == 0
+                    s = score - (min(kept, 0.5) if after_break else kept) + (0.0 if after_break else self._step(*state, 0))
+                    a = state if after_break else (state[1], state[2], 0)
+                    if a not in step or step[a][0] < s:
+                        step[a] = (s, (" " if ch == " " else ch * n, way))
             best = dict(sorted(step.items(), key=lambda x: -x[1][0])[:64]) if len(step) > 64 else step
-        end = max(best.items(), key=lambda x: (x[1][0] + self._step(*x[0], 0), x[1][1]))
-        return end[1][1] or span
+        way = max(best.items(), key=lambda x: x[1][0] + (self._step(*x[0], 0) if x[0][2] else 0.0))[1][1]
+        out = []
+        while way:
+            out.append(way[0])
+            way = way[1]
+        text = "".join(reversed(out))
+        return span if not text or few and widths and not self._seen(text) else text
+
+    def _seen(self, text: str) -> bool:
+        """Do all 3-grams of the words of ``text`` occur in the documents?"""
+        for word in text.split():
+            code = [0, *(int(_CODE[b]) for b in word.encode(errors="replace")), 0]
+            if any(self.three[(x * SYMBOLS + y) * SYMBOLS + z] <= 0 for x, y, z in zip(code, code[1:], code[2:])):
+                return False
+        return True
+
+
+def _letter(ch: str) -> bool:
+    """Letters, and whatever else is no ASCII character."""
+    return ch.isalpha() or ch > "\x7f" and not ch.isspace()
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Per code point: 1 a letter, 2 a sign, 4 a separator; ASCII letters also tell which one they are."""
+    out = np.frombuffer(bytes(chr(c).isalpha() for c in range(0x110000)), np.uint8).copy()
+    out[[ord(c) for c in LOOKS_LIKE]] = 2
+    out[[ord(c) for c in "._-"]] = 4
+    for k in range(26):
+        out[[0x41 + k, 0x61 + k]] = 1 + 8 * (k + 2)
+    return out
 
 
-def disguised(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of the spans to decode, ascending and disjoint, each inside one text."""
-    n = len(data)
-    if n < 3:
+def disguised(text: str) -> list[tuple[int, int]]:
+    """Ranges of the spans to decode, ascending and disjoint."""
+    if len(text) < 3:
         return []
-    space = np.zeros(n + 1, bool)
-    space[:n] = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    inside = ~space[:n]
-    begins = inside.copy()
-    begins[1:] &= space[:n - 1] | edge[1:n]
-    start = np.flatnonzero(begins)
-    end = np.flatnonzero(inside & (space[1:] | edge[1:])) + 1
-    letter = _LETTER[data]
-    mark = np.zeros(n, np.int64)
-    mark[:-1] = _SIGN[data[:-1]] & letter[1:] & ~edge[1:n]
-    low = data | np.uint8(0x20)
-    mark[:-2] |= letter[:-2] & (data[:-2] < 0x80) & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-    sums = np.concatenate([[0], np.cumsum(mark)])
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    odd = (sums[end] - sums[start] > 0) & (letters[end] - letters[start] > 1) & (end - start <= 40)
-    found = [(int(a), int(b)) for a, b in zip(start[odd], end[odd], strict=True)]
-    # single letters set apart: at least four in a row, one blank or sign between neighbours
-    lone = letter.copy() | _SIGN[data]
-    lone[1:] &= ~letter[:-1] | edge[1:n]
-    lone[:-1] &= ~letter[1:] | edge[1:n]
-    lone &= data < 0x80
+    # kinds of the characters find the few places where the expressions need to look
+    kind = _kinds()[np.frombuffer(text.encode("utf-32-le", errors="replace"), np.uint32)]
+    letter, sign = kind & 1 > 0, kind & 2 > 0
+    beside = np.zeros(len(kind), bool)
+    beside[1:] = letter[:-1]
+    lone = (letter | sign) & ~beside
+    lone[:-1] &= ~letter[1:]
     at = np.flatnonzero(lone)
-    if len(at) > 3:
-        row = np.searchsorted(offsets, at, side="right")
-        chain = (np.diff(at) == 2) & (np.diff(row) == 0) & ~letter[np.minimum(at[:-1] + 1, n - 1)]
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], chain.view(np.int8), [0]])))
-        for i, j in zip(edges[::2], edges[1::2], strict=True):
-            piece = data[at[i]:at[j] + 1]
-            if 3 <= j - i <= 30 and len(np.unique(piece[::2])) > 1 and letter[at[i:j + 1]].sum() * 2 > j - i:
-                found.append((int(at[i]), int(at[j]) + 1))
-    found.sort()
+    near = np.flatnonzero(np.diff(np.concatenate([[0], (np.diff(at) <= 3).view(np.int8), [0]]))) if len(at) > 2 else np.zeros(0, int)
+    found = []
+    for m in (m for i, j in zip(near[::2].tolist(), near[1::2].tolist(), strict=True) if j - i > 1 for m in _APART.finditer(text, int(at[i]), int(at[j]) + 1)):
+        units = [c for c in m[0] if c.isalpha() or c in LOOKS_LIKE]
+        letters = sum(c.isalpha() for c in units)
+        if len(set(units)) > 1 and 2 * letters >= len(units) and (len(units) > 3 or letters == len(units)):
+            found.append(m.span())
+    odd = sign | (kind & 4 > 0)
+    marked = odd & beside
+    marked[:-1] |= odd[:-1] & (letter | sign)[1:]
+    marked[:-2] |= letter[:-2] & (kind[:-2] == kind[1:-1]) & (kind[:-2] == kind[2:]) & (kind[:-2] >= 16)
+    end = 0
+    for a in np.flatnonzero(marked).tolist():
+        if a < end:
+            continue
+        b = a
+        while a > end and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        end = b
+        if _MARK.search(text, a, b) and sum(c.isalpha() or c in LOOKS_LIKE for c in text[a:b]) > 2:
+            found.append((a, b))
+    found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int]] = []
     for a, b in found:
         if out and a < out[-1][1]:
@@ -190,18 +249,22 @@ def disguised(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
 
 def restored(data: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
     """Texts with their disguised spans decoded."""
-    spans = disguised(data, offsets)
-    if not spans:
-        return data, offsets
-    raw, parts, last = data.tobytes(), [], 0
-    grown = np.zeros(len(offsets), np.int64)
-    for a, b in spans:
-        word = decoder.decode(raw[a:b].decode(errors="replace").lower()).encode()
-        parts += (raw[last:a], word)
-        last = b
-        grown[np.searchsorted(offsets, a, side="right")] += len(word) - (b - a)
-    parts.append(raw[last:])
-    return np.frombuffer(b"".join(parts), np.uint8), offsets + np.cumsum(grown)
+    raw, parts, sizes = data.tobytes(), [], [int(offsets[0])] if len(offsets) else []
+    parts.append(raw[:sizes[0]] if sizes else raw)
+    for first, last in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        piece = raw[first:last]
+        text = piece.decode(errors="replace")
+        if spans := disguised(text):
+            words, at = [], 0
+            for a, b in spans:
+                span = text[a:b].lower()
+                word = decoder.decode(span)
+                words += (text[at:a], text[a:b] if word == span else word)
+                at = b
+            piece = ("".join(words) + text[at:]).encode(errors="replace")
+        parts.append(piece)
+        sizes.append(len(piece))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes).astype(offsets.dtype)
 
 
 # ---------------------------------------------------------------- n-grams of the restored text

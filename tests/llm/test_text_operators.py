@@ -408,6 +408,26 @@ def test_restoring_leaves_plain_text(labelled):
     assert [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])] == t
 
 
+def test_restoring_every_shape(labelled):
+    """Signs at the end, separators inside, long words, long or wide or short runs of single letters, other letters."""
+    docs, labels = labelled
+    decoder, _ = toxicity.train(docs, labels)
+    spaced = "the river and the idiotic scumbag with the stone house"
+    shapes = {
+        "scumba9": "scumbag", "idioti(": "idiotic", "ston3": "stone", "1d10ti(": "idiotic",
+        "id.iot.ic": "idiotic", "s-c-umbag": "scumbag", "idi_otic": "idiotic",
+        "the/and/with/house/river/stone/green/walk/1d10tic/scumb4g": "the/and/with/house/river/stone/green/walk/idiotic/scumbag",
+        " ".join(spaced.replace(" ", "")): None, "  ".join(" ".join(w) for w in spaced.split()): spaced,
+        "s  c  u  m  b  a  g": "scumbag", "r i v i è r e": "rivière", "u n d": "und", "m a i s o n": "maison",
+    }
+    data, offsets = toxicity.restored(*text_buffers(pa.array(list(shapes))), decoder)
+    got = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
+    for (given, want), found in zip(shapes.items(), got):
+        assert found == want if want else found != given, given
+    through = got[list(shapes).index(" ".join(spaced.replace(" ", "")))]
+    assert "idiotic" in through and "scumbag" in through
+
+
 def brute_blocks(words, threshold):
     """Templates that some run of words holds to ``threshold``, by trying every run."""
     found = set()
