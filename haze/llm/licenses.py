@@ -2,7 +2,8 @@
 
 Templates are word sets. A text block is any run of up to ``STRETCH`` times a template's number
 of words; it matches if it holds at least ``THRESHOLD`` of the template's distinct words
-(containment). The join is exact: template words are ordered by their frequency over all
+(containment) and, of the template's words, all those that ``REQUIRED`` lists for its label: the
+words that name the license, which short templates of different licenses differ in. The join is exact: template words are ordered by their frequency over all
 documents, rarest first; a matching block must hold one of the first m - needed + 1 of them
 (prefix filter), must have ``needed`` words at all (length filter), and after the j-th word of
 that order at most m - j can still be shared (positional filter). Only places that hold a prefix
@@ -53,6 +54,18 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved"),
 )
 
+#: Words that a block must hold where the template has them, by label: they name the license.
+REQUIRED = {
+    "mit": "mit",
+    "apache-2": "apache 2",
+    "gpl-3": "gnu 3",
+    "gpl": "gnu",
+    "cc-by-nc": "nc noncommercial",
+    "cc-by-sa": "sa sharealike",
+    "mpl-2": "mozilla public",
+    "all-rights-reserved": "all rights reserved",
+}
+
 
 def _words(texts: pa.Array) -> tuple[Words, np.ndarray]:
     data, offsets = text_buffers(texts)
@@ -64,7 +77,7 @@ class _Templates:
     """Templates as distinct word hashes in order of first use, and their phrases."""
 
     def __init__(self, templates, phrases, threshold: float, stretch: float):
-        self.labels, self.sets, self.spans, self.needed = [], [], [], []
+        self.labels, self.sets, self.spans, self.needed, self.required = [], [], [], [], []
         for label, text in templates:
             _, h = _words(pa.array([text]))
             distinct = h[np.sort(np.unique(h, return_index=True)[1])]
@@ -72,6 +85,7 @@ class _Templates:
                 self.labels.append(label)
                 self.sets.append(distinct)
                 self.spans.append(math.ceil(stretch * len(h)))
+                self.required.append(np.intersect1d(distinct, _words(pa.array([REQUIRED.get(label, "")]))[1]))
                 self.needed.append(math.ceil(threshold * len(distinct) - 1e-9))
         self.phrases = [(_words(pa.array([p]))[1], label) for p, label in phrases.items()]
         self.vocabulary = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
@@ -108,6 +122,7 @@ class _Templates:
             m, needed, span = len(words), self.needed[t], self.spans[t]
             rank = np.full(len(self.vocabulary) + 1, -1)
             rank[np.searchsorted(self.vocabulary, words)] = np.arange(m)
+            required = set(rank[np.searchsorted(self.vocabulary, self.required[t])].tolist())
             ranks = rank[known[hot]]
             mine = hot[ranks >= 0]
             ranks = ranks[ranks >= 0]
@@ -121,13 +136,14 @@ class _Templates:
                 near, r = mine[a:b], ranks[a:b]
                 same = row[near] == row[p]
                 near, r = near[same], r[same]
-                if len(near) < needed or len(np.unique(r)) < needed:
+                if len(near) < needed or len(np.unique(r)) < needed or not required.issubset(r.tolist()):
                     continue
                 best = (0, 0, 0)
                 for i in range(len(near)):
                     j = int(np.searchsorted(near, near[i] + span))
-                    shared = len(set(r[i:j].tolist()))
-                    if shared > best[0]:
+                    held = set(r[i:j].tolist())
+                    shared = len(held)
+                    if shared > best[0] and required <= held:
                         last = i + max(int(np.flatnonzero(r[i:j] == x)[0]) for x in set(r[i:j].tolist()))
                         best = (shared, int(near[i]), int(near[last]) + 1)
                     if shared == m:

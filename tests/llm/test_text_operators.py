@@ -457,6 +457,19 @@ def test_licenses(spark):
     assert licenses.license_blocks(docs.limit(0)).count() == 0
 
 
+def test_licenses_are_told_apart_by_their_names(spark):
+    creative = "This work is licensed under a Creative Commons Attribution-{} International License"
+    want = {
+        "Released under the Apache License, Version 2.0": {"apache-2"}, "Released under the Foo License": set(), "Released under the MIT License": {"mit"},
+        "Licensed under the Apache License, Version 2.0": {"apache-2"}, "Licensed under CC BY-SA 4.0": set(), "Licensed under CC BY 4.0": set(),
+        "Licensed under CC BY-NC 4.0": {"cc-by-nc"}, creative.format("ShareAlike"): {"cc-by-sa"}, creative.format("NonCommercial"): {"cc-by-nc"},
+        "Released under the Foo License. Released under the MIT License": {"mit"},
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.text: {b["label"] for b in r.blocks} for r in licenses.license_blocks(docs).collect()}
+    assert got == want
+
+
 def page(body, i, head=""):
     return f"<html><head><title>t{i}</title>{head}</head><body><nav><ul><li><a href='/'>home</a></li><li><a>x{i}</a></li></ul></nav>{body}<footer>&copy; {i}</footer></body></html>"
 
