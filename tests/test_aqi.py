@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from haze.functions import aqi
 
 # FIXTURES.md section 2: c, PM2.5 f64, PM2.5 f32, PM10 f64, PM10 f32.
@@ -37,7 +37,10 @@ STEPS = [0, 50, 100, 150, 200, 300, 400, 500]
 
 def exact_index(c, pollutant):
     """The written specification in exact arithmetic: interpolate inside the
-    bracket that holds ``c``, half to even; 0 between brackets and below them."""
+    bracket that holds ``c``, half to even; 0 between brackets, below them and
+    for a missing value."""
+    if c is None:
+        return 0
     lows, highs, cap = ([Decimal(x) for x in v] if isinstance(v, list) else Decimal(v)
                         for v in SPEC[pollutant])
     x = Decimal(repr(c))
@@ -53,6 +56,8 @@ def exact_index(c, pollutant):
 
 def _half(c, pollutant):
     """1 where the exact index lies on a half, which doubles may round either way."""
+    if c is None:
+        return 0
     lows, highs, _ = SPEC[pollutant]
     at = bisect([Decimal(x) for x in lows], Decimal(repr(c))) - 1
     if at < 0 or Decimal(repr(c)) > Decimal(highs[at]):

@@ -3,7 +3,7 @@ its DuckDB oracle on the smallest tables."""
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from oracle_harness import compare, duck
 
 import __spark_entry__ as E

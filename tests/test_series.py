@@ -196,7 +196,7 @@ def test_latency_series_chunk_invariant(spark):
     assert a == b and [r.idx for r in a[:120]] == list(range(1, 121))
 
 
-def test_exact_ranks_adaptive_width_and_guard(spark):
+def test_exact_ranks_adaptive_width(spark):
     rng = np.random.default_rng(11)
     vals = np.concatenate([rng.integers(-10**9, 10**9, size=3000), [-10**9, 10**9]])
     df = spark.createDataFrame([(int(v),) for v in vals], "v long")
@@ -205,9 +205,12 @@ def test_exact_ranks_adaptive_width_and_guard(spark):
     n = len(s)
     assert got["p10"] == s[int(np.floor((n - 1) * 0.1 + 0.5))]
     assert got["p90"] == s[int(np.floor((n - 1) * 0.9 + 0.5))]
-    wide = spark.createDataFrame([(0,), (1 << 50,)], "v long")
-    with pytest.raises(Exception):
-        M.exact_ranks(wide, "v", {"p50": 0.5}).collect()
+    lo, hi = -(1 << 63), (1 << 63) - 1
+    for values in ([0, 1 << 50], [lo, 0, hi], [lo, hi], [hi]):
+        wide = spark.createDataFrame([(v,) for v in values], "v long")
+        got = dict(M.exact_ranks(wide, "v", {"p0": 0.0, "p50": 0.5, "p100": 1.0}).collect())
+        middle = values[int(np.floor((len(values) - 1) * 0.5 + 0.5))]
+        assert got == {"p0": values[0], "p50": middle, "p100": values[-1]}
 
 
 def test_rules_priority_and_edges(spark):
