@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haze.llm import decontaminate, divergence, language_id, licenses, near_dedup, packing, quality, substring_dedup, token_file, toxicity, vector_search, wrappers
+from haze.llm import decontaminate, divergence, language_id, licenses, near_dedup, packing, prefix_trie, quality, substring_dedup, token_file, toxicity, vector_search, wrappers
 from haze.llm.common import ship
 
 
@@ -28,6 +28,7 @@ QUERIES = {name: _shipped(fn) for name, fn in {
     "op8_substring_dedup": substring_dedup.query,
     "op9_near_dedup": near_dedup.query,
     "op10_licenses": licenses.query,
+    "op11_prefix_trie": prefix_trie.query,
     "op12_quality": quality.query,
     "op13_divergence": divergence.query,
 }.items()}
@@ -36,6 +37,7 @@ ORACLE = {
     "op1_decontamination": decontaminate.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
     "op9_near_dedup": near_dedup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
     "op12_quality": quality.SQL,
     "op13_divergence": divergence.SQL,
 }
