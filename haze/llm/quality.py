@@ -148,14 +148,13 @@ def _cuts() -> list[str]:
 
 def group_fences(groups: DataFrame, found: DataFrame, min_docs: int) -> DataFrame:
     """(lang, source) of ``groups`` with the fences of the finest sketch that is large enough, and its level."""
-    sides = []
-    for level in range(3):
-        large = found.where((F.col("level") == level) & (F.col("size") >= (min_docs if level < 2 else 1)))
-        sides.append(large.select(F.col("lang").alias(f"lang{level}"), F.col("source").alias(f"source{level}"), F.struct(F.lit(level).alias("level"), *_cuts()).alias(f"f{level}")))
-    out = (groups.join(sides[0], F.col("lang").eqNullSafe(F.col("lang0")) & F.col("source").eqNullSafe(F.col("source0")), "left")
-                 .join(sides[1], F.col("lang").eqNullSafe(F.col("lang1")), "left")
-                 .join(sides[2].select(F.col("lang2"), "f2"), F.col("lang2").eqNullSafe(F.lit(None).cast("string")), "left"))
-    return out.select("lang", "source", F.coalesce("f0", "f1", "f2").alias("f")).select("lang", "source", "f.*")
+    wanted = groups.select("lang", "source", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("level"), F.when(F.lit(k < 2), F.col("lang")).alias("lang"), F.when(F.lit(k < 1), F.col("source")).alias("source"))
+        for k in range(3)])).alias("w"))
+    large = found.where(F.col("size") >= F.when(F.col("level") < 2, F.lit(min_docs)).otherwise(1))
+    large = large.select(*[F.col(c).alias(f"{c}_") for c in ("level", "lang", "source")], F.struct("level", *_cuts()).alias("f"))
+    own = (F.col("w.level") == F.col("level_")) & F.col("w.lang").eqNullSafe(F.col("lang_")) & F.col("w.source").eqNullSafe(F.col("source_"))
+    return wanted.join(large, own, "left").groupBy("lang", "source").agg(F.min("f").alias("f")).select("lang", "source", "f.*")
 
 
 class Rules:
