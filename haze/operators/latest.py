@@ -192,3 +192,35 @@ def compact_snapshot(spark: SparkSession, path: str, as_of, output: str,
     (live.repartition("shard").write.mode("overwrite")
          .option("partitionOverwriteMode", "static").partitionBy("shard").parquet(output))
     _note_table(spark, output, live.schema, shards)
+
+
+# ---------------------------------------------------------------- changes
+
+def snapshot_delta(old: DataFrame, new: DataFrame, key: str = "location_id") -> DataFrame:
+    """What turns snapshot ``old`` into ``new``: one row per station that differs.
+
+    ``change`` is ``added``, ``changed`` or ``expired`` (the station has no entry any more; its
+    measures are those it had).  One full join on the station, null-safe; the sides need not have
+    the same columns, a missing one is null.  A station occurs once in a snapshot."""
+    names = [c for c in dict.fromkeys([*new.columns, *old.columns]) if c != key]
+    types = dict(old.dtypes) | dict(new.dtypes)
+
+    def side(df, name):
+        cells = [(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(types[c]).alias(c)
+                 for c in names]
+        return df.select(F.col(key).alias(f"{name}_key"), F.struct(*cells).alias(name))
+
+    both = side(old, "old").join(side(new, "new"), F.col("old_key").eqNullSafe(F.col("new_key")), "full")
+    change = (F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "expired")
+              .when(~F.col("old").eqNullSafe(F.col("new")), "changed"))
+    row = F.coalesce("new", "old")
+    station = F.when(F.col("new").isNotNull(), F.col("new_key")).otherwise(F.col("old_key"))
+    return both.select(station.alias(key), change.alias("change"), row.alias("row")) \
+        .where(F.col("change").isNotNull()).select(key, "change", "row.*")
+
+
+def replay_deltas(deltas: DataFrame, key: str = "location_id", order: str = "batch_id") -> DataFrame:
+    """The snapshot that the deltas of all batches lead to: each station's last one, unless that
+    ended it."""
+    last = latest_per_key(deltas, key, (order,))
+    return last.where(F.col("change") != "expired").drop("change", order)

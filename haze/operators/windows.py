@@ -59,6 +59,37 @@ def apply_rules(df: DataFrame, rules: DataFrame, out_col: str = "severity") -> D
     return df.withColumn(out_col, expr if expr is not None else F.lit(None).cast("string"))
 
 
+def live_rules(df: DataFrame, rules: DataFrame, out_col: str = "severity") -> DataFrame:
+    """First matching rule's severity, the rules read when ``df`` is (not when the plan is made).
+
+    The rules become one ordered array in a scalar subquery: Spark evaluates it once a query, the
+    driver collects nothing, and a stream that calls this per micro-batch sees each batch's rules
+    (:class:`haze.streaming.job.LiveRules`).  Rules are ordered by ``priority`` (missing last), then
+    column, operator, threshold and severity.  A rule on a column that ``df`` lacks, with an unknown
+    operator or without a threshold never matches; without rules the severity is null."""
+    if "priority" not in rules.columns:
+        raise ValueError("rules read from a table need a priority: a table has no order")
+    names = sorted({f.name for f in df.schema.fields
+                    if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")})
+    item = F.struct(F.coalesce(F.col("priority").cast("long"), F.lit((1 << 63) - 1)).alias("priority"),
+                    "column", "op", F.col("threshold").cast("double").alias("threshold"), "severity")
+    packed = rules.agg(F.array_sort(F.collect_list(item)).alias("r")).scalar()
+    # the measures of a row by name; nulls stay null and match nothing
+    values = F.create_map(*[x for c in names for x in (F.lit(c), F.col(f"`{c}`").cast("double"))]) \
+        if names else F.lit(None).cast("map<string,double>")
+
+    def matches(rule):
+        v, t = F.try_element_at(values, rule["column"]), rule["threshold"]
+        cond = F.lit(False)
+        for op, test in _OPS.items():
+            cond = F.when(rule["op"] == op, test(v, t)).otherwise(cond)
+        return F.coalesce(cond, F.lit(False))
+
+    # a subquery may not stand inside a lambda's function: the array is a column first
+    first = F.get(F.filter("_rules", matches), F.lit(0))
+    return df.withColumn("_rules", packed).withColumn(out_col, first["severity"]).drop("_rules")
+
+
 def previous_value(df: DataFrame, col: str, station: str = "location_id",
                    ts_col: str = "event_ts", chunk_seconds: int = DAY_SECONDS,
                    out_col: str | None = None) -> DataFrame:

@@ -472,6 +472,7 @@ def _draw(column: int) -> str:
 ORACLE["jitter"] = (f"SELECT location_id, datetime, {', '.join(f'round({c} * (1.0E0 + 0.02E0 * {_draw(i)}), 6) AS {c}' for i, c in enumerate(_DCOLS))} "
                     f"FROM ({ORACLE['densify_linear']})")
 
+from haze.plans import stream_trips  # noqa: E402, F401
 from haze.plans.round_trips import ROUND_TRIP_ORACLE  # noqa: E402
 
 ORACLE |= ROUND_TRIP_ORACLE

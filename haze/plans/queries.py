@@ -576,6 +576,7 @@ def densify_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return densify(_wide(spark, sf_dir), step_seconds=3600, spread_gaps=True)
 
 
+from haze.plans import stream_trips  # noqa: E402, F401
 from haze.plans.round_trips import ROUND_TRIPS  # noqa: E402
 
 QUERIES |= ROUND_TRIPS

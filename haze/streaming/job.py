@@ -13,14 +13,16 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from haze.functions.aqi import score
-from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, keyed_merge, table_note,
-                                    upsert_history, with_partition)
-from haze.operators.latest import SNAPSHOT_COLUMNS, latest_per_key
+from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, _note_table, keyed_merge,
+                                    table_exists, table_note, upsert_history, with_partition)
+from haze.operators.latest import (SNAPSHOT_COLUMNS, fresh, latest_per_key, read_snapshot,
+                                   snapshot_delta)
+from haze.operators.windows import live_rules
 from haze.schemas import HISTORY_COLUMNS
 from haze.streaming.source import CORRUPT
 
@@ -160,6 +162,112 @@ class DualSink:
         self._write_own(alerts, self.alerts_path, query_id, epoch_id)
 
 
+def batch_writer(spark: SparkSession, path: str):
+    """``foreachBatch`` target: the batch's rows with ``query_id`` and ``batch_id``."""
+    return lambda batch, epoch_id: DualSink._write_own(batch, path, _query_id(spark), epoch_id)
+
+
+class LateSplit:
+    """``foreachBatch`` target that keeps late rows instead of losing them.
+
+    A row is late if its instant lies before the watermark its micro-batch began with: the newest
+    instant of all earlier micro-batches less ``delay`` (a row without an instant is on time).  Both
+    kinds go out in one write, to ``path/late=false`` and ``path/late=true``, kept apart by query and
+    batch.  Counts and the newest instant are observed during that write (no job of their own) and
+    recorded under ``{path}_marks``; a retried batch looks at the marks of earlier ones only."""
+
+    MARKS = "newest_us long, delivered long, late_rows long, query_id string, batch_id int"
+
+    def __init__(self, spark: SparkSession, path: str, delay: str = LATE_TOLERANCE,
+                 ts_col: str = "event_ts"):
+        self.spark, self.path, self.delay, self.ts_col = spark, path.rstrip("/"), delay, ts_col
+        self.counts: dict[str, int] = {}
+
+    def rows(self) -> DataFrame:
+        """All rows written so far, with ``late`` as a boolean."""
+        return self.spark.read.parquet(self.path).withColumn("late", F.col("late").cast("boolean"))
+
+    def marks(self) -> DataFrame:
+        """One row per micro-batch: its newest instant, rows delivered, rows late."""
+        if not table_exists(self.spark, f"{self.path}_marks"):
+            return self.spark.createDataFrame([], self.MARKS)
+        return self.spark.read.schema(self.MARKS).parquet(f"{self.path}_marks")
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        query_id = _query_id(self.spark)
+        before = self.marks().where((F.col("query_id") == query_id) & (F.col("batch_id") < epoch_id))
+        newest = before.agg(F.max("newest_us")).first()[0]
+        late = F.lit(False)
+        if newest is not None:
+            mark = F.timestamp_micros(F.lit(newest)) - F.expr(f"INTERVAL {self.delay}")
+            late = F.coalesce(F.col(self.ts_col) < mark, F.lit(False))
+        seen = Observation()
+        rows = batch.withColumn("late", late).observe(
+            seen, F.count(F.lit(1)).alias("delivered"), F.count_if("late").alias("late_rows"),
+            F.max(F.unix_micros(self.ts_col)).alias("newest_us"))
+        (rows.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(int(epoch_id))})
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("late", "query_id", "batch_id").parquet(self.path))
+        self.counts = {k: seen.get[k] for k in ("delivered", "late_rows")}
+        mark = self.spark.createDataFrame(
+            [(seen.get["newest_us"], seen.get["delivered"], seen.get["late_rows"])],
+            "newest_us long, delivered long, late_rows long")
+        DualSink._write_own(mark, f"{self.path}_marks", query_id, epoch_id)
+
+
+class DeltaPush:
+    """``foreachBatch`` target that publishes what a micro-batch changed in the snapshot.
+
+    The stored snapshot is updated with the batch (see :func:`merge_snapshot`); the difference to
+    the state before goes to ``path`` with its batch (see
+    :func:`haze.operators.latest.snapshot_delta`).  Both states are tables of their own under
+    ``snapshot_path/v=<batch>``: a retried batch starts from the state before it again."""
+
+    def __init__(self, spark: SparkSession, snapshot_path: str, path: str,
+                 ttl_seconds: int | None = None, as_of=None, shards: int = SNAPSHOT_SHARDS):
+        self.spark, self.snapshot_path, self.path = spark, snapshot_path.rstrip("/"), path
+        self.ttl_seconds, self.as_of, self.shards = ttl_seconds, as_of, shards
+
+    def state(self, version: int) -> DataFrame:
+        """The snapshot after micro-batch ``version`` (-1: empty)."""
+        return read_snapshot(self.spark, f"{self.snapshot_path}/v={version}")
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        old = self.state(epoch_id - 1)
+        cols = [c for c in SNAPSHOT_COLUMNS if c in batch.columns]
+        both = old.select(*[c for c in cols if c in old.columns]).unionByName(
+            batch.select(*cols), allowMissingColumns=True)
+        new = latest_per_key(both, "location_id", SNAPSHOT_ORDER)
+        if self.ttl_seconds is not None:
+            # ends counted from the newest reading unless a clock is given
+            now = self.as_of if self.as_of is not None else new.agg(F.max("processed_at")).scalar()
+            new = fresh(new, now, self.ttl_seconds)
+        target = f"{self.snapshot_path}/v={epoch_id}"
+        (snapshot_shard(new, self.shards).repartition(self.shards, "shard").write.mode("overwrite")
+            .option("partitionOverwriteMode", "static").partitionBy("shard").parquet(target))
+        _note_table(self.spark, target, snapshot_shard(new, self.shards).schema, self.shards)
+        DualSink._write_own(snapshot_delta(old, self.state(epoch_id)), self.path,
+                            _query_id(self.spark), epoch_id)
+
+
+class LiveRules:
+    """``foreachBatch`` target judging every micro-batch by the alert rules of that moment.
+
+    ``rules_path`` is a Parquet table (priority, column, op, threshold, severity) that may be
+    replaced between micro-batches; it is listed and read anew in each.  Rows with a severity go to
+    ``path``, kept apart by query and batch, so a retried batch replaces its own."""
+
+    def __init__(self, spark: SparkSession, rules_path: str, path: str,
+                 columns: Sequence[str] = ("location_id", "datetime", "event_ts", "aqi")):
+        self.spark, self.rules_path, self.path, self.columns = spark, rules_path, path, list(columns)
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        rules = self.spark.read.parquet(self.rules_path)
+        judged = live_rules(batch, rules).where(F.col("severity").isNotNull())
+        DualSink._write_own(judged.select(*self.columns, "severity"), self.path,
+                            _query_id(self.spark), epoch_id)
+
+
 def latest_state(scored: DataFrame) -> DataFrame:
     """Stateful latest-per-station aggregate (run in ``update`` mode): the
     state store keeps one row per station; an older reading arriving later
