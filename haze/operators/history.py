@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haze.operators.latest import latest_per_key
+from haze.operators.types import TypeChange, cast_columns, merged_schema, read_as
 
 DEFAULT_KEYS = ("location_id", "datetime")
 PARTITION_COL = "event_date"
@@ -101,16 +104,18 @@ def with_partition(df: DataFrame, ts_col: str = "event_ts", granularity: str = "
     return df.withColumn(PARTITION_COL, F.to_date(F.col(ts_col)))
 
 
-def append_history(df: DataFrame, path: str, ts_col: str = "event_ts") -> None:
+def append_history(df: DataFrame, path: str, ts_col: str = "event_ts",
+                   on_type_change: str = "widen") -> None:
     """Append rows, one folder per event day, station-clustered files.
 
     The range shuffle on (day, station, instant) gives every day to a few
-    tasks instead of every task a file in every day, and splits a busy day."""
-    dated = with_partition(df, ts_col)
-    (dated.repartitionByRange(PARTITION_COL, "location_id", ts_col)
+    tasks instead of every task a file in every day, and splits a busy day.
+    Columns whose type differs from the table's are widened, see :func:`prepare`."""
+    place = prepare(with_partition(df, ts_col), path, on_type_change=on_type_change)
+    (place.rows.repartitionByRange(PARTITION_COL, "location_id", ts_col)
         .sortWithinPartitions(PARTITION_COL, "location_id", ts_col)
-        .write.mode("append").partitionBy(PARTITION_COL).parquet(path))
-    _note_table(df.sparkSession, path, dated.schema)
+        .write.mode("append").partitionBy(PARTITION_COL).parquet(place.folder))
+    place.commit()
 
 
 # ------------------------------------------------- schema kept beside the table
@@ -122,42 +127,154 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+@dataclass(frozen=True)
+class Note:
+    """What is recorded beside a table.
+
+    ``epochs`` are (folder, types of its files), oldest first: a new one begins when a column's
+    type changes to one that the old files cannot be read as.  ``keyed`` is the partition column of
+    a keyed table, whose partitions of a later epoch replace those of earlier ones; an appended
+    table has None, and its epochs add up."""
+
+    schema: T.StructType
+    shards: int | None
+    epochs: tuple[tuple[str, T.StructType], ...]
+    keyed: str | None
+
+
 def _note_path(path: str) -> str:
     # A leading underscore hides the folder from Spark's own listing of the table.
     return f"{path.rstrip('/')}/_schema"
 
 
+_NOTE = "schema string, shards int, epochs string, keyed string"
+
+
+def read_note(spark: SparkSession, path: str) -> Note | None:
+    """The note of the table at ``path``; None where nothing is recorded."""
+    if not table_exists(spark, _note_path(path)):
+        return None
+    row = spark.read.schema(_NOTE).parquet(_note_path(path)).first()
+    schema = T.StructType.fromJson(json.loads(row["schema"]))
+    epochs = json.loads(row["epochs"]) if row["epochs"] else [["", schema.jsonValue()]]
+    return Note(schema, row["shards"],
+                tuple((f, T.StructType.fromJson(t)) for f, t in epochs), row["keyed"])
+
+
 def table_note(spark: SparkSession, path: str) -> tuple[T.StructType | None, int | None]:
     """(schema, shards) recorded for the table at ``path``; None where nothing is."""
-    if not table_exists(spark, _note_path(path)):
-        return None, None
-    row = spark.read.schema("schema string, shards int").parquet(_note_path(path)).first()
-    return T.StructType.fromJson(json.loads(row["schema"])), row["shards"]
+    note = read_note(spark, path)
+    return (note.schema, note.shards) if note else (None, None)
+
+
+def _write_note(spark: SparkSession, path: str, note: Note) -> None:
+    epochs = json.dumps([[f, t.jsonValue()] for f, t in note.epochs])
+    spark.createDataFrame([(note.schema.json(), note.shards, epochs, note.keyed)], _NOTE) \
+        .coalesce(1).write.mode("overwrite").parquet(_note_path(path))
 
 
 def _note_table(spark: SparkSession, path: str, schema: T.StructType,
                 shards: int | None = None) -> T.StructType:
     """Record ``schema`` (added to the columns already known) and the shard count."""
-    old, old_shards = table_note(spark, path)
-    names = {f.name for f in old.fields} if old else set()
-    merged = T.StructType((old.fields if old else []) +
-                          [T.StructField(f.name, f.dataType, True) for f in schema.fields
-                           if f.name not in names])
-    if merged != old or shards not in (None, old_shards):
-        spark.createDataFrame([(merged.json(), shards or old_shards)],
-                              "schema string, shards int") \
-            .coalesce(1).write.mode("overwrite").parquet(_note_path(path))
-    return merged
+    place = _place(spark, path, schema, shards=shards)
+    place.commit()
+    return place.note.schema
+
+
+@dataclass
+class Place:
+    """Where and as what a batch is written: ``rows`` into ``folder``, then ``commit()``."""
+
+    spark: SparkSession
+    path: str
+    folder: str
+    note: Note
+    changed: bool
+    rows: DataFrame | None = None
+
+    def commit(self) -> None:
+        if self.changed:
+            _write_note(self.spark, self.path, self.note)
+            self.changed = False
+
+
+def _place(spark: SparkSession, path: str, schema: T.StructType, keyed: str | None = None,
+           shards: int | None = None, on_type_change: str = "widen") -> Place:
+    if on_type_change not in ("widen", "fail"):
+        raise ValueError(f"unknown on_type_change {on_type_change!r}")
+    path = path.rstrip("/")
+    old = read_note(spark, path)
+    if old is None and table_exists(spark, path):
+        # written by something else: its files' columns count, and get a note now
+        found = spark.read.option("mergeSchema", "true").parquet(path).schema
+        old = Note(found, None, (("", found),), None)
+        _write_note(spark, path, old)
+    if old is None:
+        known = merged_schema(T.StructType([]), schema)
+        return Place(spark, path, path, Note(known, shards, (("", known),), keyed), True)
+    merged = merged_schema(old.schema, schema)
+    moved = [f.name for f in old.schema.fields if merged[f.name].dataType != f.dataType]
+    if moved and on_type_change == "fail":
+        raise TypeChange(f"columns {moved} would change their type")
+    folder, types = old.epochs[-1]
+    held = {f.name: f.dataType for f in types.fields}
+    fits = all(read_as(t, merged[n].dataType) for n, t in held.items())
+    if fits:
+        # the files of this epoch are read as the wider types from now on
+        epochs = (*old.epochs[:-1], (folder, merged))
+    else:
+        # the folder's name is its own, so leftovers of a write that failed are never read
+        folder = f"_epochs/{uuid.uuid4().hex[:12]}"
+        epochs = (*old.epochs, (folder, merged))
+    note = Note(merged, shards or old.shards, epochs, keyed or old.keyed)
+    place = Place(spark, path, f"{path}/{folder}".rstrip("/"), note, note != old)
+    if fits:
+        # readers can widen what is there: recorded before the files are written, so that no
+        # reader meets a file wider than the note says
+        place.commit()
+    return place
+
+
+def prepare(df: DataFrame, path: str, keyed: str | None = None, shards: int | None = None,
+            on_type_change: str = "widen") -> Place:
+    """Settle the types of a batch before anything is written.
+
+    Each column gets a type that holds the table's and the batch's values (see
+    :func:`haze.operators.types.wider`) and the batch is cast to it.  If the table's files cannot be
+    read as the new types, the batch goes to a folder of its own (an epoch); otherwise beside them.
+    ``on_type_change="fail"`` refuses a batch that would change a type; a refused batch, also one
+    with a column that has no common type with the table's, raises ``TypeChange`` and leaves the
+    table as it was."""
+    place = _place(df.sparkSession, path, df.schema, keyed, shards, on_type_change)
+    place.rows = cast_columns(df, place.note.schema)
+    return place
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The table with every column any of its files has.  The recorded schema
     saves opening the footer of each file; a table without one (written by
-    something else) is read with ``mergeSchema``."""
-    schema, _ = table_note(spark, path)
-    if schema is not None:
-        return spark.read.schema(schema).parquet(path)
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    something else) is read with ``mergeSchema``.  Files of earlier epochs are read as what they
+    are and cast; a keyed table's partitions that a later epoch has are not read from them."""
+    note = read_note(spark, path)
+    if note is None:
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    parts, replaced = [], None
+    for folder, types in reversed(note.epochs):
+        place = f"{path.rstrip('/')}/{folder}".rstrip("/")
+        if folder and not table_exists(spark, place):
+            continue
+        rows = cast_columns(spark.read.schema(types).parquet(place), note.schema)
+        if note.keyed:
+            mine = rows.select(F.col(note.keyed).alias("_replaced")).distinct()
+            if replaced is not None:
+                rows = rows.join(replaced, F.col(note.keyed).eqNullSafe(F.col("_replaced")), "left_anti")
+                mine = mine.unionByName(replaced)
+            replaced = mine
+        parts.append(rows)
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
@@ -173,7 +290,8 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                 order: Sequence[str], partition_col: str,
-                files_per_partition: int | None = None, shards: int | None = None) -> None:
+                files_per_partition: int | None = None, shards: int | None = None,
+                on_type_change: str = "widen") -> None:
     """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
     ``partition_col`` (a function of ``keys``, e.g. the day of the event
     instant): per key the row with the greatest ``order`` survives.
@@ -190,7 +308,8 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     one per ``ROWS_PER_FILE`` rows, so a hot partition is spread over as many
     tasks as it needs; ``files_per_partition`` fixes it instead.  Columns that
     only one side has are kept and null in the other side's rows.  Re-running
-    the same batch gives the same table.
+    the same batch gives the same table.  Columns whose type differs from the
+    table's are widened, see :func:`prepare`.
 
     This is the compaction route; a stream appends by default and reads
     through ``current_history``.  The overwrite of several partitions is not
@@ -203,14 +322,16 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
         if not span[3]:
             return
         part = F.col(partition_col)
-        merged = batch
-        if table_exists(spark, path):
+        known = table_exists(spark, path)
+        place = prepare(batch, path, partition_col, shards, on_type_change)
+        merged = place.rows
+        if known:
             near = part.between(F.lit(span[0]), F.lit(span[1]))
             near = F.coalesce(near, F.lit(False)) | (part.isNull() if span[2] else F.lit(False))
             touched = batch.select(part.alias("_touched")).distinct()
-            stored = read_table(spark, path).where(near) \
+            stored = cast_columns(read_table(spark, path), place.note.schema).where(near) \
                 .join(touched, part.eqNullSafe(F.col("_touched")), "left_semi")
-            merged = stored.unionByName(batch, allowMissingColumns=True)
+            merged = stored.unionByName(merged, allowMissingColumns=True)
         if files_per_partition is None:
             sizes = merged.groupBy(part.alias("_part")).agg(
                 F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files"))
@@ -227,8 +348,8 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
         current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
         (current.select(*cols).sortWithinPartitions(partition_col, *keys)
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition_col).parquet(path))
-        _note_table(spark, path, merged.schema, shards)
+            .partitionBy(partition_col).parquet(place.folder))
+        place.commit()
     finally:
         batch.unpersist()
 
@@ -237,7 +358,7 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
                    keys: Sequence[str] = DEFAULT_KEYS,
                    order: Sequence[str] = ("processed_at",),
                    ts_col: str = "event_ts", granularity: str = "day",
-                   files_per_partition: int | None = None) -> None:
+                   files_per_partition: int | None = None, on_type_change: str = "widen") -> None:
     """Upsert into the time-partitioned history table (primary key ``keys``,
     the latest ``order`` wins, default: the last processed write).
 
@@ -247,4 +368,5 @@ def upsert_history(spark: SparkSession, batch: DataFrame, path: str,
     instead of a day (a table format with ``MERGE INTO`` avoids the rewrite
     altogether)."""
     keyed_merge(spark, with_partition(batch, ts_col, granularity), path, keys, order,
-                PARTITION_COLS[granularity], files_per_partition=files_per_partition)
+                PARTITION_COLS[granularity], files_per_partition=files_per_partition,
+                on_type_change=on_type_change)

@@ -86,6 +86,53 @@ def upsert_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       "doubled"])
 
 
+_WIDER = ["datetime", "location_id", "event_ts", "pm25", "aqi", "quality", "processed_at"]
+_WIDER_SQL = """
+SELECT datetime, CAST(location_id AS BIGINT) AS location_id, event_ts,
+       CASE WHEN {later} THEN pm25 ELSE CAST(CAST(pm25 AS REAL) AS DOUBLE) END AS pm25,
+       CASE WHEN {later} THEN 'aqi ' || aqi ELSE CAST(aqi AS VARCHAR) END AS aqi,
+       CASE WHEN {later} THEN NULL ELSE quality END AS quality, processed_at FROM {rows}"""
+
+
+def _types(hist: DataFrame, wide: bool) -> DataFrame:
+    """The delivery of an early writer (int station, float measure, int index) or of a later one
+    (long, double, text; no label)."""
+    if wide:
+        return hist.select("datetime", "location_id", "event_ts", "pm25",
+                           F.concat(F.lit("aqi "), F.col("aqi").cast("string")).alias("aqi"),
+                           F.lit(None).alias("quality"), "processed_at")
+    return hist.select("datetime", F.col("location_id").cast("int").alias("location_id"), "event_ts",
+                       F.col("pm25").cast("float").alias("pm25"), "aqi", "quality", "processed_at")
+
+
+@query("append_wider_type", with_views(_WIDER_SQL.format(later="pm10 < 325", rows="history"), "history"))
+def append_wider_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends of two writers whose types differ: int and long, float and double, int and text."""
+    from haze.operators.history import append_history, read_history
+    path = _scratch(spark, "append-wider")
+    hist = tables.history(spark, sf_dir)
+    append_history(_types(hist.where("not (pm10 < 325)"), False), path)
+    append_history(_types(hist.where("pm10 < 325"), True), path)
+    return read_history(spark, path, _WIDER)
+
+
+@query("upsert_wider_type", with_views(_WIDER_SQL.format(later="pm10 < 325", rows="""(
+  SELECT *, row_number() OVER (PARTITION BY location_id, datetime ORDER BY pm10 < 325 DESC, processed_at DESC) AS rn FROM history) WHERE rn = 1"""), "history"))
+def upsert_wider_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole history of an early writer, then keyed deliveries of a later one: twice the days
+    after the split, then the others, so partitions of both kinds of files lie side by side."""
+    from haze.operators.history import read_history, upsert_history
+    path = _scratch(spark, "upsert-wider")
+    hist = tables.history(spark, sf_dir)
+    upsert_history(spark, _types(hist, False), path)
+    later = hist.where("pm10 < 325").withColumn("processed_at", F.col("processed_at") + F.expr("INTERVAL 365 DAYS"))
+    early = F.col("event_ts") < F.expr(SPLIT)
+    for rows in (later.where(~early), later.where(~early), later.where(early)):
+        upsert_history(spark, _types(rows, True), path)
+    out = read_history(spark, path, _WIDER)
+    return out.withColumn("processed_at", F.when(F.col("aqi").startswith("aqi"), F.col("processed_at") - F.expr("INTERVAL 365 DAYS")).otherwise(F.col("processed_at")))
+
+
 @query("history_append_read", with_views(f"SELECT {', '.join(COLUMNS)} FROM history", "history"))
 def history_append_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends to the day-partitioned history, read back with its recorded schema."""
@@ -213,6 +260,42 @@ def end_offsets_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return end_offsets(ev.select(part.alias("partition"), offset.alias("offset")))
 
 
+@query("producer_rate", """
+SELECT ordinal, ts AS event_ts, us / 1e6 AS elapsed, CASE WHEN us > 0 THEN ordinal / (us / 1e6) END AS rate FROM (
+  SELECT row_number() OVER (ORDER BY ts, event_id) AS ordinal, ts, CAST(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) AS DOUBLE) AS us
+  FROM events) WHERE ordinal % 1000 = 0""")
+def producer_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages sent and their rate at every thousandth one."""
+    from haze.operators.ordinal import running_rate
+    ev = tables.table(spark, sf_dir, "events").withColumn("event_ts", F.col("ts").cast("timestamp"))
+    return running_rate(ev, "event_ts", tie=["event_id"])
+
+
+@query("file_order", with_views("""
+SELECT 'latency by time' AS stored, count(*) AS rows, true AS ordered FROM v
+UNION ALL SELECT 'latency as it came', count(*), false FROM v
+UNION ALL SELECT 'history by station', (SELECT count(*) FROM latency_source), true
+UNION ALL SELECT 'history by measure', (SELECT count(*) FROM latency_source), false""", "latency_source", extra={"s": _SAMPLES, "v": _VALID}))
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that must be in order are, as they lie; the same rows unsorted, and another column, are not."""
+    from haze.operators.history import append_history
+    from haze.operators.metrics import read_latency_csv, write_latency_csv
+    from haze.operators.ordinal import order_report
+    root = _scratch(spark, "order")
+    samples = _samples(spark, sf_dir)
+    write_latency_csv(samples, f"{root}/sorted")
+    samples.where("disposition = 'valid'").select("event_time", "processed_at", "latency").orderBy(F.xxhash64("event_time")) \
+        .write.option("header", True).csv(f"{root}/mixed")
+    append_history(tables.history(spark, sf_dir), f"{root}/history")
+    history = spark.read.parquet(f"{root}/history")
+    reports = [("latency by time", order_report(read_latency_csv(spark, f"{root}/sorted"), ["event_time"])),
+               ("latency as it came", order_report(read_latency_csv(spark, f"{root}/mixed"), ["event_time"])),
+               ("history by station", order_report(history, ["location_id", "event_ts"], across_files=False)),
+               ("history by measure", order_report(history, ["pm25"], across_files=False))]
+    out = [r.select(F.lit(name).alias("stored"), "rows", "ordered") for name, r in reports]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 # ---------------------------------------------------------------- series
 
 _WIDE = """
