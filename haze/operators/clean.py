@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,11 +107,12 @@ def read_raw_readings(spark, path: str, schema: T.StructType | None = None) -> D
     and each group of files is read with its own header; ``enforceSchema=false``
     makes Spark compare it with every file it opens.  A gzip file is not
     splittable and is read by one task: keep files per station/month small
-    upstream."""
+    upstream.  File names are URLs until here: blanks and other signs in them
+    are decoded."""
     from haze.schemas import RAW_LONG_SCHEMA
     schema = schema or RAW_LONG_SCHEMA
     lines = spark.read.option("recursiveFileLookup", "false").text(path, wholetext=False) \
-        .select(F.input_file_name().alias("file"), "value", F.col("_metadata.file_block_start").alias("at"),
+        .select(F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("at"),
                 F.monotonically_increasing_id().alias("line"))
     # The first line of a file is the first of its first block.
     heads = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "line").alias("head"))
@@ -125,7 +127,7 @@ def read_raw_readings(spark, path: str, schema: T.StructType | None = None) -> D
         raw = T.StructType([T.StructField(n, T.StringType()) for n in unique])
         df = (spark.read.schema(raw).option("header", True).option("mode", "PERMISSIVE")
               .option("enforceSchema", unique != names)
-              .option("basePath", _base_path(path)).csv(g["files"]))
+              .option("basePath", _base_path(path)).csv([unquote(f) for f in g["files"]]))
         cols = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in df.columns
                 else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
         cols += [F.col(c) for c in partitions if c in df.columns and c not in schema.names]

@@ -118,6 +118,52 @@ def append_history(df: DataFrame, path: str, ts_col: str = "event_ts",
     place.commit()
 
 
+def _quantiles(df: DataFrame, col: str, bits: int) -> tuple[Column, Column]:
+    """(``col`` as a number in its order, the cuts of 2^bits parts of about equal size).
+    Text counts by its first seven bytes."""
+    kind = df.schema[col].dataType
+    value = F.col(f"`{col}`")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0")
+        value = F.conv(head, 16, 10).cast("long")
+    else:
+        value = value.cast("double")
+    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = df.agg(F.percentile_approx(value, steps, 100 << bits).alias("c")).scalar()
+    return value, cuts
+
+
+def clustered_write(df: DataFrame, path: str, by: Sequence[str] = ("location_id", "quality"),
+                    ts_col: str = "event_ts", bits: int = 6, distinct: int = 1_000_000,
+                    group_bytes: int = 32 << 20) -> None:
+    """Write history for lookups by any of ``by``: inside a day, rows follow a z-order curve over
+    the columns of ``by``, so the row groups' smallest and largest values are narrow in each of
+    them, and Parquet Bloom filters (for up to ``distinct`` values a row group) rule out row groups
+    whose range holds a value that they lack.  ``group_bytes`` bounds a row group.
+
+    One pass for the quantiles, one range shuffle on (day, z)."""
+    cols = df.columns
+    dated = with_partition(df, ts_col)
+    ranks = {c: _quantiles(df, c, bits) for c in by}
+    wide = dated.withColumns({f"_cuts_{i}": cuts for i, (_, cuts) in enumerate(ranks.values())})
+    wide = wide.withColumns({f"_rank_{i}": F.coalesce(F.size(F.filter(F.coalesce(F.col(f"_cuts_{i}"), F.array().cast("array<double>")),
+                                                                      lambda c, v=value: c < v)), F.lit(0))
+                             for i, (value, _) in enumerate(ranks.values())})
+    z = F.lit(0).cast("long")
+    for bit in range(bits):
+        for i in range(len(by)):
+            one = F.shiftright(F.col(f"_rank_{i}"), bit).bitwiseAND(F.lit(1)).cast("long")
+            z = z.bitwiseOR(F.shiftleft(one, bit * len(by) + i))
+    laid = wide.withColumn("_z", z).repartitionByRange(PARTITION_COL, "_z", ts_col) \
+        .sortWithinPartitions(PARTITION_COL, "_z", ts_col).select(*cols, PARTITION_COL)
+    writer = laid.write.mode("append").partitionBy(PARTITION_COL).option("parquet.block.size", group_bytes)
+    for c in by:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true") \
+            .option(f"parquet.bloom.filter.expected.ndv#{c}", distinct)
+    writer.parquet(path)
+    _note_table(df.sparkSession, path, dated.schema)
+
+
 # ------------------------------------------------- schema kept beside the table
 
 def table_exists(spark: SparkSession, path: str) -> bool:

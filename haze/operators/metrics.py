@@ -256,6 +256,21 @@ def latency_summary(samples: DataFrame, bucket: int = QUANTILE_BUCKET_US) -> Dat
     })
 
 
+def _finite(df: DataFrame, col: str) -> Column:
+    x = F.col(col)
+    if dict(df.dtypes)[col] in ("double", "float"):
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    return x.isNotNull()
+
+
+def without_bin(df: DataFrame, col: str = "latency") -> DataFrame:
+    """One row: values in a histogram of ``col`` and those without a bin, by kind."""
+    x = F.col(col).cast("double")
+    nan = F.coalesce(F.isnan(x), F.lit(False))
+    return df.agg(F.count_if(_finite(df, col)).alias("binned"), F.count_if(F.col(col).isNull()).alias("missing"),
+                  F.count_if(nan).alias("nan"), F.count_if(~nan & (F.abs(x) == float("inf"))).alias("infinite"))
+
+
 def histogram(df: DataFrame, col: str = "latency", bins: int = 50) -> DataFrame:
     """Equal-width histogram over [min, max] with every bin present.
 
@@ -263,12 +278,11 @@ def histogram(df: DataFrame, col: str = "latency", bins: int = 50) -> DataFrame:
     the last bin, all values in bin 1 when min = max.  The value is projected
     first, min/max come from one struct-valued scalar subquery referenced
     once, the count is a map-side combined aggregate (<= bins rows) and the
-    empty bins come from a ``bins``-row range.
+    empty bins come from a ``bins``-row range.  Nulls, NaN and infinite values
+    have no bin (:func:`without_bin` counts them).
     """
     x = F.col(col)
-    keep = x.isNotNull()
-    if dict(df.dtypes)[col] in ("double", "float"):
-        keep = keep & ~F.isnan(x)
+    keep = _finite(df, col)
     src = df.select(x.cast("double").alias("_x"), keep.alias("_keep")).where("_keep")
     bounds = src.select(F.struct(F.min("_x").alias("mn"), F.max("_x").alias("mx"))).scalar()
     withb = src.select("_x", bounds.alias("_mm"))

@@ -145,6 +145,22 @@ def history_append_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_history(spark, path, COLUMNS)
 
 
+@query("history_clustered_lookup", with_views(f"""
+SELECT {', '.join(COLUMNS)} FROM history WHERE location_id % 30 = 7 AND quality = {level_sql('60')}
+UNION ALL SELECT {', '.join(COLUMNS)} FROM history WHERE location_id = 11
+UNION ALL SELECT {', '.join(COLUMNS)} FROM history WHERE quality = {level_sql('400')} AND event_ts >= {SPLIT}""", "history"))
+def history_clustered_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by station and by label over history laid out along a z-order curve."""
+    from haze.operators.history import clustered_write, history_query, read_history
+    path = _scratch(spark, "clustered")
+    clustered_write(tables.history(spark, sf_dir), path)
+    hist = read_history(spark, path)
+    both = history_query(hist, quality=aqi.QUALITY_FULL[1]).where("location_id % 30 = 7")
+    found = both.unionByName(history_query(hist, station=11)).unionByName(
+        history_query(hist, quality=aqi.QUALITY_FULL[5], since="2024-01-16 00:00:00"))
+    return found.select(*COLUMNS)
+
+
 # ---------------------------------------------------------------- files
 
 _RAW_HEADS = (["location_id", "sensors_id", "location", "datetime", "lat", "lon", "parameter", "units", "value"],
@@ -384,6 +400,24 @@ def snapshot_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_snapshot(spark, f"{path}/live", tables.SNAPSHOT_AS_OF).select(*COLUMNS)
 
 
+@query("snapshot_log", with_views(f"SELECT {', '.join(COLUMNS)} FROM latest", "history", extra={"latest": _LATEST}))
+def snapshot_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches and one repeated, compacted into 4 and then 64 shards, and a small one after that."""
+    from haze.operators.snapshot_log import SnapshotLog
+    log = SnapshotLog(spark, _scratch(spark, "snapshot-log"))
+    hist = tables.history(spark, sf_dir)
+    part = F.pmod(F.xxhash64("datetime"), F.lit(4))
+    log.append(hist.where(part == 2), 0)
+    log.append(hist.where(part == 0), 1)
+    log.compact(4)
+    log.append(hist.where(part == 1), 2)
+    log.append(hist.where(part == 1), 2)
+    log.compact(64)
+    log.append(hist.where((part == 3) & (F.col("location_id") % 2 == 0)), 3)
+    log.append(hist.where((part == 3) & (F.col("location_id") % 2 != 0)), 4)
+    return log.read().select(*COLUMNS)
+
+
 _TEXT = "coalesce(CAST({} AS VARCHAR), '')"
 _KV = ["aqi", "quality", "timestamp", "pm25", "pm10", "pm1", "temperature", "relativehumidity", "um003",
        "aqi_pm25", "aqi_pm10", "processed_at"]
@@ -436,6 +470,18 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("tail_lines", with_views("""
+SELECT 'Received: ' || datetime || ' | PM2.5: ' || printf('%.2f', p) || ' -> ' ||
+       CASE WHEN p < 50 THEN '🟢 Tốt' WHEN p > 150 THEN '🔴 Nguy hại' ELSE '🟡 Trung bình' END AS value
+FROM (SELECT datetime, CASE location_id % 3 WHEN 0 THEN round(pm25 * 8) / 8 WHEN 1 THEN CAST(CAST(pm25 AS REAL) AS DOUBLE) ELSE coalesce(pm25, 0) END AS p FROM readings)""", "readings"))
+def tail_lines_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail reader's lines; eighths lie on ties of the second decimal."""
+    from haze.streaming.source import tail_lines
+    kind = F.col("location_id") % 3
+    pm = F.when(kind == 0, F.round(F.col("pm25") * 8) / 8).when(kind == 1, F.col("pm25").cast("float").cast("double")).otherwise(F.col("pm25"))
+    return tail_lines(tables.readings(spark, sf_dir).withColumn("pm25", pm))
+
+
 _F32 = """
   SELECT location_id, event_ts, datetime, CAST(pm25 AS REAL) AS pm25, CAST(pm10 AS REAL) AS pm10 FROM readings"""
 

@@ -32,10 +32,18 @@ def source_lag(end, latest) -> int | None:
     return sum(max(0, n - read.get(k, 0)) for k, n in there.items())
 
 
+def produced(latest) -> int | None:
+    """Messages produced so far by the source's own report of its partitions' ends: the topic is not
+    read for it.  None for sources without offsets per partition."""
+    ends = _offsets(latest)
+    return sum(ends.values()) if ends else None
+
+
 class ProgressLog(StreamingQueryListener):
     """Records one row per micro-batch: batch id, rows in, input and
-    processing rates, duration, the source end offsets and the lag behind the
-    source.  The newest ``kept`` rows stay in memory; ``drain`` hands them out
+    processing rates, duration, the source end offsets, the messages produced
+    so far, the lag behind the source and the rows that stateful operators
+    dropped behind the watermark.  The newest ``kept`` rows stay in memory; ``drain`` hands them out
     as a DataFrame and clears the buffer."""
 
     def __init__(self, kept: int = KEPT):
@@ -48,6 +56,7 @@ class ProgressLog(StreamingQueryListener):
         p = event.progress
         lags = [source_lag(s.endOffset, s.latestOffset) for s in p.sources]
         lags = [x for x in lags if x is not None]
+        made = [x for x in (produced(s.latestOffset) for s in p.sources) if x is not None]
         self.rows.append({
             "query": p.name or str(p.id),
             "batch_id": int(p.batchId),
@@ -57,6 +66,8 @@ class ProgressLog(StreamingQueryListener):
             "duration_ms": int((p.durationMs or {}).get("triggerExecution", 0)),
             "end_offset": str(p.sources[0].endOffset) if p.sources else None,
             "lag": sum(lags) if lags else None,
+            "produced": sum(made) if made else None,
+            "dropped_late": sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators),
         })
 
     def onQueryIdle(self, event):
@@ -69,4 +80,5 @@ class ProgressLog(StreamingQueryListener):
         rows = [self.rows.popleft() for _ in range(len(self.rows))]
         return spark.createDataFrame(
             rows, "query string, batch_id long, rows long, input_rows_per_s double, "
-                  "processed_rows_per_s double, duration_ms long, end_offset string, lag long")
+                  "processed_rows_per_s double, duration_ms long, end_offset string, lag long, "
+                  "produced long, dropped_late long")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haze.functions.aqi import pm25_status
 from haze.functions.timefmt import parse_instant
+from haze.functions.values import two_decimals
 from haze.schemas import EVENT_SCHEMA, MEASURES
 
 CORRUPT = "_corrupt_record"
@@ -102,6 +104,20 @@ def encode_readings(df: DataFrame, time_col: str = "datetime", event_time=None)
     return df.select(F.col("location_id").cast("string").alias("key"), F.to_json(body).alias("value"))
 
 
+# The signs before the three PM2.5 states in the tail reader's lines.
+TAIL_SIGNS = ["🟢 ", "🟡 ", "🔴 "]
+
+
+def tail_lines(decoded: DataFrame) -> DataFrame:
+    """One ``value`` line per reading, batch or stream, as the tail reader prints it: instant text,
+    PM2.5 with two decimals (0 if missing) and its state.  Start with ``start(fmt="console")`` to
+    follow a topic."""
+    pm = F.coalesce(F.col("pm25").cast("double"), F.lit(0.0))
+    state = F.when(pm < 50, TAIL_SIGNS[0]).when(pm > 150, TAIL_SIGNS[2]).otherwise(TAIL_SIGNS[1])
+    return decoded.select(F.concat(F.lit("Received: "), F.coalesce("datetime", F.lit("None")), F.lit(" | PM2.5: "),
+                                   two_decimals(pm), F.lit(" -> "), state, pm25_status(pm)).alias("value"))
+
+
 def publish_readings(df: DataFrame, topic: str, options: dict[str, str]) -> None:
     """Batch-publish encoded readings to a Kafka topic (connector required)."""
     encode_readings(df).write.format("kafka").options(**options).option("topic", topic).save()
