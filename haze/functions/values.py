@@ -42,17 +42,15 @@ def two_decimals(c: Column) -> Column:
     the exact binary value, a tie to the even digit (``format_string`` rounds the shortest decimal
     text, half up: 2.675 and 0.125 differ).  Exact below 1e13 in size.
 
-    The value is split into a part of 24 bits and the rest: both times 100 are exact, so are the
-    signs of the differences that decide."""
+    The value is split into a part of 24 bits and the rest: both times 100 are exact, and so are
+    the signs of the sums that decide."""
     x = F.abs(c.cast("double"))
     high = x.cast("float").cast("double")
-    s, rest = high * 100, (x - high) * 100
-    whole = F.floor(s).cast("double")
-    frac = s - whole
-    # s + rest may lie just below ``whole`` or at ``whole + 1``
-    step = F.when(frac + rest < 0, -1).when((frac - 1) + rest >= 0, 1).otherwise(0)
-    base = whole + step
-    over = (frac - 0.5 - step) + rest
+    parts = [high * 100, (x - high) * 100]
+    a, b = (p - F.floor(p).cast("double") for p in parts)
+    carry = F.when((a - 1) + b >= 0, 1.0).otherwise(0.0)
+    base = F.floor(parts[0]).cast("double") + F.floor(parts[1]).cast("double") + carry
+    over = (a - 0.5 - carry) + b
     up = (over > 0) | ((over == 0) & (base % 2 == 1))
     n = (base + F.when(up, 1).otherwise(0)).cast("long")
     text = F.concat(F.call_function("div", n, F.lit(100).cast("long")).cast("string"), F.lit("."),

@@ -133,6 +133,12 @@ def _quantiles(df: DataFrame, col: str, bits: int) -> tuple[Column, Column]:
     return value, cuts
 
 
+def _rank(value: Column, cuts: Column) -> Column:
+    """How many of ``cuts`` lie below ``value``; 0 for a null."""
+    below = F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c < value)
+    return F.coalesce(F.size(below), F.lit(0))
+
+
 def clustered_write(df: DataFrame, path: str, by: Sequence[str] = ("location_id", "quality"),
                     ts_col: str = "event_ts", bits: int = 6, distinct: int = 1_000_000,
                     group_bytes: int = 32 << 20) -> None:
@@ -146,8 +152,7 @@ def clustered_write(df: DataFrame, path: str, by: Sequence[str] = ("location_id"
     dated = with_partition(df, ts_col)
     ranks = {c: _quantiles(df, c, bits) for c in by}
     wide = dated.withColumns({f"_cuts_{i}": cuts for i, (_, cuts) in enumerate(ranks.values())})
-    wide = wide.withColumns({f"_rank_{i}": F.coalesce(F.size(F.filter(F.coalesce(F.col(f"_cuts_{i}"), F.array().cast("array<double>")),
-                                                                      lambda c, v=value: c < v)), F.lit(0))
+    wide = wide.withColumns({f"_rank_{i}": _rank(value, F.col(f"_cuts_{i}"))
                              for i, (value, _) in enumerate(ranks.values())})
     z = F.lit(0).cast("long")
     for bit in range(bits):
