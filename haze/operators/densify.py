@@ -101,13 +101,13 @@ def _with_origin(df: DataFrame, station: str, ts: str) -> DataFrame:
 
 def densify(df: DataFrame, station: str = "location_id", ts: str = "datetime",
             values: Sequence[str] | None = None, step_seconds: int = 5,
-            chunk_seconds: int = DAY_SECONDS, off_grid: str = "drop",
+            chunk_seconds: int = DAY_SECONDS, *, off_grid: str,
             spread_gaps: bool = True) -> DataFrame:
     """Regular grid per station from its first to its last reading every
     ``step_seconds``; each value column linearly interpolated in time between
     the surrounding known points (leading/trailing gaps stay null).
 
-    ``off_grid="drop"``: readings not on the station's grid are ignored (the
+    ``off_grid`` must be said.  ``"drop"``: readings not on the station's grid are ignored (the
     effect of joining the grid on exact instants); ``off_grid_rows`` counts
     them.  ``"snap"``: they are moved down to the grid.  Readings of one
     station that fall on one instant are averaged.  Readings without an
@@ -168,17 +168,33 @@ def off_grid_rows(df: DataFrame, station: str = "location_id", ts: str = "dateti
 
 
 def left_join_grid(df: DataFrame, station: str = "location_id", ts: str = "datetime",
-                   step_seconds: int = 5) -> DataFrame:
-    """The literal formulation -- a per-station grid left-joined with the
-    readings on exact instants, values left as they are (null off the
-    readings).  Kept as a cross-check for :func:`densify`; it shuffles the
-    dense grid, so prefer ``densify`` for real volumes."""
+                   step_seconds: int = 5, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
+    """A per-station grid left-joined with the readings on exact instants, values
+    left as they are (null off the readings).
+
+    The grid of a station is cut into chunks of ``chunk_seconds``: one row for
+    each, dealt by (station, chunk), which a task unfolds, so no array is longer
+    than a chunk however long the station was read.  Grid and readings meet in a
+    null-safe join on (station, instant): readings without a station are
+    a series of their own, those without an instant are not on any grid, several
+    at one instant give a row each.  The dense side is shuffled by that join;
+    :func:`densify` is the form without it."""
     step_us = int(step_seconds) * 1_000_000
-    bounds = df.groupBy(station).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    grid = bounds.select(station, F.explode(F.sequence(
-        F.unix_micros("_lo"), F.unix_micros("_hi"), F.lit(step_us))).alias("_g")) \
-        .select(station, F.timestamp_micros("_g").alias(ts))
-    return grid.join(df, [station, ts], "left")
+    chunk_us = max(int(chunk_seconds) // int(step_seconds), 1) * step_us
+    t = F.unix_micros(ts)
+    bounds = df.where(F.col(ts).isNotNull()).groupBy(F.col(station).alias("_gs")).agg(
+        F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+    chunks = bounds.withColumn("_gc", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function(
+        "div", F.col("_hi") - F.col("_lo"), F.lit(chunk_us).cast("long"))))).repartition("_gs", "_gc")
+    start = F.col("_lo") + F.col("_gc") * F.lit(chunk_us)
+    stop = F.least(F.col("_hi"), start + F.lit(chunk_us - step_us))
+    grid = chunks.select("_gs", "_gc", F.explode(F.sequence(start, stop, F.lit(step_us).cast("long"))).alias("_g"))
+    rest = [c for c in df.columns if c not in (station, ts)]
+    rows = df.withColumn("_t", t).where(F.col("_t").isNotNull()).select(
+        F.col(station).alias("_rs"), "_t", F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("_row"))
+    both = grid.join(rows, F.col("_gs").eqNullSafe(F.col("_rs")) & (F.col("_g") == F.col("_t")), "left")
+    cells = {station: F.col("_gs").alias(station), ts: F.timestamp_micros("_g").alias(ts)}
+    return both.select(*[cells.get(c, F.col(f"_row.`{c}`").alias(c)) for c in [station, ts, *rest]])
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "location_id",

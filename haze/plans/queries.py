@@ -273,7 +273,7 @@ def _wide(spark, sf_dir):
 def densify_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly wide readings densified to an hourly grid per station."""
     from haze.operators.densify import densify
-    return densify(_wide(spark, sf_dir), step_seconds=3600)
+    return densify(_wide(spark, sf_dir), step_seconds=3600, off_grid="drop")
 
 
 @query("forward_fill")
@@ -286,7 +286,7 @@ def forward_fill_q(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jitter_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Densified hourly grid with 2 % multiplicative noise drawn from the key's md5."""
     from haze.operators.densify import densify, jitter
-    dense = densify(_wide(spark, sf_dir), step_seconds=3600)
+    dense = densify(_wide(spark, sf_dir), step_seconds=3600, off_grid="drop")
     columns = ["pm25", "pm10", "temperature", "relativehumidity"]
     return jitter(dense, columns).withColumns({c: F.round(c, 6) for c in columns})
 
@@ -573,7 +573,7 @@ def densify_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``densify_linear`` with gaps cut at day boundaries and spread over
     tasks before the grid is generated (same result)."""
     from haze.operators.densify import densify
-    return densify(_wide(spark, sf_dir), step_seconds=3600, spread_gaps=True)
+    return densify(_wide(spark, sf_dir), step_seconds=3600, spread_gaps=True, off_grid="drop")
 
 
 from haze.plans import stream_trips  # noqa: E402, F401

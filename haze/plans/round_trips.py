@@ -365,7 +365,7 @@ def densify_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from haze.operators.densify import densify
     wide = _pm25(spark, sf_dir)
     return densify(wide.unionByName(wide.withColumn("pm25", F.col("pm25") + 2)), values=["pm25"],
-                   step_seconds=3600)
+                   step_seconds=3600, off_grid="drop")
 
 
 @query("off_grid_rows", """

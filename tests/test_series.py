@@ -61,7 +61,7 @@ def test_densify_matches_brute_force(spark):
     for chunk, spread in ((D.DAY_SECONDS, False), (60, False), (60, True), (D.DAY_SECONDS, True)):
         # the result must not depend on the chunking or on spreading gaps
         got = D.densify(df, values=["a", "b"], step_seconds=5, chunk_seconds=chunk,
-                        spread_gaps=spread).toPandas()
+                        spread_gaps=spread, off_grid="drop").toPandas()
         got = got.sort_values(["location_id", "datetime"]).reset_index(drop=True)
         assert len(got) == len(want)
         assert (got.datetime.values == want.datetime.values).all()
@@ -179,7 +179,7 @@ def test_left_join_grid_agrees_on_known_points(spark):
     rows = _fixture_rows()
     df = spark.createDataFrame(rows, "location_id long, datetime timestamp, a double, b double")
     grid = D.left_join_grid(df.where("location_id = 2"), step_seconds=5)
-    dense = D.densify(df.where("location_id = 2"), values=["a", "b"], step_seconds=5)
+    dense = D.densify(df.where("location_id = 2"), values=["a", "b"], step_seconds=5, off_grid="drop")
     assert grid.count() == dense.count()
     known = grid.where("a IS NOT NULL").select("datetime", "a")
     assert known.exceptAll(dense.select("datetime", "a")).count() == 0
@@ -238,7 +238,7 @@ def test_hot_station_is_spread_over_tasks(spark):
     prev = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        dense = D.densify(df, values=["a"], step_seconds=1800)
+        dense = D.densify(df, values=["a"], step_seconds=1800, off_grid="drop")
         filled = D.forward_fill(df, ["a"])
         edges = W.previous_value(df.withColumnRenamed("datetime", "event_ts"), "aqi")
         series_in = df.select("location_id", F.col("datetime").alias("event_time"),
@@ -259,7 +259,7 @@ def test_long_gap_spread_over_tasks(spark):
     prev = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = D.densify(df, values=["a"], step_seconds=3600, spread_gaps=True)
+        out = D.densify(df, values=["a"], step_seconds=3600, spread_gaps=True, off_grid="drop")
         assert out.count() == 30 * 24 + 1
         parts = out.select(F.spark_partition_id()).distinct().count()
         assert parts > 1
@@ -280,3 +280,21 @@ def test_latency_summary_edge_sizes(spark):
     r = M.latency_summary(M.latency_samples(empty, as_of, 60)).first()
     assert (r.raw, r.valid, r.old, r.invalid, r["count"]) == (0, 0, 0, 0, 0)
     assert r.avg is None and r.p50 is None
+
+
+def test_grid_left_join_in_chunks(spark):
+    """Weeks between readings, a station without a name, two readings at once, one off the grid."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    week = 7 * 86_400
+    rows = [(1, at(0), 1.0), (1, at(3600), 2.0), (1, at(3600), 3.0), (1, at(5000), 9.0), (1, at(3 * week), 4.0),
+            (None, at(7), 5.0), (None, at(7 + 7200), None), (2, None, 6.0), (3, at(1), 7.0)]
+    df = spark.createDataFrame(rows, "location_id long, datetime timestamp, v double").withColumn("_g", F.lit("x"))
+    out = D.left_join_grid(df, step_seconds=3600)
+    assert out.columns == df.columns
+    got = sorted(((r.location_id or 0, int((r.datetime - T0).total_seconds()), r.v) for r in out.collect()),
+                 key=lambda r: (r[0], r[1], r[2] or 0))
+    want = [(0, 7, 5.0), (0, 3607, None), (0, 7207, None), (3, 1, 7.0)]
+    known = {0: [1.0], 3600: [2.0, 3.0], 3 * week: [4.0]}
+    want += [(1, s, v) for s in range(0, 3 * week + 1, 3600) for v in known.get(s, [None])]
+    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2] or 0))
+    assert D.left_join_grid(df.limit(0)).count() == 0
