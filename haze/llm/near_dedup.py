@@ -223,7 +223,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component; documents without text stay, columns as they were."""
     gone = near_duplicates(docs, percent, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    # whatever the columns are called, inside a struct they clash with nothing
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return rows.join(gone, F.col(f"__row.`{id_col}`") == F.col("__gone"), "left_anti").select("__row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,27 @@
 """Nearest vectors by inner product: an inverted file whose lists are scanned in adaptive dimensions.
 
 Centroids are learned on a bounded sample (``TRAIN_ROWS`` vectors); every vector is put into the
-list of its nearest centroid, by direction. All vectors are turned by one random rotation, which
-spreads the information evenly over the dimensions. A query visits its ``probes`` best lists; in a
-list it reads the vectors in blocks of columns. After each block the rest of the inner product is
-tested as a sum of randomly oriented parts: its standard deviation is at most |q_rest| |x_rest| /
-sqrt(rest), and a candidate whose partial product plus ``EPS`` deviations stays below the query's
-20th best so far is given up. What survives all blocks is scored on the original vectors in double
-precision.
-
-Lists are dealt out in parts of at most ``PART_ROWS`` rows, so a list that holds a third of all
-vectors is many tasks; a query goes to every part of a list it probes, and each part returns its
-best ``k``. The number of lists follows the number of vectors.
-
-Defined cases: vectors that are null, zero, of another length than the first valid one seen
-(smallest id), or that hold null or non-finite components take no part; repeated ids are separate
-rows, and a query skips every row of its own id; null ids take no part; fewer candidates than
-``k`` give fewer rows; ties go to the smaller id.
+list of its nearest centroid. Vectors are clustered with one more component, sqrt(L^2 - |x|^2) for
+the table's largest length L: all are equally long then, and those with large inner products are
+near in direction, whatever their lengths. A query visits its ``probes`` best lists; if those hold
+fewer than ``k`` candidates, it visits the others too.
+
+In a list vectors are compared as squared distances: with one more component sqrt(M^2 - |x|^2), M the
+largest length there, and 0 for the query, the distance is |q|^2 + M^2 - 2 <q, x>, so the nearest by
+distance have the largest inner product. All vectors are turned by one random rotation and read in
+blocks of columns. After b of D columns the partial distance times D / b estimates the whole one with
+a relative error of the root of about 1 / sqrt(b); a candidate whose estimate exceeds the distance of
+the query's k-th best so far by more than the factor (1 + ``EPS`` / sqrt(b))^2 is given up. What
+survives all blocks is scored on the original vectors in double precision.
+
+Lists are dealt out in parts of at most ``PART_ROWS`` rows and queries in groups of at most
+``GROUP_QUERIES``, so a list that holds a third of all vectors, or that all queries visit, is many
+tasks of bounded size. The number of lists follows the number of vectors (at most ``MAX_LISTS``).
+
+Defined cases: vectors that are null, zero, of another length than the most frequent one (the
+smaller, if two are), or that hold null or non-finite components take no part; repeated ids are
+separate rows, and a query skips every row of its own id; null ids take no part; fewer candidates
+than ``k`` give fewer rows; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from haze.llm.common import materialize
 
-K, TRAIN_ROWS, PART_ROWS, BLOCK, EPS, PROBES = 20, 20_000, 4096, 16, 3.0, 0.75
+K, TRAIN_ROWS, PART_ROWS, GROUP_QUERIES, MAX_LISTS, BLOCK, EPS, PROBES = 20, 20_000, 4096, 16_384, 4096, 16, 3.0, 0.75
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -46,8 +51,8 @@ def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFr
     bad = F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = F.exists("vec", lambda x: x != 0)
     v = v.where(~bad & some)
-    first = v.select(F.min(F.struct("vec_id", F.size("vec").alias("d"))).alias("m")).first().m
-    d = first.d if first else 0
+    lengths = v.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"))
+    d = lengths.agg(F.max_by("d", F.struct("n", -F.col("d"))).alias("d")).first().d or 0
     return v.where(F.size("vec") == d), d
 
 
@@ -69,34 +74,34 @@ def _centroids(sample: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
 
 def _scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, rotation: np.ndarray, k: int):
     """Best ``k`` of one part for each query: (query place, candidate place, score)."""
-    d = x.shape[1]
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
-    xr, qr = x @ rotation, queries @ rotation
+    squares = np.einsum("ij,ij->i", x, x)
+    top = squares.max()
+    xr = np.column_stack([x, np.sqrt(np.maximum(0, top - squares))]) @ rotation
+    qr = np.column_stack([queries, np.zeros(len(queries))]) @ rotation
+    d = xr.shape[1]
     edges = [*range(0, d, BLOCK), d]
-    x_rest = np.sqrt(np.maximum(0, np.cumsum((xr ** 2)[:, ::-1], axis=1)[:, ::-1]))
-    q_rest = np.sqrt(np.maximum(0, np.cumsum((qr ** 2)[:, ::-1], axis=1)[:, ::-1]))
+    blocks = list(zip(edges[:-1], edges[1:], strict=True))
+    x_size = [np.einsum("ij,ij->i", xr[:, a:b], xr[:, a:b]) for a, b in blocks]
     out = []
     for q in range(len(queries)):
         # the first rows set the bar; the others are read block by block against it
         alive = np.flatnonzero(ids != query_ids[q])
         head = alive[:max(4 * k, 256)]
         exact = x[head] @ queries[q]
-        bar = np.partition(exact, -k)[-k] if len(exact) >= k else -np.inf
         rest = alive[len(head):]
-        partial = np.zeros(len(rest))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if not len(rest):
-                break
-            partial = partial + xr[rest, a:b] @ qr[q, a:b]
-            if b < d:
-                margin = EPS * q_rest[q, b] * x_rest[rest, b] / math.sqrt(d - b)
-                keep = partial + margin >= bar
+        if len(exact) >= k and len(rest):
+            far = queries[q] @ queries[q] + top
+            bar = far - 2 * np.partition(exact, -k)[-k]
+            partial = np.zeros(len(rest))
+            for (a, b), size in zip(blocks, x_size, strict=True):
+                part = qr[q, a:b]
+                partial = partial + size[rest] + part @ part - 2 * (xr[rest, a:b] @ part)
+                # rounding may lift a whole distance by a little
+                allowed = bar * (1 + EPS / math.sqrt(b)) ** 2 * b / d if b < d else bar + 1e-9 * far
+                keep = partial <= allowed
                 rest, partial = rest[keep], partial[keep]
-        if len(rest):
-            # a rotated sum differs from the original by rounding: keep what rounding could lift
-            close = partial >= bar - 1e-9 * (1 + abs(bar)) if np.isfinite(bar) else np.ones(len(rest), bool)
-            rest = rest[close]
         found = np.concatenate([head, rest])
         score = np.concatenate([exact, np.array([float(np.dot(x[i], queries[q])) for i in rest])]) if len(rest) else exact
         best = np.lexsort((ids[found], -score))[:k]
@@ -104,6 +109,69 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nda
     return out
 
 
+class Lists:
+    """The inverted file over ``valid`` vectors (vec_id, vec) of ``d`` components."""
+
+    def __init__(self, valid: DataFrame, n: int, d: int, longest: float, seed: int):
+        spark = self.spark = valid.sparkSession
+        lists = max(1, min(MAX_LISTS, int(math.sqrt(n) / 4)))
+        draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < min(1.0, TRAIN_ROWS / n) * 1_000_000
+        sample = _matrix(valid.where(draw).select("vec").toArrow().column(0))
+        if not len(sample):
+            sample = _matrix(valid.limit(lists).select("vec").toArrow().column(0))
+        rng = np.random.default_rng(seed)
+        rotation = np.linalg.qr(rng.standard_normal((d + 1, d + 1)))[0]
+        lengthen = lambda x: np.column_stack([x, np.sqrt(np.maximum(0, longest - np.einsum("ij,ij->i", x, x)))])
+        self.centers = _centroids(lengthen(sample), lists)
+        self.shared = shared = spark.sparkContext.broadcast((self.centers, rotation))
+
+        def assign(batches):
+            c, _ = shared.value
+            for batch in batches:
+                x = _matrix(batch.column("vec"))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((lengthen(x) @ c.T).argmax(1) if len(x) else [], pa.int64())], names=[*batch.schema.names, "list"])
+
+        self.placed = materialize(valid.mapInArrow(assign, "vec_id long, vec array<double>, list long"))
+
+    def route(self, queries: DataFrame, first: int, last: int) -> DataFrame:
+        """query_id, vec and list of the lists that stand from place ``first`` up to ``last`` in each query's order."""
+        shared = self.shared
+
+        def run(batches):
+            c, _ = shared.value
+            for batch in batches:
+                x = _matrix(batch.column("vec"))
+                best = np.argsort(-(x @ c[:, :-1].T), axis=1, kind="stable")[:, first:last] if len(x) else np.zeros((0, 1), np.int64)
+                row = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(row), batch.column("vec").take(row), pa.array(best.ravel().astype(np.int64))], names=["query_id", "vec", "list"])
+
+        return queries.select("vec_id", "vec").mapInArrow(run, "query_id long, vec array<double>, list long")
+
+    def search(self, asked: DataFrame, k: int) -> DataFrame:
+        """query_id, vec_id, score: the best ``k`` of every part of every list asked."""
+        asked = materialize(asked)
+        # one row per list, MAX_LISTS at most
+        count = lambda df, name, most: df.groupBy("list").agg(F.ceil(F.count("*") / most).alias(name))
+        shape = count(self.placed, "parts", PART_ROWS).join(count(asked, "groups", GROUP_QUERIES), "list")
+        shape = F.broadcast(materialize(shape))
+        spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        held = self.placed.join(shape, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("group", spread("groups"))
+        asked = asked.join(shape, "list").withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups"))).withColumn("part", spread("parts"))
+        shared = self.shared
+
+        def scan(left, right):
+            _, turn = shared.value
+            if not left.num_rows or not right.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            ids, query_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
+            found = _scan(_matrix(right.column("vec")), query_ids, _matrix(left.column("vec")), ids, turn, k)
+            q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            return pa.table({"query_id": pa.array(query_ids[q]), "vec_id": pa.array(v), "score": pa.array(s)})
+
+        key = ["list", "part", "group"]
+        return held.select(*key, "vec_id", "vec").groupBy(*key).cogroup(asked.select(*key, "query_id", "vec").groupBy(*key)).applyInArrow(scan, _FOUND)
+
+
 def nearest(vectors: DataFrame, queries_where, k: int = K, probes: float = PROBES, id_col: str = "vec_id", vec_col: str = "embedding",
             seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row matching ``queries_where``.
@@ -112,61 +180,24 @@ def nearest(vectors: DataFrame, queries_where, k: int = K, probes: float = PROBE
     """
     spark = vectors.sparkSession
     valid, d = valid_vectors(vectors, id_col, vec_col)
-    n = valid.count() if d else 0
-    if not n:
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    seen = valid.agg(F.count("*").alias("n"), F.max(square).alias("longest")).first()
+    if not seen.n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = max(1, min(4096, int(math.sqrt(n) / 4)))
-    draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < min(1.0, TRAIN_ROWS / n) * 1_000_000
-    sample = _matrix(valid.where(draw).select("vec").toArrow().column(0))
-    if not len(sample):
-        sample = _matrix(valid.limit(lists).select("vec").toArrow().column(0))
-    rng = np.random.default_rng(seed)
-    rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
-    centers = _centroids(sample, lists)
-    visited = max(1, math.ceil(probes * len(centers)))
-    shared = spark.sparkContext.broadcast((centers, rotation))
-
-    def assign(batches):
-        c, _ = shared.value
-        for batch in batches:
-            x = _matrix(batch.column("vec"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((x @ c.T).argmax(1) if len(x) else [], pa.int64())], names=[*batch.schema.names, "list"])
-
-    placed = materialize(valid.mapInArrow(assign, "vec_id long, vec array<double>, list long"))
-    sizes = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    parts = np.array([max(1, math.ceil(sizes.get(i, 0) / PART_ROWS)) if i in sizes else 0 for i in range(len(centers))])
-
-    def route(batches):
-        c, _ = shared.value
-        for batch in batches:
-            x = _matrix(batch.column("vec"))
-            score = x @ c.T
-            best = np.argpartition(-score, visited - 1, axis=1)[:, :visited] if visited < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
-            row = np.repeat(np.arange(len(x)), best.shape[1])
-            at = best.ravel()
-            copies = parts[at]
-            row, at = np.repeat(row, copies), np.repeat(at, copies)
-            part = np.arange(len(at)) - np.repeat(np.cumsum(copies) - copies, copies)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(row)), batch.column("vec").take(pa.array(row)), pa.array(at), pa.array(part.astype(np.int64))],
-                                             names=["query_id", "vec", "list", "part"])
-
-    asked = placed.where(queries_where).select("vec_id", "vec").mapInArrow(route, "query_id long, vec array<double>, list long, part long")
-    split = F.create_map(*[F.lit(int(x)) for i, p in enumerate(parts) if p > 1 for x in (i, p)]) if (parts > 1).any() else None
-    copies = F.coalesce(split[F.col("list").cast("int")], F.lit(1)) if split is not None else F.lit(1)
-    held = placed.withColumn("part", F.pmod(F.xxhash64("vec_id"), copies).cast("long"))
-
-    def scan(left, right):
-        _, turn = shared.value
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, query_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-        found = _scan(_matrix(right.column("vec")), query_ids, _matrix(left.column("vec")), ids, turn, k)
-        q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"query_id": pa.array(query_ids[q]), "vec_id": pa.array(v), "score": pa.array(s)})
-
-    found = held.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(scan, _FOUND)
+    index = Lists(valid, seen.n, d, seen.longest, seed)
+    total = len(index.centers)
+    visited = min(total, max(1, math.ceil(probes * total)))
+    queries = index.placed.where(queries_where)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("best"))
+    top = materialize(index.search(index.route(queries, 0, visited), k).groupBy("query_id").agg(best.alias("best")))
+    if visited < total:
+        # lists that hold too little: those queries see the others as well
+        enough = top.where(F.size("best") >= k).select("query_id")
+        short = queries.join(enough, F.col("vec_id") == F.col("query_id"), "left_anti")
+        if not short.isEmpty():
+            more = index.search(index.route(short, visited, total), k)
+            rows = more.unionByName(top.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score"))
+            top = rows.groupBy("query_id").agg(best.alias("best"))
     return top.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "col.vec_id", "col.score")
 
 
