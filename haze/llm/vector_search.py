@@ -114,7 +114,7 @@ class Lists:
 
     def __init__(self, valid: DataFrame, n: int, d: int, longest: float, seed: int):
         spark = self.spark = valid.sparkSession
-        lists = max(1, min(MAX_LISTS, int(math.sqrt(n) / 4)))
+        lists = max(1, min(MAX_LISTS, int(math.sqrt(n) / 2)))
         draw = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < min(1.0, TRAIN_ROWS / n) * 1_000_000
         sample = _matrix(valid.where(draw).select("vec").toArrow().column(0))
         if not len(sample):
