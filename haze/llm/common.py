@@ -7,11 +7,15 @@ follow the size of its partition.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -23,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 CHUNK_BYTES = (1 << 19) - 1
 TARGET_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
+_LIBC = ctypes.CDLL(None)
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -35,7 +41,61 @@ def scratch_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="run-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if getattr(_STAGE, "now", None) is not None:
+        _STAGE.now.append((path, None))
+    return path
+
+
+#: Scratch folders (with the table over them, if any) of this thread's pipeline stages.
+_STAGE = threading.local()
+
+
+@contextmanager
+def stage(docs: DataFrame):
+    """One stage of a pipeline: ``docs`` is what the stage before it wrote.
+
+    The stages before it are written, so their scratch is deleted here, except folders that ``docs``
+    itself reads. Scratch made outside a stage is never touched."""
+    spark = docs.sparkSession
+    left = getattr(_STAGE, "left", [])
+    if left:
+        read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+        kept = []
+        for path, table in left:
+            name = path.rsplit("/", 1)[1]
+            if any(name in folder for folder in read):
+                kept.append((path, table))
+                continue
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        left = kept
+    _STAGE.left, _STAGE.now = left, []
+    try:
+        yield
+    finally:
+        _STAGE.left, _STAGE.now = _STAGE.left + _STAGE.now, None
+
+
+def give_back() -> None:
+    """Hand memory that a task no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(fn):
+    """``fn`` over a task's batches, giving its memory back at the end."""
+    @wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+    return run
 
 
 def materialize(df: DataFrame, **options) -> DataFrame:
@@ -62,14 +122,20 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     """``df`` as a table bucketed by ``key``: later groupings by it read it without a shuffle."""
     spark = df.sparkSession
     name = f"llm_{uuid.uuid4().hex}"
-    (df.repartition(n, key).write.bucketBy(n, key).option("path", scratch_dir(spark))
+    path = scratch_dir(spark)
+    (df.repartition(n, key).write.bucketBy(n, key).option("path", path)
        .option("compression", "zstd").format("parquet").saveAsTable(name))
+    if getattr(_STAGE, "now", None):
+        _STAGE.now[-1] = (path, name)
     return spark.table(name)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each Spark application."""
+    """Send this package's code to the executors, once for each Spark application.
+
+    Also bounds the bytes of an Arrow batch: the default bounds rows, and texts may be long."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_llm_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

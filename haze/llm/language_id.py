@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm.common import U64, chunks, text_buffers
+from haze.llm.common import U64, chunks, text_buffers, tidied
 from haze.llm.toxicity import folded, held_out
 
 TRAIN_PER_LANG, UNKNOWN = 1500, "und"
@@ -170,6 +170,7 @@ def languages(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
     rows = docs.drop("lang_pred", "lang_score")
     schema = rows.withColumn("lang_pred", F.lit("x")).withColumn("lang_score", F.lit(0.0)).schema
 
+    @tidied
     def run(batches):
         fitted = shared.value
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm.common import LOWER, NOT_SPACE, U64, Words, chunks, materialize, mix, pack, text_buffers, unpack, window_hashes
+from haze.llm.common import LOWER, NOT_SPACE, U64, Words, chunks, give_back, materialize, mix, pack, text_buffers, tidied, unpack, window_hashes
 
 SHINGLE, K, SHORT = 5, 64, 32
 BLOCK, BLOCK_VALUES = 2048, 2 << 20
@@ -53,6 +53,7 @@ def shingle_sets(texts, size: int = SHINGLE):
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
+    @tidied
     def run(batches):
         for batch in batches:
             for part in chunks(batch, text_col):
@@ -151,6 +152,8 @@ def _block_links(percent: int):
             if np.array_equal(before, label):
                 break
         at = np.flatnonzero(label != np.arange(len(sets)))
+        del shared, linked, i, j
+        give_back()
         return pa.table({"a": pa.array(rep[label[at]]), "b": pa.array(rep[at])})
     return links
 
@@ -202,6 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # one row of each class asked for: rows of one id and one set repeat only if the table repeats them
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(asked.hint("merge"), "rep", "left_semi")
 
+    @tidied
     def as_sets(batches):
         for batch in batches:
             for part in chunks(batch, "text"):

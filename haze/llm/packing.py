@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm.common import U64, chunks, materialize, mix, partitions_for
+from haze.llm.common import U64, chunks, materialize, mix, partitions_for, tidied
 from haze.llm.token_file import packed_rows
 from haze.llm.tokens import encoder
 
@@ -34,6 +34,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _tokenized(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (2 bytes each), n, crc and near: the smallest hash of the document's id pairs."""
+    @tidied
     def run(batches):
         enc = encoder(path)
         if enc.tokenizer.get_vocab_size() > 1 << 16:
@@ -183,6 +184,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_tokens: int = S
     idf[2] = 0.0  # the end id is in every document
     shared = spark.sparkContext.broadcast((idf, max(1.0, (total.n or 0) / max(1, total.c))))
 
+    @tidied
     def run(batches):
         from pyspark import TaskContext
         idf, mean = shared.value

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haze.llm.common import (
-    NOT_SPACE, U64, Words, bucket_of, bucketed, chunks, covered, join_words, materialize, pack, pack_bits,
+    NOT_SPACE, U64, Words, bucket_of, bucketed, chunks, covered, give_back, join_words, materialize, pack, pack_bits,
     partitions_for, spread, text_buffers, unpack, unpack_bits, window_hashes, window_ok,
 )
 
@@ -148,9 +148,14 @@ class RepeatedWindows:
     # ---- passes over the buckets
 
     def _pass(self, fn, other: DataFrame | None) -> DataFrame:
+        def tidy(table, answers):
+            out = fn(table, answers)
+            give_back()
+            return out
+
         if other is None:
-            return self.docs.groupBy("__g").applyInArrow(lambda t: fn(t, None), MESSAGE)
-        return self.docs.groupBy("__g").cogroup(other.groupBy("__g")).applyInArrow(fn, MESSAGE)
+            return self.docs.groupBy("__g").applyInArrow(lambda t: tidy(t, None), MESSAGE)
+        return self.docs.groupBy("__g").cogroup(other.groupBy("__g")).applyInArrow(tidy, MESSAGE)
 
     def _run(self) -> DataFrame:
         n, w, ids, text = self.n, self.window, self.id_col, self.text_col
@@ -246,6 +251,7 @@ class RepeatedWindows:
                 words = Words(*text_buffers(part.column("text")), NOT_SPACE)
                 out.append(fn(group.rows.slice(base, stop - base), words, repeated[ends[base]:ends[stop]], depth[base:stop], group.ids[base:stop]))
                 base = stop
+            give_back()
             return pa.concat_tables(out)
 
         return self.docs.groupBy("__g").cogroup(self.state.groupBy("__g")).applyInArrow(each, schema)

@@ -52,3 +52,26 @@ def test_near_duplicates_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, text, 5, "a"), (2, text, 6, "b"), (3, "other", 7, "c")], "doc_id long, text string, `__gone` int, `__row` string")
     kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_stages_delete_what_earlier_ones_left(spark):
+    import os
+
+    from haze.llm.common import bucketed, materialize, scratch_dir, stage
+    docs = spark.range(10)
+    outside = materialize(docs)
+    with stage(docs):
+        first = materialize(docs)
+        table = bucketed(docs, "id", 2)
+    name = table.inputFiles()[0].split("file:")[1].lstrip("/").rsplit("/", 1)[0]
+    written = materialize(first)     # what the stage kept, as a table of its own
+    folder = lambda df: "/" + df.inputFiles()[0].split("file:")[1].lstrip("/").rsplit("/", 1)[0]
+    one, two = folder(first), "/" + name
+    assert os.path.isdir(one) and os.path.isdir(two)
+    with stage(written):
+        second = materialize(written)
+    assert not os.path.exists(one) and not os.path.exists(two)
+    assert outside.count() == written.count() == second.count() == 10
+    with stage(second):              # still read: its folder stays
+        pass
+    assert second.count() == 10 and scratch_dir(spark) != scratch_dir(spark)
