@@ -56,8 +56,10 @@ def stage(docs: DataFrame):
     """One stage of a pipeline: ``docs`` is what the stage before it wrote.
 
     The stages before it are written, so their scratch is deleted here, except folders that ``docs``
-    itself reads. Scratch made outside a stage is never touched."""
+    itself reads. Scratch made outside a stage is never touched. Arrow batches are bounded by bytes
+    for the session: the default bounds rows, and workers that live through all stages add up."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     left = getattr(_STAGE, "left", [])
     if left:
         read = {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
@@ -131,11 +133,8 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each Spark application.
-
-    Also bounds the bytes of an Arrow batch: the default bounds rows, and texts may be long."""
+    """Send this package's code to the executors, once for each Spark application."""
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_llm_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
