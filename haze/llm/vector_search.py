@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from haze.llm.common import materialize
 
-K, TRAIN_ROWS, PART_ROWS, GROUP_QUERIES, MAX_LISTS, BLOCK, EPS, PROBES = 20, 20_000, 4096, 16_384, 4096, 16, 3.0, 0.75
+K, TRAIN_ROWS, PART_ROWS, GROUP_QUERIES, CHUNK_QUERIES, MAX_LISTS, BLOCK, EPS, PROBES = 20, 20_000, 4096, 16_384, 256, 4096, 16, 3.0, 0.75
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -84,28 +84,35 @@ def _scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nda
     edges = [*range(0, d, BLOCK), d]
     blocks = list(zip(edges[:-1], edges[1:], strict=True))
     x_size = [np.einsum("ij,ij->i", xr[:, a:b], xr[:, a:b]) for a, b in blocks]
+    head = max(4 * k, 256)
     out = []
-    for q in range(len(queries)):
+    for at in range(0, len(queries), CHUNK_QUERIES):
+        q, qt, own = queries[at:at + CHUNK_QUERIES], qr[at:at + CHUNK_QUERIES], query_ids[at:at + CHUNK_QUERIES, None]
         # the first rows set the bar; the others are read block by block against it
-        alive = np.flatnonzero(ids != query_ids[q])
-        head = alive[:max(4 * k, 256)]
-        exact = x[head] @ queries[q]
-        rest = alive[len(head):]
-        if len(exact) >= k and len(rest):
-            far = queries[q] @ queries[q] + top
-            bar = far - 2 * np.partition(exact, -k)[-k]
-            partial = np.zeros(len(rest))
-            for (a, b), size in zip(blocks, x_size, strict=True):
-                part = qr[q, a:b]
-                partial = partial + size[rest] + part @ part - 2 * (xr[rest, a:b] @ part)
-                # rounding may lift a whole distance by a little
-                allowed = bar * (1 + EPS / math.sqrt(b)) ** 2 * b / d if b < d else bar + 1e-9 * far
-                keep = partial <= allowed
-                rest, partial = rest[keep], partial[keep]
-        found = np.concatenate([head, rest])
-        score = np.concatenate([exact, np.array([float(np.dot(x[i], queries[q])) for i in rest])]) if len(rest) else exact
-        best = np.lexsort((ids[found], -score))[:k]
-        out.append((np.full(len(best), q), ids[found][best], score[best]))
+        first = q @ x[:head].T
+        first[own == ids[None, :head]] = -np.inf
+        bar = np.partition(first, -k, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(q), -np.inf)
+        far = np.einsum("ij,ij->i", q, q) + top
+        slack = 1e-9 * far   # rounding differs between a product of matrices and one of vectors
+        i, j = np.nonzero((first >= (bar - slack)[:, None]) & (first > -np.inf))
+        columns = np.arange(min(head, len(x)), len(x))
+        alive = own != ids[None, columns]
+        partial = np.zeros(alive.shape)
+        for (a, b), size in zip(blocks, x_size, strict=True):
+            part = qt[:, a:b]
+            partial += size[columns] + np.einsum("ij,ij->i", part, part)[:, None] - 2 * (part @ xr[columns, a:b].T)
+            factor = (1 + EPS / math.sqrt(b)) ** 2 * b / d if b < d else 1.0
+            alive &= partial <= ((far - 2 * bar) * factor + slack)[:, None]
+            left = alive.any(axis=0)
+            if left.sum() < 0.7 * len(left):
+                columns, partial, alive = columns[left], partial[:, left], alive[:, left]
+        more, place = np.nonzero(alive)
+        i, j = np.concatenate([i, more]), np.concatenate([j, columns[place]])
+        score = np.einsum("ij,ij->i", q[i], x[j])
+        ranked = np.lexsort((ids[j], -score, i))
+        i, j, score = i[ranked], j[ranked], score[ranked]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((at + i[keep], ids[j[keep]], score[keep]))
     return out
 
 
