@@ -11,6 +11,7 @@ import ctypes
 import struct
 import tempfile
 import threading
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ TARGET_BYTES = 16 << 20
 BATCH_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 _LIBC = ctypes.CDLL(None)
+TRIM_SECONDS = 5.0
+_trimmed = 0.0
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -82,7 +85,13 @@ def stage(docs: DataFrame):
 
 
 def give_back() -> None:
-    """Hand memory that a task no longer uses back to the system: workers outlive their tasks."""
+    """Hand memory that a task no longer uses back to the system: workers outlive their tasks.
+
+    At most every ``TRIM_SECONDS``: what is handed back must be asked for again."""
+    global _trimmed
+    if time.monotonic() - _trimmed < TRIM_SECONDS:
+        return
+    _trimmed = time.monotonic()
     pa.default_memory_pool().release_unused()
     trim = getattr(_LIBC, "malloc_trim", None)
     if trim is not None:
