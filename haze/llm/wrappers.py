@@ -11,7 +11,9 @@ tags, the wrapper of that layout. Its containers are then weighed by the slot te
 outside navigation, notices and comments, and the best one - an article or main element where
 there is one - is where the layout's main text lives. Constants are counted apart, so that they
 are found inside repeated groups too: a text that stands at the same path on more than half of a
-layout's different pages, three at least, is boilerplate.
+layout's different pages, three at least, is boilerplate. Three things are not, however many pages
+share them: table cells, terms, captions and preformatted text; a heading under which text is kept;
+and what makes up more than half of a page's text, since such pages are copies of one another.
 
 All pages take part, and no host, however large, is gathered anywhere. Every page is then read
 again: blocks under its layout's container are its main text, without boilerplate and furniture.
@@ -61,6 +63,8 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 NEUTRAL = frozenset("section area block box list items posts articles links container wrapper content inner bar buttons form".split())
 TOP = frozenset("header masthead banner".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose texts name or list something; pages that share them share no notice.
+LABELS = frozenset("th td dt dd caption figcaption legend summary pre".split())
 
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -461,9 +465,28 @@ class Page:
                 kept.append(True if self.paths[k] == where else None)
             else:
                 kept.append(above and not (furniture and named))
-        marks = self.marks() if shared else [0] * len(self.blocks)
         root = None if where else True
-        return "\n".join(b[1] for b, m in zip(self.blocks, marks, strict=True) if (kept[b[0]] if b[0] >= 0 else root) and m not in shared)
+        inside = [i for i, (at, _, _) in enumerate(self.blocks) if (kept[at] if at >= 0 else root)]
+        gone = self._boilerplate(inside, shared) if shared else frozenset()
+        return "\n".join(self.blocks[i][1] for i in inside if i not in gone)
+
+    def _boilerplate(self, inside: list[int], shared: frozenset) -> set[int]:
+        """Which of the blocks ``inside`` are boilerplate, given the hashes that a layout's pages share."""
+        marks = self.marks()
+        gone: set[int] = set()
+        below = [False] * 7  # is text kept before the next heading of this level, or of one above it?
+        for i in reversed(inside):
+            at = self.blocks[i][0]
+            tag = self.elements[at][1].split(".")[0] if at >= 0 else ""
+            level = int(tag[1]) if tag in HEADINGS else 0
+            if marks[i] in shared and tag not in LABELS and not below[level]:
+                gone.add(i)
+            if level:
+                below[level:] = [False] * (7 - level)
+            elif i not in gone:
+                below[1:] = [True] * 6
+        letters = [len(self.blocks[i][1]) for i in inside]
+        return gone if 2 * sum(len(self.blocks[i][1]) for i in gone) <= sum(letters) else set()
 
     def main_text(self, where: list[str] | None, own: list[str] | None, shared: frozenset) -> str:
         """Main text by the layout's container and boilerplate, or what comes closest to it."""
