@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -185,12 +185,14 @@ class Note:
     ``epochs`` are (folder, types of its files), oldest first: a new one begins when a column's
     type changes to one that the old files cannot be read as.  ``keyed`` is the partition column of
     a keyed table, whose partitions of a later epoch replace those of earlier ones; an appended
-    table has None, and its epochs add up."""
+    table has None, and its epochs add up.  Notes are appended, never replaced: the one of the
+    greatest ``version`` holds, so a reader meets the old one or the new one."""
 
     schema: T.StructType
     shards: int | None
     epochs: tuple[tuple[str, T.StructType], ...]
     keyed: str | None
+    version: int = field(default=0, compare=False)
 
 
 def _note_path(path: str) -> str:
@@ -198,18 +200,23 @@ def _note_path(path: str) -> str:
     return f"{path.rstrip('/')}/_schema"
 
 
-_NOTE = "schema string, shards int, epochs string, keyed string"
+_NOTE = "version int, schema string, shards int, epochs string, keyed string"
 
 
 def read_note(spark: SparkSession, path: str) -> Note | None:
     """The note of the table at ``path``; None where nothing is recorded."""
     if not table_exists(spark, _note_path(path)):
         return None
-    row = spark.read.schema(_NOTE).parquet(_note_path(path)).first()
+    # one row for each change of the table's columns or types
+    rows = spark.read.schema(_NOTE).parquet(_note_path(path)).collect()
+    if not rows:
+        return None
+    row = max(rows, key=lambda r: r["version"] or 0)
     schema = T.StructType.fromJson(json.loads(row["schema"]))
     epochs = json.loads(row["epochs"]) if row["epochs"] else [["", schema.jsonValue()]]
     return Note(schema, row["shards"],
-                tuple((f, T.StructType.fromJson(t)) for f, t in epochs), row["keyed"])
+                tuple((f, T.StructType.fromJson(t)) for f, t in epochs), row["keyed"],
+                row["version"] or 0)
 
 
 def table_note(spark: SparkSession, path: str) -> tuple[T.StructType | None, int | None]:
@@ -220,8 +227,8 @@ def table_note(spark: SparkSession, path: str) -> tuple[T.StructType | None, int
 
 def _write_note(spark: SparkSession, path: str, note: Note) -> None:
     epochs = json.dumps([[f, t.jsonValue()] for f, t in note.epochs])
-    spark.createDataFrame([(note.schema.json(), note.shards, epochs, note.keyed)], _NOTE) \
-        .coalesce(1).write.mode("overwrite").parquet(_note_path(path))
+    spark.createDataFrame([(note.version, note.schema.json(), note.shards, epochs, note.keyed)], _NOTE) \
+        .coalesce(1).write.mode("append").parquet(_note_path(path))
 
 
 def _note_table(spark: SparkSession, path: str, schema: T.StructType,
@@ -250,11 +257,12 @@ class Place:
 
 
 def _place(spark: SparkSession, path: str, schema: T.StructType, keyed: str | None = None,
-           shards: int | None = None, on_type_change: str = "widen") -> Place:
+           shards: int | None = None, on_type_change: str = "widen",
+           known: Note | None = None) -> Place:
     if on_type_change not in ("widen", "fail"):
         raise ValueError(f"unknown on_type_change {on_type_change!r}")
     path = path.rstrip("/")
-    old = read_note(spark, path)
+    old = known or read_note(spark, path)
     if old is None and table_exists(spark, path):
         # written by something else: its files' columns count, and get a note now
         found = spark.read.option("mergeSchema", "true").parquet(path).schema
@@ -277,7 +285,7 @@ def _place(spark: SparkSession, path: str, schema: T.StructType, keyed: str | No
         # the folder's name is its own, so leftovers of a write that failed are never read
         folder = f"_epochs/{uuid.uuid4().hex[:12]}"
         epochs = (*old.epochs, (folder, merged))
-    note = Note(merged, shards or old.shards, epochs, keyed or old.keyed)
+    note = Note(merged, shards or old.shards, epochs, keyed or old.keyed, old.version + 1)
     place = Place(spark, path, f"{path}/{folder}".rstrip("/"), note, note != old)
     if fits:
         # readers can widen what is there: recorded before the files are written, so that no
@@ -287,7 +295,7 @@ def _place(spark: SparkSession, path: str, schema: T.StructType, keyed: str | No
 
 
 def prepare(df: DataFrame, path: str, keyed: str | None = None, shards: int | None = None,
-            on_type_change: str = "widen") -> Place:
+            on_type_change: str = "widen", known: Note | None = None) -> Place:
     """Settle the types of a batch before anything is written.
 
     Each column gets a type that holds the table's and the batch's values (see
@@ -295,18 +303,19 @@ def prepare(df: DataFrame, path: str, keyed: str | None = None, shards: int | No
     read as the new types, the batch goes to a folder of its own (an epoch); otherwise beside them.
     ``on_type_change="fail"`` refuses a batch that would change a type; a refused batch, also one
     with a column that has no common type with the table's, raises ``TypeChange`` and leaves the
-    table as it was."""
-    place = _place(df.sparkSession, path, df.schema, keyed, shards, on_type_change)
+    table as it was.  ``known`` is the table's note, if it was just read."""
+    place = _place(df.sparkSession, path, df.schema, keyed, shards, on_type_change, known)
     place.rows = cast_columns(df, place.note.schema)
     return place
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, known: Note | None = None) -> DataFrame:
     """The table with every column any of its files has.  The recorded schema
     saves opening the footer of each file; a table without one (written by
     something else) is read with ``mergeSchema``.  Files of earlier epochs are read as what they
-    are and cast; a keyed table's partitions that a later epoch has are not read from them."""
-    note = read_note(spark, path)
+    are and cast; a keyed table's partitions that a later epoch has are not read from them.
+    ``known`` is the table's note, if it was just read."""
+    note = known or read_note(spark, path)
     if note is None:
         return spark.read.option("mergeSchema", "true").parquet(path)
     parts, replaced = [], None
@@ -342,7 +351,7 @@ def read_history(spark: SparkSession, path: str, columns: Sequence[str] | None =
 def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str],
                 order: Sequence[str], partition_col: str,
                 files_per_partition: int | None = None, shards: int | None = None,
-                on_type_change: str = "widen") -> None:
+                on_type_change: str = "widen", known: Note | None = None) -> None:
     """Insert-or-replace ``batch`` into the table at ``path`` partitioned by
     ``partition_col`` (a function of ``keys``, e.g. the day of the event
     instant): per key the row with the greatest ``order`` survives.
@@ -350,8 +359,8 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     Only the partitions the batch touches are read, merged with the batch and
     rewritten with dynamic partition overwrite; the null partition (rows
     without an instant) is one like any other.  Which partitions those are,
-    and how many rows they hold, stays a table that is joined null-safely; the
-    driver sees their smallest and largest value and the total of files.
+    and how many rows they hold at most, stays a table that is joined null-safely;
+    the driver sees their smallest and largest value and the total of files.
 
     Two shuffles of the batch: one collapses copies of a key (map-side
     combined), one deals the merged rows by (partition, hash(key) mod files of
@@ -360,41 +369,47 @@ def keyed_merge(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence
     tasks as it needs; ``files_per_partition`` fixes it instead.  Columns that
     only one side has are kept and null in the other side's rows.  Re-running
     the same batch gives the same table.  Columns whose type differs from the
-    table's are widened, see :func:`prepare`.
+    table's are widened, see :func:`prepare`.  ``known`` is the table's note, if it was just read.
 
     This is the compaction route; a stream appends by default and reads
     through ``current_history``.  The overwrite of several partitions is not
     atomic on a bare Parquet folder: a reader may see some of them replaced.
     """
-    batch = latest_per_key(batch, [partition_col, *keys], list(order)).persist()
+    # The batch as it came is cached, in its own partitions: behind a shuffle it would be cached in
+    # as many pieces as shuffles have, and every pass below would start a task for each.
+    batch = batch.persist()
     try:
-        span = batch.agg(F.min(partition_col), F.max(partition_col),
-                         F.bool_or(F.col(partition_col).isNull()), F.count(F.lit(1))).first()
+        part = F.col(partition_col)
+        span = batch.agg(F.min(part), F.max(part), F.bool_or(part.isNull()), F.count(F.lit(1)),
+                         F.count_distinct(part)).first()
         if not span[3]:
             return
-        part = F.col(partition_col)
-        known = table_exists(spark, path)
-        place = prepare(batch, path, partition_col, shards, on_type_change)
+        stored_before = table_exists(spark, path)
+        # Copies of a key are collapsed in the write itself, with map-side combining.
+        place = prepare(latest_per_key(batch, [partition_col, *keys], list(order)), path,
+                        partition_col, shards, on_type_change, known)
         merged = place.rows
-        if known:
+        counted = batch.select(part.cast(place.note.schema[partition_col].dataType).alias(partition_col))
+        if stored_before:
             near = part.between(F.lit(span[0]), F.lit(span[1]))
             near = F.coalesce(near, F.lit(False)) | (part.isNull() if span[2] else F.lit(False))
             touched = batch.select(part.alias("_touched")).distinct()
-            stored = cast_columns(read_table(spark, path), place.note.schema).where(near) \
+            stored = cast_columns(read_table(spark, path, place.note), place.note.schema).where(near) \
                 .join(touched, part.eqNullSafe(F.col("_touched")), "left_semi")
             merged = stored.unionByName(merged, allowMissingColumns=True)
+            counted = stored.select(partition_col).unionByName(counted)
+        cols = merged.columns
         if files_per_partition is None:
-            sizes = merged.groupBy(part.alias("_part")).agg(
+            sizes = counted.groupBy(part.alias("_part")).agg(
                 F.ceil(F.count(F.lit(1)) / ROWS_PER_FILE).alias("_files"))
+            total = sizes.agg(F.sum("_files")).first()[0]
+            sized = merged.join(sizes, part.eqNullSafe(F.col("_part")))
         else:
-            sizes = batch.select(part.alias("_part")).distinct() \
-                .withColumn("_files", F.lit(int(files_per_partition)).cast("long"))
-        total = sizes.agg(F.sum("_files")).first()[0]
-        cols = merged.columns
+            total = (span[4] + int(span[2])) * int(files_per_partition)
+            sized = merged.withColumn("_files", F.lit(int(files_per_partition)).cast("long"))
         bucket = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.col("_files"))
         # As many tasks as files in total (an explicit count, which AQE keeps).
-        spread = merged.join(sizes, part.eqNullSafe(F.col("_part"))) \
-            .withColumn("_file", bucket).select(*cols, "_file") \
+        spread = sized.withColumn("_file", bucket).select(*cols, "_file") \
             .repartition(int(total), partition_col, "_file")
         current = latest_per_key(spread, [partition_col, "_file", *keys], list(order))
         (current.select(*cols).sortWithinPartitions(partition_col, *keys)

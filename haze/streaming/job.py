@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from haze.functions.aqi import score
 from haze.operators.history import (DEFAULT_KEYS, PARTITION_COLS, _note_table, keyed_merge,
-                                    table_exists, table_note, upsert_history, with_partition)
+                                    read_note, table_exists, upsert_history, with_partition)
 from haze.operators.latest import (SNAPSHOT_COLUMNS, fresh, latest_per_key, read_snapshot,
                                    snapshot_delta)
 from haze.operators.windows import live_rules
@@ -63,9 +63,10 @@ def merge_snapshot(spark: SparkSession, rows: DataFrame, path: str,
     # keyed_merge collapses the batch to one row per station itself (a
     # map-side combined arg-max) before merging with the stored shards.
     cols = [c for c in SNAPSHOT_COLUMNS if c in rows.columns]
-    shards = table_note(spark, path)[1] or int(shards)
+    known = read_note(spark, path)
+    shards = (known and known.shards) or int(shards)
     keyed_merge(spark, snapshot_shard(rows.select(*cols), shards), path, ["location_id"],
-                SNAPSHOT_ORDER, "shard", files_per_partition=1, shards=shards)
+                SNAPSHOT_ORDER, "shard", files_per_partition=1, shards=shards, known=known)
 
 
 def _query_id(spark: SparkSession) -> str:

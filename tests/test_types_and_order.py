@@ -182,3 +182,35 @@ def test_clustered_history_reads_fewer_rows(spark, tmp_dir):
         assert scanned(b) < 0.5 * scanned(a), (kw, scanned(b), scanned(a))
     # an odd station lies inside the stored range, but in no row: Bloom filters rule it out
     assert scanned(H.history_query(laid, station=1001)) == 0
+
+
+def test_notes_are_appended_and_the_newest_holds(spark, tmp_path):
+    """A reader meets the old note or the new one, never none; a batch that changes nothing adds none."""
+    path = str(tmp_path / "noted")
+    first = spark.createDataFrame([(1, "2025-01-01 00:00:00", 1, 5.0)], "location_id int, t string, n int, v double")
+    later = spark.createDataFrame([(1, "2025-01-01 00:00:00", 1 << 40, 6.0, "x")], "location_id int, t string, n long, v double, extra string")
+    for df in (first, first, later, later, first):
+        batch = df.select("*", F.col("t").cast("timestamp").alias("event_ts"), F.lit(1).alias("processed_at"))
+        H.upsert_history(spark, batch, path, keys=["location_id", "event_ts"])
+    notes = spark.read.parquet(f"{path}/_schema")
+    assert sorted(r.version for r in notes.collect()) == list(range(notes.count())) and notes.count() >= 2
+    note = H.read_note(spark, path)
+    assert note.version == notes.count() - 1
+    assert {"extra", "n"} <= set(note.schema.names) and note.schema["n"].dataType.simpleString() == "bigint"
+    assert H.read_history(spark, path).count() == 1
+
+
+def test_a_batch_full_of_copies_is_merged_once(spark, tmp_path):
+    """The newest row per key survives, whatever the copies in the batch and the rows stored."""
+    path = str(tmp_path / "copies")
+    for lo in (0, 50):
+        rows = spark.range(2000, numPartitions=5).select(
+            (F.col("id") % 10).cast("int").alias("location_id"), F.expr("timestamp_seconds(86400 * (id % 3))").alias("event_ts"),
+            (F.col("id") + lo).alias("processed_at"), (F.col("id") * 2.0).alias("v"))
+        H.upsert_history(spark, rows, path, keys=["location_id", "event_ts"])
+    got = {(r.location_id, r.event_ts): r.processed_at for r in H.read_history(spark, path).collect()}
+    want = {}
+    for i in range(2000):
+        key = (i % 10, i % 3)
+        want[key] = max(want.get(key, -1), i + 50)
+    assert sorted(got.values()) == sorted(want.values()) and len(got) == 30
