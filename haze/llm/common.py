@@ -114,7 +114,16 @@ def materialize(df: DataFrame, **options) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the folder of a table that ``materialize`` returned and that nothing reads any more."""
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def partitions_for(df: DataFrame, target: int = TARGET_BYTES) -> int:

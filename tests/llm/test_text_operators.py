@@ -4,6 +4,7 @@ texts, ties, repeated rows, empty tables, extra columns whose names clash."""
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -92,10 +93,29 @@ def brute_removed(rows, window):
             if least[tuple(ws[i:i + window])] < (float("inf") if d is None else d):
                 gone.update(range(i, i + window))
         kept = " ".join(w for i, w in enumerate(ws) if i not in gone)
-        out.append((d, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((d, len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest(), longest_repeat(parsed, window)[d, tuple(ws)]))
     return sorted(out, key=repr)
 
 
+@lru_cache
+def _longest(parsed, window):
+    out, length = dict.fromkeys(parsed, 0), window
+    while True:
+        holders = {}
+        for d, ws in parsed:
+            for i in range(len(ws) - length + 1):
+                holders.setdefault(ws[i:i + length], set()).add(d)
+        found = [(d, ws) for d, ws in parsed if any(len(holders[ws[i:i + length]]) > 1 for i in range(len(ws) - length + 1))]
+        if not found:
+            return out
+        out.update(dict.fromkeys(found, length))
+        length *= 2
+
+
+def longest_repeat(parsed, window):
+    return _longest(tuple((d, tuple(ws)) for d, ws in parsed), window)
+
+
 @pytest.mark.parametrize("window", [13, 2])
 def test_substring_dedup(docs, window):
     got = sorted((tuple(r) for r in substring_dedup.digest(docs, window).collect()), key=repr)
@@ -108,10 +128,20 @@ def test_substring_levels_double_until_none_survives(spark):
     assert found.levels == 2   # repeated at 26 and at 52 words; no text has 104
 
 
+def test_longest_repeat_counts_documents_not_rows(spark):
+    """Rows of one id lie in several buckets; only another id makes a window a repeated one."""
+    t = [f"w{i}" for i in range(70)]
+    rows = [(1, " ".join(t)), (1, "a " + " ".join(t)), (2, " ".join(t[20:50])), (3, "x " * 40), (4, "x " * 29), (None, " ".join(t[:13])), (None, "b " + " ".join(t[:13]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in substring_dedup.digest(df.repartition(5)).collect()), key=repr)
+    assert got == brute_removed(rows, 13)
+    assert [r[4] for r in got] == [26, 26, 26, 26, 26, 13, 13]
+
+
 def test_remove_repeats_keeps_columns_and_untouched_texts(docs):
     out = substring_dedup.remove_repeats(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
-    whole = {d: h for d, _, n, h in brute_removed(rows_of(docs), 13) if not n}
+    whole = {d: h for d, _, n, h, _ in brute_removed(rows_of(docs), 13) if not n}
     plain = {}
     for r in docs.collect():
         plain.setdefault(r.doc_id, []).append(r.text)
@@ -619,7 +649,7 @@ def test_pipeline_on_awkward_rows(spark, tmp_path, texts):
     assert {d for d, _ in kept[0]} == {i for i, t in enumerate(texts) if re.search(r"[^\W\d_]", t or "")}
     components = brute_components(kept[0], 80)
     assert {d for d, _ in kept[1]} == {d for d, _, own, _ in components if own == d}
-    removed = {d: h for d, _, _, h in brute_removed(kept[1], 13)}
+    removed = {d: h for d, _, _, h, _ in brute_removed(kept[1], 13)}
     assert {d: hashlib.sha256(" ".join(SPACED.findall(t)).encode()).hexdigest() for d, t in kept[2]} == removed
     bad = {r[0] for r in brute_contamination(kept[2], [(1, " ".join(texts[10].split()[:30]))]) if r[4]}
     assert bad and {d for d, _ in kept[3]} == {d for d, _ in kept[2]} - bad
