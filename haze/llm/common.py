@@ -13,7 +13,6 @@ import tempfile
 import threading
 import time
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -25,6 +24,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from haze.session import ship  # noqa: F401
+
 U64 = np.uint64
 CHUNK_BYTES = (1 << 19) - 1
 TARGET_BYTES = 16 << 20
@@ -150,20 +151,6 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the executors, once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_llm_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = f"{tempfile.mkdtemp(prefix='code-')}/package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in package.rglob("*.py"):
-            z.write(file, file.relative_to(package.parent))
-    sc.addPyFile(archive)
-    sc._llm_shipped = True
-
-
 # ---------------------------------------------------------------- Arrow text
 
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,8 @@ LAST = "TIMESTAMP '2024-06-01 00:00:00'"
 
 
 def _deliver(rows: DataFrame, root: str, n: int) -> None:
-    """One more delivery into the stream's folder."""
-    rows.repartition(2).write.parquet(f"{root}/in/d={n}")
+    """One more delivery into the stream's folder, a file for each of its partitions."""
+    rows.write.parquet(f"{root}/in/d={n}")
 
 
 def _delivered(spark: SparkSession, root: str, schema, delay: str) -> DataFrame:

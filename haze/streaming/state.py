@@ -10,16 +10,22 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from haze.operators.latest import DEFAULT_TTL_SECONDS, latest_per_key
+from haze.session import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ORDER = ("event_us", "datetime", "processed_us")
+#: Rows gathered before they are thinned to the newest of each station.
+THIN_ROWS = 200_000
 
 
 @contextmanager
@@ -45,6 +51,36 @@ def _sort_key(row) -> tuple:
     return tuple((row[c] is not None, row[c] if row[c] is not None else 0) for c in ORDER)
 
 
+def _newest(rows: pa.Table) -> pa.Table:
+    """The newest row of each station in the snapshot's order; of equal ones, the first."""
+    if rows.num_rows < 2:
+        return rows
+    keys = [("location_id", "ascending"), *[(c, "descending") for c in ORDER]]
+    # nulls come last either way: a missing value is older than any other
+    rows = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_end"))
+    station = rows["location_id"]
+    other = pc.fill_null(pc.not_equal(station.slice(1), station.slice(0, len(rows) - 1)), True)
+    return rows.filter(pa.array(np.concatenate([[True], other.to_numpy()])))
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without those that an other row of the task beats.  What is held does not follow the
+    size of the task: with many stations the rows go on and a new thinning begins."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= THIN_ROWS:
+            best = _newest(pa.Table.from_batches(held))
+            if best.num_rows > THIN_ROWS // 2:
+                yield from best.combine_chunks().to_batches()
+                held, size = [], 0
+            else:
+                held, size = best.combine_chunks().to_batches(), best.num_rows
+    if held:
+        yield from _newest(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+
 class ExpiringLatest(StatefulProcessor):
     """The newest reading of a station, until ``ttl_ms`` of event time have passed since it.
 
@@ -100,7 +136,12 @@ def expiring_snapshot(scored: DataFrame, columns: Sequence[str],
             *[c for c in columns if c not in ("event_ts", "datetime", "processed_at")]]
     state = T.StructType([rows.schema[c] for c in kept])
     text = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state)
-    out = rows.select("location_id", "event_ts", *kept).groupBy("location_id").transformWithState(
+    rows = rows.select("location_id", "event_ts", *kept)
+    # A station's newest row of a micro-batch decides, and if that one is late all its rows are: the
+    # others need not reach the processor.  The schema keeps the watermark of ``event_ts``.
+    ship(rows.sparkSession)
+    newest = rows.repartition("location_id").mapInArrow(_thinned, rows.schema)
+    out = newest.groupBy("location_id").transformWithState(
         ExpiringLatest(text, kept, int(ttl_seconds) * 1000),
         f"location_id {rows.schema['location_id'].dataType.simpleString()}, change string, {text}",
         "Update", "eventTime")

@@ -59,6 +59,75 @@ def test_entries_expire_revive_and_survive_a_restart(spark, tmp_dir):
     assert [(r.change, r.aqi) for r in all_changes] == [("set", 11), ("expired", 11), ("set", 12), ("expired", 12)]
 
 
+def test_one_row_a_station_reaches_the_processor(spark, tmp_dir, monkeypatch):
+    from pyspark.sql import Row
+    from pyspark.sql.streaming import StatefulProcessor
+
+    from haze.streaming import state
+
+    class Counting(StatefulProcessor):
+        """Emits a station's newest reading with the number of its rows in place of ``aqi``."""
+
+        def __init__(self, schema, columns, ttl_ms):
+            self.columns = columns
+
+        def init(self, handle):
+            pass
+
+        def handleInputRows(self, key, rows, timerValues):
+            rows = [r.asDict() for r in rows]
+            yield Row(location_id=key[0], change="set", **{c: rows[-1][c] for c in self.columns} | {"aqi": len(rows)})
+
+        def close(self):
+            pass
+
+    monkeypatch.setattr(state, "ExpiringLatest", Counting)
+    for n in range(2):
+        deliver(spark, f"{tmp_dir}/in/d={n}", n, [(i % 7, i // 7 + n, i) for i in range(700)])
+    rows = spark.readStream.schema(ROWS).parquet(f"{tmp_dir}/in/*/in/*").withWatermark("event_ts", "10 minutes")
+    with rocksdb_state(spark):
+        run_to_completion(expiring_snapshot(rows, ["aqi"]), f"{tmp_dir}/ckpt", mode="update",
+                          sink=batch_writer(spark, f"{tmp_dir}/out"))
+    got = spark.read.parquet(f"{tmp_dir}/out").collect()
+    assert {(r.location_id, r.aqi, minutes(r.event_ts)) for r in got} == {(i, 1, 100) for i in range(7)}
+    assert len(got) == 7
+
+
+@pytest.mark.parametrize("limit", [40, 1_000_000])
+def test_thinned_rows_hold_the_newest_of_each_station(monkeypatch, limit):
+    import pyarrow as pa
+
+    from haze.streaming import state
+    monkeypatch.setattr(state, "THIN_ROWS", limit)
+    rng = random.Random(5)
+    rows = [{"location_id": rng.randrange(30), "event_us": rng.randrange(40), "datetime": rng.choice([None, "a", "b"]),
+             "processed_us": rng.choice([None, 0, 7]), "n": n} for n in range(900)]
+    schema = pa.schema([("location_id", pa.int64()), ("event_us", pa.int64()), ("datetime", pa.string()),
+                        ("processed_us", pa.int64()), ("n", pa.int64())])
+    parts = [rows[i:i + 25] for i in range(0, 900, 25)] + [[]]
+    out = [r for b in state._thinned(pa.RecordBatch.from_pylist(p, schema) for p in parts) for r in b.to_pylist()]
+
+    def newest(found):
+        best = {}
+        for r in found:
+            held = best.get(r["location_id"])
+            if held is None or state._sort_key(r) > state._sort_key(held):
+                best[r["location_id"]] = r
+        return best
+    assert newest(out) == newest(rows)
+    assert len(out) < 900 and all(r in rows for r in out)
+    if limit > 900:
+        assert len(out) == 30
+    assert list(state._thinned(iter([]))) == []
+
+
+def test_a_delivery_keeps_its_partitions(spark, tmp_dir):
+    from haze.plans.stream_trips import _deliver
+    _deliver(spark.range(0, 100, 1, 5), tmp_dir, 0)
+    files = spark.read.parquet(f"{tmp_dir}/in").select(F.input_file_name().alias("f")).distinct().count()
+    assert files == 5 and spark.read.parquet(f"{tmp_dir}/in").count() == 100
+
+
 # ---------------------------------------------------------------- edges and rules
 
 @pytest.mark.parametrize("seed", [1, 2])
