@@ -25,6 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haze.functions.uniform import uniforms
+from haze.session import ship
+
 DAY_SECONDS = 86_400
 
 
@@ -209,17 +212,9 @@ def forward_fill(df: DataFrame, columns: Sequence[str], station: str = "location
     return rows.withColumns(filled).select(*df.columns)
 
 
-def _unit(seed: int, salt: int, key_cols: Sequence[str]) -> Column:
-    """A uniform number in (0, 1): the first 48 bits of the md5 of seed, salt and
-    the key's text.  Any engine with md5 draws the same numbers."""
-    text = F.concat_ws("|", F.lit(str(seed)), F.lit(str(salt)),
-                       *[F.coalesce(_key_text(c), F.lit("")) for c in key_cols])
-    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double")
-    return (h + F.lit(0.5)) / F.lit(float(1 << 48))
-
-
-def _key_text(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")
+def _key_text(key_cols: Sequence[str]) -> Column:
+    """The key's text: its columns' texts, joined by ``|``; a missing value is empty."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols])
 
 
 def jitter(df: DataFrame, columns: Sequence[str], std: float = 0.02, seed: int = 42,
@@ -229,15 +224,18 @@ def jitter(df: DataFrame, columns: Sequence[str], std: float = 0.02, seed: int =
     The normal draw is a Box-Muller transform of two uniforms, md5 hashes of the
     row's key (``key_cols``), the seed and the column index: a row gets the
     same noise however the data is partitioned and however often a task is
-    re-run after an executor loss.  ``key_cols=None`` falls back to
+    re-run after an executor loss.  All hashes of a batch are computed together
+    (see :func:`haze.functions.uniform.uniforms`).  ``key_cols=None`` falls back to
     ``randn(seed + i)`` (stable only while the partition contents are)."""
     keys = [c for c in (key_cols or []) if c in df.columns]
+    if not keys:
+        return df.withColumns({c: F.col(c) * (F.lit(1.0) + F.lit(float(std)) * F.randn(seed + i))
+                               for i, c in enumerate(columns)})
+    ship(df.sparkSession)
+    draws = uniforms(_key_text(keys), [f"{seed}|{salt}|" for salt in range(2 * len(columns))])
     out = {}
     for i, c in enumerate(columns):
-        if keys:
-            u1, u2 = _unit(seed, 2 * i, keys), _unit(seed, 2 * i + 1, keys)
-            z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * 3.141592653589793) * u2)
-        else:
-            z = F.randn(seed + i)
+        u1, u2 = F.col(f"_draws.u{2 * i}"), F.col(f"_draws.u{2 * i + 1}")
+        z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * 3.141592653589793) * u2)
         out[c] = F.col(c) * (F.lit(1.0) + F.lit(float(std)) * z)
-    return df.withColumns(out)
+    return df.withColumn("_draws", draws).withColumns(out).drop("_draws")

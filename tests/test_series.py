@@ -102,6 +102,43 @@ def test_jitter_properties(spark):
     assert one.exceptAll(many).count() == 0
 
 
+def test_jitter_draws_are_md5_of_seed_salt_and_key(spark):
+    import hashlib
+    import math
+    columns = [f"c{i}" for i in range(6)]            # salts of one digit and of two
+    keys = [(1, "x"), (None, "y"), (2, None), (3, ""), (4, "é" * 9), (5, "k" * 46), (6, "k" * 47), (7, "k" * 90)]
+    df = spark.createDataFrame([(*k, *[10.0 + i for i in range(6)]) for k in keys],
+                               "location_id long, datetime string, " + ", ".join(f"{c} double" for c in columns))
+    out = D.jitter(df, columns, std=0.5, seed=42)
+    # all hashes of a batch at once, outside the JVM's hex texts
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "conv(" not in plan and plan.count("ArrowEvalPython") == 1
+
+    def draw(salt, key):
+        text = "|".join(["42", str(salt), *["" if k is None else str(k) for k in key]])
+        return (int(hashlib.md5(text.encode()).hexdigest()[:12], 16) + 0.5) / 2 ** 48
+    got = {(r.location_id, r.datetime): r for r in out.collect()}
+    assert len(got) == len(keys) and out.columns == df.columns
+    for key in keys:
+        for i, c in enumerate(columns):
+            z = math.sqrt(-2 * math.log(draw(2 * i, key))) * math.cos(2 * math.pi * draw(2 * i + 1, key))
+            assert got[key][c] == pytest.approx((10.0 + i) * (1 + 0.5 * z), rel=1e-12)
+
+
+def test_md5_bits_of_any_length():
+    import hashlib
+
+    import pyarrow as pa
+
+    from haze.functions.uniform import CHUNK, md5_bits
+    prefixes = [b"", b"4|", b"42|10|", b"p" * 60]
+    texts = ["", *["x" * n for n in range(1, 130)], *[f"é{n}" for n in range(CHUNK + 9)]]
+    want = [[int(hashlib.md5(p + t.encode()).hexdigest()[:12], 16) for t in texts] for p in prefixes]
+    assert md5_bits(pa.array(texts), prefixes).tolist() == want
+    assert md5_bits(pa.array(texts).slice(5, 90), prefixes).tolist() == [w[5:95] for w in want]
+    assert md5_bits(pa.array([], pa.string()), prefixes).shape == (4, 0)
+
+
 def test_exact_ranks_vs_sorted_array(spark):
     rng = np.random.default_rng(5)
     for n in (1, 2, 7, 101, 5000):
