@@ -7,8 +7,8 @@ checkpoints, words w, checkpoints c, crc32 of everything after the header; then
 needs nothing but the frequency table, so blocks decode in parallel, and inside a block any
 checkpoint is a place to start.
 
-The frequency table is counted over all documents, scaled to 2**20 with at least 1 for every id
-of the vocabulary, and stored beside the blocks. Documents are dealt out by ranges of (doc_id,
+The frequency table is counted over all documents as they are tokenized, scaled to 2**20 with at
+least 1 for every id of the vocabulary, and stored beside the blocks. Documents are dealt out by ranges of (doc_id,
 hash of the text) and tokenized in that order; blocks hold whole documents, named by range and
 first row, and a document's start is the number of ids in all blocks and documents before it:
 sums per range are added up, not rows.
@@ -28,7 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haze.llm.common import U64, chunks, materialize, partitions_for, scratch_dir
+from haze.llm.common import U64, chunks, materialize, partitions_for, scratch_dir, tidied
 from haze.llm.tokens import END_ID, encoder
 
 SCALE_BITS, LANES, BLOCK_IDS, STEPS = 20, 1024, 1 << 18, 128
@@ -113,25 +113,44 @@ class Coder:
 
 # ---------------------------------------------------------------- writing and reading
 
+def sizes(path: str) -> tuple[int, bool]:
+    """(ids of the vocabulary, end id included; whether 2 bytes hold one) for the tokenizer file ``path``."""
+    tokenizer = encoder(path).tokenizer
+    return max(tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1), tokenizer.get_vocab_size() <= 1 << 16
+
+
 def tokenized(docs: DataFrame, path: str, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in ascending order: part, row (in its part), doc_id, ids (2 bytes each where the vocabulary allows), n, crc."""
+    """Documents in ascending order: part, row (in its part), doc_id, ids (2 bytes each where the vocabulary allows), n, crc.
+
+    A part ends with a row without ``row``: the ids ``seen`` in the part and how many ``times`` each."""
+    lists = pa.list_(pa.int64())
+    names = ["part", "row", "doc_id", "ids", "n", "crc", "seen", "times"]
+
+    @tidied
     def run(batches):
         from pyspark import TaskContext
         part, row = TaskContext.get().partitionId(), 0
         enc = encoder(path)
-        small = enc.tokenizer.get_vocab_size() <= 1 << 16
+        vocabulary, small = sizes(path)
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for piece in chunks(batch, "text", 8 << 20):
                 ids, counts = enc.encode(piece.column("text"))
+                total += np.bincount(ids, minlength=vocabulary)
+                rows = piece.num_rows
                 out = packed_rows(piece.column("doc_id"), ids, counts, small)
-                at = np.arange(row, row + piece.num_rows)
-                row += piece.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, part)), pa.array(at), *out.columns], names=["part", "row", *out.schema.names])
+                at = np.arange(row, row + rows)
+                row += rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part)), pa.array(at), *out.columns, pa.nulls(rows, lists), pa.nulls(rows, lists)], names=names)
+        if row:
+            seen = np.flatnonzero(total)
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *none, pa.array([seen], lists), pa.array([total[seen]], lists)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = ["doc_id", F.xxhash64("text")]
     ordered = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(run, "part long, row long, doc_id long, ids binary, n long, crc long")
+    return ordered.mapInArrow(run, "part long, row long, doc_id long, ids binary, n long, crc long, seen array<long>, times array<long>")
 
 
 def packed_rows(doc_ids, ids, counts, small: bool) -> pa.RecordBatch:
@@ -145,34 +164,25 @@ def packed_rows(doc_ids, ids, counts, small: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), packed.cast(pa.binary()), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "ids", "n", "crc"])
 
 
-def id_counts(tokens: DataFrame, vocabulary: int, small: bool) -> np.ndarray:
-    """How often each id occurs in all documents; each task sends one row per id at most."""
-    def count(batches):
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for raw in batch.column(0):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u2" if small else "<u4"))
-                total[:len(got)] += got
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
-
+def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
+    """How often each id occurs in all documents, from the counts of each part."""
     out = np.zeros(vocabulary, np.int64)
-    table = tokens.select("ids").mapInArrow(count, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).toArrow()
-    out[table.column("id").to_numpy()] = table.column("c").to_numpy()
+    table = (tokens.where(F.col("row").isNull()).select(F.inline(F.arrays_zip("seen", "times")))
+                   .groupBy("seen").agg(F.sum("times").alias("times")).toArrow())
+    out[table.column("seen").to_numpy()] = table.column("times").to_numpy()
     return out
 
 
 def write_tokens(docs: DataFrame, path: str, out: str, block_ids: int = BLOCK_IDS) -> None:
     """Write the token file of ``docs`` under the folder ``out``: ``blocks`` and ``table``."""
     spark = docs.sparkSession
-    enc = encoder(path)
-    vocabulary = max(enc.tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1)
-    small = enc.tokenizer.get_vocab_size() <= 1 << 16
+    vocabulary, small = sizes(path)
     tokens = materialize(tokenized(docs, path, partitions_for(docs)))
-    freq = scaled(id_counts(tokens, vocabulary, small))
+    freq = scaled(id_counts(tokens, vocabulary))
     spark.createDataFrame(pa.table({"freq": freq})).coalesce(1).write.parquet(f"{out}/table")
     table = spark.sparkContext.broadcast(freq)
 
+    @tidied
     def blocks(batches):
         coder, held, size = Coder(table.value), [], 0
 
@@ -195,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, block_ids: int = BLOCK_ID
         if held:
             yield close()
 
-    (tokens.select("part", "row", "doc_id", "n", "crc", "ids")
+    (tokens.where(F.col("row").isNotNull()).select("part", "row", "doc_id", "n", "crc", "ids")
            .mapInArrow(blocks, "part long, number long, n long, doc_ids array<long>, ns array<long>, crcs array<long>, body binary")
            .write.option("compression", "none").parquet(f"{out}/blocks"))
 
@@ -215,6 +225,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
         "part", F.col("col.number").alias("number"),
         F.aggregate(F.slice("all", F.lit(1), F.col("pos")), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("inside"))
 
+    @tidied
     def decode(batches):
         freq, base = shared.value
         coder = Coder(freq)

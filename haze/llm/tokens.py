@@ -9,6 +9,8 @@ what it did not use of late), and only new ones reach the tokenizer. ``tests/llm
 from __future__ import annotations
 
 import re
+from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +21,19 @@ from haze.llm.common import text_buffers
 END_ID = 2
 MAX_PIECES = 700_000  # of each generation
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[0x21:0x30] = _SIGN[0x3A:0x41] = _SIGN[0x5B:0x61] = _SIGN[0x7B:0x7F] = True
-_TAIL = np.zeros(256, bool)  # last bytes of white space beyond ASCII
-_TAIL[[0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]] = True
+_SPACE, _LETTER, _SIGN, _TAIL = 1, 2, 4, 8  # _TAIL: last bytes of white space beyond ASCII
+_KIND = bytearray(256)
+for _bit, _bytes in ((_SPACE, [0x20, *range(0x09, 0x0E)]), (_LETTER, [*range(0x41, 0x5B), *range(0x61, 0x7B)]),
+                     (_SIGN, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]),
+                     (_TAIL, [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F])):
+    for _b in _bytes:
+        _KIND[_b] |= _bit
+_KIND = bytes(_KIND)
 _LEAD = np.zeros(256, bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
-_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+_LOWER = bytes(range(256)).lower()
+# UTF-8 of `` ?[A-Za-zÀ-ÖØ-öø-ÿ]+``
+_PLAIN = re.compile(rb" ?(?:[A-Za-z]++|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])++\Z")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,14 +57,28 @@ class Encoder:
         self.older: dict[bytes, bytes] = {}
 
     def _encode_piece(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        if _PLAIN.match(text):
-            if self.blind:
-                text = self.normalizer.normalize_str(text.lstrip(" "))
-            ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+        if not _PLAIN.match(piece):
+            return array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        if self.blind:
+            piece = self.normalizer.normalize_str(piece.decode().lstrip(" ")).encode()
+        if piece.isascii():
+            text = self.letters[0x20] + piece[1:].decode() if piece[:1] == b" " else piece.decode()
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, np.uint32).tobytes()
+            text = piece.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _look_up(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces; the table learns those it did not know."""
+        known = self.known
+        found = list(map(known.get, pieces))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            if len(known) >= MAX_PIECES:
+                self.older, self.known = known, {}
+                known = self.known
+            piece = pieces[i]
+            ids = self.older.get(piece)
+            known[piece] = found[i] = self._encode_piece(piece) if ids is None else ids
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text); each text's ids end with ``END_ID``, a null is the empty text."""
@@ -68,28 +86,24 @@ class Encoder:
         n = len(offsets) - 1
         if not len(data):
             return np.full(n, END_ID, np.uint32), np.ones(n, np.int64)
+        raw = data.tobytes()
         if self.blind:
-            data = np.where((data >= 0x41) & (data <= 0x5A), data + 32, data).astype(np.uint8)
+            raw = raw.translate(_LOWER)
+        kind = np.frombuffer(raw.translate(_KIND), np.uint8)
+        before, after = kind[:-1], kind[1:]
         cut = np.zeros(len(data) + 1, bool)
-        before, after = data[:-1], data[1:]
-        two = np.concatenate([np.zeros(1, bool), _LEAD[data[:-2]]])
-        three = np.concatenate([np.zeros(2, bool), _LEAD[data[:-3]]]) if len(data) > 2 else np.zeros(len(before), bool)
-        wide = _TAIL[before] & (two[:len(before)] | three[:len(before)])
-        cut[1:-1] = (_SPACE[after] & ~_SPACE[before] & ~wide) | (_SIGN[after] & _LETTER[before])
+        cut[1:-1] = (after & ~before & _SPACE) | (after & (before << 1) & _SIGN)
+        # ASCII white space behind other white space begins nothing
+        tail = np.flatnonzero(before & (after << 3) & _TAIL)
+        wide = (_LEAD[data[tail - 1]] & (tail > 0)) | (_LEAD[data[tail - 2]] & (tail > 1))
+        cut[tail[wide] + 1] = False
         cut[offsets] = True
         edges = np.flatnonzero(cut)
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)])
         coded = pieces.dictionary_encode()
-        known, found = self.known, []
-        for piece in coded.dictionary.to_pylist():
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) >= MAX_PIECES:
-                    self.older, self.known = known, {}
-                    known = self.known
-                ids = self.older.get(piece)
-                known[piece] = ids = self._encode_piece(piece) if ids is None else ids
-            found.append(ids)
+        inside, bounds = text_buffers(coded.dictionary)
+        inside = inside.tobytes()
+        found = self._look_up([inside[i:j] for i, j in pairwise(bounds.tolist())])
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), np.uint32)
         first = np.cumsum(sizes) - sizes

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from haze.llm import decontaminate, language_id, licenses, near_dedup, packing, substring_dedup
 from haze.llm import token_file, tokens, toxicity, vector_search, wrappers
-from haze.llm.common import Words, NOT_SPACE, pack, pack_bits, text_buffers, unpack, unpack_bits, window_hashes
+from haze.llm.common import Words, NOT_SPACE, materialize, pack, pack_bits, text_buffers, unpack, unpack_bits, window_hashes
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -299,6 +299,21 @@ def test_token_file(spark, docs, tmp_path):
     assert token_file.read_tokens(spark, empty).count() == 0
 
 
+def test_token_file_counts_ids_as_it_tokenizes(spark, docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary, _ = token_file.sizes(path)
+    parts = materialize(token_file.tokenized(docs, path, 3))
+    t = Tokenizer.from_file(path)
+    want = np.zeros(vocabulary, np.int64)
+    for _, text in rows_of(docs):
+        np.add.at(want, t.encode(text or "", add_special_tokens=False).ids + [2], 1)
+    # the ids themselves are not read again
+    assert token_file.id_counts(parts.drop("ids"), vocabulary).tolist() == want.tolist()
+    assert parts.where("row is not null").count() == len(rows_of(docs))
+    assert parts.where("row is null and ids is null").count() == parts.select("part").distinct().count() > 1
+    assert not token_file.id_counts(parts.limit(0), vocabulary).any()
+
+
 def test_packing(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = [tuple(r) for r in packing.pack(docs, path, window=256, shard_tokens=3000).collect()]
